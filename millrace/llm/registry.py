@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from millrace.llm.mixing import OP1_SQL, op1_mixing
 from millrace.llm.simhash import op4_simhash
+from millrace.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    return {"op4_simhash": op4_simhash}
+    return {"op1_mixing": op1_mixing, "op4_simhash": op4_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}
