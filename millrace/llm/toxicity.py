@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word's input joins what is learnt for the word (its log odds over the training documents, and an embedding) with the mean of
-embeddings of its character trigrams, so that unknown words still have one. Texts are read as windows of 32 words that overlap
+A word's input joins what is learnt for the word (its log odds over the training documents, and an embedding) with what its
+characters say: the log odds of its longest known prefix, and the mean of embeddings of its character trigrams and prefixes, so
+that unknown words still have one. Texts are read as windows of 32 words that overlap
 by half; every window of every whole text is scored, and a document scores as its most toxic window, through a logistic
 calibration. Training sees documents, not windows: each step descends along the window that scores highest.
 
@@ -28,7 +29,10 @@ from millrace.llm.base import is_held_out, map_texts, table
 
 MAX_PER_CLASS, MAX_TRAIN_CHARS, MAX_VOCABULARY = 1500, 12_000, 20_000
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
-WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 4096
+WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8192
+PREFIXES = (9, 8, 7, 6, 5, 4, 3)
+#: The bytes of a word that its character trigrams cover; what follows in a longer run is no word's spelling.
+MAX_WORD_BYTES = 256
 #: Windows that advance together, and words whose inputs a worker keeps.
 CHUNK, MAX_CACHE = 4096, 150_000
 EDGE = string.punctuation + "«»“”„’…"
@@ -38,9 +42,14 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def trigram_rows(word: str) -> list[int]:
-    padded = f"^{word}$".encode("utf-8", "surrogatepass")
-    return [zlib.crc32(padded[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(padded) - 2))]
+def char_rows(word: str) -> list[int]:
+    """Rows of the word's character trigrams and of its prefixes."""
+    padded = f"^{word}$".encode("utf-8", "surrogatepass")[:MAX_WORD_BYTES]
+    return [zlib.crc32(padded[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(padded) - 2))] + [zlib.crc32(padded[:k]) % CHAR_ROWS for k in range(4, min(len(padded), 10))]
+
+
+def prefixes(word: str) -> list[str]:
+    return ["^" + word[:k] for k in PREFIXES if len(word) >= k]
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -48,6 +57,18 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(0, max(n - WINDOW, 0) + STRIDE, STRIDE) if n > WINDOW else np.zeros(1, dtype=np.int64)
 
 
+def cut_windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts, first, at = [], [0], 0
+    for n in lengths:
+        starts = window_starts(n)
+        padded = np.zeros(starts[-1] + WINDOW, np.int32)
+        padded[:n] = ids[at : at + n]
+        parts.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts])
+        first.append(first[-1] + len(starts))
+        at += n
+    return np.concatenate(parts), np.array(first[:-1])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -64,7 +85,7 @@ class ToxicityModel:
 
     def __init__(self, vocabulary: dict[str, int], odds: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        x, h = 1 + WORD_DIM + CHAR_DIM, HIDDEN
+        x, h = 2 + WORD_DIM + CHAR_DIM, HIDDEN
         self.vocabulary, self.odds = vocabulary, odds.astype(np.float32)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.p = {"words": draw(len(odds), WORD_DIM, scale=0.01), "chars": draw(CHAR_ROWS, CHAR_DIM, scale=0.05)}
@@ -76,7 +97,7 @@ class ToxicityModel:
 
     def _reset(self) -> None:
         self._ids: dict[str, int] = {}
-        self._inputs = {way: np.zeros((1, 3 * HIDDEN), np.float32) for way in "fb"}
+        self._inputs = {way: np.zeros((1024, 3 * HIDDEN), np.float32) for way in "fb"}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_ids", "_inputs")}
@@ -85,26 +106,33 @@ class ToxicityModel:
         self.__dict__ |= state
         self._reset()
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
-        """Rows of the words' table, rows of the characters' table, and the input vectors."""
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What doesn't change in training: rows of the words' table, rows of the characters' table with -1 after each word's, odds."""
         bare = [w.strip(EDGE) or w for w in words]
-        rows = np.array([self.vocabulary.get(w, 0) for w in bare], dtype=np.int64)
-        grams = [trigram_rows(w) for w in bare]
-        many = np.array([len(g) for g in grams])
-        flat = np.array([x for g in grams for x in g])
-        chars = np.add.reduceat(self.p["chars"][flat], np.r_[0, np.cumsum(many)[:-1]], axis=0) / many[:, None]
-        return rows, grams, np.concatenate([self.odds[rows, None], self.p["words"][rows], chars], axis=1).astype(np.float32)
+        known = self.vocabulary.get
+        rows = np.array([known(w, 0) for w in bare], dtype=np.int64)
+        stems = np.array([next((k for p in prefixes(w) if (k := known(p))), 0) for w in bare], dtype=np.int64)
+        grams = [x for w in bare for x in (*char_rows(w), -1)]
+        return rows, np.array(grams, dtype=np.int64), np.stack([self.odds[rows], self.odds[stems]], axis=1)
+
+    def vectors(self, rows: np.ndarray, grams: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        ends = np.flatnonzero(grams < 0)
+        starts = np.r_[0, ends[:-1] + 1]
+        taken = self.p["chars"][grams]
+        taken[ends] = 0
+        return np.concatenate([odds, self.p["words"][rows], np.add.reduceat(taken, starts, axis=0) / (ends - starts)[:, None]], axis=1).astype(np.float32)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Numbers of the words in the inputs that are kept; new words are added."""
         known = self._ids
-        new = list(dict.fromkeys(w for w in words if w not in known))
+        new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
-            x = self.features(new)[2]
-            for k, w in enumerate(new, len(known) + 1):
-                known[w] = k
+            x, at, end = self.vectors(*self.features(new)), len(known) + 1, len(known) + len(new) + 1
+            known.update(zip(new, range(at, end), strict=True))
             for way in "fb":
-                self._inputs[way] = np.concatenate([self._inputs[way], x @ self.p[f"W{way}"] + self.p[f"c{way}"]])
+                if end > len(self._inputs[way]):
+                    self._inputs[way] = np.concatenate([self._inputs[way], np.zeros((max(end, len(self._inputs[way])), 3 * HIDDEN), np.float32)])
+                self._inputs[way][at:end] = x @ self.p[f"W{way}"] + self.p[f"c{way}"]
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def run(self, ids: np.ndarray, keep: bool = False):
@@ -164,14 +192,8 @@ class ToxicityModel:
 
     def windows(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All windows of the texts as word numbers, and each text's first window."""
-        parts, first = [], [0]
-        for words in map(words_of, texts):
-            ids, at = self.ids(words), window_starts(len(words))
-            padded = np.zeros(at[-1] + WINDOW, np.int32)
-            padded[: len(ids)] = ids[: len(padded)]
-            parts.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[at])
-            first.append(first[-1] + len(at))
-        return np.concatenate(parts), np.array(first[:-1])
+        split = [words_of(t) for t in texts]
+        return cut_windows(self.ids([w for words in split for w in words]), np.array([len(words) for words in split]))
 
     def logits(self, texts: list) -> np.ndarray:
         """The largest logit of each text's windows."""
@@ -186,48 +208,55 @@ class ToxicityModel:
         return sigmoid(slope * self.logits(texts).astype(np.float64) + shift) if texts else np.zeros(0)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.02, batch: int = 256, seed: int = 7) -> ToxicityModel | None:
+def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.02, batch: int = 256, least_steps: int = 120, seed: int = 7) -> ToxicityModel | None:
     """None where the labels are all alike."""
     y = np.array(labels, dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    seen = {0: Counter(), 1: Counter()}
-    for text, label in zip(texts, labels, strict=True):
-        seen[label].update({w.strip(EDGE) or w for w in words_of(text)})
+    seen, split = {0: Counter(), 1: Counter()}, [words_of(t) for t in texts]
+    for words, label in zip(split, labels, strict=True):
+        bare = {w.strip(EDGE) or w for w in words}
+        seen[label].update(bare | {p for w in bare for p in prefixes(w)})
     of = {k: float((y == k).sum()) for k in (0, 1)}
     both = seen[0] + seen[1]
-    kept = [w for w, n in sorted(both.items(), key=lambda x: (-x[1], x[0])) if n >= 4][:MAX_VOCABULARY]
-    log_odds = [np.log((seen[1][w] + 0.5) / (of[1] + 1)) - np.log((seen[0][w] + 0.5) / (of[0] + 1)) for w in kept]
-    steady = [x * n / (n + 4) for x, n in ((o, both[w]) for o, w in zip(log_odds, kept, strict=True))]
-    model = ToxicityModel({w: k for k, w in enumerate(kept, 1)}, np.clip(np.array([0.0, *steady]), -4, 4), seed)
+    odds = {w: (np.log((seen[1][w] + 0.5) / (of[1] + 1)) - np.log((seen[0][w] + 0.5) / (of[0] + 1))) * n / (n + 4) for w, n in both.items() if n >= 4}
+    kept = sorted(odds, key=lambda w: (-abs(odds[w]) * np.log1p(both[w]), w))[:MAX_VOCABULARY]
+    model = ToxicityModel({w: k for k, w in enumerate(kept, 1)}, np.clip(np.array([0.0, *(odds[w] for w in kept)]), -4, 4), seed)
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+    rows, grams, fixed = model.features(list(number))
+    ends = np.flatnonzero(grams < 0)
+    starts = np.r_[0, ends[:-1] + 1]
+    numbers = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in split]
     rng, moments = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     weight = np.where(y == 1, 0.5 / of[1], 0.5 / of[0]).astype(np.float32) * len(y)
-    step = 0
-    for _ in range(epochs):
+    batch, step = min(batch, max(32, len(texts) // 8)), 0
+    for _ in range(max(epochs, -(-least_steps // -(-len(texts) // batch)))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            model._reset()
-            ids, first = model.windows([texts[i] for i in chosen])
+            lengths = np.array([len(numbers[i]) for i in chosen])
+            used, ids = np.unique(np.concatenate([numbers[i] for i in chosen]), return_inverse=True)
+            many = ends[used] - starts[used] + 1
+            own = grams[np.repeat(starts[used] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            x = model.vectors(rows[used], own, fixed[used]) if len(used) else np.zeros((0, 2 + WORD_DIM + CHAR_DIM), np.float32)
+            model._inputs = {way: np.concatenate([np.zeros((1, 3 * HIDDEN), np.float32), x @ model.p[f"W{way}"] + model.p[f"c{way}"]]) for way in "fb"}
+            ids, first = cut_windows(ids + 1, lengths)
             every = np.concatenate([model.run(ids[k : k + CHUNK]) for k in range(0, len(ids), CHUNK)])
-            ends = np.r_[first[1:], len(ids)]
-            best = np.array([a + int(every[a:b].argmax()) for a, b in zip(first, ends, strict=True)])
-            logit, tape = model.run(ids[best], keep=True)
-            d = ((sigmoid(logit) - y[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
-            g, dinputs = model.gradients(ids[best], d, tape)
-            used = np.unique(ids[best][ids[best] > 0])
-            names = list(model._ids)
-            rows, grams, x = model.features([names[i - 1] for i in used]) if len(used) else (np.zeros(0, int), [], np.zeros((0, 1 + WORD_DIM + CHAR_DIM), np.float32))
+            last = np.r_[first[1:], len(ids)]
+            best = ids[[a + int(every[a:b].argmax()) for a, b in zip(first, last, strict=True)]]
+            logit, tape = model.run(best, keep=True)
+            g, dinputs = model.gradients(best, ((sigmoid(logit) - y[chosen]) * weight[chosen] / len(chosen)).astype(np.float32), tape)
             dx = np.zeros_like(x)
             for way in "fb":
-                got = dinputs[way][used]
+                got = dinputs[way][1:]
                 g[f"W{way}"], g[f"c{way}"] = x.T @ got, got.sum(axis=0)
                 dx += got @ model.p[f"W{way}"].T
             g["words"], g["chars"] = np.zeros_like(model.p["words"]), np.zeros_like(model.p["chars"])
-            np.add.at(g["words"], rows, dx[:, 1 : 1 + WORD_DIM])
+            np.add.at(g["words"], rows[used], dx[:, 2 : 2 + WORD_DIM])
             g["words"][0] = 0
-            for k, gram in enumerate(grams):
-                np.add.at(g["chars"], gram, dx[k, 1 + WORD_DIM :] / len(gram))
+            spread = np.repeat(dx[:, 2 + WORD_DIM :] / (many - 1)[:, None], many, axis=0)
+            hit = np.flatnonzero((own >= 0) & spread.any(axis=1))
+            np.add.at(g["chars"], own[hit], spread[hit])
             step += 1
             for k, v in model.p.items():
                 m1, m2 = moments[k]
