@@ -101,6 +101,14 @@ def mix(df: DataFrame, weights: tuple[float, ...] | DataFrame = (1.0,), budget:
     return timed.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0)).select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def mixed_rows(df: DataFrame, weights: tuple[float, ...] | DataFrame = (1.0,), budget: float = 1.0, rounds: int = 2, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """df's rows, each as often as the mix takes it. Rows that share id, source and size are taken equally often."""
+    mixed = mix(df, weights, budget, rounds, id_col, text, source)
+    times = mixed.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.min("times").alias("_times")).where("_times > 0")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_s")) & (n_words(text) == F.col("_n"))
+    return df.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*df.columns)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), (3.0, 1.0, 2.0), 1.5)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

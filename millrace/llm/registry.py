@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from millrace.llm.mixing import OP1_SQL, op1_mixing
+from millrace.llm.sentencepiece import op2_sentencepiece
 from millrace.llm.simhash import op4_simhash
 from millrace.llm.toxicity import op9_toxicity
+from millrace.llm.winnow import op3_line_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_mixing": op1_mixing, "op4_simhash": op4_simhash, "op9_toxicity": op9_toxicity}
+    return {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,8 +4,8 @@ Words of equal length form a matrix of code points and advance together. Hashes
 looked up among the sorted keys of the vocabulary's pieces. For a unigram model a Viterbi pass over the ends of the words
 takes the vectorised maximum over pieces and stores backpointers. A BPE model has no scores to add: its encoding is the result of
 merges by rank, which the highest-scoring path gives for fewer than half of the words. So BPE models resolve the same table of
-pieces by merging, in every word at once the pair of least rank; the maximum is vectorised as well. Both agree with the
-sentencepiece library id by id. viterbi=True takes the best path whatever the model's type.
+pieces by merging, in every word at once the pair of least rank; the maximum is vectorised as well. BPE ids equal the sentencepiece
+library's id by id; the path's score equals the best of all segmentations. viterbi=True takes the best path whatever the type.
 
 Characters without a piece become byte pieces. Decoding joins the pieces' bytes; text survives the round trip unless it holds
 U+2581, which SentencePiece itself uses for a space, or isn't valid Unicode.

@@ -173,3 +173,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """df's rows that stand for their group: one row, with the group's smallest id.
+
+    The same fingerprints as the query's, one bit further. A group whose ids are all null keeps one row.
+    """
+    groups = simhash_groups(df, id_col, text, shingle, radius)
+    first = groups.select(F.col("component_id").alias("_id")).distinct()
+    chosen = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return chosen.dropDuplicates([id_col])
