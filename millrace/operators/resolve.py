@@ -94,7 +94,7 @@ def find_mentions(texts: DataFrame, id_col: str, text: str, names: DataFrame, en
     met = words.select("id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''").join(wanted, "word")
     quoted = F.concat(F.lit(r"\b\Q"), F.col("name"), F.lit(r"\E\b"))
     hits = met.withColumn("n", F.least(F.regexp_count(F.lower("text"), quoted), F.lit(most))).where("n > 0")
-    found = hits.select("id", "entity", "n", "w", F.struct((-F.col("w")).alias("o"), F.col("name").alias("k"), snippet(F.col("text"), F.locate(F.col("name"), F.lower("text")), F.length("name")).alias("s")).alias("best"))
+    found = hits.select("id", "entity", "n", "w", F.struct((-F.col("w")).alias("o"), F.col("name").alias("k"), snippet(F.col("text"), F.position(F.col("name"), F.lower("text")), F.length("name")).alias("s")).alias("best"))
     out = found.groupBy("id", "entity").agg(F.sum("n").alias("n"), F.max("w").alias("confidence"), F.min("best").alias("best"))
     return out.select(F.col("id").alias(id_col), "entity", "n", "confidence", F.col("best.s").alias("snippet"))
 
