@@ -1,6 +1,6 @@
 """Line dedup by winnowing: passages that repeat anywhere in the corpus stay where they stand first, and go everywhere else.
 
-Units are lines, cut again at sentence ends, so that a passage pasted into the middle of a line still has whole units. From each unit
+Units are lines, cut again where a sentence ends (., ! or ? and a space), so that a passage pasted into the middle of a line still has whole units. From each unit
 runs the shortest run of units that has RUN_WORDS words; its hash is a polynomial over the units' hashes. Of every WINDOW neighbouring
 runs the least hash is kept, and every run that is a single unit: so each passage of 2 * RUN_WORDS - 1 + (WINDOW - 2) units or more
 shares a kept run, wherever it stands. Runs that stand in several places are joined to the first place (smallest doc_id, then
@@ -16,11 +16,11 @@ Columns other than id and text are carried along, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from millrace.llm.base import slices, table, written
 
 RUN_WORDS, WINDOW, MIN_WORDS = 12, 2, 23
-CUT = re.compile(r"[.!?]+(?=[\s])|\n")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -44,43 +43,51 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def units(text: str) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
-    """Starts, ends, hashes and numbers of words of the units that have words."""
-    starts, ends, hashes, words, at = [], [], [], [], 0
-    for end in [*(m.end() for m in CUT.finditer(text)), len(text)]:
-        part = text[at:end].split()
-        if part:
-            starts.append(at)
-            ends.append(end)
-            hashes.append(xxhash.xxh64_intdigest(" ".join(part).encode("utf-8", "surrogatepass")))
-            words.append(len(part))
-        at = end
-    return starts, ends, np.array(hashes, np.uint64), np.array(words, np.int64)
+def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes, hashes and numbers of words of the units that have words."""
+    for mark in (b".", b"!", b"?"):
+        text = text.replace(mark + b" ", mark + b"\n")
+    parts = text.split(b"\n")
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    words = np.fromiter((len(p.split()) for p in parts), np.int64, len(parts))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    has = words > 0
+    ends[-1] -= 1
+    return np.r_[0, ends[:-1]][has], ends[has], hashes[has], words[has]
 
 
-def kept_runs(hashes: np.ndarray, words: np.ndarray, run_words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First units, lengths and hashes of the runs that winnowing keeps."""
+def kept_runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, run_words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First units, lengths and hashes of the runs that winnowing keeps, for the units of several documents one after the other."""
     upto = np.r_[0, np.cumsum(words)]
     end = np.searchsorted(upto, upto[:-1] + run_words)  # units i to end - 1 have run_words words or more
-    first = np.flatnonzero(end < len(upto))
+    last = np.searchsorted(doc, doc, side="right")
+    first = np.flatnonzero(end <= last)
     if not len(first):
         return first, first, hashes[:0]
-    length = end[first] - first
+    length, doc = end[first] - first, doc[first]
     up, down = powers(len(upto))
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)]
     run = (sums[end[first]] - sums[first]) * up[first]
     run ^= run >> np.uint64(29)
     run *= np.uint64(0xBF58476D1CE4E5B9)
     run ^= run >> np.uint64(32)
-    seen = np.lib.stride_tricks.sliding_window_view(run, min(window, len(run)))
-    chosen = np.union1d(np.arange(len(seen)) + seen.argmin(axis=1), np.flatnonzero(length == 1))
-    return first[chosen], length[chosen], run[chosen]
+    least = np.arange(len(run))
+    for k in range(1, window):  # the least run among each one and those that follow it in its document
+        ahead = np.minimum(np.arange(len(run)) + k, len(run) - 1)
+        least = np.where((doc[ahead] == doc) & (run[ahead] < run[least]), ahead, least)
+    begins = np.r_[True, doc[1:] != doc[:-1]]
+    whole = np.zeros(len(run), bool)
+    whole[: max(len(run) - window + 1, 0)] = doc[window - 1 :] == doc[: max(len(run) - window + 1, 0)]
+    keep = length == 1
+    keep[least[whole | begins]] = True
+    return first[keep], length[keep], run[keep]
 
 
-def _around(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32 bits of each unit's hash; 0 outside the text."""
-    there = (at >= 0) & (at < len(hashes))
-    return np.where(there, (hashes[np.clip(at, 0, max(len(hashes) - 1, 0))] >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+def _around(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """32 bits of the hashes of the units `at`; 0 outside the document of the units `of`."""
+    inside = np.clip(at, 0, len(hashes) - 1)
+    there = (at == inside) & (doc[inside] == doc[of])
+    return np.where(there, (hashes[inside] >> np.uint64(32)) | np.uint64(1), np.uint64(0))
 
 
 def run_rows(df: DataFrame, run_words: int, window: int) -> DataFrame:
@@ -91,20 +98,19 @@ def run_rows(df: DataFrame, run_words: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows, columns = [], [[], [], [], []]
-            for k, (text, mark) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                if not text:
-                    continue
-                _, _, hashes, words = units(text)
-                first, length, h = kept_runs(hashes, words, run_words, window)
-                end = first + length
-                columns[0].append(h)
-                columns[1].append((first.astype(np.uint64) << np.uint64(37)) | (length.astype(np.uint64) << np.uint64(32)) | np.uint64(mark))
-                columns[2].append((_around(hashes, first - 1) << np.uint64(32)) | _around(hashes, first - 2))
-                columns[3].append((_around(hashes, end) << np.uint64(32)) | _around(hashes, end + 1))
-                rows.append(np.full(len(first), k))
-            if rows:
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c).astype(np.uint64).view(np.int64)) for c in columns)], names=schema.names)
+            found = [units((t or "").encode("utf-8", "surrogatepass"))[2:] for t in part.column(1).to_pylist()]
+            sizes = np.array([len(h) for h, _ in found], np.int64)
+            if not sizes.sum():
+                continue
+            hashes, words = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            first, length, h = kept_runs(hashes, words, doc, run_words, window)
+            end, own = first + length, doc[first]
+            at = (first - (np.cumsum(sizes) - sizes)[own]).astype(np.uint64)
+            mark = part.column(2).to_numpy(zero_copy_only=False)[own].astype(np.uint64)
+            near = lambda k, f=first, h=hashes, d=doc: _around(h, d, k, f)
+            columns = [h, (at << np.uint64(37)) | (length.astype(np.uint64) << np.uint64(32)) | mark, (near(first - 1) << np.uint64(32)) | near(first - 2), (near(end) << np.uint64(32)) | near(end + 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *(pa.array(c.view(np.int64)) for c in columns)], names=schema.names)
 
     return df.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, schema)
 
@@ -136,7 +142,8 @@ def repeats(df: DataFrame, run_words: int, window: int) -> DataFrame:
 
 def without(text: str, spans: list, min_words: int) -> tuple[str, int, int]:
     """The text without the merged spans that have min_words words, and the units and words that went."""
-    starts, ends, _, words = units(text)
+    raw = text.encode("utf-8", "surrogatepass")
+    starts, ends, _, words = units(raw)
     merged: list[list[int]] = []
     for a, b in sorted((max(0, s["a"]), min(len(starts), s["b"])) for s in spans):
         if merged and a <= merged[-1][1]:
@@ -146,9 +153,9 @@ def without(text: str, spans: list, min_words: int) -> tuple[str, int, int]:
     out, at, n_units, n_words = [], 0, 0, 0
     for a, b in merged:
         if (n := int(words[a:b].sum())) >= min_words:
-            out.append(text[at : starts[a]])
-            at, n_units, n_words = ends[b - 1], n_units + b - a, n_words + n
-    left = "".join([*out, text[at:]])
+            out.append(raw[at : starts[a]])
+            at, n_units, n_words = int(ends[b - 1]), n_units + b - a, n_words + n
+    left = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
     return left if left.strip() else "", n_units, n_words
 
 
@@ -167,11 +174,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts, spans = part.column(at).to_pylist(), part.column(len(df_columns)).to_pylist()
-            cut = [(t, 0, 0) if s is None or t is None else without(t, s, min_words) for t, s in zip(texts, spans, strict=True)]
-            columns = [part.column(i) for i in range(len(df_columns))]
-            columns[at] = pa.array([c[0] for c in cut], arrow.field(at).type)
-            yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)] + [pa.array([c[k] for c in cut], pa.int64()) for k in (1, 2)], schema=arrow)
+            has = part.column(len(df_columns)).is_valid()
+            columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(df_columns))]
+            cut = [without(t, s, min_words) if t else (t, 0, 0) for t, s in zip(part.column(at).filter(has).to_pylist(), part.column(len(df_columns)).filter(has).to_pylist(), strict=True)]
+            removed = np.zeros((2, part.num_rows), np.int64)
+            if cut:  # the other texts never become Python strings
+                columns[at] = pc.replace_with_mask(columns[at], has, pa.array([c[0] for c in cut], arrow.field(at).type))
+                removed[:, has.to_numpy(zero_copy_only=False)] = [[c[k] for c in cut] for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed[0]), pa.array(removed[1])], schema=arrow)
 
     df_columns = df.columns
     return joined.mapInArrow(run, schema)
