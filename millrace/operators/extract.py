@@ -73,7 +73,7 @@ def riders(df: DataFrame, id_col: str, text: str, pages: str) -> DataFrame:
     start = F.aggregate(F.slice("_n", F.lit(1), F.col("_i")), F.lit(0), lambda a, x: a + x)
     per_page = F.length(c) / F.greatest(F.col(pages), F.lit(1))
     statutes = lambda s: F.array_distinct(F.regexp_extract_all(s, F.lit(STATUTE), F.lit(0)))
-    items = lambda s: F.filter(F.transform(F.regexp_extract_all(s, F.lit(ITEM), F.lit(1)), F.trim), lambda x: (F.length(x) > 5) & (F.length(x) < 500))
+    items = lambda s: F.filter(F.transform(F.regexp_extract_all(s, F.lit(ITEM), F.lit(1)), lambda x: F.trim(x)), lambda x: (F.length(x) > 5) & (F.length(x) < 500))
     s = F.col("_s")
     named = F.trim(F.regexp_extract(s, RIDER, 1))
     found = sections.where("_i > 0").select(
