@@ -24,7 +24,7 @@ from millrace.llm.base import map_texts, new_path, table
 
 RATE, UP, DOWN, TAPS = 8000, 1, 2, 32
 FRAME, HOP, MELS, BLOCK_FRAMES = 256, 128, 24, 32
-HIGH, LOW, MIN_FRAMES = 1.0, 0.5, 3
+HIGH, LOW, MIN_FRAMES = 1.5, 1.0, 3
 #: Samples that a worker turns into frames at once.
 CHUNK = 1 << 16
 UNIT = 64
