@@ -88,13 +88,13 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, a: str =
     total = known.count()
     if total == 0:
         return known.select("node", F.lit(0.0).alias("rank"))
-    ranks = known.withColumn("rank", F.lit(1.0 / total))
+    ranks, has_idle = known.withColumn("rank", F.lit(1.0 / total)), not known.where("n = 0").isEmpty()
     for k in range(rounds):
         sent = ranks.where("n > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("n")).alias("share"))
         got = links.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        idle = ranks.where("n = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        idle = ranks.where("n = 0").agg(F.sum("rank")).first()[0] if has_idle else 0.0
         ranks = known.join(got, "node", "left").withColumn("rank", F.lit((1 - damping) / total) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(idle / total))).drop("got")
-        if k % 5 == 4:
+        if has_idle or k % 5 == 4:
             ranks = cut(ranks)
     return ranks.select("node", "rank")
 
