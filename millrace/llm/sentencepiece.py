@@ -30,7 +30,7 @@ from millrace.llm.base import map_texts, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of up to LONG characters go into matrices of about CELLS cells; a worker keeps the ids of MAX_CACHE words.
-LONG, CELLS, MAX_CACHE = 200, 1 << 19, 250_000
+LONG, CELLS, MAX_CACHE = 200, 1 << 19, 300_000
 UNK_PENALTY = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
@@ -116,37 +116,37 @@ class Pieces:
             power = power * BASE
         return out
 
-    def viterbi(self, table_: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each word the (start, length) of the pieces on the path with the highest sum of scores."""
+    def viterbi(self, table_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces on the path with the highest sum of scores: whether one starts at [word, place], and where it ends."""
         n, length, most = table_.shape
         best, back = np.full((n, length + 1), -np.inf), np.zeros((n, length + 1), np.int32)
         best[:, 0] = 0
         for end in range(1, length + 1):
-            sizes = np.arange(min(most, end), 0, -1)  # of equal sums the longest last piece wins, as in the library
+            sizes = np.arange(min(most, end), 0, -1)  # of equal sums the longest last piece wins
             ids = table_[:, end - sizes, sizes - 1]
             scores = np.where(ids >= 0, self.scores[ids], -np.inf)
             scores[:, -1] = np.where(ids[:, -1] >= 0, scores[:, -1], self.unknown)
             total = best[:, end - sizes] + scores
-            back[:, end] = sizes[total.argmax(axis=1)]
-            best[:, end] = total.max(axis=1)
-        paths = []
-        for row in back.tolist():
-            end, path = length, []
-            while end:
-                path.append((end - row[end], row[end]))
-                end -= row[end]
-            paths.append(path[::-1])
-        return paths
-
-    def merged(self, table_: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each word the (start, length) of what remains when the adjacent pair with the best score is merged, leftmost first, again and again."""
+            chosen = total.argmax(axis=1)
+            back[:, end] = sizes[chosen]
+            best[:, end] = total[np.arange(n), chosen]
+        alive, nexts = np.zeros((n, length), bool), np.zeros((n, length), np.int64)
+        rows, end = np.arange(n), np.full(n, length)
+        while len(rows):
+            start = end - back[rows, end]
+            alive[rows, start], nexts[rows, start] = True, end
+            on = start > 0
+            rows, end = rows[on], start[on]
+        return alive, nexts
+
+    def merged(self, table_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What remains, as in viterbi(), when the adjacent pair with the best score is merged, leftmost first, again and again."""
         n, length, most = table_.shape
         scores = np.where(table_ >= 0, self.scores[table_], -np.inf)
         nexts = np.minimum(np.tile(np.arange(1, length + 3), (n, 1)), length)  # of each start the next one; two ends as sentinels
-        alive = np.zeros((n, length + 2), bool)
-        alive[:, :length] = True
+        before = np.tile(np.arange(-1, length + 1), (n, 1))
+        alive = np.ones((n, length), bool)
         rows = np.arange(n)
-        start = np.arange(length)
         pair = np.full((n, length), -np.inf)  # score of merging the token at start with the next one
         if length > 1 and most > 1:
             pair[:, : length - 1] = scores[:, : length - 1, 1]
@@ -156,20 +156,18 @@ class Pieces:
             rows, first = rows[on], first[on]
             second = nexts[rows, first]
             third = nexts[rows, second]
-            nexts[rows, first] = third
-            alive[rows, second] = False
-            pair[rows, second] = -np.inf
+            nexts[rows, first], before[rows, third] = third, first
+            alive[rows, second], pair[rows, second] = False, -np.inf
             self._renew(pair, scores, nexts, rows, first, length, most)
-            before = np.where(alive[rows, :length] & (start < first[:, None]), start, -1).max(axis=1) if len(rows) else first
-            has = before >= 0
-            self._renew(pair, scores, nexts, rows[has], before[has], length, most)
-        ends = nexts.tolist()
-        return [[(i, e[i] - i) for i in np.flatnonzero(a[:length]).tolist()] for a, e in zip(alive, ends, strict=True)]
+            left = before[rows, first]
+            has = left >= 0
+            self._renew(pair, scores, nexts, rows[has], left[has], length, most)
+        return alive, nexts[:, :length]
 
     @staticmethod
     def _renew(pair, scores, nexts, rows, at, length, most) -> None:
         second = nexts[rows, at]
-        size = nexts[rows, np.minimum(second, length)] - at
+        size = nexts[rows, second] - at
         fits = (second < length) & (size <= most)
         pair[rows, at] = np.where(fits, scores[rows, at, np.minimum(size, most) - 1], -np.inf)
 
@@ -198,9 +196,24 @@ class Pieces:
                 offer(before[i])
         return [(i, nexts[i] - i) for i in range(length) if alive[i]]
 
-    def encode_words(self, words: list[str], viterbi: bool) -> dict[str, bytes]:
-        """Of each word the ids as little-endian 32-bit integers."""
-        out, by_length = {}, {}
+    def spelled(self, words: list[str], table_: np.ndarray, alive: np.ndarray, nexts: np.ndarray) -> list[bytes]:
+        """The words' ids as little-endian 32-bit integers; a place without a piece gives byte pieces."""
+        row, at = np.nonzero(alive)
+        ids = table_[row, at, np.minimum(nexts[row, at] - at, table_.shape[2]) - 1].astype("<i4")
+        ends = 4 * np.cumsum(alive.sum(axis=1))
+        flat, out, start = ids.tobytes(), [], 0
+        for end in ends.tolist():
+            out.append(flat[start:end])
+            start = end
+        for k in np.unique(row[ids < 0]).tolist():
+            mine = row == k
+            parts = [[i] if i >= 0 else [self.byte[b] for b in words[k][p].encode("utf-8", "replace")] for i, p in zip(ids[mine].tolist(), at[mine].tolist(), strict=True)]
+            out[k] = np.array([i for p in parts for i in p], "<i4").tobytes()
+        return out
+
+    def encode_words(self, words: list[str], modes: tuple[bool, ...]) -> list[dict[str, bytes]]:
+        """For each mode (True: the best path, False: merges) the ids of each word. The table of pieces is made once."""
+        out, by_length = [{} for _ in modes], {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
@@ -208,29 +221,32 @@ class Pieces:
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 table_ = self.substrings(points(part, length))
-                if viterbi:
-                    paths = self.viterbi(table_)
-                else:
-                    paths = self.merged(table_) if length <= LONG else [self.merged_long(row) for row in table_]
-                for word, row, path in zip(part, table_, paths, strict=True):
-                    ids = []
-                    for i, size in path:
-                        piece = int(row[i, size - 1])
-                        ids += [piece] if piece >= 0 else [self.byte[b] for b in word[i : i + size].encode("utf-8", "replace")]
-                    out[word] = np.array(ids, "<i4").tobytes()
+                for mode, found in zip(modes, out, strict=True):
+                    if mode or length <= LONG:
+                        alive, nexts = self.viterbi(table_) if mode else self.merged(table_)
+                    else:
+                        alive, nexts = np.zeros((len(part), length), bool), np.zeros((len(part), length), np.int64)
+                        for k, row in enumerate(table_):
+                            for i, size in self.merged_long(row):
+                                alive[k, i], nexts[k, i] = True, i + size
+                    found.update(zip(part, self.spelled(part, table_, alive, nexts), strict=True))
         return out
 
 
 class Codec:
-    """Encodes and decodes whole texts; keeps the ids of words that it has met."""
+    """Encodes and decodes whole texts; keeps the ids of words that it has met. modes: True for the best path, False for merges; None for what the model's type asks."""
 
-    def __init__(self, model: bytes, viterbi: bool | None = None):
-        self.model, self.want = model, viterbi
+    def __init__(self, model: bytes, viterbi: bool | None = None, modes: tuple[bool, ...] | None = None):
+        self.model, self.want = model, modes or (None if viterbi is None else (viterbi,))
         self._load()
 
     def _load(self) -> None:
-        self.pieces, self.known = Pieces(self.model), {}
-        self.viterbi = self.pieces.type == UNIGRAM if self.want is None else self.want
+        self.pieces = Pieces(self.model)
+        self.modes = self.want or (self.pieces.type == UNIGRAM,)
+        self.known: list[dict[str, bytes]] = [{} for _ in self.modes]
+        self._sizes = np.array([len(x) for x in self.pieces.bytes], np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._pool = np.frombuffer(b"".join(self.pieces.bytes), np.uint8)
 
     def __getstate__(self) -> dict:
         return {"model": self.model, "want": self.want}
@@ -239,24 +255,29 @@ class Codec:
         self.__dict__ |= state
         self._load()
 
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode_all(self, texts: list[str | None]) -> list[list[bytes | None]]:
+        """For each mode the ids of each text as little-endian 32-bit integers."""
         split = [None if t is None else self.pieces.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > MAX_CACHE:
-            self.known = {}
-        known = self.known
-        new = [w for w in dict.fromkeys(w for words in split if words for w in words) if w not in known]
+        if len(self.known[0]) > MAX_CACHE:
+            self.known = [{} for _ in self.modes]
+        met = self.known[0]
+        new = [w for w in {w for words in split if words for w in words} if w not in met]
         if new:
-            known.update(self.encode_words(new))
-        get = known.__getitem__
-        return [None if words is None else b"".join(map(get, words)) for words in split]
+            for known, found in zip(self.known, self.pieces.encode_words(new, self.modes), strict=True):
+                known.update(found)
+        return [[None if words is None else b"".join(map(known.__getitem__, words)) for words in split] for known in self.known]
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        return self.pieces.encode_words(words, self.viterbi)
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        return self.encode_all(texts)[0]
 
     def decode(self, ids: list[bytes | None]) -> list[str | None]:
-        get = self.pieces.bytes.__getitem__
-        return [None if x is None else b"".join(map(get, np.frombuffer(x, "<i4").tolist())).decode("utf-8", "replace").removeprefix(" ") for x in ids]
+        return [None if x is None else self._joined(np.frombuffer(x, "<i4")).decode("utf-8", "replace").removeprefix(" ") for x in ids]
+
+    def _joined(self, ids: np.ndarray) -> bytes:
+        """The pieces' bytes one after the other, gathered from one pool."""
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        return self._pool[np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -286,11 +307,10 @@ def decode(df: DataFrame, model: bytes | None = None, ids: str = "ids", keep: tu
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids again and compares; the best path (viterbi_...) is reported beside the model's own encoding."""
-    codec = Codec(read_model())
-    path = Codec(read_model(), True)
+    codec = Codec(read_model(), modes=(False, True))
 
     def compute(texts: list) -> dict:
-        ids, best = codec.encode(texts), path.encode(texts)
+        ids, best = codec.encode_all(texts)
         digest = lambda rows: [None if x is None else hashlib.sha256(x).hexdigest() for x in rows]
         count = lambda rows: [None if x is None else len(x) // 4 for x in rows]
         same = lambda rows: [None if t is None else t == back for t, back in zip(texts, codec.decode(rows), strict=True)]
