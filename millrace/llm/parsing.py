@@ -28,8 +28,8 @@ from millrace.llm.base import slices, table, written
 SKETCH, LEAST_LEVEL, MAX_LEVELS = 64, 2, 40
 #: Code points that are parsed together; a longer text is parsed alone, in some 60 bytes a code point.
 BATCH = 1 << 17
-#: Ranges of ids that the query's edited texts are made in.
-RANGES = 512
+#: Ranges of ids that the query's edited texts are made in: at least RANGES, one for ROWS_PER_RANGE rows, at most MAX_RANGES.
+RANGES, ROWS_PER_RANGE, MAX_RANGES = 512, 1000, 1 << 14
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,16 +154,17 @@ def fingerprint_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return map_texts(df, text, "fingerprint string", lambda texts: {"fingerprint": [as_string(x) for x in in_batches([t or "" for t in texts])]}, list(keep))
 
 
-def ranged_with_next(df: DataFrame, ranges: int) -> DataFrame:
+def ranged_with_next(df: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text, range, own: rows dealt into ranges of doc_id; each range also has, last and not its own, the row that follows it.
 
     Only range bounds reach the driver; of the texts none is shuffled twice, but for one a range.
     """
     plain = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = plain.where(F.col("doc_id").isNotNull())
+    ranges = ranges or min(MAX_RANGES, max(RANGES, known.count() // ROWS_PER_RANGE))
     steps = [k / ranges for k in range(1, ranges)]
     bounds = sorted(set(known.select(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(10 * ranges))).first()[0] or []))
-    number = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_range_of(bounds)).cast("int")
+    number = F.coalesce(_range_of(bounds)(F.col("doc_id")), F.lit(-1))
     hashed = plain.withColumn("range", number).withColumn("th", F.xxhash64("text"))
     heads = written(hashed.select("range", "doc_id", "th").groupBy("range").agg(F.min(F.struct("doc_id", "th")).alias("head")), "heads")
     firsts = sorted((r["range"], r["head"]["doc_id"], r["head"]["th"]) for r in heads.toLocalIterator())  # one row a range
@@ -179,18 +180,19 @@ def ranged_with_next(df: DataFrame, ranges: int) -> DataFrame:
 
 
 def _range_of(bounds: list[int]):
-    """How many bounds are under doc_id, by halving: a balanced tree of comparisons."""
+    """A column function: how many bounds are under an id; null stays null."""
+    known = np.array(bounds, np.int64)
 
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            there = ids.is_valid().to_numpy(zero_copy_only=False)
+            found = np.searchsorted(known, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
+            yield pa.array(found, mask=~there)
 
-    return tree(0, len(bounds))
+    return F.arrow_udf(find, "int")
 
 
-def op7_fingerprints(spark: SparkSession, sf_dir: str, ranges: int = RANGES) -> DataFrame:
+def op7_fingerprints(spark: SparkSession, sf_dir: str, ranges: int | None = None) -> DataFrame:
     rows = ranged_with_next(table(spark, sf_dir, "documents"), ranges)
     sorted_rows = rows.repartition(F.col("range")).sortWithinPartitions("range", F.desc("own"), F.col("doc_id").asc_nulls_first(), "th")
 
