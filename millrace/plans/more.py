@@ -418,4 +418,59 @@ def refresh_views(t):
     return ledger.merge_on_key(t("orders"), ["o_custkey"], (), "n").unionByName(t("customer").agg(F.lit(-1).cast("long").alias("o_custkey"), one().alias("n")))
 
 
+@query("e3_match_key", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '|' || upper(trim(o_orderpriority)) AS key FROM orders")
+def match_key(t):
+    return t("orders").select("o_orderkey", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM-dd"), F.upper(F.trim("o_orderpriority"))).alias("key"))
+
+
+@query("h6_timeline_tool", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_suppkey = 6 AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 50")
+def timeline_tool(t):
+    rows = paging.between(t("lineitem").where("l_suppkey = 6"), "l_shipdate", "1996-01-01", "1998-12-31").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return rows.orderBy("l_shipdate", "l_orderkey", "l_linenumber").limit(50)
+
+
+@query("g8_all_metrics", f"""
+WITH {EDGES}, d AS (SELECT src AS node, count(*) AS degree, sum(n)::BIGINT AS weight FROM s GROUP BY 1) SELECT s_suppkey AS node, coalesce(degree, 0) AS degree, coalesce(weight, 0) AS weight FROM supplier LEFT JOIN d ON node = s_suppkey""")
+def all_metrics(t):
+    d = graph.symmetric(edges(t), keep=("n",)).groupBy(c("src").alias("node")).agg(one().alias("degree"), F.sum("n").alias("weight"))
+    return t("supplier").select(c("s_suppkey").alias("node")).join(d, "node", "left").fillna(0, ["degree", "weight"])
+
+
+@query("g15_other_side", f"WITH {EDGES} SELECT CASE WHEN a % 7 = 0 THEN b ELSE a END AS other, n FROM e WHERE (a % 7 = 0) <> (b % 7 = 0)")
+def other_side(t):
+    mine = c("a") % 7 == 0
+    return edges(t).where(mine != (c("b") % 7 == 0)).select(F.when(mine, c("b")).otherwise(c("a")).alias("other"), "n")
+
+
+@query("a34_mean_confidence", "SELECT l_returnflag, round(avg(l_tax), 6) AS mean, count(*) AS n FROM lineitem WHERE l_tax > 0 GROUP BY 1")
+def mean_confidence(t):
+    return t("lineitem").where("l_tax > 0").groupBy("l_returnflag").agg(F.round(F.avg("l_tax"), 6).alias("mean"), one().alias("n"))
+
+
+@query("t16_extraction_json", """SELECT c_custkey, '{"name":"' || c_name || '","nation":' || c_nationkey || '}' AS extracted FROM customer""")
+def extraction_json(t):
+    return t("customer").select("c_custkey", F.to_json(F.struct(c("c_name").alias("name"), c("c_nationkey").alias("nation"))).alias("extracted"))
+
+
+@query("j2_left_dim", "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3")
+def left_dim(t):
+    some = t("nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
+    return t("supplier").join(some, c("s_nationkey") == c("n_nationkey"), "left").select("s_suppkey", "n_name")
+
+
+@query("a4_distinct_contributors", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def contributors(t):
+    return t("events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("o1_top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15")
+def top_k(t):
+    return t("part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(15)
+
+
+@query("o9_bounded_sample", "SELECT vec_id, label FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 50")
+def bounded_sample(t):
+    return t("embeddings").where("label = 2").select("vec_id", "label").orderBy("vec_id").limit(50)
+
+
 QUERIES, ORACLE = query.queries, query.oracle
