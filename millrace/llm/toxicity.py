@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import string
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,8 +112,8 @@ class ToxicityModel:
         known = self.vocabulary.get
         rows = np.array([known(w, 0) for w in bare], dtype=np.int64)
         stems = np.array([next((k for p in prefixes(w) if (k := known(p))), 0) for w in bare], dtype=np.int64)
-        grams = [x for w in bare for x in (*char_rows(w), -1)]
-        return rows, np.array(grams, dtype=np.int64), np.stack([self.odds[rows], self.odds[stems]], axis=1)
+        grams = np.fromiter((x for w in bare for x in (*char_rows(w), -1)), np.int64)
+        return rows, grams, np.stack([self.odds[rows], self.odds[stems]], axis=1)
 
     def vectors(self, rows: np.ndarray, grams: np.ndarray, odds: np.ndarray) -> np.ndarray:
         ends = np.flatnonzero(grams < 0)
@@ -208,18 +208,46 @@ class ToxicityModel:
         return sigmoid(slope * self.logits(texts).astype(np.float64) + shift) if texts else np.zeros(0)
 
 
+def document_odds(split: list[list[str]], y: np.ndarray, of: dict[int, float], least: int = 4) -> tuple[dict[str, float], dict[str, int]]:
+    """Shrunken log odds, and numbers of documents, of the words and prefixes that `least` documents have.
+
+    They are counted by hash in arrays; only those that stay get back their strings, so that a large vocabulary costs 8 bytes an occurrence.
+    """
+
+    def terms(words: list[str]) -> set[str]:
+        bare = {w.strip(EDGE) or w for w in words}
+        return bare | {p for w in bare for p in prefixes(w)}
+
+    hashed = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+    counts = {}
+    for k in (0, 1):
+        mine = [np.fromiter(map(hashed, terms(words)), np.uint64) for words, label in zip(split, y, strict=True) if label == k]
+        counts[k] = np.unique(np.concatenate(mine), return_counts=True)
+    every = np.union1d(counts[0][0], counts[1][0])
+    n = {k: np.zeros(len(every), np.int64) for k in (0, 1)}
+    for k, (h, m) in counts.items():
+        n[k][np.searchsorted(every, h)] = m
+    total = n[0] + n[1]
+    stay = total >= least
+    values = (np.log((n[1] + 0.5) / (of[1] + 1)) - np.log((n[0] + 0.5) / (of[0] + 1))) * total / (total + 4)
+    wanted = {h: k for k, h in zip(np.flatnonzero(stay).tolist(), every[stay].tolist(), strict=True)}
+    odds, both = {}, {}
+    for words in split:
+        for t in terms(words):
+            if (k := wanted.pop(hashed(t), None)) is not None:
+                odds[t], both[t] = float(values[k]), int(total[k])
+        if not wanted:
+            break
+    return odds, both
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.02, batch: int = 256, least_steps: int = 120, seed: int = 7) -> ToxicityModel | None:
     """None where the labels are all alike."""
     y = np.array(labels, dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    seen, split = {0: Counter(), 1: Counter()}, [words_of(t) for t in texts]
-    for words, label in zip(split, labels, strict=True):
-        bare = {w.strip(EDGE) or w for w in words}
-        seen[label].update(bare | {p for w in bare for p in prefixes(w)})
-    of = {k: float((y == k).sum()) for k in (0, 1)}
-    both = seen[0] + seen[1]
-    odds = {w: (np.log((seen[1][w] + 0.5) / (of[1] + 1)) - np.log((seen[0][w] + 0.5) / (of[0] + 1))) * n / (n + 4) for w, n in both.items() if n >= 4}
+    split, of = [words_of(t) for t in texts], {k: float((y == k).sum()) for k in (0, 1)}
+    odds, both = document_odds(split, y, of)
     kept = sorted(odds, key=lambda w: (-abs(odds[w]) * np.log1p(both[w]), w))[:MAX_VOCABULARY]
     model = ToxicityModel({w: k for k, w in enumerate(kept, 1)}, np.clip(np.array([0.0, *(odds[w] for w in kept)]), -4, 4), seed)
     number = {w: k for k, w in enumerate(dict.fromkeys(w for words in split for w in words))}
