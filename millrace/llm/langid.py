@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import is_held_out, map_texts, table
@@ -28,7 +28,10 @@ DIMENSIONS, SIZES = 1 << 14, (1, 2, 3)
 #: Code points hashed at once, so that a long text needs no long array.
 CHUNK = 1 << 16
 OTHER = re.compile(r"[\W\d_]+")
-HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -67,7 +70,7 @@ class LanguageModel:
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for text in texts:
-            if text is None or not HAS_LETTER.search(text):
+            if text is None or not has_letter(text):
                 names.append("und")
                 scores.append(0.0)
                 continue
@@ -87,7 +90,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05, seed: int = 3) -> LanguageModel | None:
     """FTRL-proximal, one document a step; a fifth of the sample is kept for the temperature."""
-    kept = [i for i, t in enumerate(texts) if HAS_LETTER.search(t)]
+    kept = [i for i, t in enumerate(texts) if has_letter(t)]
     if not kept:
         return None
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
@@ -129,15 +132,15 @@ def training_rows(documents: DataFrame, max_per_language: int = MAX_PER_LANGUAGE
     """The sample: of each language the documents that come first by hash, held-out ids left out."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & ~is_held_out()).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # MAX_LANGUAGES rows at most
-    texts, labels = [], []
-    for row in counts:
-        # a hash threshold that leaves about twice the sample, then the first by hash: no sort of a whole language
-        share = min(1.0, 2.0 * max_per_language / row["count"] + 64 / row["count"])
-        top = known.where((F.col("lang") == row["lang"]) & (F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
-        for r in top.orderBy("h", "doc_id", "text").limit(max_per_language).select("text").collect():
-            texts.append(r["text"])
-            labels.append(row["lang"])
-    return texts, labels
+    if not counts:
+        return [], []
+    # a hash threshold by language that leaves about twice the sample; then the first by hash, in one scan for all languages
+    shares = {r["lang"]: min(1.0, (2.0 * max_per_language + 64) / r["count"]) for r in counts}
+    bound = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, int(-(2**63) + share * (2**64 - 2)) if share < 1 else 2**63 - 1)])
+    few = known.where(F.col("lang").isin(*shares) & (F.col("h") <= F.try_element_at(bound, F.col("lang"))))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    rows = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_per_language).orderBy("lang", "r").select("text", "lang").collect()
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
