@@ -1,8 +1,8 @@
 """Media columns: audio features of 8-bit samples, stored as WAV and read back.
 
-Samples are resampled with a polyphase filter, cut into overlapping frames, and turned into log-mel energies; segments are time spans
-whose energy passes a high threshold and stays over a low one (hysteresis). Features are fixed-shape Arrow tensors: every
-segment is dealt into blocks of BLOCK_FRAMES x MELS numbers, the last one padded, each with its time span.
+Samples are resampled with a polyphase filter, cut into overlapping frames, and turned into log-mel energies. Features are fixed-shape
+Arrow tensors: all frames of a clip are dealt into blocks of BLOCK_FRAMES x MELS numbers, the last one padded, each with its time span.
+Beside them stand the segments: time spans whose energy passes a high threshold and stays over a low one (hysteresis).
 
 Defined cases: null media gives null features; media without samples gives no blocks. Payloads that aren't whole frames of the
 format are padded by the writer and the true length travels beside them. Repeated rows keep a row each. Empty tables give
@@ -114,21 +114,17 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW, least: in
     return [(int(a), int(b)) for a, b in zip(starts, ends, strict=True) if b - a >= least and level[a:b].max() >= high]
 
 
-def features(media: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
-    """Blocks x BLOCK_FRAMES x MELS, and each block's time span in seconds."""
+def features(media: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
+    """Blocks x BLOCK_FRAMES x MELS of all frames, each block's time span in seconds, and the segments' time spans."""
     samples, rate = unwav(media)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     if not len(x):
-        return np.zeros((0, BLOCK_FRAMES, MELS), np.float32), []
+        return np.zeros((0, BLOCK_FRAMES, MELS), np.float32), [], []
     mels = log_mels(resample(x))
-    step = HOP * DOWN / UP / rate
-    blocks, spans = [], []
-    for a, b in segments(mels.mean(axis=1)):
-        for at in range(a, b, BLOCK_FRAMES):
-            part = mels[at : min(b, at + BLOCK_FRAMES)]
-            blocks.append(np.pad(part, ((0, BLOCK_FRAMES - len(part)), (0, 0))))
-            spans.append((round(at * step, 6), round((at + len(part)) * step, 6)))
-    return (np.stack(blocks) if blocks else np.zeros((0, BLOCK_FRAMES, MELS), np.float32)), spans
+    step, n = HOP * DOWN / UP / rate, len(mels)
+    blocks = np.pad(mels, ((0, -n % BLOCK_FRAMES), (0, 0))).reshape(-1, BLOCK_FRAMES, MELS)
+    seconds = lambda a, b: (round(a * step, 6), round(b * step, 6))
+    return blocks, [seconds(at, min(n, at + BLOCK_FRAMES)) for at in range(0, n, BLOCK_FRAMES)], [seconds(*ab) for ab in segments(mels.mean(axis=1))]
 
 
 def write_media(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -148,14 +144,15 @@ def write_media(df: DataFrame, path: str, text: str = "text", keep: tuple[str, .
 
 
 def audio_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, and one row a document: spans, and tensors, whose elements are blocks of BLOCK_FRAMES x MELS numbers in row order."""
+    """keep, and one row a document: tensors, whose elements are blocks of BLOCK_FRAMES x MELS numbers in row order, spans (one a block), and segments."""
 
     def compute(rows: list) -> dict:
         found = [None if m is None else features(m) for m in rows]
-        spans = [None if f is None else [{"start": a, "end": b} for a, b in f[1]] for f in found]
-        return {"tensors": [None if f is None else list(f[0].reshape(len(f[0]), BLOCK_FRAMES * MELS)) for f in found], "spans": spans}
+        times = lambda k: [None if f is None else [{"start": a, "end": b} for a, b in f[k]] for f in found]
+        return {"tensors": [None if f is None else list(f[0].reshape(len(f[0]), BLOCK_FRAMES * MELS)) for f in found], "spans": times(1), "segments": times(2)}
 
-    return map_texts(df, media, "tensors array<array<float>>, spans array<struct<start: double, end: double>>", compute, list(keep))
+    time = "array<struct<start: double, end: double>>"
+    return map_texts(df, media, f"tensors array<array<float>>, spans {time}, segments {time}", compute, list(keep))
 
 
 def as_tensors(blocks: pa.Array) -> pa.ExtensionArray:
@@ -166,15 +163,15 @@ def as_tensors(blocks: pa.Array) -> pa.ExtensionArray:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores, reads back, and digests: feature is the number of blocks, their time, and a hash of tensors rounded to 2 places."""
+    """Stores, reads back, and digests: feature is the numbers and times of blocks and of segments, and a hash of tensors rounded to 2 places."""
     stored = write_media(table(spark, sf_dir, "documents"), new_path(spark, "media"))
 
     def compute(rows: list) -> dict:
         out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for m in rows:
-            payload, (blocks, spans) = unwav(m)[0], features(m)
+            payload, (blocks, *times) = unwav(m)[0], features(m)
             digest = hashlib.sha256(np.round(blocks, 2).astype("<f4").tobytes()).hexdigest()[:16]
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(spans)}:{sum(b - a for a, b in spans):.3f}:{digest}")
+            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), ":".join([*(f"{len(t)}:{sum(b - a for a, b in t):.3f}" for t in times), digest]))
             for k, v in zip(out, values, strict=True):
                 out[k].append(v)
         return out

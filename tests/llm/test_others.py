@@ -114,6 +114,18 @@ def test_media(spark, tmp_path):
     assert media.segments(np.r_[np.zeros(20), np.ones(10) * 5, np.zeros(20)]) == [(20, 30)]
 
 
+def test_media_features_keep_every_frame():
+    rng = random.Random(12)
+    for n in (64, 640, 9000, 40_000):
+        samples = bytes(rng.randrange(97, 123) for _ in range(n))
+        mels = media.log_mels(media.resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128))
+        blocks, spans, segments = media.features(media.wav(samples))
+        assert len(blocks) == len(spans) == -(-len(mels) // media.BLOCK_FRAMES)
+        assert np.array_equal(blocks.reshape(-1, media.MELS)[: len(mels)], mels)
+        assert spans[0][0] == 0 and spans[-1][1] == pytest.approx(len(mels) * 0.032) and all(b == c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+        assert all(0 <= a < b <= spans[-1][1] for a, b in segments)
+
+
 def test_toxicity_learns_words_and_gradients():
     rng = random.Random(8)
     clean = lambda n: [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))) for _ in range(n)]
