@@ -1,13 +1,16 @@
 """Line dedup by winnowing: passages that repeat anywhere in the corpus stay where they stand first, and go everywhere else.
 
-Units are lines, cut again where a sentence ends (., ! or ? and a space), so that a passage pasted into the middle of a line still has whole units. From each unit
-runs the shortest run of units that has RUN_WORDS words; its hash is a polynomial over the units' hashes. Of every WINDOW neighbouring
-runs the least hash is kept, and every run that is a single unit: so each passage of 2 * RUN_WORDS - 1 + (WINDOW - 2) units or more
-shares a kept run, wherever it stands. Runs that stand in several places are joined to the first place (smallest doc_id, then
-position); the match is then extended both ways, unit by unit, over the neighbours whose hashes travel with the run. Matches of
-one document are merged, and a merged run of at least MIN_WORDS words is deleted.
-
-No group is ever gathered: the first place comes from an aggregation, and each row is joined to that one place, not to its peers.
+A run is RUN_WORDS words in a row; its hash is a polynomial over the words' hashes. Units are lines, cut again where a sentence ends (., ! or ? and a
+space). Runs that start with a unit or end with one are kept, and inside units of RUN_WORDS words or more the least of every WINDOW
+neighbouring runs. So kept runs cover each passage of MIN_WORDS words that is made of whole units, and a passage of RUN_WORDS + 2 * (WINDOW - 1)
+words shares kept runs wherever it is cut: they touch, and WINDOW - 1 words at most lie outside them at either end.
+A run that stands in several places is matched with the first place (smallest doc_id, then position).
+Matches of one document that touch form a chain; at both of its ends the words beside the first place are compared one by one with the
+document's, WINDOW - 1 at most, as no more can lie between a passage's end and its nearest kept run. Chains that touch are merged, and
+MIN_WORDS words or more in a row are deleted.
+
+No group is ever gathered: the places of a run pass by in order, and each meets the first one, not its peers. Places that overlap the
+first one in its own document don't count, nor do words that are part of it. Words are what ASCII white space parts.
 
 Defined cases: null, empty and blank texts pass unchanged. Rows that repeat both id and text count as one document and are treated
 alike. A null id sorts before all others. A document all of whose words go has the text ''. Empty tables give empty results.
@@ -22,12 +25,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import slices, table, written
+from millrace.llm.urlfilter import MAX_BLOCKS, build_filter, maybe_listed
 
-RUN_WORDS, WINDOW, MIN_WORDS = 12, 2, 23
+RUN_WORDS, WINDOW, MIN_WORDS = 12, 12, 23
+#: Bytes of texts that are cut into words at once, but for longer texts.
+AT_ONCE = 1 << 18
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+STOP = np.isin(np.arange(256), list(b".!?"))
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -56,107 +64,205 @@ def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.r_[0, ends[:-1]][has], ends[has], hashes[has], words[has]
 
 
-def kept_runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, run_words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First units, lengths and hashes of the runs that winnowing keeps, for the units of several documents one after the other."""
-    upto = np.r_[0, np.cumsum(words)]
-    end = np.searchsorted(upto, upto[:-1] + run_words)  # units i to end - 1 have run_words words or more
-    last = np.searchsorted(doc, doc, side="right")
-    first = np.flatnonzero(end <= last)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes, and hashes of the words."""
+    codes = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.r_[True, SPACE[codes], True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = powers(len(codes) + 1)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * down[:-1], dtype=np.uint64)]
+    return starts, ends, mixed((sums[ends] - sums[starts]) * up[starts])
+
+
+def unit_marks(raw: bytes, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: whether it starts a unit, ends one, and stands in one of `least` words or more."""
+    codes, flag = np.frombuffer(raw, np.uint8), np.zeros(len(starts) + 1, bool)
+    flag[[0, -1]] = True
+    flag[np.searchsorted(starts, np.flatnonzero(codes == 10))] = True
+    flag[1:-1] |= STOP[codes[ends[:-1] - 1]] & (codes[ends[:-1]] == 32)
+    sizes = np.diff(np.flatnonzero(flag))
+    return flag[:-1], flag[1:], np.repeat(sizes >= least, sizes)
+
+
+def slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over each `width` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x, done = op(x[:-step], x[step:]), done + step
+    return x
+
+
+def kept_runs(hashes: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, run_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the runs that are kept, for the words of several documents one after the other."""
+    first = np.flatnonzero(doc[run_words - 1 :] == doc[: max(len(doc) - run_words + 1, 0)])
     if not len(first):
-        return first, first, hashes[:0]
-    length, doc = end[first] - first, doc[first]
-    up, down = powers(len(upto))
+        return first, hashes[:0]
+    up, down = powers(len(hashes) + 1)
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)]
-    run = (sums[end[first]] - sums[first]) * up[first]
-    run ^= run >> np.uint64(29)
-    run *= np.uint64(0xBF58476D1CE4E5B9)
-    run ^= run >> np.uint64(32)
-    least = np.arange(len(run))
-    for k in range(1, window):  # the least run among each one and those that follow it in its document
-        ahead = np.minimum(np.arange(len(run)) + k, len(run) - 1)
-        least = np.where((doc[ahead] == doc) & (run[ahead] < run[least]), ahead, least)
-    begins = np.r_[True, doc[1:] != doc[:-1]]
-    whole = np.zeros(len(run), bool)
-    whole[: max(len(run) - window + 1, 0)] = doc[window - 1 :] == doc[: max(len(run) - window + 1, 0)]
-    keep = length == 1
-    keep[least[whole | begins]] = True
-    return first[keep], length[keep], run[keep]
-
-
-def _around(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """32 bits of the hashes of the units `at`; 0 outside the document of the units `of`."""
-    inside = np.clip(at, 0, len(hashes) - 1)
-    there = (at == inside) & (doc[inside] == doc[of])
-    return np.where(there, (hashes[inside] >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+    run, own = mixed((sums[first + run_words] - sums[first]) * up[first]), doc[first]
+    begins = np.r_[True, own[1:] != own[:-1]]
+    at = np.arange(len(run)) + np.cumsum(begins) * (window - 1)  # a window's gap before each document
+    laid = np.full(at[-1] + window, np.iinfo(np.uint64).max, np.uint64)
+    laid[at] = run
+    whole = begins.copy()  # a document of fewer runs has one window
+    whole[: max(len(run) - window + 1, 0)] |= own[window - 1 :] == own[: max(len(run) - window + 1, 0)]
+    least = np.zeros(len(laid), np.uint64)
+    least[at[whole]] = slide(laid, window, np.minimum)[at[whole]]
+    opens, closes, long = marks
+    keep = (slide(least, window, np.maximum)[at - window + 1] == run) & long[first] | opens[first] | closes[first + run_words - 1]
+    return first[keep], run[keep]
 
 
 def run_rows(df: DataFrame, run_words: int, window: int) -> DataFrame:
-    """Kept runs: doc_id, run, place (first unit, length and 32 bits of the text's hash), before and after (two neighbours each)."""
+    """Kept runs: doc_id, run, and place: the first word, and 32 bits of the text's hash."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *(StructField(n, LongType()) for n in ("run", "place", "before", "after"))])
+    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), StructField("run", LongType()), StructField("place", LongType())])
+
+    def together(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+        start, size, raws = 0, 0, []
+        for k, t in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+            if raws and size + len(t or b"") > AT_ONCE:
+                yield start, raws
+                start, size, raws = k, 0, []
+            raws.append(t or b"")
+            size += len(raws[-1])
+        yield start, raws
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [units((t or "").encode("utf-8", "surrogatepass"))[2:] for t in part.column(1).to_pylist()]
-            sizes = np.array([len(h) for h, _ in found], np.int64)
-            if not sizes.sum():
-                continue
-            hashes, words = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            first, length, h = kept_runs(hashes, words, doc, run_words, window)
-            end, own = first + length, doc[first]
-            at = (first - (np.cumsum(sizes) - sizes)[own]).astype(np.uint64)
-            mark = part.column(2).to_numpy(zero_copy_only=False)[own].astype(np.uint64)
-            near = lambda k, f=first, h=hashes, d=doc: _around(h, d, k, f)
-            columns = [h, (at << np.uint64(37)) | (length.astype(np.uint64) << np.uint64(32)) | mark, (near(first - 1) << np.uint64(32)) | near(first - 2), (near(end) << np.uint64(32)) | near(end + 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *(pa.array(c.view(np.int64)) for c in columns)], names=schema.names)
+            marks = part.column(2).to_numpy(zero_copy_only=False)
+            for start, raws in together(part):
+                raw = b"\n".join(raws) + b"\n"
+                starts, ends, hashes = words_of(raw)
+                doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")
+                first, h = kept_runs(hashes, unit_marks(raw, starts, ends, run_words), doc, run_words, window)
+                own = doc[first]
+                place = ((first - np.searchsorted(doc, own)) << 32) | marks[start + own]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(start + own)), pa.array(h.view(np.int64)), pa.array(place)], names=schema.names)
 
     return df.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, schema)
 
 
-def text_mark():
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+def first_places(runs: DataFrame) -> DataFrame:
+    """doc_id and place of each run's places but the first, beside f_id and f_place, the first one."""
+    from pyspark.sql.types import LongType, StructField, StructType
 
+    kind = runs.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", kind), StructField("place", LongType()), StructField("f_id", kind), StructField("f_place", LongType())])
 
-def repeats(df: DataFrame, run_words: int, window: int) -> DataFrame:
-    """doc_id, mark, spans: pairs (first unit, unit after the last) that stand earlier elsewhere."""
-    if run_words > 31:
-        raise ValueError("a run of up to 31 words fits its five bits")
-    runs = written(run_rows(df, run_words, window), "runs")
-    place = F.struct("doc_id", "place", "before", "after")
-    firsts = written(runs.groupBy("run").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "f"), "runs-first")
-    met = runs.join(firsts, "run").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("place") == F.col("f.place"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first place of the last run, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            joined = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            keys = joined.column(1).to_numpy()
+            begins = np.r_[True, keys[1:] != keys[:-1]]
+            lead = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
+            mine, first = joined.take(pa.array(np.flatnonzero(~begins))), joined.take(pa.array(lead[~begins]))
+            held = joined.slice(int(lead[-1]), 1).to_batches()[0]
+            columns = [t.column(k).combine_chunks() for t in (mine, first) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=schema.names)
 
-    def same(side: str, shift: int):
-        mine, theirs = (F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit(0xFFFFFFFF)) for c in (side, f"f.{side}"))
-        return (mine == theirs) & (mine != 0)
+    return runs.repartition(F.col("run")).sortWithinPartitions("run", "doc_id", "place").mapInArrow(run, schema)
 
-    def more(side: str):
-        return F.when(~same(side, 32), 0).when(~same(side, 0), 1).otherwise(2)
 
-    first, length = F.shiftright("place", 37), F.shiftright("place", 32).bitwiseAND(F.lit(31))
-    span = F.struct((first - more("before")).alias("a"), (first + length + more("after")).alias("b"))
-    return met.select("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), span.alias("span")).groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
+def word_of(place: str):
+    return F.shiftright(place, 32)
 
 
-def without(text: str, spans: list, min_words: int) -> tuple[str, int, int]:
-    """The text without the merged spans that have min_words words, and the units and words that went."""
+def mark_of(place: str):
+    return F.col(place).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def neighbours(df: DataFrame, wanted: DataFrame, run_words: int, reach: int) -> DataFrame:
+    """f_id, f_place, near: 32 bits of the hashes of the `reach` words before each wanted run, nearest first, and after it; 0 outside the text."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    by_doc = written(wanted.groupBy("f_id", mark_of("f_place").alias("f_mark")).agg(F.collect_list("f_place").alias("places")), "runs-wanted")
+    passes = maybe_listed(build_filter(by_doc.select(F.struct("f_id", "f_mark").alias("key")), MAX_BLOCKS))  # other texts needn't be moved
+    docs = df.select(F.col("doc_id").alias("f_id"), "text", text_mark().alias("f_mark"))
+    docs = docs.where(passes(F.xxhash64(F.struct("f_id", "f_mark")))).withColumnsRenamed({"f_id": "id", "f_mark": "mark"})
+    joined = docs.join(by_doc, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))).select("f_id", "text", "places")
+    schema = StructType([df.select(F.col("doc_id").alias("f_id")).schema["f_id"], wanted.schema["f_place"], StructField("near", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            own, places, near = [], [], []
+            for k, (raw, found) in enumerate(zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                short = np.pad(short_hashes(words_of(raw)[2]), reach)
+                for place in found:
+                    at = (place >> 32) + reach
+                    own.append(k)
+                    places.append(place)
+                    near.append(np.r_[short[at - reach : at][::-1], short[at + run_words : at + run_words + reach]].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array(places, pa.int64()), pa.array(near, pa.binary())], names=schema.names)
+
+    return joined.mapInArrow(run, schema).dropDuplicates(["f_id", "f_place"])
+
+
+def short_hashes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def text_mark():
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def repeats(df: DataFrame, run_words: int, window: int) -> DataFrame:
+    """doc_id, mark, spans: chains of matches (first word of the first and of the last run), each twice, with what stands beside the first place of
+    its first and of its last run, and how many of those words may count."""
+    found = first_places(run_rows(df, run_words, window))
+    own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (mark_of("place") == mark_of("f_place"))
+    apart = F.when(own, word_of("place") - word_of("f_place") - run_words).otherwise(F.lit(window - 1))
+    found = found.select("doc_id", mark_of("place").alias("mark"), word_of("place").alias("at"), F.struct("f_id", "f_place", F.least(apart, F.lit(window - 1)).alias("reach")).alias("f")).where("f.reach >= 0")
+    order = Window.partitionBy("doc_id", "mark").orderBy("at")
+    starts = found.withColumn("_new", F.when(F.col("at") - F.lag("at").over(order) <= run_words, 0).otherwise(1))
+    end = F.struct("at", "f")
+    chains = starts.withColumn("_chain", F.sum("_new").over(order)).groupBy("doc_id", "mark", "_chain").agg(F.min_by(end, "at").alias("a"), F.max_by(end, "at").alias("b"))
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("a.f").alias("f")), F.struct(F.lit(1).alias("side"), F.col("b.f").alias("f")))
+    rows = chains.select("doc_id", "mark", F.col("a.at").alias("a"), F.col("b.at").alias("b"), F.explode(ends).alias("e"))
+    rows = written(rows.select("doc_id", "mark", "a", "b", "e.side", "e.f.f_id", "e.f.f_place", "e.f.reach"), "runs-met")
+    near = neighbours(df, rows.select("f_id", "f_place").distinct(), run_words, window - 1).withColumnsRenamed({"f_id": "_id", "f_place": "_place"})
+    known = rows.join(near, F.col("f_id").eqNullSafe(F.col("_id")) & (F.col("f_place") == F.col("_place")))
+    return known.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b", "side", "reach", "near")).alias("spans"))
+
+
+def without(text: str, spans: list, run_words: int, min_words: int) -> tuple[str, int, int]:
+    """The text without the merged chains that have min_words words, and the whole units and the words that went."""
     raw = text.encode("utf-8", "surrogatepass")
-    starts, ends, _, words = units(raw)
-    merged: list[list[int]] = []
-    for a, b in sorted((max(0, s["a"]), min(len(starts), s["b"])) for s in spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    out, at, n_units, n_words = [], 0, 0, 0
-    for a, b in merged:
-        if (n := int(words[a:b].sum())) >= min_words:
-            out.append(raw[at : starts[a]])
-            at, n_units, n_words = int(ends[b - 1]), n_units + b - a, n_words + n
+    starts, ends, hashes = words_of(raw)
+    short, n = short_hashes(hashes), len(starts)
+    step = np.zeros(n + 1, np.int64)
+    for s in spans:
+        a, b, reach = s["a"], s["b"] + run_words, s["reach"]
+        theirs = np.frombuffer(s["near"], np.uint32).reshape(2, -1)[s["side"], :reach]
+        mine = short[b : b + reach] if s["side"] else short[max(0, a - reach) : a][::-1]
+        same = np.r_[mine[: len(theirs)] == theirs[: len(mine)], False]
+        more = int(np.argmin(same))
+        a, b = (a, b + more) if s["side"] else (a - more, b)
+        step[a] += 1
+        step[b] -= 1
+    edge = np.diff(np.r_[False, np.cumsum(step[:-1]) > 0, False].astype(np.int8))
+    gone, out, at = np.zeros(n, np.int64), [], 0
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        if b - a >= min_words:
+            gone[a:b] = 1
+            before, after = int(ends[a - 1]) if a else 0, int(starts[b]) if b < n else len(raw)
+            left, right = raw[before : starts[a]], raw[ends[b - 1] : after]
+            out += [raw[at:before], right if b"\n" in right and b"\n" not in left else left]  # what parts lines stays
+            at = after
     left = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-    return left if left.strip() else "", n_units, n_words
+    sizes = units(raw)[3] if gone.any() else gone[:0]
+    upto, removed = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(gone)]
+    return left if left.strip() else "", int((removed[upto[1:]] - removed[upto[:-1]] == sizes).sum()), int(gone.sum())
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -176,7 +282,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_w
         for part in slices(batches):
             has = part.column(len(df_columns)).is_valid()
             columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(df_columns))]
-            cut = [without(t, s, min_words) if t else (t, 0, 0) for t, s in zip(part.column(at).filter(has).to_pylist(), part.column(len(df_columns)).filter(has).to_pylist(), strict=True)]
+            cut = [without(t, s, run_words, min_words) if t else (t, 0, 0) for t, s in zip(part.column(at).filter(has).to_pylist(), part.column(len(df_columns)).filter(has).to_pylist(), strict=True)]
             removed = np.zeros((2, part.num_rows), np.int64)
             if cut:  # the other texts never become Python strings
                 columns[at] = pc.replace_with_mask(columns[at], has, pa.array([c[0] for c in cut], arrow.field(at).type))

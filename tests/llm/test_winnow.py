@@ -81,3 +81,29 @@ def test_rows_that_repeat_an_id(spark):
     text = passage(rng, 20)
     out = winnow.dedup_lines(spark.createDataFrame([(1, text), (1, text), (1, "other")], "doc_id long, text string")).collect()
     assert sorted(r.text for r in out) == sorted([text, text, "other"])
+
+
+def test_passages_cut_inside_sentences(spark):
+    rng = random.Random(21)
+    rows, pool = [], [passage(rng, 30).split() for _ in range(3)] + [sentence(rng, 200).split(), "\n".join(sentence(rng, 7) for _ in range(30)).split(" ")]
+    for i in range(80):
+        words = rng.choice(pool)
+        at = rng.randrange(len(words) - 65)
+        rows.append((i, " ".join([*sentence(rng, 40).split()[:-3], *words[at : at + rng.randint(20, 65)], *sentence(rng, 30).split()[4:]]), None))
+    got = run(spark, rows)
+    seen = set()
+    for i, text, _ in rows:
+        words, covered = text.split(), set()
+        grams = [tuple(words[a : a + winnow.MIN_WORDS]) for a in range(len(words) - winnow.MIN_WORDS + 1)]
+        for a, g in enumerate(grams):
+            if g in seen:
+                covered |= set(range(a, a + winnow.MIN_WORDS))
+        seen |= set(grams)
+        left = got[i].text.split()
+        assert got[i]._words_removed >= len(covered) - (2 * (winnow.WINDOW - 1) if len(covered) >= 50 else 50) and len(left) == len(words) - got[i]._words_removed
+        assert left[:37] == words[:37] and left[-26:] == words[-26:]
+
+
+def test_first_place_of_a_repeated_word_stays(spark):
+    got = run(spark, [(1, "same " * 60 + "end", None), (2, "other start " + "same " * 60, None)])
+    assert got[1].text.split() == ["same"] * 12 + ["end"] and got[2].text.split()[:2] == ["other", "start"]
