@@ -1,5 +1,7 @@
 """SimHash against brute force, and its defined cases."""
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -72,3 +74,20 @@ def test_keep_first(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 20
     df = spark.createDataFrame([(1, base, "a"), (2, base, "b"), (3, "quite another text that is here", "c"), (3, "quite another text that is here", "c")], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.source) for r in simhash.keep_first(df).collect()) == [(1, "a"), (3, "c")]
+
+
+def test_near_copies_at_the_threshold(spark):
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, near = [], 0
+    for i in range(40):
+        base = words(250)
+        edited = list(base)
+        for at in rng.sample(range(5, 245), 4 if i % 2 else 12):
+            edited[at] = "edited"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+        x, y = (simhash.shingle_set(t, 5) for _, t in rows[-2:])
+        shared = len(np.intersect1d(x, y))
+        near += shared >= 0.8 * (len(x) + len(y) - shared)
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 20 <= near < 40 and set(range(0, 80, 2)) <= got and len(got) == 80 - near
