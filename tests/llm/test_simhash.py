@@ -91,3 +91,9 @@ def test_near_copies_at_the_threshold(spark):
         near += shared >= 0.8 * (len(x) + len(y) - shared)
     got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert 20 <= near < 40 and set(range(0, 80, 2)) <= got and len(got) == 80 - near
+
+
+def test_one_row_a_group_whatever_the_ids(spark):
+    rows = [(1, "one text of its own"), (1, "another text that stands alone"), (None, "first of no id"), (None, "second without any id"), (None, "first of no id"), (3, ""), (4, None)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text or "" for r in got) == sorted({t or "" for _, t in rows})
