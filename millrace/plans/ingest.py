@@ -105,14 +105,14 @@ def media_kind(t):
 @query("s19_payloads", "SELECT page_id, 'page ' || page_id || chr(10) || '\"x\"' AS payload FROM pages")
 def payloads(t):
     one = lambda body: F.concat(F.lit('self.__next_f.push([1,"'), body, F.lit('"])'))
-    text = F.concat(F.substring("html", 1, 20), one(F.concat(F.lit("page "), "page_id")), F.lit("; "), one(F.lit('\\n\\"x\\"')))
+    text = F.concat(F.coalesce("html", F.lit("")), one(F.concat(F.lit("page "), "page_id")), F.lit("; "), one(F.lit('\\n\\"x\\"')))
     return html.payload_text(t("pages").select("page_id", text.alias("h")), "page_id", "h")
 
 
 @query("s20_json_ld", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN ['{\"a\":' || page_id || '}'] ELSE [] END AS found FROM pages")
 def json_ld(t):
     body = F.when(c("page_id") % 2 == 0, F.concat(F.lit('{"a":'), "page_id", F.lit("}"))).otherwise("{bad")
-    text = F.concat(F.substring("html", 1, 50), F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    text = F.concat(F.coalesce("html", F.lit("")), F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
     return t("pages").select("page_id", html.json_ld(text).alias("found"))
 
 
