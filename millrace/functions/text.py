@@ -22,11 +22,11 @@ DATES = rf"\b(?:{'|'.join(MONTHS)})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}\/\d{{1
 
 # What names a company.
 SHELL = r"\b(LLC|Ltd|Inc|Corp|Limited|Holdings|Trust)\b"
-#: Keywords that tell kinds of addressees apart, in the order of their precedence; parameters, with these defaults.
+# What tells kinds of addressees apart, in the order of their precedence.
 TARGETS = (
-    ("financial_institution", r"(?i)\b(bank|credit\s+union|savings|trust\s+company|securities|brokerage|investment)\b"),
-    ("tech_company", r"(?i)\b(search\s+engine|web\s+host|telecom|wireless|internet)\b"),
-    ("government", r"(?i)\b(department|agency|bureau|office|commission|customs|immigration)\b"),
+    ("financial_institution", r"(?i)\b(bank|credit\s+union|savings|trust\s+company|securities|brokerage|investment|citibank|chase|wells\s+fargo|goldman|morgan\s+stanley|deutsche\s+bank|barclays|hsbc|ubs)\b"),
+    ("tech_company", r"(?i)\b(google|apple|microsoft|facebook|meta|amazon|twitter|at&t|verizon|t-mobile|sprint|comcast)\b"),
+    ("government", r"(?i)\b(department|agency|bureau|office|commission|irs|faa|sec|fbi|dea|ice|customs|immigration)\b"),
 )
 CORPORATE = r"(?i)\b(inc|llc|ltd|corp|company|co\.|group|holdings|associates)\b"
 
@@ -79,18 +79,74 @@ def normalize_name(name: Column | str, extended: bool = True, simple: bool = Fal
     return F.nullif(F.trim(F.regexp_replace(out, r"\s+", " ")), F.lit(""))
 
 
-#: Names that are never entities; a parameter. Days, months and single letters are added by rule.
-JUNK = ("plaintiff", "defendant", "exhibit", "affidavit", "motion", "court", "judge", "attorney", "witness", "redacted", "sealed", "page", "header", "footer", "table", "arial", "helvetica", "unknown", "unnamed", "anonymous", "n/a", "none", "null", "inc", "llc", "ltd", "corp", "the", "and", "document", "report", "section", "john doe", "jane doe")
+# Names that are never entities; days, months and single letters are added by rule.
+JUNK = (
+    "united states district court", "united states of america",
+    "southern district of new york", "southern district of florida",
+    "northern district", "eastern district", "western district",
+    "department of justice", "federal bureau of investigation",
+    "plaintiff", "defendant", "petitioner", "respondent",
+    "exhibit", "deposition", "testimony", "declaration",
+    "affidavit", "certificate", "motion", "order", "judgment",
+    "stipulation", "subpoena", "complaint", "indictment",
+    "court", "judge", "attorney", "counsel", "esquire",
+    "objection", "sustained", "overruled", "sidebar",
+    "witness", "sworn", "oath", "perjury",
+    "privileged", "confidential", "sealed", "redacted",
+    "case no", "case number", "docket",
+    "arial", "times new roman", "helvetica", "courier",
+    "bold", "italic", "underline", "font",
+    "page", "header", "footer", "table",
+    "div", "span", "class", "style",
+    "http", "https", "www", "html", "pdf",
+    "unknown", "unnamed", "unidentified", "anonymous",
+    "john doe", "jane doe", "doe",
+    "n/a", "none", "null", "undefined", "other",
+    "same", "above", "below", "supra", "infra",
+    "see", "also", "note", "ibid",
+    "mr", "mrs", "ms", "dr", "the",
+    "id", "no", "or", "an", "at", "by", "do", "go", "if", "in",
+    "is", "it", "my", "of", "on", "so", "to", "up", "us", "we",
+    "inc", "llc", "ltd", "corp", "co",
+    "and", "but", "for", "not", "you", "all", "can", "had", "her", "was",
+    "one", "our", "out", "day", "get", "has", "him", "his", "how", "its",
+    "let", "new", "now", "old", "say", "she", "too", "use", "way", "who",
+    "did", "got", "may", "any", "own", "set", "sir", "top", "yes",
+    "chapter", "section", "article", "paragraph", "clause", "count",
+    "statement", "report", "record", "document", "evidence", "charges",
+    "allegation", "response", "answer", "brief", "filing", "trial",
+    "hearing", "appeal", "review", "summary", "transcript",
+    "the defendant", "the witness", "the victim", "the plaintiff",
+    "the respondent", "the petitioner", "the court", "the government",
+    "unknown male", "unknown female", "unidentified male", "unidentified female",
+)
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-
-
-def is_junk(name: Column | str, kind: Column | None = None, junk: tuple[str, ...] = JUNK, places: tuple[str, ...] = ()) -> Column:
+# Places that are no persons.
+PLACES = (
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado",
+    "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho",
+    "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana",
+    "maine", "maryland", "massachusetts", "michigan", "minnesota",
+    "mississippi", "missouri", "montana", "nebraska", "nevada",
+    "new hampshire", "new jersey", "new mexico", "new york", "north carolina",
+    "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania",
+    "rhode island", "south carolina", "south dakota", "tennessee", "texas",
+    "utah", "vermont", "virginia", "washington", "west virginia",
+    "wisconsin", "wyoming",
+    "united states", "united kingdom", "canada", "mexico", "france",
+    "germany", "japan", "china", "russia", "australia", "brazil",
+    "india", "israel", "italy", "spain", "switzerland", "sweden",
+    "district of columbia", "puerto rico", "virgin islands", "guam",
+)
+
+
+def is_junk(name: Column | str, kind: Column | None = None, junk: tuple[str, ...] = JUNK, places: tuple[str, ...] = PLACES) -> Column:
     """True for what extraction often takes for a name: too short, only digits or dates, no letters, listed words, numbered Does; places if a person."""
-    trimmed = F.trim(col(name))
+    trimmed = F.regexp_replace(col(name), r"^\s+|\s+$", "")
     low = F.lower(trimmed)
     listed = (*junk, *DAYS, *(m.lower() for m in MONTHS), *"abcdefghijklmnopqrstuvwxyz")
     out = (F.length(low) <= 1) | low.rlike(r"^\d+([/\-.]\d+)*$") | trimmed.rlike(r"^[^a-zA-Z]*$|^[A-Z]{1,2}$") | low.isin(*listed) | low.rlike(r"^(jane|john)\s+doe\s*#?\d*$")
-    return out | ((kind == "person") & low.isin(*places)) if kind is not None and places else out
+    return out | (F.coalesce(kind == "person", F.lit(False)) & low.isin(*places)) if kind is not None and places else out
 
 
 def clean_participant(raw: Column | str) -> Column:
@@ -249,3 +305,10 @@ def classify_by_rules(text: Column | str, file: Column | str, patterns: dict = K
     agrees = reduce(lambda a, kf: a | ((best["k"] == kf[0]) & name.rlike(kf[1])), files.items(), F.lit(False))
     found = F.struct(best["k"].alias("kind"), F.lit(0.9).alias("confidence"), F.transform(F.slice(ranked, 2, len(patterns)), lambda v: v["k"]).alias("tags"), best["n"].alias("matches"))
     return F.when(best.isNotNull() & agrees, found)
+
+
+def rolling_hash(text: Column | str) -> Column:
+    """31 times the hash so far plus the character's code, in 32 bits; its absolute value."""
+    step = lambda h, x: (h * 31 + F.ascii(x)).bitwiseAND(F.lit(0xFFFFFFFF))
+    h = F.aggregate(F.split(col(text), ""), F.lit(0).cast("long"), step)
+    return F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))

@@ -33,14 +33,17 @@ def transition(status: Column, allowed: tuple[str, ...], to: str) -> Column:
     return F.when(status.isin(*allowed), F.lit(to)).otherwise(status)
 
 
-def close_pairs(items: DataFrame, least: float = SIMILARITY, slack: int = LENGTH_SLACK) -> DataFrame:
+def close_pairs(items: DataFrame, least: float = SIMILARITY, slack: int = LENGTH_SLACK, sources: DataFrame | None = None) -> DataFrame:
     """(source, target, similarity) of items (id, kind, length, vector, status): target unsolved, of the source's kind and about its length.
 
+    sources: (id) of the items that are sources; all, if it isn't given.
+
     Unknown kinds and lengths of the source fit all; an unknown length of the target fits none that is known. Pairs meet on (kind, block of
     lengths), with each source in the blocks its slack reaches; only sources that know neither meet all targets.
     """
     width = 2 * slack + 1
-    a = items.where("vector IS NOT NULL").select(F.col("id").alias("source"), F.col("kind").alias("ak"), F.col("length").alias("al"), F.col("vector").alias("av"))
+    chosen = items if sources is None else items.join(sources.select("id").distinct(), "id", "left_semi")
+    a = chosen.where("vector IS NOT NULL").select(F.col("id").alias("source"), F.col("kind").alias("ak"), F.col("length").alias("al"), F.col("vector").alias("av"))
     b = items.where("vector IS NOT NULL AND status = 'unsolved'").select(F.col("id").alias("target"), F.col("kind").alias("bk"), F.col("length").alias("bl"), F.col("vector").alias("bv"))
     block = lambda c: F.floor(c / F.lit(width)).cast("int")
     known = a.where("al IS NOT NULL AND ak IS NOT NULL").withColumn("g", F.explode(F.array_distinct(F.array(block(F.col("al") - slack), block(F.col("al") + slack)))))
@@ -66,8 +69,9 @@ def propagate(items: DataFrame, confirmed: DataFrame, least: float = SIMILARITY)
     """
     from pyspark.sql import Window
 
-    pairs = close_pairs(items, least).join(confirmed.select(F.col("id").alias("source"), "text"), "source")
     depths = items.select(F.col("id").alias("source"), F.coalesce("depth", F.lit(0)).alias("d")).where(F.col("d") < MOST_DEPTH)
+    sources = confirmed.join(depths.select(F.col("source").alias("id")), "id", "left_semi")  # only these are compared with all targets
+    pairs = close_pairs(items, least, sources=sources).join(confirmed.select(F.col("id").alias("source"), "text"), "source")
     ranked = pairs.join(depths, "source").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "target"))).where(F.col("r") <= MOST_TARGETS)
     best = ranked.groupBy(F.col("target").alias("id")).agg(F.min_by(F.struct("source", "text", "d"), F.struct(-F.col("similarity"), F.col("source"))).alias("w"))
     done = confirmed.select("id", F.col("text").alias("_text"))
@@ -81,6 +85,21 @@ def propagate(items: DataFrame, confirmed: DataFrame, least: float = SIMILARITY)
     )
 
 
+def confirm_and_propagate(items: DataFrame, proposals: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Items and proposals (proposal, id, text, status, kind, confidence, up, down, backing) after all proposals were judged.
+
+    Of an item's proposals that meet the conditions the most confident one (then the first) is accepted and the pending others are superseded; the
+    item takes its text and goes on to similar ones. outcome tells why a proposal wasn't accepted.
+    """
+    outcome = confirmation(F.col("status"), F.col("kind"), F.col("confidence"), F.col("up"), F.col("down"), F.col("backing"))
+    judged = proposals.withColumn("outcome", outcome)
+    best = judged.where("outcome = 'confirmed'").groupBy("id").agg(F.min_by(F.struct("proposal", "text"), F.struct(-F.col("confidence"), F.col("proposal"))).alias("b"))
+    won = best.select("id", F.col("b.proposal").alias("_won"), F.col("b.text").alias("text"))
+    marked = judged.join(won.select("id", "_won"), "id", "left")
+    status = F.when(F.col("proposal") == F.col("_won"), "accepted").when(F.col("_won").isNotNull() & (F.col("status") == "pending"), "superseded").otherwise(F.col("status"))
+    return propagate(items, won.select("id", "text"), least), marked.withColumn("status", status).drop("_won")
+
+
 def revert(items: DataFrame, nodes: DataFrame) -> DataFrame:
     """Items with a tree of nodes (id) set back to unsolved, without text, source and depth."""
     marked = items.join(nodes.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")

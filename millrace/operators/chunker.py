@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from millrace.functions.text import chunk_flags
 
@@ -107,13 +109,37 @@ SCHEMA = "chunk_index int, content string, section_title string, page_number int
 def chunk_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """Chunks with their flags. Overlap and the last chunk's fate depend on what came before, so that each document is one pass in Python; flags stay in the JVM."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{id_col: d, **c} for d, t in zip(batch[id_col], batch[text], strict=True) for c in chunk_text(t, sizes)]
-            yield pd.DataFrame(rows, columns=[id_col, *(f.split()[0] for f in SCHEMA.split(", "))])
+    return per_document(df, id_col, text, SCHEMA, lambda t: chunk_text(t, sizes)).select("*", *[f.alias(k) for k, f in chunk_flags("content").items()])
+
+
+def section_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The sections of each document, numbered from 0, with their titles' path."""
+
+    def rows(t: str | None) -> list[dict]:
+        found = sections(t or "")
+        return [{"section": at, "title": s["title"], "level": s["level"], "page": s["page"], "body": s["body"], "path": hierarchy(found, at)} for at, s in enumerate(found)]
 
-    chunks = df.select(id_col, text).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, {SCHEMA}")
-    return chunks.select("*", *[f.alias(k) for k, f in chunk_flags("content").items()])
+    return per_document(df, id_col, text, "section int, title string, level int, page int, body string, path array<string>", rows)
+
+
+def per_document(df: DataFrame, id_col: str, text: str, schema: str, rows: Callable[[str | None], list[dict]]) -> DataFrame:
+    """id_col and the rows that a function makes of each whole text."""
+    full = StructType([df.schema[id_col], *StructType.fromDDL(schema)])
+    arrow = to_arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, made = [], []
+                for k, t in enumerate(part.column(1).to_pylist()):
+                    found = rows(t)
+                    own += [k] * len(found)
+                    made += found
+                columns = [pa.array([m[f.name] for m in made], f.type) for f in list(arrow)[1:]]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())).cast(arrow.field(0).type), *columns], schema=arrow)
+
+    return df.select(id_col, text).mapInArrow(run, full)
 
 
 def document_flags(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

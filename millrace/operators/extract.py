@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.text import target_kind
 
@@ -91,21 +93,41 @@ def riders(df: DataFrame, id_col: str, text: str, pages: str) -> DataFrame:
 def pack_segments(df: DataFrame, key: str, start: str, end: str, text: str, most: int = 1000) -> DataFrame:
     """Transcript chunks (key, chunk, start, end, text): segments in order, joined by spaces until more than `most` characters are there.
 
-    A fold over each recording's ordered segments. A chunk ends where the next segment starts, the last one at its own end.
+    A fold over each recording's ordered segments, which pass by one after the other; only the chunk that is open is held. A chunk ends where
+    the next segment starts, the last one at its own end.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(text).alias("t")))).alias("a"))
-    one = "struct<s: double, e: double, t: string>"
-
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["t"] == "", x["t"]).otherwise(F.concat(acc["t"], F.lit(" "), x["t"]))
-        full = (F.length(joined) > most) & (acc["t"] != "")
-        done = F.when(full, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), x["s"].alias("e"), acc["t"].alias("t"))))).otherwise(acc["out"])
-        return F.struct(F.when(full | (acc["t"] == ""), x["s"]).otherwise(acc["s"]).alias("s"), x["e"].alias("e"), F.when(full, x["t"]).otherwise(joined).alias("t"), done.alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("e"), F.lit("").alias("t"), F.array().cast(f"array<{one}>").alias("out"))
-    last = lambda acc: F.when(acc["t"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"), acc["t"].alias("t")))))
-    folded = rows.select(key, F.posexplode(F.aggregate("a", zero, step, last)).alias("chunk", "c"))
-    return folded.select(key, "chunk", F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.t").alias("text"))
+    from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+    rows = df.select(F.col(key).alias("k"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    schema = StructType([StructField("k", rows.schema["k"].dataType), StructField("chunk", IntegerType()), StructField("s", DoubleType()), StructField("e", DoubleType()), StructField("t", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, own, number, began, ended, held = True, None, 0, 0.0, 0.0, ""
+        for batch in batches:
+            out: list[tuple] = []
+            for k, s, e, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first or k != own:
+                    if held:
+                        out.append((own, number, began, ended, held))
+                    first, own, number, held = False, k, 0, ""
+                joined = f"{held} {t}" if held else t
+                if held and len(joined) > most:
+                    out.append((own, number, began, s, held))
+                    number, held = number + 1, ""
+                if not held:
+                    began = s
+                held, ended = f"{held} {t}" if held else t, e
+            if out:
+                yield as_batch(out)
+        if held:
+            yield as_batch([(own, number, began, ended, held)])
+
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow.field(k).type) for k, c in enumerate(zip(*out, strict=True))], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    packed = rows.repartition("k").sortWithinPartitions("k", "s", "e", "t").mapInArrow(run, schema)
+    return packed.toDF(key, "chunk", "start", "end", "text")
 
 
 def dark_bars(df: DataFrame, id_col: str, image: str, width: str, height: str) -> DataFrame:

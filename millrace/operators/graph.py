@@ -5,22 +5,18 @@ Loops end by data, not by a guess, and cut their lineage with checkpoint(), whic
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes and edges that betweenness takes to every task; larger graphs are refused.
-MAX_BROADCAST_EDGES = 2_000_000
+from millrace.operators.paging import numbered, seeded
+from millrace.shared import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once, with its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-graph-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -81,7 +77,7 @@ def degrees(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, a: str = "a", b: str = "b", nodes: DataFrame | None = None) -> DataFrame:
     """(node, rank): undirected and unweighted; parallel edges count once, and nodes without edges deal their rank to all."""
-    links = cut(symmetric(edges, a, b).distinct())
+    links = cut(symmetric(edges, a, b).distinct().repartition("src"))
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     all_nodes = (nodes.select("node") if nodes is not None else links.select(F.col("src").alias("node"))).distinct()
     known = cut(all_nodes.join(out, all_nodes["node"] == out["src"], "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
@@ -135,43 +131,33 @@ def communities(edges: DataFrame, rounds: int = 5, over: int = 20, a: str = "a",
 
 
 def betweenness(edges: DataFrame, sources: int = 200, seed: int = 1, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, betweenness): shortest paths from the sources that a seeded hash picks, over the largest value. The graph goes to every task, up to a bound."""
-    links = symmetric(edges, a, b).distinct()
-    n = links.count()
-    if n > MAX_BROADCAST_EDGES:
-        raise ValueError(f"{n} edges; betweenness takes {MAX_BROADCAST_EDGES} at most")
-    table = links.orderBy("src", "dst").toPandas()  # bounded above
-    neighbours = {k: v.tolist() for k, v in table.groupby("src")["dst"]}
+    """(node, betweenness): shortest paths from the sources that a seeded hash picks, over the largest value, 1 at least.
+
+    All sources walk together: a level is a join of the frontier with the edges, and the way back passes each node's share to the level before.
+    """
+    links = cut(symmetric(edges, a, b).distinct())
     nodes = links.select(F.col("src").alias("node")).distinct()
-    picked = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sources)
-    kind = dict(nodes.dtypes)["node"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = dict.fromkeys(neighbours, 0.0)
-        for batch in batches:
-            for s in batch["node"]:
-                order, before, count, depth = [], {}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in neighbours[v]:
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            count[w] = count.get(w, 0.0) + count[v]
-                            before.setdefault(w, []).append(v)
-                flow = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        flow[v] += count[v] / count[w] * (1 + flow[w])
-                    if w != s:
-                        total[w] += flow[w]
-        yield pd.DataFrame({"node": list(total), "b": list(total.values())})
-
-    parts = picked.repartition(8).mapInPandas(run, f"node {kind}, b double").groupBy("node").agg(F.sum("b").alias("b"))
-    most = parts.agg(F.greatest(F.max("b"), F.lit(1.0))).first()[0] or 1.0
-    return parts.select("node", (F.col("b") / F.lit(most)).alias("betweenness"))
+    picked = nodes.orderBy(*seeded(seed, "node")).limit(sources)
+    levels = [cut(picked.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    while True:
+        step = links.join(levels[-1], F.col("src") == F.col("node")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # neighbours lie on the level before, the same or the next
+            step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        step = cut(step)
+        if step.isEmpty():
+            break
+        levels.append(step)
+    flows = [levels[-1].withColumn("flow", F.lit(0.0))]
+    for level in reversed(levels[:-1]):
+        passed = flows[-1].select("source", F.col("node").alias("src"), ((1 + F.col("flow")) / F.col("paths")).alias("share"))
+        got = links.join(passed, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("share").alias("share"))
+        flows.append(cut(level.join(got, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("flow"))))
+    total = flows[0]
+    for f in flows[1:-1]:
+        total = total.unionByName(f)
+    sums = cut(nodes.join(total.where("source <> node").groupBy("node").agg(F.sum("flow").alias("b")), "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b")))
+    most = sums.agg(F.greatest(F.max("b"), F.lit(1.0)).alias("most"))
+    return sums.join(F.broadcast(most)).select("node", (F.col("b") / F.col("most")).alias("betweenness"))  # one row
 
 
 def top_subgraph(nodes: DataFrame, edges: DataFrame, size: int, least: float, by: str = "mentions", a: str = "a", b: str = "b", strength: str = "strength", most: int = 500) -> DataFrame:
@@ -203,6 +189,6 @@ def tree(rows: DataFrame, root, id_col: str, parent: str, depth: int = 20, condi
 
 
 def sorted_communities(found: DataFrame) -> DataFrame:
-    """Communities numbered by their smallest node."""
-    number = found.select("community").distinct().select("community", (F.row_number().over(Window.orderBy("community")) - 1).alias("number"))
+    """Communities numbered from 0 by their smallest node."""
+    number = numbered(found.select("community").distinct(), ["community"], "_n").select("community", (F.col("_n") - 1).alias("number"))
     return found.join(number, "community").select("node", "number")

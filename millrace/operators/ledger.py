@@ -69,3 +69,30 @@ def new_records(found: DataFrame, known: DataFrame, day: str, place: str) -> Dat
     fresh = found.join(known.select(day).distinct(), day, "left_anti")
     other = found.join(known.select(day).distinct(), day, "left_semi").join(known.select(day, place).distinct(), [day, place], "left_anti")
     return fresh.unionByName(other.select(*fresh.columns))
+
+
+def checked(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """df with the names of the rules that each row breaks; a rule that is null is broken. Rows without errors are what a batch writes."""
+    errors = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    return df.withColumn("errors", errors)
+
+
+def mark(df: DataFrame, due: Column, flag: str, id_col: str, most: int | None = None) -> DataFrame:
+    """df with flag set to 'true' where it is null and the row is due; most: only for so many, the first by id, so that calls can be repeated until none is left."""
+    waiting = df[flag].isNull() & F.coalesce(due, F.lit(False))
+    if most is None:
+        return df.withColumn(flag, F.when(waiting, "true").otherwise(F.col(flag)))
+    batch = df.where(waiting).select(F.col(id_col).alias("_k")).orderBy("_k").limit(most)
+    return df.join(batch, F.col(id_col) == F.col("_k"), "left").withColumn(flag, F.when(F.col("_k").isNotNull(), "true").otherwise(F.col(flag))).drop("_k")
+
+
+def tally(log: DataFrame, item: str, kind: str, counted: dict[str, str]) -> DataFrame:
+    """item and a count for each kind of vote; another kind is an error."""
+    known = F.when(F.col(kind).isin(*counted.values()), F.col(kind)).otherwise(F.raise_error(F.concat(F.lit("unknown vote: "), F.coalesce(kind, F.lit("null")))))
+    return log.select(item, known.alias("k")).groupBy(item).agg(*[F.count_if(F.col("k") == v).alias(name) for name, v in counted.items()])
+
+
+def log_spend(log: DataFrame, entries: DataFrame, campaign: str, amount: str) -> tuple[DataFrame, DataFrame]:
+    """The log with new entries, and the counters (campaign, entries, spent) that they lead to; entries without a campaign count under null."""
+    whole = log.unionByName(entries)
+    return whole, whole.groupBy(campaign).agg(F.count(F.lit(1)).alias("entries"), F.sum(amount).alias("spent"))

@@ -6,11 +6,45 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coerce(params: dict[str, str], integers: tuple[str, ...] = ("page", "per_page", "depth", "limit", "window", "max_depth")) -> dict:
+# Parameters that are numbers, and the bounds and defaults of all kinds of requests (None: no bound).
+NUMERIC = (
+    "page", "per_page", "limit", "offset", "depth",
+    "window_days", "max_depth", "max_results", "min_amount", "max_amount",
+    "min_flights", "min_degree", "min_strength", "cluster_id", "claim_a_page_number", "claim_b_page_number",
+)
+BOUNDS = {
+    "page": (1, None, 1),
+    "per_page": (1, 100, 20),
+    "depth": (1, 4, 2),
+    "limit": (1, 200, 50),
+    "window_days": (1, 365, 7),
+    "max_results": (1, 500, 100),
+    "max_depth": (1, 10, 6),
+    "min_flights": (1, None, 1),
+    "min_degree": (0, None, 1),
+}
+
+
+def coerced(key: Column, value: Column, numeric: tuple[str, ...] = NUMERIC) -> Column:
+    """A request's text as a struct of number, flag and text, of which one isn't null: digits of numeric parameters, true and false, all else as it is."""
+    number = F.when(key.isin(*numeric) & value.rlike(r"^[0-9]+$"), value.try_cast("long"))
+    flag = F.when(number.isNull() & value.isin("true", "false"), value == "true")
+    return F.struct(number.alias("number"), flag.alias("flag"), F.when(number.isNull() & flag.isNull(), value).alias("text"))
+
+
+def bounded(key: Column, value: Column, bounds: dict = BOUNDS) -> Column:
+    """A numeric parameter as a struct of value, its default where it is absent, and error, where it is out of its bounds."""
+    pick = lambda k: F.coalesce(*[F.when(key == name, F.lit(b[k]).cast("long")) for name, b in bounds.items()])
+    held = F.coalesce(value, pick(2))
+    error = F.when(held < pick(0), F.concat(F.lit("at least "), pick(0).cast("string"))).when(held > pick(1), F.concat(F.lit("at most "), pick(1).cast("string")))
+    return F.struct(held.alias("value"), error.alias("error"))
+
+
+def coerce(params: dict[str, str], integers: tuple[str, ...] = NUMERIC) -> dict:
     """Texts of a request as values: digits of the named ones as int, true and false as bool, all else as it is."""
     out: dict = {}
     for k, v in params.items():
@@ -102,6 +136,26 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.select(*keys, "_r.*")
 
 
+def seeded(seed: int, id_col: str) -> tuple[Column, Column]:
+    """An order that looks random, and is the same on every run."""
+    return F.md5(F.concat_ws(":", F.lit(seed), id_col)), F.col(id_col)
+
+
 def random_row(df: DataFrame, seed: int, id_col: str) -> DataFrame:
-    """One row by a seeded hash: the same one on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(1)
+    """One row by a seeded hash."""
+    return df.orderBy(*seeded(seed, id_col)).limit(1)
+
+
+def numbered(df: DataFrame, order: list[str], number: str) -> DataFrame:
+    """df with the rows' numbers from 1 in this order, which should end in a unique column.
+
+    Rows are ranged by the order and numbered within each range; only the ranges' sizes are added up in one place.
+    """
+    from millrace.operators.graph import cut
+
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a partition
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(number, F.col("_start") + own).drop("_range", "_start")

@@ -9,34 +9,43 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import similarity_of, snippet, trigrams
 from millrace.operators.graph import connected_components
+from millrace.operators.paging import numbered
 
 
-def cooccurrence(mentions: DataFrame, document: str, entity: str, keep: int = 50) -> DataFrame:
-    """(a, b, n, evidence): unordered pairs of entities of one document, in how many documents, and the first `keep` of them.
+def cooccurrence(mentions: DataFrame, document: str, entity: str, keep: int = 0) -> DataFrame:
+    """(a, b, n, last): unordered pairs of entities of one document, in how many documents, and the largest of these; keep: also evidence, the first `keep` of them.
 
-    Evidence is gathered by document group first, so that no pair collects a list longer than it keeps for each partial aggregate's share.
+    No pair's documents are gathered beyond those that are kept: they are numbered in their order first.
     """
     m = mentions.select(F.col(document).alias("d"), F.col(entity).alias("e")).where("e IS NOT NULL").distinct()
     pairs = m.alias("x").join(m.alias("y"), (F.col("x.d") == F.col("y.d")) & (F.col("x.e") < F.col("y.e")))
     pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), F.col("x.d").alias("d"))
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("d")).alias("evidence"))
-    return counts.select("a", "b", "n", F.slice("evidence", 1, keep).alias("evidence"))
+    if not keep:
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last"))
+    pair = Window.partitionBy("a", "b")
+    few = pairs.withColumns({"n": F.count(F.lit(1)).over(pair), "last": F.max("d").over(pair), "r": F.row_number().over(pair.orderBy("d"))}).where(F.col("r") <= keep)
+    return few.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.sort_array(F.collect_list("d")).alias("evidence"))
 
 
 def similar_names(names: DataFrame, id_col: str, name: str, kind: str | None = None, least: float = 0.85, limit: int | None = 500) -> DataFrame:
     """(a, b, similarity): pairs of one kind over the threshold, a < b, by trigrams.
 
-    Prefix filter: with trigrams ordered by hash, two sets of Jaccard coefficient >= t share one of the first n - ceil(t n) + 1 of each; only
-    names that share such a trigram, and whose sizes fit, are compared. The result equals comparing all pairs.
+    Prefix filter: with trigrams ordered from rare to frequent, two sets of Jaccard coefficient >= t share one of the first n - ceil(t n) + 1 of each; only
+    names that share such a trigram, whose sizes fit, and which after it have enough trigrams left are compared. The result equals comparing all pairs.
     """
     base = names.select(F.col(id_col).alias("id"), (F.col(kind) if kind else F.lit("")).alias("kind"), trigrams(name).alias("g")).where(F.size("g") > 0)
-    ordered = base.withColumn("o", F.array_sort(F.transform("g", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))))
+    grams = base.select("id", "kind", F.explode("g").alias("x"))
+    counted = grams.join(grams.groupBy("kind", "x").agg(F.count(F.lit(1)).alias("met")), ["kind", "x"])
+    ordered = counted.groupBy("id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("met", "x"))), lambda y: y["x"]).alias("g"))  # a name's trigrams
     n = F.size("g")
-    firsts = ordered.withColumn("p", F.explode(F.slice("o", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int")))).select("id", "kind", "g", F.col("p.x").alias("x"))
+    firsts = ordered.select("id", "kind", "g", F.posexplode(F.slice("g", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))).alias("at", "x"))
     a, b = firsts.alias("a"), firsts.alias("b")
-    fits = (F.size("a.g") >= F.lit(least) * F.size("b.g")) & (F.size("b.g") >= F.lit(least) * F.size("a.g"))
-    met = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.id") < F.col("b.id")) & fits)
-    scored = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(similarity_of(F.col("a.g"), F.col("b.g")), 6).alias("similarity")).distinct()
+    na, nb = F.size("a.g"), F.size("b.g")
+    fits = (na >= F.lit(least) * nb) & (nb >= F.lit(least) * na)
+    left = F.least(na - F.col("a.at"), nb - F.col("b.at")) >= F.lit(least / (1 + least) - 1e-9) * (na + nb)
+    met = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.id") < F.col("b.id")) & fits & left)
+    score = F.when(fits & left, F.round(similarity_of(F.col("a.g"), F.col("b.g")), 6))  # its filter is pushed into the join, before the cheap conditions
+    scored = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("similarity")).distinct()
     found = scored.where(F.col("similarity") > least)
     return found.orderBy(F.desc("similarity"), "a", "b").limit(limit) if limit else found
 
@@ -90,8 +99,9 @@ def find_mentions(texts: DataFrame, id_col: str, text: str, names: DataFrame, en
     first = lambda c: F.get(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0))
     wanted = names.where(F.length(name) >= least).select(F.col(entity).alias("entity"), F.lower(name).alias("name"), F.col(weight).alias("w"))
     wanted = wanted.groupBy("entity", "name").agg(F.max("w").alias("w")).withColumn("word", first(F.col("name")))
-    words = texts.where(F.length(text) >= 10).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    met = words.select("id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''").join(wanted, "word")
+    whole = texts.where(F.length(text) >= 10).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    words = whole.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
+    met = whole.join(words.join(wanted, "word").select("id", "entity", "name", "w").distinct(), "id")  # texts meet only the names that may be in them
     quoted = F.concat(F.lit(r"\b\Q"), F.col("name"), F.lit(r"\E\b"))
     hits = met.withColumn("n", F.least(F.regexp_count(F.lower("text"), quoted), F.lit(most))).where("n > 0")
     found = hits.select("id", "entity", "n", "w", F.struct((-F.col("w")).alias("o"), F.col("name").alias("k"), snippet(F.col("text"), F.position(F.col("name"), F.lower("text")), F.length("name")).alias("s")).alias("best"))
@@ -122,8 +132,15 @@ def best_match(records: DataFrame, candidates: DataFrame, key: str, second: str,
 
 def by_position(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """The i-th row of a beside the i-th row of b."""
-    number = lambda df, p: df.select(F.row_number().over(Window.orderBy(order)).alias("i"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    return number(a, "a").join(number(b, "b"), "i", "full")
+    row = lambda df, p: numbered(df, [order], "i").select("i", *[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    return row(a, "a").join(row(b, "b"), "i", "full")
+
+
+def find_or_create(wanted: DataFrame, known: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+    """keys, id_col, met, created: the known row's id, or a new one that is made of the key, so that two runs make the same."""
+    met = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("met"))
+    first = known.groupBy(*keys).agg(F.min(F.col(id_col).cast("string")).alias(id_col))
+    return met.join(first, keys, "left").select(*keys, F.coalesce(id_col, F.md5(F.concat_ws("|", *keys))).alias(id_col), "met", F.col(id_col).isNull().alias("created"))
 
 
 def word_pattern(name: str) -> str:

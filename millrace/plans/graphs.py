@@ -13,14 +13,13 @@ from millrace.plans.retrieval import COS, SIMILARITY, TRIGRAMS
 
 query = Registry()
 c = F.col
-EDGES = """m AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS e FROM lineitem), co AS (SELECT x.e AS a, y.e AS b, count(*) AS n FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2),
-e AS MATERIALIZED (SELECT a, b, n FROM co ORDER BY n DESC, a, b LIMIT (SELECT count(*) FROM supplier)), s AS MATERIALIZED (SELECT a AS src, b AS dst, n FROM e UNION ALL SELECT b, a, n FROM e)"""
+EDGES = """m AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS e FROM lineitem),
+e AS MATERIALIZED (SELECT x.e AS a, y.e AS b, count(*) AS n FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2), s AS MATERIALIZED (SELECT a AS src, b AS dst, n FROM e UNION ALL SELECT b, a, n FROM e)"""
 
 
 def edges(t):
-    """The strongest co-occurrences of suppliers in orders, as many as there are suppliers."""
-    pairs = resolve.cooccurrence(t("lineitem").select(c("l_orderkey").alias("d"), c("l_suppkey").alias("e")), "d", "e").select("a", "b", "n")
-    return graph.cut(pairs.orderBy(F.desc("n"), "a", "b").limit(t("supplier").count()))
+    """All co-occurrences of parts in orders."""
+    return graph.cut(resolve.cooccurrence(t("lineitem").select(c("l_orderkey").alias("d"), c("l_partkey").alias("e")), "d", "e").select("a", "b", "n"))
 
 
 START = "(SELECT min(a) FROM e)"
@@ -58,43 +57,75 @@ def degree(t):
 def pagerank_sql() -> str:
     steps = ["deg AS MATERIALIZED (SELECT src, count(*) AS n FROM s GROUP BY 1)", "v AS (SELECT count(*)::DOUBLE AS v FROM deg)", "r0 AS MATERIALIZED (SELECT src AS node, 1.0::DOUBLE / v AS r FROM deg, v)"]
     steps += [f"r{k + 1} AS MATERIALIZED (SELECT dst AS node, 0.15::DOUBLE / max(v) + 0.85::DOUBLE * sum(r / deg.n) AS r FROM s JOIN r{k} ON node = s.src JOIN deg ON deg.src = s.src, v GROUP BY 1)" for k in range(20)]
-    return f"WITH {EDGES}, {', '.join(steps)} SELECT node, round(r, 6) AS rank FROM r20"
+    return f"WITH {EDGES}, {', '.join(steps)} SELECT node, round(r, 9) AS rank FROM r20"
 
 
 @query("g5_pagerank", pagerank_sql())
 def pagerank(t):
-    return graph.pagerank(edges(t)).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(edges(t)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("g6_betweenness")
+LEVELS = 6
+
+
+def betweenness_sql() -> str:
+    steps = ["l0 AS MATERIALIZED (SELECT src AS source, src AS node, 1.0::DOUBLE AS paths FROM (SELECT DISTINCT src FROM s ORDER BY md5('1:' || src), src LIMIT 40))"]
+    for k in range(1, LEVELS + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM l{j} o WHERE o.source = l.source AND o.node = s.dst)" for j in (k - 1, k - 2) if j >= 0)
+        steps.append(f"l{k} AS MATERIALIZED (SELECT l.source, s.dst AS node, sum(l.paths) AS paths FROM l{k - 1} l JOIN s ON s.src = l.node WHERE true {seen} GROUP BY 1, 2)")
+    steps.append(f"f{LEVELS} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS flow FROM l{LEVELS})")
+    for k in reversed(range(LEVELS)):
+        steps.append(f"g{k} AS MATERIALIZED (SELECT f.source, s.dst AS node, sum((1 + f.flow) / f.paths) AS share FROM f{k + 1} f JOIN s ON s.src = f.node GROUP BY 1, 2)")
+        steps.append(f"f{k} AS MATERIALIZED (SELECT l.*, l.paths * coalesce(share, 0) AS flow FROM l{k} l LEFT JOIN g{k} USING (source, node))")
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, LEVELS + 1))
+    return f"WITH {EDGES}, {', '.join(steps)}, v AS (SELECT DISTINCT src AS node FROM s), b AS (SELECT node, coalesce(sum(flow), 0) AS b FROM v LEFT JOIN ({every}) USING (node) GROUP BY 1) SELECT node, round(b / greatest((SELECT max(b) FROM b), 1), 6) AS betweenness FROM b"
+
+
+@query("g6_betweenness", betweenness_sql())
 def betweenness(t):
-    return graph.betweenness(edges(t)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return graph.betweenness(edges(t), sources=40).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query("g7_components", f"""
-WITH RECURSIVE {EDGES}, r(node, x) AS (SELECT src, src FROM s UNION SELECT r.node, dst FROM r JOIN s ON src = x) SELECT node, min(x) AS component FROM r GROUP BY 1""")
+#: Steps of the smallest labels, more than any path of these graphs is long.
+COMPONENTS = ", ".join(["k0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS k FROM s)"] + [f"k{j + 1} AS MATERIALIZED (SELECT node, least(any_value(x.k), min(y.k)) AS k FROM k{j} x JOIN s ON s.src = x.node JOIN k{j} y ON y.node = s.dst GROUP BY node)".replace("SELECT node", "SELECT x.node").replace("GROUP BY node", "GROUP BY x.node") for j in range(8)])
+
+
+@query("g7_components", f"WITH {EDGES}, {COMPONENTS} SELECT node, k AS component FROM k8")
 def components(t):
     return graph.connected_components(edges(t))
 
 
-@query("g7_communities")
+def communities_sql() -> str:
+    steps = ["z AS (SELECT k, count(*) AS many FROM k8 GROUP BY 1)", "p0 AS MATERIALIZED (SELECT node, node AS label FROM k8 JOIN z USING (k) WHERE many > 20)"]
+    for j in range(5):
+        steps.append(f"h{j} AS (SELECT s.dst AS node, p.label, sum(s.n) AS w FROM s JOIN p{j} p ON p.node = s.src GROUP BY 1, 2)")
+        steps.append(f"p{j + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, label) AS r FROM h{j}) WHERE r = 1)")
+    return f"WITH {EDGES}, {COMPONENTS}, {', '.join(steps)}, x AS (SELECT node, k, coalesce(label, k) AS label FROM k8 LEFT JOIN p5 USING (node)) SELECT node, min(node) OVER (PARTITION BY k, label) AS community FROM x"
+
+
+@query("g7_communities", communities_sql())
 def communities(t):
     return graph.communities(edges(t), weight="n")
 
 
+@query("g7_numbered", communities_sql().replace("SELECT node, min(node) OVER (PARTITION BY k, label) AS community FROM x", "SELECT node, dense_rank() OVER (ORDER BY community) - 1 AS number FROM (SELECT node, min(node) OVER (PARTITION BY k, label) AS community FROM x)"))
+def numbered_communities(t):
+    return graph.sorted_communities(graph.communities(edges(t), weight="n"))
+
+
 @query("g9_top_subgraph", f"""
-WITH {EDGES}, k AS (SELECT l_suppkey AS node, count(*) AS mentions FROM lineitem GROUP BY 1 ORDER BY mentions DESC, node LIMIT 50)
-SELECT a, b, n FROM e WHERE n >= 3 AND a IN (SELECT node FROM k) AND b IN (SELECT node FROM k) ORDER BY n DESC, a, b LIMIT 500""")
+WITH {EDGES}, k AS (SELECT l_partkey AS node, count(*) AS mentions FROM lineitem GROUP BY 1 ORDER BY mentions DESC, node LIMIT 50)
+SELECT a, b, n FROM e WHERE n >= 1 AND a IN (SELECT node FROM k) AND b IN (SELECT node FROM k) ORDER BY n DESC, a, b LIMIT 500""")
 def top_subgraph(t):
-    nodes = t("lineitem").groupBy(c("l_suppkey").alias("node")).agg(F.count(F.lit(1)).alias("mentions"))
-    return graph.top_subgraph(nodes, edges(t), 50, 3, strength="n")
+    nodes = t("lineitem").groupBy(c("l_partkey").alias("node")).agg(F.count(F.lit(1)).alias("mentions"))
+    return graph.top_subgraph(nodes, edges(t), 50, 1, strength="n")
 
 
 @query("g10_profile", f"""
-WITH {EDGES} SELECT dst, s_name AS name, n FROM s JOIN supplier ON s_suppkey = dst WHERE src = {START} ORDER BY n DESC, dst LIMIT 10""")
+WITH {EDGES} SELECT dst, p_name AS name, n FROM s JOIN part ON p_partkey = dst WHERE src = {START} ORDER BY n DESC, dst LIMIT 10""")
 def profile(t):
     e = edges(t)
-    return graph.strongest(e, start(e), 10, strength="n").join(t("supplier"), c("dst") == c("s_suppkey")).select("dst", c("s_name").alias("name"), "n")
+    return graph.strongest(e, start(e), 10, strength="n").join(t("part"), c("dst") == c("p_partkey")).select("dst", c("p_name").alias("name"), "n")
 
 
 @query("g11_dossier", """
@@ -116,41 +147,46 @@ VARIANT = "CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN u
 
 
 @query("e1_similar_names", f"""
-WITH n AS (SELECT p_partkey AS id, p_type AS kind, {TRIGRAMS.format(c=VARIANT)} AS g FROM part WHERE p_partkey < 900)
+WITH n AS (SELECT p_partkey AS id, p_type AS kind, {TRIGRAMS.format(c=VARIANT)} AS g FROM part)
 SELECT a.id AS a, b.id AS b, {SIMILARITY.format(a="a.g", b="b.g")} AS similarity FROM n a JOIN n b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} > 0.85""")
 def similar_names(t):
-    names = t("part").where("p_partkey < 900").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
+    names = t("part").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
     return resolve.similar_names(names, "id", "name", "kind", 0.85, None)
 
 
 @query("e2_merge_groups", f"""
-WITH RECURSIVE n AS (SELECT p_partkey AS id, p_type AS kind, {TRIGRAMS.format(c=VARIANT)} AS g FROM part WHERE p_partkey < 600),
+WITH RECURSIVE n AS (SELECT p_partkey AS id, p_type AS kind, {TRIGRAMS.format(c=VARIANT)} AS g FROM part),
 p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} > 0.85),
 s AS MATERIALIZED (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p), r(node, x) AS (SELECT src, src FROM s UNION SELECT r.node, dst FROM r JOIN s ON src = x) SELECT node, min(x) AS keep FROM r GROUP BY 1""")
 def merge_groups(t):
-    names = t("part").where("p_partkey < 600").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
+    names = t("part").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
     return resolve.representatives(resolve.similar_names(names, "id", "name", "kind", 0.85, None))
 
 
 def merged(t):
-    half = t("supplier").count() // 2
-    groups = t("supplier").where(c("s_suppkey") >= half).select(c("s_suppkey").alias("node"), (c("s_suppkey") - half).alias("keep"))
-    entities = t("supplier").select(c("s_suppkey").alias("id"), c("s_name").alias("name"), F.array(F.lower("s_name")).alias("aliases"), F.lit(1).alias("mention_count"), c("s_acctbal").alias("risk"))
-    mentions = t("lineitem").select(c("l_suppkey").alias("entity"), c("l_orderkey").alias("document"))
+    half = t("part").count() // 2
+    groups = t("part").where(c("p_partkey") >= half).select(c("p_partkey").alias("node"), (c("p_partkey") - half).alias("keep"))
+    entities = t("part").select(c("p_partkey").alias("id"), c("p_name").alias("name"), F.array(F.upper("p_name")).alias("aliases"), F.lit(1).alias("mention_count"), c("p_retailprice").alias("risk"))
+    mentions = t("lineitem").select(c("l_partkey").alias("entity"), c("l_orderkey").alias("document"))
     e = edges(t).select("a", "b", F.lit("seen_with").alias("kind"), c("n").cast("double").alias("strength"))
     return resolve.merge_entities(entities, mentions, e, groups)
 
 
-KEEP = "CASE WHEN {k} >= (SELECT count(*) FROM supplier) // 2 THEN {k} - (SELECT count(*) FROM supplier) // 2 ELSE {k} END"
+KEEP = "CASE WHEN {k} >= (SELECT count(*) FROM part) // 2 THEN {k} - (SELECT count(*) FROM part) // 2 ELSE {k} END"
 
 
 @query("w21_merged_entities", f"""
-WITH x AS (SELECT *, {KEEP.format(k="s_suppkey")} AS k FROM supplier)
-SELECT k AS id, max(s_name) FILTER (s_suppkey = k) AS name, list_sort(list(lower(s_name)) || coalesce(list(s_name) FILTER (s_suppkey <> k), [])) AS aliases, count(*) AS mention_count, max(s_acctbal) AS risk FROM x GROUP BY 1""")
+WITH x AS (SELECT *, {KEEP.format(k="p_partkey")} AS k FROM part)
+SELECT k AS id, max(p_name) FILTER (p_partkey = k) AS name, list_sort(list_distinct(list(upper(p_name)) || coalesce(list(p_name) FILTER (p_partkey <> k), []))) AS aliases, count(*) AS mention_count, max(p_retailprice) AS risk FROM x GROUP BY 1""")
 def merged_entities(t):
     return merged(t)[0]
 
 
+@query("w21_merged_mentions", f"SELECT DISTINCT {KEEP.format(k='l_partkey')} AS entity, l_orderkey AS document FROM lineitem")
+def merged_mentions(t):
+    return merged(t)[1]
+
+
 @query("w21_merged_edges", f"""
 WITH {EDGES}, x AS (SELECT {KEEP.format(k="a")} AS a, {KEEP.format(k="b")} AS b, n FROM e)
 SELECT least(a, b) AS a, greatest(a, b) AS b, 'seen_with' AS kind, max(n)::DOUBLE AS strength FROM x WHERE a <> b GROUP BY 1, 2""")
@@ -210,9 +246,9 @@ def mentions(t):
     return resolve.find_mentions(t("documents"), "doc_id", "text", names, "entity", "name").drop("snippet")
 
 
-@query("w5_edge_evidence", "SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, max(l_discount) AS strength, list_sort(list_distinct(list(l_orderkey))) AS evidence FROM lineitem WHERE l_partkey < 100 GROUP BY 1, 2")
+@query("w5_edge_evidence", "SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, max(l_discount) AS strength, list_sort(list_distinct(list(l_orderkey))) AS evidence FROM lineitem GROUP BY 1, 2")
 def edge_evidence(t):
-    return t("lineitem").where("l_partkey < 100").groupBy(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).agg(F.max("l_discount").alias("strength"), F.sort_array(F.collect_set("l_orderkey")).alias("evidence"))
+    return t("lineitem").groupBy(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).agg(F.max("l_discount").alias("strength"), F.sort_array(F.collect_set("l_orderkey")).alias("evidence"))
 
 
 RISK_KIND = "list_extract(['victim_of', 'co_defendant', 'witness_testimony', 'traveled_with', 'none'], (l_linenumber % 5 + 1)::INT)"
@@ -267,12 +303,12 @@ def ladder(t):
     return rows.select("user_id", outcome.alias("outcome"))
 
 
-ITEMS = "SELECT vec_id AS id, CASE WHEN vec_id % 7 > 0 THEN label END AS kind, CASE WHEN vec_id % 5 > 0 THEN vec_id % 40 END AS length, embedding AS v, CASE WHEN vec_id % 3 = 0 THEN 'confirmed' ELSE 'unsolved' END AS status FROM embeddings WHERE vec_id < 400"
+ITEMS = "SELECT vec_id AS id, CASE WHEN vec_id % 7 > 0 THEN label END AS kind, CASE WHEN vec_id % 5 > 0 THEN vec_id % 40 END AS length, embedding AS v, CASE WHEN vec_id % 3 = 0 THEN 'confirmed' ELSE 'unsolved' END AS status FROM embeddings"
 
 
 def items(t):
     v = c("vec_id")
-    return t("embeddings").where("vec_id < 400").select(
+    return t("embeddings").select(
         v.alias("id"), F.when(v % 7 > 0, c("label")).alias("kind"), F.when(v % 5 > 0, v % 40).alias("length"), c("embedding").alias("vector"), F.when(v % 3 == 0, "confirmed").otherwise("unsolved").alias("status"),
         F.lit(None).cast("long").alias("source"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("text"),
     )
@@ -285,19 +321,61 @@ def cascade_counts(t):
     return cascade.cascade_counts(items(t), 0.2)
 
 
-@query("c3_propagate")
+def propagate_sql(confirmed: str, least: float) -> str:
+    """The items after a table of confirmed ones (id, text) went on."""
+    return f"""i AS MATERIALIZED ({ITEMS}), done AS ({confirmed}),
+p AS MATERIALIZED (SELECT a.id AS source, b.id AS target, {COS.format(a="a.v", b="b.v")} AS sim FROM i a JOIN done USING (id) JOIN i b ON a.id <> b.id AND b.status = 'unsolved' AND (a.length IS NULL OR abs(a.length - b.length) <= 3) AND (a.kind IS NULL OR a.kind = b.kind)
+WHERE NOT (a.length IS NULL AND a.kind IS NULL)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS r FROM p WHERE sim >= {least}),
+w AS (SELECT target AS id, arg_min(source, struct_pack(s := -sim, t := source)) AS source FROM k WHERE r <= 50 GROUP BY 1),
+out AS (SELECT i.id, i.kind, i.length, CASE WHEN d.id IS NOT NULL THEN 'confirmed' WHEN w.source IS NOT NULL AND i.status = 'unsolved' THEN 'proposed' ELSE i.status END AS status,
+CASE WHEN d.id IS NULL AND i.status = 'unsolved' THEN w.source END AS source, (CASE WHEN d.id IS NULL AND i.status = 'unsolved' AND w.source IS NOT NULL THEN 1 ELSE 0 END)::INT AS depth,
+coalesce(d.text, CASE WHEN i.status = 'unsolved' THEN e.text END) AS text FROM i LEFT JOIN done d ON d.id = i.id LEFT JOIN w ON w.id = i.id LEFT JOIN done e ON e.id = w.source)"""
+
+
+DONE = "SELECT id, 'name ' || id AS text FROM i WHERE status = 'confirmed'"
+
+
+@query("c3_propagate", f"WITH {propagate_sql(DONE, 0.2)} SELECT * FROM out")
 def propagate(t):
     i = items(t)
     done = i.where("status = 'confirmed'").select("id", F.concat(F.lit("name "), "id").alias("text"))
     return cascade.propagate(i, done, 0.2).drop("vector")
 
 
-@query("w24_revert")
+@query("w24_revert", f"""WITH {propagate_sql(DONE, 0.2)}, x AS (SELECT *, coalesce(status = 'proposed' AND source % 2 = 0, false) AS hit FROM out)
+SELECT id, kind, length, CASE WHEN hit THEN 'unsolved' ELSE status END AS status, CASE WHEN NOT hit THEN source END AS source, CASE WHEN hit THEN 0 ELSE depth END AS depth, CASE WHEN NOT hit THEN text END AS text FROM x""")
 def revert(t):
+    """What the sources with even ids proposed is taken back."""
     i = items(t)
     done = i.where("status = 'confirmed'").select("id", F.concat(F.lit("name "), "id").alias("text"))
     after = graph.cut(cascade.propagate(i, done, 0.2))
-    return cascade.revert(after, after.where("status = 'proposed'")).drop("vector")
+    return cascade.revert(after, after.where("status = 'proposed' AND source % 2 = 0")).drop("vector")
+
+
+#: Two proposals a voter for the item of the same number, with the votes of the events of either parity.
+PROPOSALS = """SELECT user_id * 2 + event_id % 2 AS proposal, user_id AS id, 'answer ' || (user_id * 2 + event_id % 2) AS text, CASE WHEN user_id % 13 = 0 THEN 'rejected' ELSE 'pending' END AS status,
+0.7::DOUBLE + (user_id % 4 + event_id % 2) * 0.05::DOUBLE AS confidence, count(*) FILTER (event_type = 'click') AS up, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type = 'purchase') AS backing FROM events GROUP BY user_id, event_id % 2"""
+JUDGED = """j AS (SELECT *, CASE WHEN status <> 'pending' THEN 'proposal_already_resolved' WHEN confidence < 0.78 THEN 'confidence_too_low' WHEN backing < 3 THEN 'insufficient_corroborations' WHEN up + down + backing < 7 THEN 'insufficient_votes'
+WHEN down::DOUBLE / (up + down + backing) > 0.25 THEN 'too_many_downvotes' ELSE 'confirmed' END AS outcome FROM pr), won AS (SELECT id, arg_min(proposal, struct_pack(c := -confidence, p := proposal)) AS won FROM j WHERE outcome = 'confirmed' GROUP BY 1)"""
+
+
+def proposals_of(t):
+    odd, u = c("event_id") % 2, c("user_id")
+    n = lambda k: F.count_if(c("event_type") == k)
+    counted = t("events").groupBy("user_id", odd.alias("odd")).agg(n("click").alias("up"), n("error").alias("down"), n("purchase").alias("backing"))
+    number = u * 2 + c("odd")
+    return counted.select(number.alias("proposal"), u.alias("id"), F.concat(F.lit("answer "), number).alias("text"), F.when(u % 13 == 0, "rejected").otherwise("pending").alias("status"), F.lit("manual").alias("kind"), (0.7 + (u % 4 + c("odd")) * 0.05).alias("confidence"), "up", "down", "backing")
+
+
+@query("w23_confirm_and_cascade", f"WITH pr AS ({PROPOSALS}), {JUDGED}, {propagate_sql('SELECT won.id, text FROM won JOIN j ON proposal = won', 0.2)} SELECT * FROM out")
+def confirm_and_cascade(t):
+    return cascade.confirm_and_propagate(items(t), proposals_of(t), 0.2)[0].drop("vector")
+
+
+@query("w23_judged_proposals", f"WITH pr AS ({PROPOSALS}), {JUDGED} SELECT proposal, outcome, CASE WHEN proposal = won THEN 'accepted' WHEN won IS NOT NULL AND status = 'pending' THEN 'superseded' ELSE status END AS status FROM j LEFT JOIN won USING (id)")
+def judged_proposals(t):
+    return cascade.confirm_and_propagate(items(t), proposals_of(t), 0.2)[1].select("proposal", "outcome", "status")
 
 
 @query("c1_cascade_tree", """
@@ -318,10 +396,10 @@ def sources(t):
 
 
 @query("h1_temporal_clusters", f"""
-WITH {SOURCES}, g AS (SELECT *, coalesce("at" - lag("at") OVER w > 10, false) AS gap FROM ev WHERE entity < 40 WINDOW w AS (PARTITION BY entity ORDER BY "at", activity, document))
+WITH {SOURCES}, g AS (SELECT *, coalesce("at" - lag("at") OVER w > 10, false) AS gap FROM ev WINDOW w AS (PARTITION BY entity ORDER BY "at", activity, document))
 SELECT activity, entity, "at", document, sum(gap::INT) OVER (PARTITION BY entity ORDER BY "at", activity, document ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g""")
 def temporal_clusters(t):
-    return temporal.clusters(sources(t).where("entity < 40"), 10)
+    return temporal.clusters(sources(t), 10)
 
 
 @query("h2_co_temporal", f"""
@@ -348,7 +426,9 @@ SELECT name, rank() OVER (ORDER BY {SIMILARITY.format(a="x", b="y")} DESC)::INT
 def rank_of_names(t):
     n = t("part").select(c("p_name").alias("name")).distinct()
     scored = n.select("name", F.round(similarity_of(trigrams("name"), trigrams(F.lit("hot ring"))), 6).alias("s"))
-    return scored.select("name", F.rank().over(Window.orderBy(F.desc("s"))).alias("rank"))
+    steps = scored.groupBy("s").agg(F.count(F.lit(1)).alias("n"))  # of six digits, so a million at most
+    above = steps.select("s", (F.coalesce(F.sum("n").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int").alias("rank"))
+    return scored.join(above, "s").select("name", "rank")
 
 
 QUERIES, ORACLE = query.queries, query.oracle

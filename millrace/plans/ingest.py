@@ -57,11 +57,11 @@ def candidate_fields(t):
     return rows.select("o_orderkey", loadfiles.first_field(rows, ("tail_no", "tail", "aircraft")).alias("v"))
 
 
-@query("s13_nested_records", "SELECT event_id, event_type AS kind, user_id::VARCHAR AS who FROM events WHERE event_id < 2000")
+@query("s13_nested_records", "SELECT event_id, event_type AS kind, user_id::VARCHAR AS who FROM events")
 def nested_records(t):
     inner = F.to_json(F.struct(c("event_type").alias("kind"), F.col("user_id").cast("string").alias("who")))
     text = F.when(c("event_id") % 3 == 0, inner).when(c("event_id") % 3 == 1, F.concat(F.lit('{"data":'), inner, F.lit("}"))).otherwise(F.concat(F.lit('{"attributes":'), inner, F.lit("}")))
-    rows = t("events").where("event_id < 2000").select("event_id", F.try_parse_json(text).alias("v"))
+    rows = t("events").select("event_id", F.try_parse_json(text).alias("v"))
     return rows.select("event_id", loadfiles.variant_field(c("v"), ("type", "kind")).alias("kind"), loadfiles.variant_field(c("v"), ("who",)).alias("who"))
 
 
@@ -173,9 +173,9 @@ def sticky(t):
     return rows.select("user_id", ledger.sticky(c("r"), F.lit(None).cast("boolean")).alias("verified"))
 
 
-@query("w17_sorted_pairs", "SELECT least(l_suppkey, l_partkey) AS l_suppkey, greatest(l_suppkey, l_partkey) AS l_partkey FROM lineitem WHERE l_suppkey <> l_partkey AND l_partkey < 200")
+@query("w17_sorted_pairs", "SELECT least(l_suppkey, l_partkey) AS l_suppkey, greatest(l_suppkey, l_partkey) AS l_partkey FROM lineitem WHERE l_suppkey <> l_partkey")
 def sorted_pairs(t):
-    return ledger.sorted_pair(t("lineitem").where("l_partkey < 200").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
+    return ledger.sorted_pair(t("lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
 
 
 @query("w25_ledger", "SELECT c_mktsegment, sum(c_custkey)::DOUBLE / 100 AS amount, sum(c_nationkey)::BIGINT AS units FROM customer GROUP BY 1")
@@ -189,18 +189,18 @@ def clean_strength(t):
 
 
 @query("e4_new_records", """
-WITH f AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderstatus AS place FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS place FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey < 300)
+WITH f AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderstatus AS place FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS place FROM orders WHERE o_orderkey % 2 = 1 AND o_orderpriority = '2-HIGH')
 SELECT o_orderkey, day, place FROM f WHERE day NOT IN (SELECT day FROM k) OR (day, place) NOT IN (SELECT (day, place) FROM k)""")
 def new_records(t):
     rows = t("orders").withColumn("day", c("o_orderdate").cast("date")).withColumn("place", c("o_orderstatus"))
-    return ledger.new_records(rows.where("o_orderkey % 2 = 0").select("o_orderkey", "day", "place"), rows.where("o_orderkey % 2 = 1 AND o_custkey < 300"), "day", "place")
+    return ledger.new_records(rows.where("o_orderkey % 2 = 0").select("o_orderkey", "day", "place"), rows.where("o_orderkey % 2 = 1 AND o_orderpriority = '2-HIGH'"), "day", "place")
 
 
 @query("e5_compare_counts", """
-WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_orderkey < 500 GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_orderkey < 500 AND l_quantity < 45 GROUP BY 1)
+WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_quantity < 45 GROUP BY 1)
 SELECT k, coalesce(a.n, 0) AS expected, coalesce(b.n, 0) AS stored, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches FROM a FULL JOIN b USING (k)""")
 def compare_counts(t):
-    rows = t("lineitem").where("l_orderkey < 500").withColumn("k", c("l_orderkey"))
+    rows = t("lineitem").withColumn("k", c("l_orderkey"))
     n = lambda df: df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     return ledger.compare_counts(n(rows), n(rows.where("l_quantity < 45")), "k")
 
@@ -234,6 +234,27 @@ def marked(t):
     return t("documents").select("doc_id", head.alias("text"))
 
 
+MARKED = "'intro line' || chr(10) || '# Part ' || source || chr(10) || '--- Page 2 ---' || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || '## Notes' || chr(10) || 'From: ' || source || chr(10) || 'paid $1,200.00 on March 3, 1999'"
+SECTIONS = f"""d AS (SELECT doc_id, string_split({MARKED}, chr(10)) AS l FROM documents), n AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+k AS (SELECT *, regexp_extract(line, '---\\s*Page\\s+(\\d+)\\s*---', 1) AS mark, regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 1) AS hashes, trim(regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 2)) AS title FROM n),
+g AS (SELECT *, sum((mark = '' AND hashes <> '')::INT) OVER w AS s, coalesce(last_value(nullif(mark, '') IGNORE NULLS) OVER w, '1')::INT AS page FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, s, CASE WHEN s = 0 THEN 'Document Start' ELSE min(title) FILTER (mark = '' AND hashes <> '') END AS title, (CASE WHEN s = 0 THEN 1 ELSE min(length(hashes)) FILTER (mark = '' AND hashes <> '') END)::INT AS level,
+(CASE WHEN s = 0 THEN 1 ELSE min(page) FILTER (mark = '' AND hashes <> '') END)::INT AS page, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (mark = '' AND hashes = ''), ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM g GROUP BY 1, 2),
+o AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS section, title, level, page, body FROM f WHERE body <> '')"""
+
+
+@query("t1_sections", f"WITH {SECTIONS} SELECT doc_id, section, title, level, page, length(body)::INT AS chars, md5(body) AS body FROM o")
+def section_rows(t):
+    return chunker.section_rows(marked(t)).select("doc_id", "section", "title", "level", "page", F.length("body").alias("chars"), F.md5("body").alias("body"))
+
+
+@query("t2_hierarchy", f"""WITH {SECTIONS}, a AS (SELECT x.doc_id, x.section, y.section AS up, y.title FROM o x JOIN o y ON y.doc_id = x.doc_id AND y.section <= x.section
+AND (y.section = x.section OR y.level < (SELECT min(z.level) FROM o z WHERE z.doc_id = x.doc_id AND z.section > y.section AND z.section <= x.section)))
+SELECT doc_id, section, list(title ORDER BY up) AS path FROM a GROUP BY 1, 2""")
+def section_paths(t):
+    return chunker.section_rows(marked(t)).select("doc_id", "section", "path")
+
+
 @query("t4_chunks")
 def chunks(t):
     return chunker.chunk_documents(marked(t)).drop("content")
@@ -255,17 +276,24 @@ def riders(t):
     return found.select("doc_id", "target", "target_kind", "dated", F.size("statutes").alias("n_statutes"), F.size("items").alias("n_items"))
 
 
-@query("t21_transcripts")
+@query("t21_transcripts", """
+WITH RECURSIVE x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, (turn * 10)::DOUBLE AS s, (turn * 10 + 9)::DOUBLE AS e, coalesce(text, '') AS t FROM conversations),
+r(conv_id, i, chunk, s, e, t) AS (SELECT conv_id, i, 0, s, e, t FROM x WHERE i = 1 UNION ALL
+SELECT x.conv_id, x.i, CASE WHEN r.t <> '' AND length(r.t) + 1 + length(x.t) > 1000 THEN chunk + 1 ELSE chunk END, CASE WHEN r.t = '' OR length(r.t) + 1 + length(x.t) > 1000 THEN x.s ELSE r.s END, x.e,
+CASE WHEN r.t = '' OR length(r.t) + 1 + length(x.t) > 1000 THEN x.t ELSE r.t || ' ' || x.t END FROM r JOIN x ON x.conv_id = r.conv_id AND x.i = r.i + 1),
+l AS (SELECT conv_id, chunk, max(i) AS i FROM r GROUP BY 1, 2)
+SELECT r.conv_id, r.chunk::INT AS chunk, r.s AS start, coalesce((SELECT x.s FROM x WHERE x.conv_id = r.conv_id AND x.i = r.i + 1), r.e) AS "end", r.t AS text FROM r JOIN l USING (conv_id, chunk, i) WHERE r.t <> ''""")
 def transcripts(t):
     rows = t("conversations").select("conv_id", (c("turn") * 10).alias("s"), (c("turn") * 10 + 9).alias("e"), "text")
     return extract.pack_segments(rows, "conv_id", "s", "e", "text")
 
 
-@query("t13_dark_bars")
+@query("t13_dark_bars", "SELECT p_partkey, p_partkey % 9 >= 5 AS found, (p_partkey % 9) / 50.0::DOUBLE AS ratio, (p_partkey % 9)::INT AS rows, round(least(1.0::DOUBLE, (p_partkey % 9) / 5.0::DOUBLE + (p_partkey % 9) / 100.0::DOUBLE), 6) AS confidence FROM part")
 def dark_bars(t):
-    bar = F.expr("unhex(repeat(CASE WHEN p_partkey % 2 = 0 THEN '00' ELSE 'FF' END, 200))")
-    rest = F.expr("unhex(repeat('FF', 800))")
-    return extract.dark_bars(t("part").select("p_partkey", F.concat(bar, rest).alias("image"), F.lit(20).alias("w"), F.lit(50).alias("h")), "p_partkey", "image", "w", "h")
+    """Bars of 0 to 8 dark rows in pictures of 20 by 50."""
+    image = F.expr("unhex(concat(repeat('0A', 20 * CAST(p_partkey % 9 AS int)), repeat('FF', 1000 - 20 * CAST(p_partkey % 9 AS int))))")
+    found = extract.dark_bars(t("part").select("p_partkey", image.alias("image"), F.lit(20).alias("w"), F.lit(50).alias("h")), "p_partkey", "image", "w", "h")
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("t8_prompt_tiers", """
@@ -332,12 +360,18 @@ def sliding(events):
     return out.withColumn("start", c("start").cast("timestamp_ntz"))
 
 
-@stream("st3_sessions")
+@stream("st3_sessions", """
+WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x),
+s AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k) SELECT * FROM s WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def sessions(events):
-    return windows.finished(windows.sessions(events, "6 hours"), "append").drop("batch")
+    out = windows.finished(windows.sessions(events, "6 hours"), "append").drop("batch")
+    return out.withColumns({k: c(k).cast("timestamp_ntz") for k in ("start", "end")})
 
 
-@stream("st4_rate_limit")
+@stream("st4_rate_limit", """
+WITH RECURSIVE w(user_id, s) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 86400 SECOND GROUP BY w.user_id),
+n AS (SELECT w.user_id, w.s, count(*) AS n FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s AND e.ts < w.s + INTERVAL 86400 SECOND GROUP BY 1, 2)
+SELECT user_id, sum(least(n, 3))::BIGINT AS allowed, sum(greatest(n - 3, 0))::BIGINT AS blocked FROM n GROUP BY 1""")
 def rate_limit(events):
     return windows.latest(windows.finished(windows.rate_limit(events, 3, 86400), "update"), ["user_id"])
 

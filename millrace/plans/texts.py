@@ -25,12 +25,16 @@ def normalize_sql(titles, suffixes) -> str:
     return f"SELECT p_partkey, nullif(trim(regexp_replace({turned}, '\\s+', ' ', 'g')), '') AS name FROM (SELECT p_partkey, {RAW} AS raw FROM part)"
 
 
-@query("x1_normalize_name", normalize_sql(T.TITLES, T.SUFFIXES))
+TITLES = ("dr", "mr", "mrs", "ms", "prof", "sir", "hon", "rev", "gen", "col", "sgt", "lt", "cpt", "cmdr", "adm")
+SUFFIXES = (r"jr\.?", r"sr\.?", "iii", "ii", "iv", r"esq\.?", "md", r"ph\.?d\.?")
+
+
+@query("x1_normalize_name", normalize_sql(TITLES, SUFFIXES))
 def normalize(t):
     return names(t).select("p_partkey", T.normalize_name("raw", extended=False).alias("name"))
 
 
-@query("x2_normalize_name_extended", normalize_sql(T.TITLES + T.MORE_TITLES, T.SUFFIXES + T.MORE_SUFFIXES))
+@query("x2_normalize_name_extended", normalize_sql((*TITLES, "sen", "rep", "gov", "amb", "det", "spc", "cpl", "maj", "brig", "capt"), (*SUFFIXES, "v", "dds", "jd", "cpa", r"ret\.?")))
 def normalize_extended(t):
     return names(t).select("p_partkey", T.normalize_name("raw").alias("name"))
 
@@ -40,13 +44,23 @@ def normalize_simple(t):
     return names(t).select("p_partkey", T.normalize_name("raw", simple=True).alias("name"))
 
 
-JUNK_RAW = "CASE p_partkey % 9 WHEN 0 THEN 'Monday' WHEN 1 THEN '01/15/2003' WHEN 2 THEN 'N/A' WHEN 3 THEN 'LLC' WHEN 4 THEN 'John Doe 3' WHEN 5 THEN 'AB' WHEN 6 THEN 'Georgia' WHEN 7 THEN 'x' ELSE p_name END"
+#: Names with what they are taken for: junk in any case, only as a person, or never.
+NAMES = (
+    ("Monday", "any"), ("SUNDAY", "any"), ("january", "any"), ("United States District Court", "any"), ("Southern District of Florida", "any"), ("Plaintiff", "any"), ("petitioner", "any"), ("EXHIBIT", "any"), ("Certificate", "any"), ("stipulation", "any"),
+    ("esquire", "any"), ("Overruled", "any"), ("oath", "any"), ("Privileged", "any"), ("case number", "any"), ("Times New Roman", "any"), ("italic", "any"), ("footer", "any"), ("div", "any"), ("https", "any"), ("Unidentified", "any"), ("John Doe", "any"), ("Jane Doe #4", "any"),
+    ("john doe 12", "any"), ("undefined", "any"), ("infra", "any"), ("Ibid", "any"), ("Mr", "any"), ("of", "any"), ("us", "any"), ("LLC", "any"), ("co", "any"), ("you", "any"), ("How", "any"), ("yes", "any"), ("paragraph", "any"), ("Charges", "any"), ("hearing", "any"),
+    ("The Victim", "any"), ("unknown female", "any"), ("x", "any"), ("", "any"), ("12345", "any"), ("01/15/2003", "any"), ("2003-01-15", "any"), ("--- !!", "any"), ("AB", "any"), ("  Tuesday  ", "any"),
+    ("Georgia", "person"), ("west virginia", "person"), ("Puerto Rico", "person"), ("Sweden", "person"), ("Anna Example", "none"), ("Abc", "none"), ("Sunday Smith", "none"), ("Court Street Partners", "none"), ("John Doerr", "none"), ("Acme Inc", "none"),
+)
+JUNK_RAW = "list_extract([" + ", ".join(f"'{n}'" for n, _ in NAMES) + "], (p_partkey % " + str(len(NAMES)) + " + 1)::INT)"
+JUNK_IF = "list_extract([" + ", ".join(f"'{k}'" for _, k in NAMES) + "], (p_partkey % " + str(len(NAMES)) + " + 1)::INT)"
 
 
-@query("x4_junk_names", f"SELECT p_partkey, coalesce(p_partkey % 9 < 6 OR p_partkey % 9 = 7 OR (p_partkey % 9 = 6 AND p_size % 2 = 0), false) AS junk FROM part")
+@query("x4_junk_names", f"SELECT p_partkey, {JUNK_RAW} AS raw, {JUNK_IF} = 'any' OR ({JUNK_IF} = 'person' AND p_size % 2 = 0) AS junk FROM part")
 def junk(t):
     kind = F.when(c("p_size") % 2 == 0, "person").otherwise("location")
-    return t("part").select("p_partkey", F.expr(JUNK_RAW).alias("raw"), kind.alias("kind")).select("p_partkey", T.is_junk("raw", c("kind"), places=("georgia", "texas")).alias("junk"))
+    raw = F.get(F.array(*[F.lit(n) for n, _ in NAMES]), (c("p_partkey") % len(NAMES)).cast("int"))
+    return t("part").select("p_partkey", raw.alias("raw"), kind.alias("kind")).select("p_partkey", "raw", T.is_junk("raw", c("kind")).alias("junk"))
 
 
 @query("x5_participants", """SELECT c_custkey, lower(c_name) AS who FROM customer""")
@@ -120,9 +134,16 @@ def relationship(t):
     return t("customer").select("c_custkey", T.relationship_kind(raw, ("traveled_with", "co_defendant", "employed_by"), {"works_for": "employed_by"}).alias("kind"))
 
 
-@query("x18_target_kind", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'financial_institution' WHEN 1 THEN 'tech_company' WHEN 2 THEN 'government' WHEN 3 THEN 'other' ELSE 'individual' END AS kind FROM customer")
+#: Addressees with the kind that they are.
+ADDRESSEES = (
+    ("First Savings of X", "financial_institution"), ("Citibank", "financial_institution"), ("Wells  Fargo", "financial_institution"), ("Apple Bank", "financial_institution"), ("UBS", "financial_institution"), ("Apple Inc", "tech_company"), ("Verizon", "tech_company"), ("AT&T", "tech_company"),
+    ("T-Mobile US", "tech_company"), ("Customs Office", "government"), ("FBI", "government"), ("Example Holdings", "other"), ("Blue Group", "other"), ("Anna Example", "individual"), ("Banksy", "individual"), ("Pineapple", "individual"),
+)
+
+
+@query("x18_target_kind", "SELECT c_custkey, list_extract([" + ", ".join(f"'{k}'" for _, k in ADDRESSEES) + "], (c_custkey % 16 + 1)::INT) AS kind FROM customer")
 def target(t):
-    raw = F.get(F.array(F.lit("First Savings of X"), F.lit("Big Wireless Inc"), F.lit("Customs Office"), F.lit("Example Holdings"), c("c_name")), (c("c_custkey") % 5).cast("int"))
+    raw = F.get(F.array(*[F.lit(n) for n, _ in ADDRESSEES]), (c("c_custkey") % 16).cast("int"))
     return t("customer").select("c_custkey", T.target_kind(raw).alias("kind"))
 
 

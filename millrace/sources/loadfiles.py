@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import sqlite3
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,18 +142,52 @@ def manifest(spark: SparkSession, path: str, known: DataFrame | None = None) ->
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def sqlite_names(spark: SparkSession, path: str, wanted: str = "entit|person|organization") -> DataFrame:
-    """(table, name) of the tables of an SQLite file whose name fits; a task opens the file, which must be on a path that it sees."""
-    import re
-    import sqlite3
-    from collections.abc import Iterator
+def entities_and_flights(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of files with one JSON record or an array of them: entities (name, entity_type, location) and flights (flight_date, departure, arrival, passengers). A record may be both."""
+    keep = [x for x in texts.columns if x != text]
+    kind = ", ".join(f"{k} string" for k in ("name", "person", "entity_type", "location", "flight_date", "date", "departure", "from", "arrival", "to")) + ", passengers array<string>, manifest array<string>"
+    c = F.trim(F.col(text))
+    array = F.from_json(F.when(F.startswith(c, F.lit("[")), c).when(F.startswith(c, F.lit("{")), F.concat(F.lit("["), c, F.lit("]"))), f"array<struct<{_as_struct(kind)}>>")
+    r = texts.select(*keep, F.explode(array).alias("r")).select(*keep, "r.*")
+    either = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
+    entities = r.select(*keep, either("name", "person").alias("name"), F.coalesce("entity_type", F.lit("person")).alias("entity_type"), "location").where("name IS NOT NULL")
+    people = F.coalesce("passengers", "manifest", F.array().cast("array<string>")).alias("passengers")
+    return entities, r.select(*keep, either("flight_date", "date").alias("flight_date"), either("departure", "from").alias("departure"), either("arrival", "to").alias("arrival"), people).where("flight_date IS NOT NULL")
+
+
+def local_path(path: str) -> str:
+    """What sqlite3 opens: a path of a shared file system that every machine mounts."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def write_sqlite(rows: DataFrame, folder: str) -> DataFrame:
+    """(path) of SQLite files in a mounted folder, one a task, with the rows (table, column, name); a file has its name only once it is whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(local_path(folder), exist_ok=True)
+        path = f"{local_path(folder)}/{uuid.uuid4().hex}.db"
+        db = sqlite3.connect(path + ".part")
+        for batch in batches:
+            for (table, column), part in batch.groupby(["table", "column"]):
+                db.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ("{column}" TEXT)')
+                db.executemany(f'INSERT INTO "{table}" VALUES (?)', [(x,) for x in part["name"]])
+        db.commit()
+        db.close()
+        os.rename(path + ".part", path)
+        yield pd.DataFrame({"path": [path]})
+
+    from millrace.operators.graph import cut
+
+    return cut(rows.mapInPandas(run, "path string"))
+
 
-    import pandas as pd
+def sqlite_names(spark: SparkSession, paths: str | DataFrame, wanted: str = "entit|person|organization") -> DataFrame:
+    """(table, name) of the tables of SQLite files (a path, or rows of path) whose name fits; tasks open the files, which must be on paths that they see."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in batch["path"]:
-                with sqlite3.connect(p) as db:
+                with sqlite3.connect(local_path(p)) as db:
                     for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchall():
                         if not re.search(wanted, table, re.I):
                             continue
@@ -157,4 +198,5 @@ def sqlite_names(spark: SparkSession, path: str, wanted: str = "entit|person|org
                             while part := rows.fetchmany(10_000):
                                 yield pd.DataFrame({"table": table, "name": [r[0] for r in part]})
 
-    return spark.createDataFrame([(path,)], "path string").mapInPandas(run, "table string, name string")
+    files = spark.createDataFrame([(paths,)], "path string") if isinstance(paths, str) else paths
+    return files.mapInPandas(run, "table string, name string")

@@ -8,16 +8,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.shared import shared_dir
 
-def shared(spark: SparkSession) -> str:
-    import tempfile
 
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(found or tempfile.mkdtemp(prefix='millrace-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def shared(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -64,12 +64,13 @@ def rate_limit(events: DataFrame, most: int, seconds: int, key: str = "user_id")
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         start, count, allowed, blocked = state.get if state.exists else (None, 0, 0, 0)
-        rows = pd.concat(list(batches))
-        for t in sorted(int(x) for x in rows["at"]):
-            if start is None or t - start >= seconds * 1_000_000:
-                start, count = t, 0
-            count += 1
-            allowed, blocked = allowed + (count <= most), blocked + (count > most)
+        times, at = np.sort(np.concatenate([b["at"].to_numpy() for b in batches])), 0
+        while at < len(times):  # a step a window, not a request
+            if start is None or times[at] - start >= seconds * 1_000_000:
+                start, count = int(times[at]), 0
+            end = int(np.searchsorted(times, start + seconds * 1_000_000))
+            room = min(end - at, max(0, most - count))
+            allowed, blocked, count, at = allowed + room, blocked + end - at - room, count + end - at, end
         state.update((start, count, allowed, blocked))
         yield pd.DataFrame({key: [k[0]], "allowed": [allowed], "blocked": [blocked]})
 
