@@ -3,27 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.shared import shared_dir
+
 #: Texts that a Python worker holds as strings at once.
 SLICE_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("millrace.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("millrace.shared.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
@@ -56,22 +48,42 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def sampled(text: Column, most: int, parts: int = 8) -> Column:
+    """The text, or of a longer one `parts` pieces that lie evenly over the whole of it, `most` characters together."""
+    size = most // parts
+    gap = (F.length(text) - size) / F.lit(parts - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring(text, F.floor(k * gap).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > most, F.array_join(pieces, " ")).otherwise(text)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def named(c: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1, ..., so that no name of its own, dotted or met before, can clash with an operator's."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def map_texts(df: DataFrame, text: str, schema: str, compute: Callable[[list], dict[str, pa.Array | list]], keep: list[str]) -> DataFrame:
     """df's columns in keep, and those that compute() makes of a list of whole texts (None where null).
 
     schema: of the new columns only, as DDL.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     made = StructType.fromDDL(schema)
-    full = StructType([df.schema[k] for k in keep] + list(made))
+    chosen = positional(df.select(*map(named, keep), named(text)))
+    old = [StructField(f"c{k}", f.dataType) for k, f in enumerate(chosen.schema.fields[:-1])]
+    full = StructType(old + [StructField(f"m{k}", f.dataType) for k, f in enumerate(made)])
     arrow = to_arrow_schema(full, prefers_large_types=False)
     names = [f.name for f in made]
 
@@ -80,9 +92,8 @@ def map_texts(df: DataFrame, text: str, schema: str, compute: Callable[[list], d
             new = compute(part.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
-                + [x if isinstance(x := new[n], pa.Array) else pa.array(x, arrow.field(n).type) for n in names],
+                + [x if isinstance(x := new[n], pa.Array) else pa.array(x, arrow.field(len(keep) + k).type) for k, n in enumerate(names)],
                 schema=arrow,
             )
 
-    chosen = df.select(*[F.col(k) for k in keep], F.col(text).alias("_text"))
-    return chosen.mapInArrow(run, full)
+    return chosen.mapInArrow(run, full).toDF(*keep, *names)

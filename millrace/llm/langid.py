@@ -5,11 +5,11 @@ frequencies are damped by a logarithm, weighed by inverse document frequency and
 follow-the-regularised-leader with an elastic net, which leaves most of them zero; then a temperature on a part of the sample that
 the weights have not seen calibrates the scores.
 
-It is fitted on the driver on a sample of at most MAX_PER_LANGUAGE documents a language, none over MAX_TRAIN_CHARS characters
-(parameters). At most MAX_LANGUAGES languages are learnt, those with the most documents.
+It is fitted on the driver on a sample of at most MAX_PER_LANGUAGE documents a language, and MAX_SAMPLE of all, but LEAST a language; a text over
+MAX_TRAIN_CHARS characters gives so many, in pieces from all over it (parameters). All languages that labels name are learnt.
 
 Defined cases: a text that is null or has no letter is `und` with score 0. With no labelled row every document is `und`. Rows
-repeated keep a row each. Empty tables give empty results. Other columns are ignored, whatever their names.
+repeated keep a row each; of equal labelled rows one is learnt from. Empty tables give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import is_held_out, map_texts, table
+from millrace.llm.base import is_held_out, map_texts, sampled, table
 
-MAX_PER_LANGUAGE, MAX_TRAIN_CHARS, MAX_LANGUAGES = 600, 6000, 200
+MAX_PER_LANGUAGE, MAX_SAMPLE, LEAST, MAX_TRAIN_CHARS = 600, 60_000, 8, 6000
 DIMENSIONS, SIZES = 1 << 14, (1, 2, 3)
 #: Code points hashed at once, so that a long text needs no long array.
 CHUNK = 1 << 16
@@ -130,16 +130,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0
 
 def training_rows(documents: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, max_chars: int = MAX_TRAIN_CHARS) -> tuple[list[str], list[str]]:
     """The sample: of each language the documents that come first by hash, held-out ids left out."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & ~is_held_out()).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # MAX_LANGUAGES rows at most
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
+    known = labelled.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")).orderBy("lang").collect()  # one row a language
     if not counts:
         return [], []
+    most = max(LEAST, min(max_per_language, MAX_SAMPLE // len(counts)))
     # a hash threshold by language that leaves about twice the sample; then the first by hash, in one scan for all languages
-    shares = {r["lang"]: min(1.0, (2.0 * max_per_language + 64) / r["count"]) for r in counts}
+    shares = {r["lang"]: min(1.0, (2.0 * most + 64) / r["count"]) for r in counts}
     bound = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, int(-(2**63) + share * (2**64 - 2)) if share < 1 else 2**63 - 1)])
-    few = known.where(F.col("lang").isin(*shares) & (F.col("h") <= F.try_element_at(bound, F.col("lang"))))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    rows = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_per_language).orderBy("lang", "r").select("text", "lang").collect()
+    few = known.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).withColumn("text", sampled(F.col("text"), max_chars))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat would crowd out the others
+    rows = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most).orderBy("lang", "r").select("text", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

@@ -4,6 +4,9 @@ Samples are resampled with a polyphase filter, cut into overlapping frames, and
 Arrow tensors: all frames of a clip are dealt into blocks of BLOCK_FRAMES x MELS numbers, the last one padded, each with its time span.
 Beside them stand the segments: time spans whose energy passes a high threshold and stays over a low one (hysteresis).
 
+Tensors are stored in Arrow IPC files, a row a block: the tensor in 16-bit floats and its span. A Parquet index names for each clip the file and
+its rows there. Files are written under a name of the attempt's own and then renamed, and only those that the index names are read.
+
 Defined cases: null media gives null features; media without samples gives no blocks. Payloads that aren't whole frames of the
 format are padded by the writer and the true length travels beside them. Repeated rows keep a row each. Empty tables give
 empty results. Other columns are carried along or ignored, whatever their names.
@@ -13,20 +16,23 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts, new_path, table
+from millrace.llm.base import map_texts, named, new_path, positional, slices, table
+from millrace.llm.warc import file_system
 
-RATE, UP, DOWN, TAPS = 8000, 1, 2, 32
+RATE, UP, DOWN, TAPS = 8000, 2, 3, 32
 FRAME, HOP, MELS, BLOCK_FRAMES = 256, 128, 24, 32
 HIGH, LOW, MIN_FRAMES = 1.5, 1.0, 3
-#: Samples that a worker turns into frames at once.
-CHUNK = 1 << 16
+#: Samples that a worker turns into frames at once; blocks that a batch of a tensor file has, and after how many a new file starts.
+CHUNK, BATCH_BLOCKS, FILE_BLOCKS = 1 << 16, 256, 1 << 15
 UNIT = 64
 
 
@@ -76,11 +82,8 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, kernel: np.ndarray |
         offsets = np.arange(first, (half + phase) // up + 1)
         taps = kernel[half + phase - offsets * up]
         padded = np.pad(x, (-offsets[0], offsets[-1] + 1))
-        base = k[mine] // up
-        if up == 1:  # a strided product
-            out[mine] = np.lib.stride_tricks.sliding_window_view(padded, len(offsets))[:: down][: len(mine)] @ taps
-        else:
-            out[mine] = sum(t * padded[base + j - offsets[0]] for t, j in zip(taps, offsets, strict=True))
+        base, step = k[mine[0]] // up, (k[mine[1]] - k[mine[0]]) // up if len(mine) > 1 else 1
+        out[mine] = np.lib.stride_tricks.sliding_window_view(padded, len(offsets))[base::step][: len(mine)] @ taps  # a strided product
     return out
 
 
@@ -143,38 +146,173 @@ def write_media(df: DataFrame, path: str, text: str = "text", keep: tuple[str, .
     return df.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def audio_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, and one row a document: tensors, whose elements are blocks of BLOCK_FRAMES x MELS numbers in row order, spans (one a block), and segments."""
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (BLOCK_FRAMES, MELS))
+
+
+def as_tensors(blocks: np.ndarray) -> pa.ExtensionArray:
+    """Blocks as Arrow's fixed-shape tensor type."""
+    flat = pa.array(np.ascontiguousarray(blocks, np.float16).reshape(-1))
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, BLOCK_FRAMES * MELS))
+
+
+class TensorWriter:
+    """Arrow IPC files of (tensor, start, end) in a folder; done() gives a file its name once it is whole."""
+
+    def __init__(self, path: str):
+        self.fs, self.root = file_system(path)
+        self.fs.create_dir(self.root, recursive=True)
+        self.schema = pa.schema([("tensor", TENSOR), ("start", pa.float64()), ("end", pa.float64())])
+        self.held: list[tuple[np.ndarray, list]] = []
+        self.rows, self.kept, self.writer = 0, 0, None
+
+    def add(self, blocks: np.ndarray, spans: list) -> tuple[str, int]:
+        """The file and the first row that these blocks get."""
+        if self.writer is None:
+            self.file, self.attempt, self.rows, self.kept = f"part-{uuid.uuid4().hex}.arrow", f"{self.root}/.{uuid.uuid4().hex}", 0, 0
+            self.out = self.fs.open_output_stream(self.attempt)
+            self.writer = pa.ipc.new_file(self.out, self.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        at = self.rows
+        self.held.append((blocks, spans))
+        self.rows, self.kept = self.rows + len(blocks), self.kept + len(blocks)
+        if self.kept >= BATCH_BLOCKS:
+            self.flush()
+        return self.file, at
+
+    def flush(self) -> None:
+        blocks, spans = np.concatenate([b for b, _ in self.held]), [s for _, part in self.held for s in part]
+        whole = pa.RecordBatch.from_arrays([as_tensors(blocks), pa.array([a for a, _ in spans], pa.float64()), pa.array([b for _, b in spans], pa.float64())], schema=self.schema)
+        for at in range(0, max(1, len(blocks)), BATCH_BLOCKS):
+            self.writer.write_batch(whole.slice(at, BATCH_BLOCKS))
+        self.held, self.kept = [], 0
+
+    def done(self) -> None:
+        if self.writer is not None:
+            if self.held:
+                self.flush()
+            self.writer.close()
+            self.out.close()
+            self.fs.move(self.attempt, f"{self.root}/{self.file}")
+            self.writer = None
+
+
+class TensorReader:
+    """Rows of the tensor files, one batch of a file held at a time."""
+
+    def __init__(self, path: str):
+        self.fs, self.root = file_system(path)
+        self.name, self.source = None, None
+
+    def rows(self, file: str, at: int, n: int) -> tuple[np.ndarray, list]:
+        if file != self.name:
+            self.close()
+            self.source = self.fs.open_input_file(f"{self.root}/{file}")
+            self.reader, self.name, self.number, self.first, self.batch = pa.ipc.open_file(self.source), file, -1, 0, None
+        blocks, spans = [np.zeros((0, BLOCK_FRAMES, MELS), np.float16)], []
+        if self.batch is not None and at < self.first:
+            self.number, self.first, self.batch = -1, 0, None
+        while n:
+            while self.batch is None or at >= self.first + self.batch.num_rows:
+                self.first += self.batch.num_rows if self.batch is not None else 0
+                self.number += 1
+                self.batch = self.reader.get_batch(self.number)
+            part = self.batch.slice(at - self.first, n)
+            blocks.append(part.column(0).to_numpy_ndarray())
+            spans += zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
+            at, n = at + part.num_rows, n - part.num_rows
+        return np.concatenate(blocks), spans
+
+    def close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+
+
+TIMES = "array<struct<start: double, end: double>>"
+
+
+def write_features(df: DataFrame, path: str, media: str = "media", keep: tuple[str, ...] = ("doc_id",), more: tuple[str, Callable[[bytes | None], tuple]] | None = None) -> DataFrame:
+    """Writes the tensors of all clips to files in path/tensors; the index at path/index: keep, file, first, blocks, segments, and what `more`, (DDL, function), makes of the media."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    extra = list(StructType.fromDDL(more[0])) if more else []
+    made = list(StructType.fromDDL(f"file string, first bigint, blocks int, segments {TIMES}")) + extra
+    chosen = positional(df.select(*map(named, keep), named(media)))
+    schema = StructType(list(chosen.schema.fields[:-1]) + [StructField(f"m{k}", f.dataType) for k, f in enumerate(made)])
+    arrow, many = to_arrow_schema(schema, prefers_large_types=False), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, waiting = TensorWriter(f"{path}/tensors"), []
+        for part in slices(batches, 64):
+            rows = []
+            for m in part.column(many).to_pylist():
+                if m is None:
+                    rows.append((None, None, None, None, *(more[1](m) if more else ())))
+                    continue
+                blocks, spans, segments_ = features(m)
+                file, at = writer.add(blocks, spans)
+                rows.append((file, at, len(blocks), [{"start": a, "end": b} for a, b in segments_], *(more[1](m) if more else ())))
+            columns = [pa.array(c, arrow.field(many + k).type) for k, c in enumerate(zip(*rows, strict=True))]
+            waiting.append(pa.RecordBatch.from_arrays([*(part.column(i).cast(arrow.field(i).type) for i in range(many)), *columns], schema=arrow))
+            if writer.rows >= FILE_BLOCKS:
+                writer.done()
+                yield from waiting
+                waiting = []
+        writer.done()  # rows are given out only once their files are whole
+        yield from waiting
+
+    index = chosen.mapInArrow(run, schema).toDF(*keep, *(f.name for f in made))
+    index.write.parquet(f"{path}/index")
+    return df.sparkSession.read.schema(index.schema).parquet(f"{path}/index")
+
+
+def read_features(index: DataFrame, path: str, compute: Callable[[np.ndarray, list], object], kind: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, and value: what compute makes of each clip's tensors and their spans, read from the files; null where the clip has no features."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    chosen = positional(index.select(*map(named, keep), "file", "first", "blocks"))
+    schema = StructType(list(chosen.schema.fields[:-3]) + [StructField("value", StructType.fromDDL(f"v {kind}")[0].dataType)])
+    arrow, many = to_arrow_schema(schema, prefers_large_types=False), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = TensorReader(f"{path}/tensors")
+        for part in slices(batches):
+            where = zip(*(part.column(many + k).to_pylist() for k in range(3)), strict=True)
+            values = [None if file is None else compute(*reader.rows(file, at, n)) for file, at, n in where]
+            yield pa.RecordBatch.from_arrays([*(part.column(i).cast(arrow.field(i).type) for i in range(many)), pa.array(values, arrow.field(many).type)], schema=arrow)
+        reader.close()
+
+    return chosen.mapInArrow(run, schema).toDF(*keep, "value")
+
+
+def audio_features(df: DataFrame, path: str, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, tensors (blocks of BLOCK_FRAMES x MELS numbers in row order), spans (one a block) and segments, by way of the stored tensors."""
+    index = write_features(df, path, media, keep)
+
+    def value(blocks: np.ndarray, spans: list) -> dict:
+        return {"tensors": blocks.astype(np.float32).reshape(len(blocks), -1).tolist(), "spans": [{"start": a, "end": b} for a, b in spans]}
+
+    names = [f"k{k}" for k in range(len(keep))]
+    read = read_features(index.toDF(*names, *index.columns[len(keep):]), path, value, f"struct<tensors: array<array<float>>, spans: {TIMES}>", (*names, "segments"))
+    return read.select(*names, "value.tensors", "value.spans", "segments").toDF(*keep, "tensors", "spans", "segments")
 
-    def compute(rows: list) -> dict:
-        found = [None if m is None else features(m) for m in rows]
-        times = lambda k: [None if f is None else [{"start": a, "end": b} for a, b in f[k]] for f in found]
-        return {"tensors": [None if f is None else list(f[0].reshape(len(f[0]), BLOCK_FRAMES * MELS)) for f in found], "spans": times(1), "segments": times(2)}
 
-    time = "array<struct<start: double, end: double>>"
-    return map_texts(df, media, f"tensors array<array<float>>, spans {time}, segments {time}", compute, list(keep))
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores, reads back, and digests: feature is the numbers and times of blocks and of segments, and a hash of the tensors that are read back."""
+    path = new_path(spark, "media")
+    stored = write_media(table(spark, sf_dir, "documents"), f"{path}/wav")
 
+    def facts(m: bytes) -> tuple:
+        payload = unwav(m)[0]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest()
 
-def as_tensors(blocks: pa.Array) -> pa.ExtensionArray:
-    """A list column of blocks as Arrow's fixed-shape tensor type."""
-    flat = blocks.flatten() if isinstance(blocks, (pa.ListArray, pa.LargeListArray)) else blocks
-    size = BLOCK_FRAMES * MELS
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (BLOCK_FRAMES, MELS)), pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), size))
+    schema = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+    index = write_features(stored, path, keep=("doc_id", "n_bytes"), more=(schema, facts))
 
+    def digest(blocks: np.ndarray, spans: list) -> str:
+        return f"{len(spans)}:{sum(b - a for a, b in spans):.3f}:{hashlib.sha256(blocks.tobytes()).hexdigest()[:16]}"
 
-def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores, reads back, and digests: feature is the numbers and times of blocks and of segments, and a hash of tensors rounded to 2 places."""
-    stored = write_media(table(spark, sf_dir, "documents"), new_path(spark, "media"))
-
-    def compute(rows: list) -> dict:
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for m in rows:
-            payload, (blocks, *times) = unwav(m)[0], features(m)
-            digest = hashlib.sha256(np.round(blocks, 2).astype("<f4").tobytes()).hexdigest()[:16]
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), ":".join([*(f"{len(t)}:{sum(b - a for a, b in t):.3f}" for t in times), digest]))
-            for k, v in zip(out, values, strict=True):
-                out[k].append(v)
-        return out
-
-    schema = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_texts(stored, "media", schema, compute, ["doc_id", "n_bytes"])
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    read = read_features(index, path, digest, "string", (*columns, "segments"))
+    times = F.aggregate("segments", F.lit(0.0), lambda t, x: t + x["end"] - x["start"])
+    return read.select(*columns, F.concat_ws(":", "value", F.size("segments"), F.format_number(times, "0.000")).alias("feature"))

@@ -9,8 +9,8 @@ is the hash of its symbols' names, and the phrases are the next level's symbols,
 The fingerprint samples the phrase names of all levels that are long enough to be telling: the SKETCH smallest hashes, a bottom-k
 sketch, so that the likeness of two fingerprints estimates the Jaccard coefficient of their phrases. Short texts keep all of theirs.
 
-Defined cases: a null text counts as empty; empty texts have the fingerprint '' and are alike. Rows repeated keep a row each.
-An empty table gives an empty result. Other columns are ignored, whatever their names.
+Defined cases: a null text counts as empty; empty texts have the fingerprint '' and are alike. Rows repeated keep a row each. In the order of
+documents a null id comes first, and rows that share an id are ordered by their text's hash. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -155,18 +155,20 @@ def fingerprint_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
 
 def ranged_with_next(df: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, text, range, own: rows dealt into ranges of doc_id; each range also has, last and not its own, the row that follows it.
+    """doc_id, text, range, th, own: rows dealt into ranges of (doc_id, th, the text's hash), null ids first; each range also has, last and not its own, the row that follows it.
 
-    Only range bounds reach the driver; of the texts none is shuffled twice, but for one a range.
+    Only range bounds reach the driver; of the texts none is shuffled twice, but for one a range. An id that many rows share, or null, fills several
+    ranges, parted by the hash.
     """
     plain = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = plain.where(F.col("doc_id").isNotNull())
-    ranges = ranges or min(MAX_RANGES, max(RANGES, known.count() // ROWS_PER_RANGE))
-    steps = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(known.select(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(10 * ranges))).first()[0] or []))
-    number = F.coalesce(_range_of(bounds)(F.col("doc_id")), F.lit(-1))
-    hashed = plain.withColumn("range", number).withColumn("th", F.xxhash64("text"))
-    heads = written(hashed.select("range", "doc_id", "th").groupBy("range").agg(F.min(F.struct("doc_id", "th")).alias("head")), "heads")
+    ids = plain.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
+    ranges = ranges or min(MAX_RANGES, max(RANGES, ids["n"] // ROWS_PER_RANGE))
+    shares = F.split(F.lit(" ".join(str(k / ranges) for k in range(1, ranges)) or "0.5"), " ").cast("array<double>")  # one literal, once it is folded
+    steps = plain.agg(F.percentile_approx("doc_id", shares, F.lit(10 * ranges)).alias("steps")).first()["steps"] or []
+    nulls = (ids["n"] - ids["known"]) * ranges // max(ids["n"], 1)
+    hashed = plain.withColumn("th", F.xxhash64("text"))
+    hashed = hashed.withColumn("range", _range_of(steps, nulls)(F.col("doc_id"), F.col("th")))
+    heads = written(hashed.select("range", "doc_id", "th").groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th")).alias("head")), "heads")
     firsts = sorted((r["range"], r["head"]["doc_id"], r["head"]["th"]) for r in heads.toLocalIterator())  # one row a range
     if not firsts:
         return hashed.withColumn("own", F.lit(True))
@@ -179,15 +181,22 @@ def ranged_with_next(df: DataFrame, ranges: int | None = None) -> DataFrame:
     return hashed.select("doc_id", "text", "range", "th", F.lit(True).alias("own")).unionByName(ghosts)
 
 
-def _range_of(bounds: list[int]):
-    """A column function: how many bounds are under an id; null stays null."""
-    known = np.array(bounds, np.int64)
+def _range_of(steps: list[int], nulls: int):
+    """A column function: the range of an id and a text's hash. An id that is several steps has as many ranges of equal shares of the hashes, and null has `nulls`."""
+    known, many = np.unique(np.array(steps, np.int64), return_counts=True)
+    starts = max(nulls, 1) + np.r_[0, np.cumsum(np.maximum(many, 1))]
 
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for ids in batches:
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, hashes in batches:
             there = ids.is_valid().to_numpy(zero_copy_only=False)
-            found = np.searchsorted(known, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
-            yield pa.array(found, mask=~there)
+            share = hashes.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5
+            share = np.clip(share, 0, np.nextafter(1, 0))
+            own = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(known, own)
+            hit = np.r_[known, 0][at] == own if len(known) else np.zeros(len(own), bool)
+            hit &= at < len(known)
+            inside = np.where(hit, (share * np.r_[many, 1][at]).astype(np.int64), 0)  # an id between two steps lies in the first range of the later one
+            yield pa.array(np.where(there, starts[at] + inside, (share * max(nulls, 1)).astype(np.int64)).astype(np.int32))
 
     return F.arrow_udf(find, "int")
 

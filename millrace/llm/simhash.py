@@ -4,7 +4,7 @@ A BK-tree over all fingerprints would have to sit in one place. Here the trees a
 are 8 blocks, and two fingerprints with at most r differing bits agree on at least 8 - r whole blocks. Each choice of 8 - r
 blocks is a key; a shard holds the distinct fingerprints of one key, at most 2^(8 r) of them however hot a group of copies is.
 Every fingerprint goes to its C(8, r) shards, so no link is lost; each shard's tree is searched along the edges within the
-radius only, and gives a spanning forest of its links, not its pairs. The forests meet in label propagation over written tables.
+radius only, and what it links is given as a forest. The forests meet in label propagation over written tables.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other. Rows repeated, or sharing a
 doc_id, keep a row each. A null doc_id never names a component while another id is there. Empty tables give empty results.
@@ -23,14 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts, slices, table, written
-from millrace.llm.urlfilter import MAX_BLOCKS, build_filter, maybe_listed
+from millrace.llm.base import map_texts, positional, slices, table, written
+from millrace.llm.urlfilter import build_filter, maybe_listed
 
 BLOCKS, BLOCK_BITS = 8, 8
 #: Queries that search a tree together.
 AT_ONCE = 2048
 #: The pipeline's candidates: at a Jaccard coefficient of 0.8, one pair of 1,600 shares no band.
 BANDS, BAND_ROWS = 14, 4
+#: Sets before it, in a band's own order, that a set of another group meets in the second round.
+BEFORE = 4
 SALTS, FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 FACTORS = FACTORS << np.uint64(1) | np.uint64(1)
 
@@ -201,21 +203,41 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
 
 
-def similar_pairs(df: DataFrame, sketches: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
-    """Pairs (a, b) of names of sets whose Jaccard coefficient is at least `least`. In each band a set meets the first and the one before it."""
-    distinct = sketches.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
+def candidates(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of sets that share a band: each set meets the band's first, and the one before it."""
     order = Window.partitionBy("band").orderBy("node")
-    met = distinct.select(F.col("node").alias("b"), F.first("node").over(order).alias("x"), F.lag("node").over(order).alias("y")).select("b", F.explode(F.array("x", "y")).alias("a"))
-    pairs = written(met.where("a <> b").select("a", "b").distinct(), "near-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    passes = maybe_listed(build_filter(wanted, MAX_BLOCKS))
+    met = banded(sketches).select(F.col("node").alias("b"), F.first("node").over(order).alias("x"), F.lag("node").over(order).alias("y"))
+    return met.select("b", F.explode(F.array("x", "y")).alias("a")).where("a <> b").select("a", "b").distinct()
+
+
+def banded(sketches: DataFrame) -> DataFrame:
+    return sketches.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
+
+
+def candidates_between(sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a band but not a label (node, label): each set meets those of the BEFORE sets before it, in an order of the band's own, that have another label."""
+    known = banded(sketches).join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
+    both = known.select("node", "label", F.array(*[F.lag(F.struct("node", "label"), k).over(order) for k in range(1, BEFORE + 1)]).alias("before"))
+    met = both.select("node", "label", F.explode(F.array_compact("before")).alias("o")).where("label <> o.label")
+    return met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+
+
+def held_sets(df: DataFrame, pairs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """node and hashes: the sets of these pairs."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-wanted")
+    passes = maybe_listed(build_filter(wanted))
 
     def sets(texts: list) -> dict:
         found = [shingle_set(t, shingle) for t in texts]
         return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "hashes": [f.tobytes() for f in found]}
 
     held = map_texts(df, text, "node bigint, hashes binary", sets, []).where(passes(F.xxhash64("node"))).dropDuplicates(["node"])
-    held = written(held.join(wanted, F.col("node") == F.col("key"), "left_semi"), "near-sets")
+    return written(held.join(wanted, F.col("node") == F.col("key"), "left_semi"), "near-sets")
+
+
+def similar_pairs(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard coefficient is at least `least`."""
     one, two = (held.select(F.col("node").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
 
@@ -235,18 +257,25 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """df's rows that stand for their group: one row, with the group's smallest id.
 
     Groups are linked by pairs whose sets of `shingle`-word shingles have a Jaccard coefficient of at least `least`, checked exactly. Candidates share a
-    band of least hashes: at 64 bits of a SimHash, pairs at 0.8 differ in about 10, and no sharding at that radius stays selective.
-    Rows that share an id but not their group are chosen apart; a group whose ids are all null keeps one row.
+    band of least hashes: at 64 bits of a SimHash, pairs at 0.8 differ in about 10, and no sharding at that radius stays selective. In a second round
+    sets of one band that are in different groups so far meet once more, so that a group hangs together whose members aren't all like its first.
+    Rows that share an id but not their group are chosen apart; a group whose ids are all null keeps one row; of equal rows one stays.
     """
 
     def compute(texts: list) -> dict:
         found = [shingle_set(t, shingle) for t in texts]
         return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "bands": [band_keys(f).view(np.int64) for f in found]}
 
-    plain = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    flat = positional(df)
+    id_, text_ = (f"c{df.columns.index(c)}" for c in (id_col, text))
+    plain = flat.select(F.col(id_).alias("doc_id"), F.col(text_).alias("text")).withColumn("mark", F.xxhash64("text"))
     sketches = written(map_texts(plain, "text", "node bigint, bands array<bigint>", compute, ["doc_id", "mark"]), "near-sketches")
-    labels = components(similar_pairs(plain, sketches, "text", shingle, least), "a", "b")
+    pairs = written(candidates(sketches), "near-candidates")
+    held = held_sets(plain, pairs, "text", shingle)
+    links = written(similar_pairs(pairs, held, least), "near-links")
+    more = similar_pairs(written(candidates_between(sketches, components(links, "a", "b")), "near-candidates"), held, least)
+    labels = components(links.unionByName(more), "a", "b")
     grouped = sketches.select("doc_id", "mark", "node").join(labels, "node", "left").groupBy(F.coalesce("label", "node"))
-    best = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.mark").alias("_mark"))
-    chosen = df.withColumn("_m", F.xxhash64(text)).join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi")
-    return chosen.dropDuplicates([id_col, "_m"]).drop("_m")
+    best = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.mark").alias("mark"))
+    chosen = flat.withColumn("m", F.xxhash64(text_)).join(best, F.col(id_).eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")), "left_semi")
+    return chosen.dropDuplicates([id_, "m"]).drop("m").toDF(*df.columns)

@@ -6,11 +6,13 @@ that unknown words still have one. Texts are read as windows of 32 words that ov
 by half; every window of every whole text is scored, and a document scores as its most toxic window, through a logistic
 calibration. Training sees documents, not windows: each step descends along the window that scores highest.
 
-It is fitted on the driver on a sample of at most MAX_PER_CLASS documents of each label, none over MAX_TRAIN_CHARS
-characters, both parameters. Scoring takes the same arrays to every task: their size is bounded by MAX_VOCABULARY.
+A run without white space is cut into words of MAX_WORD characters one after the other, so that unspaced text is read to its end too.
+
+It is fitted on the driver on a sample of at most MAX_PER_CLASS ids of each label; a text over MAX_TRAIN_CHARS characters
+gives so many, in pieces from all over it. Both are parameters. Scoring takes the same arrays to every task: their size is bounded by MAX_VOCABULARY.
 
 Defined cases: null, empty and blank texts score as a window without words. Labels that are null count as none; of several
-labels for one id, the largest counts. With no label of one class, every score is the constant 0.0. Rows repeated keep a row each.
+labels for one id, the largest counts; of several texts for one id, one is learnt from. With no label of one class, every score is the constant 0.0. Rows repeated keep a row each.
 An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -25,26 +27,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import is_held_out, map_texts, table
+from millrace.llm.base import is_held_out, map_texts, sampled, table
 
 MAX_PER_CLASS, MAX_TRAIN_CHARS, MAX_VOCABULARY = 1500, 12_000, 20_000
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8192
 PREFIXES = (9, 8, 7, 6, 5, 4, 3)
-#: The bytes of a word that its character trigrams cover; what follows in a longer run is no word's spelling.
-MAX_WORD_BYTES = 256
+#: Characters of the words that a longer run is cut into.
+MAX_WORD = 64
 #: Windows that advance together, and words whose inputs a worker keeps.
 CHUNK, MAX_CACHE = 4096, 150_000
 EDGE = string.punctuation + "«»“”„’…"
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= MAX_WORD:
+        return words
+    return [w[at : at + MAX_WORD] for w in words for at in range(0, len(w), MAX_WORD)]
 
 
 def char_rows(word: str) -> list[int]:
     """Rows of the word's character trigrams and of its prefixes."""
-    padded = f"^{word}$".encode("utf-8", "surrogatepass")[:MAX_WORD_BYTES]
+    padded = f"^{word}$".encode("utf-8", "surrogatepass")
     return [zlib.crc32(padded[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(padded) - 2))] + [zlib.crc32(padded[:k]) % CHAR_ROWS for k in range(4, min(len(padded), 10))]
 
 
@@ -310,9 +315,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic",
     for value in (0, 1):
         part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.union(part)
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * max_per_class).collect()  # picked: 2 max_per_class rows at most
-    return [r["text"] for r in rows], [r["y"] for r in rows]
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    known = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.struct(F.xxhash64("text").alias("h"), sampled(F.col("text"), max_chars).alias("text")).alias("t"))
+    rows = known.groupBy("doc_id", "y").agg(F.min("t").alias("t")).orderBy("doc_id").collect()  # picked: 2 max_per_class ids at most
+    return [r["t"]["text"] for r in rows], [r["y"] for r in rows]
 
 
 def score_documents(df: DataFrame, model: ToxicityModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,18 +1,19 @@
 """URL filters: a blocked Bloom filter of the listed canonical URLs passes possible hits to an exact hash join.
 
 Rules are (host, path) prefixes that allow or block a host and all its subdomains; the longest that fits wins. The rest is judged by
-a list of canonical URLs. Every URL offers a few keys: each suffix of its host with each path prefix of a length that rules have,
-and its canonical form. Keys that the filter rules out are dropped in the scan; only the possible hits are shuffled, and the join on
-the whole key takes the filter's false positives out. The filter has at most MAX_BLOCKS blocks of 256 bits, whatever the list's size:
-a longer list only lets more keys through to the join.
+a list of canonical URLs. Every URL offers a few keys: each suffix of its host that has as many labels as rules have, with each path prefix of a
+length that rules have, and its canonical form. Keys that the filter rules out are dropped in the scan; only the possible hits are shuffled, and the join on
+the whole key takes the filter's false positives out. The filter has BITS bits a key, up to MAX_BLOCKS blocks of 256 bits: a list too long for that
+only lets more keys through to the join.
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule, and is allowed. A host ends at /, ?, # or
-the end. Repeated rows keep a row each. With rules of equal length on one key, block wins. Empty tables give empty results. Other
-columns are ignored, whatever their names.
+the end; its labels, and a path's characters, may be many. Repeated rows keep a row each. With rules of equal length on one key, block wins.
+Empty tables, lists and rules give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,25 +21,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import table, written
+from millrace.llm.base import named, table, written
 
-WORDS, MAX_BLOCKS = 8, 1 << 16
+#: A filter has BITS bits a key, and at most MAX_BLOCKS blocks, which are 16 MB.
+WORDS, BITS, MAX_BLOCKS = 8, 16, 1 << 19
 #: Odd multipliers that choose one bit in each of a block's eight words.
 SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint64)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Words whose presence as a label of the host puts a URL on the query's list.
-LISTED_LABELS = ("spam-farm", "cheap-pills", "casino", "adult")
+#: The query's list, which stands in for one that is published: the canonical URLs of hosts with one of these labels, and of every LISTED_SHARE-th page by the URL's hash.
+LISTED_LABELS, LISTED_SHARE = ("spam-farm", "cheap-pills", "casino", "adult"), 16
 
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def host_of(url: str) -> Column:
+def host_of(url: str | Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1)), F.lit(""))
 
 
-def path_of(url: str) -> Column:
+def path_of(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
@@ -56,8 +58,12 @@ def _spots(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, np.uint32(1) << bits.astype(np.uint32)
 
 
-def build_filter(keys: DataFrame, blocks: int) -> np.ndarray:
-    """The filter of the column key: each task ORs its keys into blocks, the blocks of all tasks are ORed; at most `blocks` rows reach the driver."""
+def build_filter(keys: DataFrame, blocks: int | None = None) -> np.ndarray:
+    """The filter of the column key: each task ORs its keys into blocks, the blocks of all tasks are ORed; at most `blocks` rows reach the driver.
+
+    blocks: as many as BITS bits a key ask for, a power of two up to MAX_BLOCKS, if it isn't given.
+    """
+    blocks = blocks or min(MAX_BLOCKS, max(64, 1 << math.ceil(math.log2(keys.count() * BITS / (32 * WORDS) + 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.zeros((blocks, WORDS), np.uint32)
@@ -86,25 +92,21 @@ def maybe_listed(filter_: np.ndarray):
     return F.arrow_udf(probe, "boolean")
 
 
-def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: int = MAX_BLOCKS, id_col: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: int | None = None, id_col: str = "page_id", url: str = "url") -> DataFrame:
     """id_col, host, path, rule, verdict, listed. rules: host, path, verdict. listed: key, a canonical URL."""
-    named = rules.select(F.concat(F.col("host"), F.col("path")).alias("key"), F.length("path").alias("n"), F.col("verdict").alias("v"))
-    sizes = sorted(r["n"] for r in named.select("n").distinct().toLocalIterator())  # as many numbers as the longest rule's path has characters, at most
-    every = named.select("key", "v").unionByName(listed.select("key", F.lit(None).cast("string").alias("v"))).distinct()
+    dots = lambda h: F.size(F.split(h, r"\.", -1))
+    named_ = rules.select(F.concat(F.col("host"), F.col("path")).alias("key"), F.length("path").alias("n"), dots("host").alias("labels"), F.col("verdict").alias("v"))
+    shapes = sorted((r["labels"], r["n"]) for r in named_.select("labels", "n").distinct().toLocalIterator())  # the rules' shapes: bounded by the longest rule
+    every = named_.select("key", "v").unionByName(listed.select("key", F.lit(None).cast("string").alias("v"))).distinct()
     every = written(every.groupBy("key").agg(F.max("v").alias("v"), F.max(F.col("v").isNull()).alias("on_list")), "url-keys")
     passes = maybe_listed(build_filter(every, blocks))
 
-    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select(named(id_col).alias("id"), host_of(named(url)).alias("host"), path_of(named(url)).alias("path"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "url-rows")  # so that row stays what it is
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    lengths = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("path"))
-    prefixes = F.transform(lengths, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    own = F.struct(canonical(F.col("host"), F.col("path")).alias("key"), F.lit(True).alias("whole"))
-    offered = F.array_append(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.lit(False).alias("whole"))), own)
-    asked = rows.where("host <> ''").select("row", F.explode(offered).alias("k")).select("row", "k.key", "k.whole")
-    possible = asked.where(passes(F.xxhash64("key")))
+    offered = [F.struct(F.when(dots("host") >= k, F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))).alias("key"), F.lit(False).alias("whole")) for k, n in shapes]
+    offered.append(F.struct(canonical(F.col("host"), F.col("path")).alias("key"), F.lit(True).alias("whole")))
+    asked = rows.where("host <> ''").select("row", F.explode(F.array_distinct(F.array(*offered))).alias("k")).select("row", "k.key", "k.whole")
+    possible = asked.where(F.col("key").isNotNull() & passes(F.xxhash64("key")))
     met = possible.join(every, "key").groupBy("row").agg(
         F.max(F.when(~F.col("whole") & F.col("v").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key"), F.col("v")))).alias("best"),
         F.max(F.col("whole") & F.col("on_list")).alias("on_list"),
@@ -120,10 +122,11 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The query's list: the canonical URLs of pages whose host has a label of LISTED_LABELS."""
+    """The query's list: key, a canonical URL; of the hosts of LISTED_LABELS, and of every LISTED_SHARE-th URL."""
     host = host_of("url")
     bad = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    return pages.where(bad).select(canonical(host, path_of("url")).alias("key"))
+    drawn = F.conv(F.substring(F.md5(canonical(host, path_of("url"))), 1, 8), 16, 10).cast("long") % LISTED_SHARE == 0
+    return pages.where(bad | (drawn & (host != ""))).select(canonical(host, path_of("url")).alias("key")).distinct()
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +141,12 @@ WITH parts AS (
 rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 best AS (
   SELECT r, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM parts, rules
-  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
-SELECT page_id, host, path, rule,
-  coalesce(v, CASE WHEN len(list_intersect(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'casino', 'adult'])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN best USING (r)
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+bare AS (
+  SELECT r, host, CASE WHEN host = '' THEN '' ELSE regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '(/index\.html?|/)$', '') END AS key FROM parts),
+listed AS (
+  SELECT DISTINCT key FROM bare WHERE key <> '' AND (
+    len(list_intersect(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'casino', 'adult'])) > 0 OR ('0x' || md5(key)[1:8])::BIGINT % 16 = 0))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts JOIN bare USING (r, host) LEFT JOIN best USING (r)
 """

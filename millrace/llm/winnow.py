@@ -4,17 +4,20 @@ A run is RUN_WORDS words in a row; its hash is a polynomial over the words' hash
 space). Runs that start with a unit or end with one are kept, and inside units of RUN_WORDS words or more the least of every WINDOW
 neighbouring runs. So kept runs cover each passage of MIN_WORDS words that is made of whole units, and a passage of RUN_WORDS + 2 * (WINDOW - 1)
 words shares kept runs wherever it is cut: they touch, and WINDOW - 1 words at most lie outside them at either end.
-A run that stands in several places is matched with the first place (smallest doc_id, then position).
+A line of MIN_LINE to RUN_WORDS - 1 words is a run of its own, which meets whole lines only.
+A run that stands in several places is matched with the first place (smallest doc_id, then text hash and position).
 Matches of one document that touch form a chain; at both of its ends the words beside the first place are compared one by one with the
 document's, WINDOW - 1 at most, as no more can lie between a passage's end and its nearest kept run. Chains that touch are merged, and
-MIN_WORDS words or more in a row are deleted.
+MIN_WORDS words or more in a row are deleted; of shorter ones the lines of MIN_LINE words or more that they cover from end to end.
+Words are what ASCII white space parts, so that indents and line ends of either kind make no difference.
 
-No group is ever gathered: the places of a run pass by in order, and each meets the first one, not its peers. Places that overlap the
-first one in its own document don't count, nor do words that are part of it. Words are what ASCII white space parts.
+The places of a run pass by in order, and each meets the first one, not its peers; rows that repeat id and text pass by once. Places that overlap the
+first one in its own document don't count, nor do words that are part of it. A match is known by the 64 bits of its run's hash; that two texts share it
+by chance would show as a chain of RUN_WORDS words that doesn't go on, too short to be deleted.
 
 Defined cases: null, empty and blank texts pass unchanged. Rows that repeat both id and text count as one document and are treated
 alike. A null id sorts before all others. A document all of whose words go has the text ''. Empty tables give empty results.
-Columns other than id and text are carried along, whatever their names.
+Columns other than id and text are carried along, whatever their names; the new columns' names get further underscores where they are taken.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices, table, written
-from millrace.llm.urlfilter import MAX_BLOCKS, build_filter, maybe_listed
+from millrace.llm.base import positional, slices, table, written
+from millrace.llm.urlfilter import build_filter, maybe_listed
 
-RUN_WORDS, WINDOW, MIN_WORDS = 12, 12, 23
+RUN_WORDS, WINDOW, MIN_WORDS, MIN_LINE = 12, 12, 23, 5
 #: Bytes of texts that are cut into words at once, but for longer texts.
 AT_ONCE = 1 << 18
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -98,13 +101,16 @@ def slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return x
 
 
-def kept_runs(hashes: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, run_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    return np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes) + 1)[1][:-1], dtype=np.uint64)]
+
+
+def kept_runs(sums: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, run_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the runs that are kept, for the words of several documents one after the other."""
     first = np.flatnonzero(doc[run_words - 1 :] == doc[: max(len(doc) - run_words + 1, 0)])
     if not len(first):
-        return first, hashes[:0]
-    up, down = powers(len(hashes) + 1)
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)]
+        return first, sums[:0]
+    up = powers(len(sums))[0]
     run, own = mixed((sums[first + run_words] - sums[first]) * up[first]), doc[first]
     begins = np.r_[True, own[1:] != own[:-1]]
     at = np.arange(len(run)) + np.cumsum(begins) * (window - 1)  # a window's gap before each document
@@ -119,11 +125,24 @@ def kept_runs(hashes: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarra
     return first[keep], run[keep]
 
 
-def run_rows(df: DataFrame, run_words: int, window: int) -> DataFrame:
-    """Kept runs: doc_id, run, and place: the first word, and 32 bits of the text's hash."""
+def line_starts(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """The first words of the lines that have words, and the number of all words."""
+    return np.unique(np.r_[0, np.searchsorted(starts, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)), len(starts)])
+
+
+def short_lines(raw: bytes, starts: np.ndarray, sums: np.ndarray, least: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, hashes and numbers of words of the lines of `least` to run_words - 1 words."""
+    edges = line_starts(raw, starts)
+    sizes = np.diff(edges)
+    first, n = edges[:-1][(sizes >= least) & (sizes < run_words)], sizes[(sizes >= least) & (sizes < run_words)]
+    return first, mixed((sums[first + n] - sums[first]) * powers(len(sums))[0][first] ^ n.astype(np.uint64) * np.uint64(BASE)), n
+
+
+def run_rows(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
+    """Kept runs: doc_id, mark (the text's hash), run, and place: 256 times the first word, plus the number of words."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), StructField("run", LongType()), StructField("place", LongType())])
+    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *(StructField(k, LongType()) for k in ("mark", "run", "place"))])
 
     def together(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         start, size, raws = 0, 0, []
@@ -137,112 +156,118 @@ def run_rows(df: DataFrame, run_words: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            marks = part.column(2).to_numpy(zero_copy_only=False)
             for start, raws in together(part):
                 raw = b"\n".join(raws) + b"\n"
                 starts, ends, hashes = words_of(raw)
+                if not len(starts):
+                    continue
                 doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")
-                first, h = kept_runs(hashes, unit_marks(raw, starts, ends, run_words), doc, run_words, window)
+                sums = prefix_sums(hashes)
+                first, h = kept_runs(sums, unit_marks(raw, starts, ends, run_words), doc, run_words, window)
+                lines, of_lines, n = short_lines(raw, starts, sums, min_line, run_words)
+                first, h, n = np.r_[first, lines], np.r_[h, of_lines], np.r_[np.full(len(first), run_words), n]
                 own = doc[first]
-                place = ((first - np.searchsorted(doc, own)) << 32) | marks[start + own]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(start + own)), pa.array(h.view(np.int64)), pa.array(place)], names=schema.names)
+                place = (first - np.searchsorted(doc, own) << 8) + n
+                at = pa.array(start + own)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(h.view(np.int64)), pa.array(place)], names=schema.names)
 
-    return df.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, schema)
+    return df.select("doc_id", "text", "mark").mapInArrow(run, schema)
 
 
 def first_places(runs: DataFrame) -> DataFrame:
-    """doc_id and place of each run's places but the first, beside f_id and f_place, the first one."""
+    """doc_id, mark and place of each run's places but the first, beside f_id, f_mark and f_place, the first one."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     kind = runs.schema["doc_id"].dataType
-    schema = StructType([StructField("doc_id", kind), StructField("place", LongType()), StructField("f_id", kind), StructField("f_place", LongType())])
+    schema = StructType([StructField(p + k, kind if k == "id" else LongType()) for p, ks in (("doc_", ("id",)), ("", ("mark", "place")), ("f_", ("id", "mark", "place"))) for k in ks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the first place of the last run, which may go on in the next batch
+        held: list[pa.RecordBatch] = []  # the first place of the last run, which may go on in the next batch, and the last row
         for batch in batches:
             if not batch.num_rows:
                 continue
-            joined = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            keys = joined.column(1).to_numpy()
+            joined, n = pa.Table.from_batches([*held, batch]).combine_chunks(), len(held)
+            keys, marks, places = (joined.column(k).to_numpy() for k in (2, 1, 3))
+            ids = joined.column(0).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             begins = np.r_[True, keys[1:] != keys[:-1]]
+            again = np.r_[False, (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1]) & (marks[1:] == marks[:-1]) & (places[1:] == places[:-1])]
             lead = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
-            mine, first = joined.take(pa.array(np.flatnonzero(~begins))), joined.take(pa.array(lead[~begins]))
-            held = joined.slice(int(lead[-1]), 1).to_batches()[0]
-            columns = [t.column(k).combine_chunks() for t in (mine, first) for k in (0, 2)]
+            mine = ~begins & ~again & (np.arange(len(keys)) >= n)
+            columns = [t.column(k).combine_chunks() for t in (joined.take(pa.array(np.flatnonzero(mine))), joined.take(pa.array(lead[mine]))) for k in (0, 1, 3)]
+            held = [part for at in (int(lead[-1]), len(keys) - 1) for part in joined.slice(at, 1).to_batches()]
             yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=schema.names)
 
-    return runs.repartition(F.col("run")).sortWithinPartitions("run", "doc_id", "place").mapInArrow(run, schema)
+    return runs.repartition(F.col("run")).sortWithinPartitions("run", "doc_id", "mark", "place").mapInArrow(run, schema)
 
 
 def word_of(place: str):
-    return F.shiftright(place, 32)
+    return F.shiftright(place, 8)
 
 
-def mark_of(place: str):
-    return F.col(place).bitwiseAND(F.lit(0xFFFFFFFF))
+def words_in(place: str):
+    return F.col(place).bitwiseAND(F.lit(255))
 
 
-def neighbours(df: DataFrame, wanted: DataFrame, run_words: int, reach: int) -> DataFrame:
-    """f_id, f_place, near: 32 bits of the hashes of the `reach` words before each wanted run, nearest first, and after it; 0 outside the text."""
+def neighbours(df: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """f_id, f_mark, f_place, near: 32 bits of the hashes of the `reach` words before each wanted run, nearest first, and after it; 0 outside the text."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    by_doc = written(wanted.groupBy("f_id", mark_of("f_place").alias("f_mark")).agg(F.collect_list("f_place").alias("places")), "runs-wanted")
-    passes = maybe_listed(build_filter(by_doc.select(F.struct("f_id", "f_mark").alias("key")), MAX_BLOCKS))  # other texts needn't be moved
-    docs = df.select(F.col("doc_id").alias("f_id"), "text", text_mark().alias("f_mark"))
-    docs = docs.where(passes(F.xxhash64(F.struct("f_id", "f_mark")))).withColumnsRenamed({"f_id": "id", "f_mark": "mark"})
-    joined = docs.join(by_doc, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))).select("f_id", "text", "places")
-    schema = StructType([df.select(F.col("doc_id").alias("f_id")).schema["f_id"], wanted.schema["f_place"], StructField("near", BinaryType())])
+    by_doc = written(wanted.groupBy("f_id", "f_mark").agg(F.collect_set("f_place").alias("places")), "runs-wanted")
+    passes = maybe_listed(build_filter(by_doc.select(F.struct("f_id", "f_mark").alias("key"))))  # other texts needn't be moved
+    docs = df.select(F.col("doc_id").alias("id"), "mark", "text")
+    docs = docs.where(passes(F.xxhash64(F.struct(F.col("id").alias("f_id"), F.col("mark").alias("f_mark")))))
+    joined = docs.join(by_doc, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))).select("f_id", "f_mark", "text", "places")
+    schema = StructType([*wanted.select("f_id", "f_mark", "f_place").schema.fields, StructField("near", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             own, places, near = [], [], []
-            for k, (raw, found) in enumerate(zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            for k, (raw, found) in enumerate(zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 short = np.pad(short_hashes(words_of(raw)[2]), reach)
                 for place in found:
-                    at = (place >> 32) + reach
+                    at, n = (place >> 8) + reach, place & 255
                     own.append(k)
                     places.append(place)
-                    near.append(np.r_[short[at - reach : at][::-1], short[at + run_words : at + run_words + reach]].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array(places, pa.int64()), pa.array(near, pa.binary())], names=schema.names)
+                    near.append(np.r_[short[at - reach : at][::-1], short[at + n : at + n + reach]].tobytes())
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(places, pa.int64()), pa.array(near, pa.binary())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).dropDuplicates(["f_id", "f_place"])
+    return joined.mapInArrow(run, schema).dropDuplicates(["f_id", "f_mark", "f_place"])
 
 
 def short_hashes(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def text_mark():
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def repeats(df: DataFrame, run_words: int, window: int) -> DataFrame:
-    """doc_id, mark, spans: chains of matches (first word of the first and of the last run), each twice, with what stands beside the first place of
-    its first and of its last run, and how many of those words may count."""
-    found = first_places(run_rows(df, run_words, window))
-    own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (mark_of("place") == mark_of("f_place"))
-    apart = F.when(own, word_of("place") - word_of("f_place") - run_words).otherwise(F.lit(window - 1))
-    found = found.select("doc_id", mark_of("place").alias("mark"), word_of("place").alias("at"), F.struct("f_id", "f_place", F.least(apart, F.lit(window - 1)).alias("reach")).alias("f")).where("f.reach >= 0")
-    order = Window.partitionBy("doc_id", "mark").orderBy("at")
-    starts = found.withColumn("_new", F.when(F.col("at") - F.lag("at").over(order) <= run_words, 0).otherwise(1))
-    end = F.struct("at", "f")
-    chains = starts.withColumn("_chain", F.sum("_new").over(order)).groupBy("doc_id", "mark", "_chain").agg(F.min_by(end, "at").alias("a"), F.max_by(end, "at").alias("b"))
+def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
+    """doc_id, mark, spans: chains of matches (first word, and the one after the last), each twice, with what stands beside the first place of
+    its first and of its last run, and how many of those words may count. A document's spans are no more than its words."""
+    found = first_places(run_rows(df, run_words, window, min_line))
+    own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
+    apart = F.when(own, word_of("place") - word_of("f_place") - words_in("f_place")).otherwise(F.lit(window - 1))
+    first = F.struct("f_id", "f_mark", "f_place", F.least(apart, F.lit(window - 1)).alias("reach"))
+    found = found.select("doc_id", "mark", word_of("place").alias("at"), (word_of("place") + words_in("place")).alias("end"), first.alias("f")).where("f.reach >= 0")
+    order = Window.partitionBy("doc_id", "mark").orderBy("at", "end")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = found.withColumn("_new", F.when(F.col("at") <= upto, 0).otherwise(1))
+    one = F.struct("at", "end", "f")
+    chains = starts.withColumn("_chain", F.sum("_new").over(order)).groupBy("doc_id", "mark", "_chain").agg(F.min_by(one, "at").alias("a"), F.max_by(one, "end").alias("b"))
     ends = F.array(F.struct(F.lit(0).alias("side"), F.col("a.f").alias("f")), F.struct(F.lit(1).alias("side"), F.col("b.f").alias("f")))
-    rows = chains.select("doc_id", "mark", F.col("a.at").alias("a"), F.col("b.at").alias("b"), F.explode(ends).alias("e"))
-    rows = written(rows.select("doc_id", "mark", "a", "b", "e.side", "e.f.f_id", "e.f.f_place", "e.f.reach"), "runs-met")
-    near = neighbours(df, rows.select("f_id", "f_place").distinct(), run_words, window - 1).withColumnsRenamed({"f_id": "_id", "f_place": "_place"})
-    known = rows.join(near, F.col("f_id").eqNullSafe(F.col("_id")) & (F.col("f_place") == F.col("_place")))
+    rows = chains.select("doc_id", "mark", F.col("a.at").alias("a"), F.col("b.end").alias("b"), F.explode(ends).alias("e"))
+    rows = written(rows.select("doc_id", "mark", "a", "b", "e.side", "e.f.f_id", "e.f.f_mark", "e.f.f_place", "e.f.reach"), "runs-met")
+    near = neighbours(df, rows.select("f_id", "f_mark", "f_place").distinct(), window - 1).withColumnsRenamed({"f_id": "_id", "f_mark": "_mark", "f_place": "_place"})
+    known = rows.join(near, F.col("f_id").eqNullSafe(F.col("_id")) & (F.col("f_mark") == F.col("_mark")) & (F.col("f_place") == F.col("_place")))
     return known.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b", "side", "reach", "near")).alias("spans"))
 
 
-def without(text: str, spans: list, run_words: int, min_words: int) -> tuple[str, int, int]:
-    """The text without the merged chains that have min_words words, and the whole units and the words that went."""
+def without(text: str, spans: list, min_words: int, min_line: int) -> tuple[str, int, int]:
+    """The text without the merged chains that have min_words words and the whole lines in shorter ones, and the whole units and the words that went."""
     raw = text.encode("utf-8", "surrogatepass")
     starts, ends, hashes = words_of(raw)
     short, n = short_hashes(hashes), len(starts)
     step = np.zeros(n + 1, np.int64)
     for s in spans:
-        a, b, reach = s["a"], s["b"] + run_words, s["reach"]
+        a, b, reach = s["a"], s["b"], s["reach"]
         theirs = np.frombuffer(s["near"], np.uint32).reshape(2, -1)[s["side"], :reach]
         mine = short[b : b + reach] if s["side"] else short[max(0, a - reach) : a][::-1]
         same = np.r_[mine[: len(theirs)] == theirs[: len(mine)], False]
@@ -250,47 +275,61 @@ def without(text: str, spans: list, run_words: int, min_words: int) -> tuple[str
         a, b = (a, b + more) if s["side"] else (a - more, b)
         step[a] += 1
         step[b] -= 1
-    edge = np.diff(np.r_[False, np.cumsum(step[:-1]) > 0, False].astype(np.int8))
-    gone, out, at = np.zeros(n, np.int64), [], 0
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        if b - a >= min_words:
-            gone[a:b] = 1
-            before, after = int(ends[a - 1]) if a else 0, int(starts[b]) if b < n else len(raw)
-            left, right = raw[before : starts[a]], raw[ends[b - 1] : after]
-            out += [raw[at:before], right if b"\n" in right and b"\n" not in left else left]  # what parts lines stays
-            at = after
+    covered = np.cumsum(step[:-1]) > 0
+    gone = np.zeros(n, bool)
+    for a, b in bounds(covered):
+        gone[a:b] = b - a >= min_words
+    lines = line_starts(raw, starts)
+    sizes = np.diff(lines)
+    gone |= np.repeat((np.add.reduceat(covered.astype(np.int64), lines[:-1]) == sizes) & (sizes >= min_line), sizes)
+    out, at = [], 0
+    for a, b in bounds(gone):
+        before, after = int(ends[a - 1]) if a else 0, int(starts[b]) if b < n else len(raw)
+        left, right = raw[before : starts[a]], raw[ends[b - 1] : after]
+        out += [raw[at:before], right if b"\n" in right and b"\n" not in left else left]  # what parts lines stays
+        at = after
     left = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-    sizes = units(raw)[3] if gone.any() else gone[:0]
+    sizes = units(raw)[3] if gone.any() else np.zeros(0, np.int64)
     upto, removed = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(gone)]
     return left if left.strip() else "", int((removed[upto[1:]] - removed[upto[:-1]] == sizes).sum()), int(gone.sum())
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def bounds(flags: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the rows of true flags."""
+    edge = np.diff(np.r_[False, flags, False].astype(np.int8))
+    return zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    return fresh(name + "_", taken) if name in taken else name
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, window: int = WINDOW, min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
     """df with its text cut, and _units_removed, _words_removed."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructField, StructType
 
-    plain = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    found = repeats(plain, run_words, window).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    marked = df.withColumn("_m", F.xxhash64(F.col(text)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    joined = marked.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left").select(*df.columns, "_spans")
-    at = df.columns.index(text)
-    schema = StructType([*df.schema.fields, StructField("_units_removed", LongType()), StructField("_words_removed", LongType())])
-    arrow = to_arrow_schema(schema)
+    flat, at = positional(df), df.columns.index(text)
+    own = flat.withColumn("m", F.xxhash64(f"c{at}"))
+    plain = own.select(F.col(f"c{df.columns.index(id_col)}").alias("doc_id"), F.col(f"c{at}").alias("text"), F.col("m").alias("mark"))
+    found = repeats(plain, run_words, window, min_line)
+    joined = own.join(found, F.col(f"c{df.columns.index(id_col)}").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left").select(*flat.columns, "spans")
+    schema = StructType([*flat.schema.fields, StructField("units", LongType()), StructField("words", LongType())])
+    arrow, many = to_arrow_schema(schema), len(flat.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            has = part.column(len(df_columns)).is_valid()
-            columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(df_columns))]
-            cut = [without(t, s, run_words, min_words) if t else (t, 0, 0) for t, s in zip(part.column(at).filter(has).to_pylist(), part.column(len(df_columns)).filter(has).to_pylist(), strict=True)]
+            has = part.column(many).is_valid()
+            columns = [part.column(i).cast(arrow.field(i).type) for i in range(many)]
+            cut = [without(t, s, min_words, min_line) if t else (t, 0, 0) for t, s in zip(part.column(at).filter(has).to_pylist(), part.column(many).filter(has).to_pylist(), strict=True)]
             removed = np.zeros((2, part.num_rows), np.int64)
             if cut:  # the other texts never become Python strings
                 columns[at] = pc.replace_with_mask(columns[at], has, pa.array([c[0] for c in cut], arrow.field(at).type))
                 removed[:, has.to_numpy(zero_copy_only=False)] = [[c[k] for c in cut] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed[0]), pa.array(removed[1])], schema=arrow)
 
-    df_columns = df.columns
-    return joined.mapInArrow(run, schema)
+    names = [*df.columns, *(fresh(k, df.columns) for k in ("_units_removed", "_words_removed"))]
+    return joined.mapInArrow(run, schema).toDF(*names)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

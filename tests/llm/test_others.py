@@ -105,12 +105,15 @@ def test_media(spark, tmp_path):
         text = next(t for i, t, _ in rows if i == r.doc_id) or ""
         payload = media.unwav(r.media)[0]
         assert len(payload) % 64 == 0 and len(payload) > 0 and payload[: r.n_bytes] == text.encode() and not payload[r.n_bytes :].strip(b"\0")
-    found = media.audio_features(stored).collect()
-    assert len(found) == 5 and all(len(r.tensors) == len(r.spans) and all(len(b) == media.BLOCK_FRAMES * media.MELS for b in r.tensors) for r in found)
-    blocks = np.zeros((2, media.BLOCK_FRAMES * media.MELS), np.float32)
-    import pyarrow as pa
-
-    assert media.as_tensors(pa.array([list(blocks)], pa.list_(pa.list_(pa.float32()))).flatten()).type.shape == [media.BLOCK_FRAMES, media.MELS]
+    blank = stored.select(F.lit(9).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("media"), "n_bytes").limit(1)
+    found = media.audio_features(stored.select("doc_id", "media", "n_bytes").unionByName(blank), new_path(spark, "t")).collect()
+    assert len(found) == 6 and {r.doc_id for r in found if r.tensors is None} == {9}
+    wavs = {r.doc_id: r.media for r in stored.collect()}
+    for r in found[:5] if found[-1].doc_id == 9 else [r for r in found if r.tensors is not None]:
+        blocks, spans, segments = media.features(wavs[r.doc_id])
+        assert np.array_equal(np.array(r.tensors, np.float32).reshape(blocks.shape), blocks.astype(np.float16).astype(np.float32))
+        assert [tuple(x) for x in r.spans] == spans and [tuple(x) for x in r.segments] == segments
+    assert media.as_tensors(np.zeros((2, media.BLOCK_FRAMES, media.MELS))).type.shape == [media.BLOCK_FRAMES, media.MELS]
     assert media.segments(np.r_[np.zeros(20), np.ones(10) * 5, np.zeros(20)]) == [(20, 30)]
 
 
@@ -122,7 +125,7 @@ def test_media_features_keep_every_frame():
         blocks, spans, segments = media.features(media.wav(samples))
         assert len(blocks) == len(spans) == -(-len(mels) // media.BLOCK_FRAMES)
         assert np.array_equal(blocks.reshape(-1, media.MELS)[: len(mels)], mels)
-        assert spans[0][0] == 0 and spans[-1][1] == pytest.approx(len(mels) * 0.032) and all(b == c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+        assert spans[0][0] == 0 and spans[-1][1] == pytest.approx(len(mels) * 0.024) and all(b == c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
         assert all(0 <= a < b <= spans[-1][1] for a, b in segments)
 
 
