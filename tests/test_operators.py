@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators import cascade, chunker, extract, graph, ledger, resolve
+from millrace.operators import ann, cascade, chunker, extract, graph, ledger, paging, resolve, views
 from millrace.sources import html, loadfiles
 
 EDGES = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7), (7, 7), (1, 2)]
@@ -142,3 +142,125 @@ def test_overwrite_is_idempotent(spark, tmp_path):
         ledger.overwrite_partitions(df, str(tmp_path / "t"), "k")
     ledger.overwrite_partitions(df.where("k = 1").withColumn("v", F.lit("c")), str(tmp_path / "t"), "k")
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "c"), (2, "b")}
+
+
+def test_index_of_cells(spark):
+    """Recall of the approximate search, and the exact one against brute force; a vector that many rows share is one in the index."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((30, 16))[rng.integers(0, 30, 1500)] + 0.6 * rng.standard_normal((1500, 16))
+    x[200:500] = x[200]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, v array<double>")
+    centres = ann.fit(df, "v", 36)
+    index, ids = ann.build(df, "id", "v", centres)
+    assert index.count() == 1201 and ids.count() == 1500
+    asked = df.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("vector"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    distinct = [i for i in range(1500) if i <= 200 or i >= 500]
+    want = {q: sorted(distinct, key=lambda i, q=q: (-round(float(u[i] @ u[q]), 6), i))[:10] for q in range(0, 1500, 50)}
+
+    def found(exact):
+        out = {}
+        for r in ann.search(index, centres, asked, 10, 8, exact).orderBy("q", F.desc("similarity"), "key").collect():
+            out.setdefault(r.q, []).append(r.key)
+        return out
+
+    assert found(True) == want
+    near = found(False)
+    assert np.mean([len(set(near[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def test_betweenness_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)})
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, level = {s: 0}, [s]
+        while level:
+            level = sorted({w for v in level for w in near[v]} - set(depth))
+            depth |= dict.fromkeys(level, max(depth.values()) + 1)
+        paths = {s: [[s]]}
+        for v in sorted(depth, key=depth.get):
+            if v != s:
+                paths[v] = [p + [v] for w in near[v] if depth[w] == depth[v] - 1 for p in paths[w]]
+        for t, every in paths.items():
+            for p in every:
+                for v in p[1:-1]:
+                    total[v] += 1 / len(every)
+    most = max(1.0, *total.values())
+    got = {r.node: r.betweenness for r in graph.betweenness(edges(spark, rows)).collect()}
+    assert got == pytest.approx({v: b / most for v, b in total.items()})
+
+
+def test_numbers_of_rows(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k").repartition(7)
+    got = paging.numbered(df, ["k"], "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, 1001)) and all(r.n == r.k + 1 for r in got)
+    a, b = spark.createDataFrame([(3,), (1,)], "k long"), spark.createDataFrame([(9,), (7,), (8,)], "k long")
+    assert sorted((r.i, r.a_k, r.b_k) for r in resolve.by_position(a, b, "k").collect()) == [(1, 1, 7), (2, 3, 8), (3, None, 9)]
+
+
+def test_views(spark):
+    folder = views.new_folder(spark)
+    live = lambda: spark.range(3)
+    assert views.saved(spark, f"{folder}/v", live).count() == 3
+    for n in (5, 6):
+        views.refresh(spark.range(n), f"{folder}/v")
+    assert views.saved(spark, f"{folder}/v", live).count() == 6 and len(views.versions(spark, f"{folder}/v")) == 2
+
+
+def test_bounded_marks_and_votes(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else "true") for i in range(10)], "id long, flag string")
+    left = []
+    for _ in range(4):
+        rows = spark.createDataFrame(ledger.mark(rows, F.col("id") > 1, "flag", "id", 3).collect(), rows.schema)
+        left.append(rows.where("flag IS NULL AND id > 1").count())
+    assert left == [2, 0, 0, 0]
+    log = spark.createDataFrame([(1, "up"), (1, "down"), (2, "up")], "i long, k string")
+    assert {tuple(r) for r in ledger.tally(log, "i", "k", {"u": "up", "d": "down"}).collect()} == {(1, 1, 1), (2, 1, 0)}
+    with pytest.raises(Exception, match="unknown vote"):
+        ledger.tally(log, "i", "k", {"u": "up"}).collect()
+
+
+def brute_chunks(body, sizes):
+    """Paragraphs, or sentences of long ones, one after the other: a piece goes to the open chunk if there is room."""
+    if len(body) <= sizes.most:
+        return [body]
+    room, pieces = sizes.most - sizes.overlap - 2, []
+    for paragraph in [p.strip() for p in body.split("\n\n")]:
+        if len(paragraph) <= room:
+            pieces.append(("\n\n", paragraph))
+            continue
+        parts, held = [], ""
+        for sentence in paragraph.replace("! ", "!\0").replace("? ", "?\0").replace(". ", ".\0").split("\0"):
+            for part in [sentence[k : k + room] for k in range(0, len(sentence), room)]:
+                if held and len(held) + 1 + len(part) > room:
+                    parts.append(held)
+                    held = ""
+                held = held + " " + part if held else part
+        pieces += [("\n\n", p) for p in [*parts, held]]
+    chunks = []
+    for gap, p in pieces:
+        if chunks and len(chunks[-1]) + len(gap) + len(p) <= room:
+            chunks[-1] += gap + p
+        else:
+            chunks.append(p)
+    if len(chunks) > 1 and len(chunks[-1]) < sizes.least and len(chunks[-2]) + 2 + len(chunks[-1]) <= sizes.most:
+        chunks[-2:] = [chunks[-2] + "\n\n" + chunks[-1]]
+    return chunks[:1] + [f"{a[-sizes.overlap:].strip()}\n\n{b}" for a, b in zip(chunks, chunks[1:], strict=False)]
+
+
+def test_chunks_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9)))
+    paragraph = lambda: " ".join(" ".join(word() for _ in range(rng.randint(3, 40))) + rng.choice(".!?") for _ in range(rng.randint(1, 25)))
+    texts = ["\n\n".join(paragraph() for _ in range(rng.randint(1, 9))) for _ in range(40)] + ["x" * 5000, "short", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunker.chunk_documents(df).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == (brute_chunks(t, chunker.Sizes()) if t else [])
