@@ -315,4 +315,4 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
     read = read_features(index, path, digest, "string", (*columns, "segments"))
     times = F.aggregate("segments", F.lit(0.0), lambda t, x: t + x["end"] - x["start"])
-    return read.select(*columns, F.concat_ws(":", "value", F.size("segments"), F.format_number(times, "0.000")).alias("feature"))
+    return read.select(*columns, F.concat_ws(":", "value", F.size("segments"), F.round(times, 3).cast("decimal(18,3)").cast("string")).alias("feature"))
