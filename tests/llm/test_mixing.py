@@ -47,6 +47,19 @@ def test_rows_are_repeated(spark):
     assert counts == {k: v for k, v in times.items() if v}
 
 
+def test_equal_rows_have_their_own_fate(spark):
+    data = [(None, "w w", "x", i % 2) for i in range(100)] + [(5, "a b c", "y", 0)] * 30 + [(6, None, "y", 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n int").withColumnsRenamed({"n": "_copy"})
+    mixed = mixing.mix(df, (1.0,), 1.5).collect()
+    total = sum(r.taken for r in mixed)
+    assert len(mixed) == 131 and 1.5 * 290 - 3 <= total <= 1.5 * 290
+    out = mixing.mixed_rows(df, (1.0,), 1.5)
+    rows = out.collect()
+    assert out.columns == df.columns and sum(len(r.text.split()) for r in rows) == total
+    assert sum(r.doc_id is None for r in rows) == sum(r.times for r in mixed if r.doc_id is None)
+    assert abs(sum(r["_copy"] for r in rows) - 75) <= 2
+
+
 @pytest.mark.parametrize("data", [[], [(1, None, None)], [(1, "", "a"), (1, "", "a")], [(None, "a b", "x"), (None, "a b", "x")]])
 def test_defined_cases(spark, data):
     got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), (3.0,), 1.5).collect()

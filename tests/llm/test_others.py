@@ -46,6 +46,79 @@ def test_filter_has_no_false_negatives(spark):
     assert some.where(urlfilter.maybe_listed(urlfilter.build_filter(keys, 1 << 12))(F.xxhash64("key"))).count() < 100
 
 
+def test_urls_of_any_length(spark):
+    rows = [(1, "http://" + "a." * 5000 + "example.org/es/" + "x" * 100_000), (2, "http://" + "b." * 8000 + "net/" + "y" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("b." * 8000 + "net/" + "y" * 50_000,)], "key string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(df, urlfilter.rule_table(spark), listed).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: (None, "block")}
+    assert urlfilter.judge(df.limit(0), urlfilter.rule_table(spark), listed.limit(0)).collect() == []
+
+
+def test_listed_urls_and_false_positives(spark):
+    urls = [f"http://h{i}.net/p{i % 7}/" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.net/p{i % 7}",) for i in range(0, 600, 5)], "key string")
+    for blocks in (1, None):  # of 256 bits: most keys pass a filter of one block, and the join takes them out
+        got = urlfilter.judge(df, urlfilter.rule_table(spark), listed, blocks).collect()
+        assert {r.page_id for r in got if r.verdict == "block"} == set(range(0, 600, 5)) == {r.page_id for r in got if r.listed}
+
+
+def planted(spark, folder, rows):
+    """documents of (doc_id, text, lang) and labels of toxic."""
+    spark.createDataFrame([(i, t, lang, "s") for i, t, lang, _ in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, _, y in rows if y is not None], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_queries_of_models(spark, tmp_path):
+    """op6 and op9 on planted documents: all texts long, some rows repeated thousands of times, null, blank and unspaced ones."""
+    rng = random.Random(9)
+    sets = {"aa": ["th", "ing", "er"], "bb": ["ção", "os", "ue"]}
+    words = lambda k, n: ["".join(rng.choice(sets[k]) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+
+    def text(k, bad):
+        out = words(k, 2600)  # over both models' bounds
+        for at in range(20, len(out), 40) if bad else ():
+            out[at] = rng.choice(["zork!", "Blarg", "snarf"])
+        return " ".join(out)
+
+    rows = [(i, text("ab"[i % 2] * 2, i % 3 == 0), "ab"[i % 2] * 2, int(i % 3 == 0)) for i in range(120)]
+    rows += [(500, rows[1][1][:300], "bb", 0)] * 3000 + [(900, None, "aa", 1), (901, "", None, None), (902, "123 ..", None, None), (903, "thinger" * 900, None, None)]
+    planted(spark, tmp_path, rows)
+    got = {r.doc_id: r for r in langid.op6_language_id(spark, str(tmp_path)).collect()}
+    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"] and all(0 <= r.score <= 1 for r in got.values())
+    assert np.mean([got[i].lang_pred == lang for i, _, lang, _ in rows[:120]]) > 0.97 and {i for i, r in got.items() if r.held_out} == {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
+    scored = toxicity.op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
+    by_id = {r.doc_id: r for r in scored}
+    assert np.mean([by_id[i].predicted == y for i, _, _, y in rows[:120]]) > 0.9
+
+
+def test_unspaced_runs_are_read_to_their_end():
+    rng = random.Random(10)
+    make = lambda bad: "".join(rng.choice("abcde") for _ in range(600)) + ("zorkblarg" * 30 if bad else "")
+    model = toxicity.train([make(k % 2) for k in range(200)], [k % 2 for k in range(200)])
+    test = [make(k % 2) for k in range(60)]
+    assert np.mean((model.scores(test) >= 0.5) == (np.arange(60) % 2 == 1)) > 0.9
+    head = "x" * 300
+    assert model.scores([head + "zorkblarg" * 30])[0] != model.scores([head + "abcde" * 54])[0]
+    assert "".join(toxicity.words_of("é" * 1000)) == "é" * 1000 and max(map(len, toxicity.words_of("é" * 1000))) <= toxicity.MAX_WORD
+
+
+def test_models_without_labels(spark, tmp_path):
+    planted(spark, tmp_path, [(1, "a text", None, None), (2, None, None, None)])
+    assert {r.lang_pred for r in langid.op6_language_id(spark, str(tmp_path)).collect()} == {"und"}
+    assert {r.score for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()} == {0.0}
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    assert langid.identify(empty, None).collect() == [] and toxicity.score_documents(empty, None).collect() == []
+
+
+def test_many_languages_are_all_learnt(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 9, f"l{i}") for i in range(240)]
+    texts, langs = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(langs) == {f"l{i}" for i in range(240) if zlib.crc32(str(i).encode()) % 5}
+
+
 def test_languages():
     rng = random.Random(3)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(60))
@@ -90,6 +163,44 @@ def test_edited_texts(spark, tmp_path):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_edited_texts_of_shared_ids(spark, tmp_path):
+    """Null ids first, then ids; rows of one id by their text's hash. Ranges part them where they are many."""
+    rng = random.Random(16)
+    text = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 60)))
+    rows = [(None, text()) for _ in range(60)] + [(7, text()) for _ in range(80)] + [(i, text()) for i in range(20)] + [(7, "again")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("th", F.xxhash64("text"))
+    df.drop("th").write.parquet(str(tmp_path / "documents.parquet"))
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.th, r.doc_id, r.text) for r in df.collect()))
+    want = []
+    for k, (*_, d, t) in enumerate(order):
+        following, cut = order[(k + 1) % len(order)][4], len(t) // 4
+        want.append((str(d), len(t), hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()))
+    for ranges in (1, 40):
+        got = parsing.op7_fingerprints(spark, str(tmp_path), ranges).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    assert len({r["range"] for r in parsing.ranged_with_next(df.drop("th"), 40).where("doc_id IS NULL OR doc_id = 7").collect()}) > 20
+    one = parsing.ranged_with_next(df.drop("th").limit(1)).collect()
+    assert sorted(r.own for r in one) == [False, True] and parsing.ranged_with_next(df.drop("th").limit(0)).collect() == []
+
+
+def test_media_query(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 3000)))) for i in range(30)] + [(40, None), (41, ""), (42, "é" * 40_000), (43, "same"), (44, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in media.op8_media(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        raw = (text or "").encode()
+        payload, r = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64)), got[i]
+        stored = media.wav(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        blocks, spans, _ = media.features(stored)
+        assert r.feature.split(":")[0] == str(len(spans)) and hashlib.sha256(blocks.astype(np.float16).tobytes()).hexdigest()[:16] == r.feature.split(":")[2]
+    assert got[43].feature == got[44].feature and got[40].feature == got[41].feature
+    empty = media.write_media(spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), new_path(spark, "e"))
+    assert media.audio_features(empty, new_path(spark, "e")).collect() == []
+
+
 def test_media(spark, tmp_path):
     for up, down in ((1, 2), (2, 3), (3, 2)):
         x, kernel = np.random.default_rng(1).random(300), media._lowpass(up, down)
@@ -190,5 +301,22 @@ def test_archives(spark):
     assert warc.read_records(warc.write_archives(warc.mark_revisits(empty), new_path(spark, "w")), path).collect() == []
 
 
+def test_archives_of_string_ids(spark):
+    big = "<p>x</p>" * 300
+    rows = [("b%0A\r\n", "http://x", big), ("a", None, big), (None, "http://y", big), ("a", "http://z", "s")]
+    df = spark.createDataFrame(rows, "k string, `u.v` string, h string")
+    path = new_path(spark, "warc")
+    index = warc.write_archives(warc.mark_revisits(df, "k", "u.v", "h"), path)
+    got = sorted((r.id or "", r.kind, r.refers_to, r.payload and len(r.payload)) for r in warc.read_records(index, path).collect())
+    assert got == [("", "revisit", "b%0A\r\n", None), ("a", "response", None, 1), ("a", "revisit", "b%0A\r\n", None), ("b%0A\r\n", "response", None, 2400)]
+    import gzip
+
+    for r in index.select("file").distinct().collect():
+        with gzip.open(f"{path.removeprefix('file://')}/{r.file}") as file:
+            raw = file.read().decode()
+        names = [x.split("\r\n")[0] for x in raw.split("WARC-Record-ID: ")[1:]]
+        assert raw.startswith("WARC/1.1\r\nWARC-Type: warcinfo") and len(set(names)) == len(names) and "HTTP/1.1 200 OK" in raw
+
+
 def test_held_out():
     assert zlib.crc32(b"7") % 5 == zlib.crc32(str(7).encode()) % 5

@@ -56,3 +56,21 @@ def test_tables(spark):
     back = sp.decode(sp.encode(df)).collect()
     assert sorted(str(r.text) for r in back) == sorted(["None", "", "some text", "some text"])
     assert sp.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_query(spark, tmp_path):
+    import hashlib
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=sp.read_model())
+    rows = [*enumerate(TEXTS), (50, None), (51, "long " * 30_000), (51, "long " * 30_000), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sp.op2_sentencepiece(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        found = None if t is None else np.array(library.encode(t), "<i4")
+        want.append((str(i), None, None, None) if t is None else (str(i), len(found), hashlib.sha256(found.tobytes()).hexdigest(), True))
+    assert sorted(want, key=str) == sorted(((str(r.doc_id), r.n_ids, r.ids_sha256, r.round_trip) for r in got), key=str)
+    assert all(r.viterbi_round_trip in (None, True) for r in got)
+    assert sp.encode(spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)).collect() == []

@@ -97,3 +97,18 @@ def test_one_row_a_group_whatever_the_ids(spark):
     rows = [(1, "one text of its own"), (1, "another text that stands alone"), (None, "first of no id"), (None, "second without any id"), (None, "first of no id"), (3, ""), (4, None)]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text or "" for r in got) == sorted({t or "" for _, t in rows})
+
+
+def test_a_group_whose_members_are_not_all_alike(spark):
+    """Each text is like the next one, the first and the last are not: one row stays."""
+    rng = random.Random(41)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for k in range(12):
+        rows.append((k, " ".join(words)))
+        words = words[8:] + ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8)]
+    x, y = (simhash.shingle_set(t, 5) for t in (rows[0][1], rows[-1][1]))
+    assert len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS `_id`", "text AS `a.b`", "1 AS node", "2 AS _m")
+    got = simhash.keep_first(df, "_id", "a.b")
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(0, rows[0][1], 1, 2)]

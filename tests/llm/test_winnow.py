@@ -107,3 +107,76 @@ def test_passages_cut_inside_sentences(spark):
 def test_first_place_of_a_repeated_word_stays(spark):
     got = run(spark, [(1, "same " * 60 + "end", None), (2, "other start " + "same " * 60, None)])
     assert got[1].text.split() == ["same"] * 12 + ["end"] and got[2].text.split()[:2] == ["other", "start"]
+
+
+def is_subsequence(part, whole):
+    rest = iter(whole)
+    return all(any(x == y for y in rest) for x in part)
+
+
+def coverable(docs):
+    """For each text the words that stand in a run of RUN_WORDS words, or a short whole line, that stands earlier too."""
+    runs, lines, out = set(), set(), []
+    for text in docs:
+        words, flags, at = text.split(), [False] * len(text.split()), 0
+        for line in text.split("\n"):
+            own = line.split()
+            if winnow.MIN_LINE <= len(own) < winnow.RUN_WORDS:
+                if tuple(own) in lines:
+                    flags[at : at + len(own)] = [True] * len(own)
+                lines.add(tuple(own))
+            at += len(own)
+        for a in range(len(words) - winnow.RUN_WORDS + 1):
+            key = tuple(words[a : a + winnow.RUN_WORDS])
+            if key in runs:
+                flags[a : a + winnow.RUN_WORDS] = [True] * winnow.RUN_WORDS
+            runs.add(key)
+        out.append(flags)
+    return out
+
+
+def test_only_what_repeats_goes(spark):
+    """Both ways: nothing is deleted that doesn't stand earlier, and no long run or whole line of what does is left."""
+    rng = random.Random(33)
+    pool = [sentence(rng, rng.randint(2, 30)) for _ in range(40)]
+    texts = []
+    for _ in range(70):
+        parts = [rng.choice(pool) if rng.random() < 0.35 else sentence(rng, rng.randint(3, 14)) for _ in range(rng.randint(1, 14))]
+        texts.append("".join(p + rng.choice([" ", "\n", "\n", "\r\n", "\n  "]) for p in parts))
+    got = run(spark, [(i, t, None) for i, t in enumerate(texts)])
+    for i, (text, flags) in enumerate(zip(texts, coverable(texts), strict=True)):
+        words, left = text.split(), got[i].text.split()
+        assert is_subsequence(left, words) and len(words) - len(left) == got[i]._words_removed
+        assert is_subsequence([w for w, f in zip(words, flags, strict=True) if not f], left)
+        seen = {line.strip() for t in texts[:i] for line in t.split("\n")}
+        for line in text.split("\n"):
+            if len(line.split()) >= winnow.MIN_LINE and line.strip() in seen:
+                assert line.strip() not in {x.strip() for x in got[i].text.split("\n")}
+
+
+def test_lines_whatever_their_white_space(spark):
+    rng = random.Random(5)
+    line = sentence(rng, 14)
+    rows = [(1, f"{sentence(rng, 6)}\n{line}\n{sentence(rng, 4)}"), (2, f"    {line}\n{sentence(rng, 9)}"), (3, f"{line}\r\n{sentence(rng, 9)}\r\n"), (4, f"{sentence(rng, 9)}\n\t{line.replace(' ', '  ')}"), (5, sentence(rng, 20))]
+    got = {r.doc_id: r._words_removed for r in winnow.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 14, 3: 14, 4: 14, 5: 0}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rng = random.Random(6)
+    text, others = passage(rng, 12), [passage(rng, 6) for _ in range(30)]
+    rows = [(7, text)] * 40 + [(8, text)] + [(None, t) for t in others] + [(None, others[0])] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS `_id`", "text AS `a.b`", "'x' AS _m", "'y' AS _spans", "1 AS _words_removed")
+    out = winnow.dedup_lines(df, "_id", "a.b")
+    assert out.columns == ["_id", "a.b", "_m", "_spans", "_words_removed", "_units_removed", "_words_removed_"]
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(rows) and all(r[2:5] == ("x", "y", 1) for r in got)
+    assert [r[1] for r in got if r[0] == 7] == [text] * 40 and [r[1] for r in got if r[0] == 8] == [""]
+    assert sorted(r[1] for r in got if r[0] is None) == sorted(t for d, t in rows if d is None)
+
+
+def test_a_chain_of_copies_past_the_ends_of_lines(spark):
+    rng = random.Random(7)
+    lines = [sentence(rng, 3) for _ in range(13)]
+    got = run(spark, [(1, "\n".join(lines), None), (2, "\n".join([sentence(rng, 5), *lines, sentence(rng, 5)]), None)])
+    assert got[2]._words_removed == 39
