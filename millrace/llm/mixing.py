@@ -89,7 +89,7 @@ def cut_time(timed: DataFrame, rounds: int, total: float, bins: int) -> float:
     bin_of = lambda place: F.least(F.floor((F.col("s") + F.col("size") * place).cast("double") / F.col("target") * bins), F.lit(2 * bins)).cast("long")
     # a block's rows lie in a row of bins; its share of each bin is counted, not its rows
     spread = queue.withColumn("bin", F.explode(F.sequence(bin_of(F.lit(1)), bin_of(F.col("many")))))
-    upto_bin = lambda b: F.greatest(F.lit(0), F.least(F.col("many"), F.floor((b / F.lit(float(bins)) * F.col("target") - F.col("s")) / F.col("size")).cast("long")))
+    upto_bin = lambda b: F.greatest(F.lit(0), F.least(F.col("many"), F.ceil((b / F.lit(float(bins)) * F.col("target") - F.col("s")) / F.col("size")).cast("long") - 1))
     rows = spread.withColumn("first", F.when(bin_of(F.lit(1)) == F.col("bin"), F.lit(0)).otherwise(upto_bin(F.col("bin")))).withColumn("last", F.when(bin_of(F.col("many")) == F.col("bin"), F.col("many")).otherwise(upto_bin(F.col("bin") + 1)))
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     share = F.sum(F.col("size") * (F.col("last") - F.col("first")))
