@@ -253,29 +253,36 @@ def similar_pairs(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """df's rows that stand for their group: one row, with the group's smallest id.
+def near_groups(plain: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, mark and group of the rows (doc_id, text, mark): a group is linked by pairs whose sets of `shingle`-word shingles have a Jaccard coefficient of
+    at least `least`, checked exactly.
 
-    Groups are linked by pairs whose sets of `shingle`-word shingles have a Jaccard coefficient of at least `least`, checked exactly. Candidates share a
-    band of least hashes: at 64 bits of a SimHash, pairs at 0.8 differ in about 10, and no sharding at that radius stays selective. In a second round
-    sets of one band that are in different groups so far meet once more, so that a group hangs together whose members aren't all like its first.
-    Rows that share an id but not their group are chosen apart; a group whose ids are all null keeps one row; of equal rows one stays.
+    Candidates share a band of least hashes: at 64 bits of a SimHash, pairs at 0.8 differ in about 10, and no sharding at that radius stays selective. In a
+    second round sets of one band that are in different groups so far meet once more, so that a group hangs together whose members aren't all like its first.
     """
 
     def compute(texts: list) -> dict:
         found = [shingle_set(t, shingle) for t in texts]
         return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "bands": [band_keys(f).view(np.int64) for f in found]}
 
-    flat = positional(df)
-    id_, text_ = (f"c{df.columns.index(c)}" for c in (id_col, text))
-    plain = flat.select(F.col(id_).alias("doc_id"), F.col(text_).alias("text")).withColumn("mark", F.xxhash64("text"))
     sketches = written(map_texts(plain, "text", "node bigint, bands array<bigint>", compute, ["doc_id", "mark"]), "near-sketches")
     pairs = written(candidates(sketches), "near-candidates")
     held = held_sets(plain, pairs, "text", shingle)
     links = written(similar_pairs(pairs, held, least), "near-links")
     more = similar_pairs(written(candidates_between(sketches, components(links, "a", "b")), "near-candidates"), held, least)
     labels = components(links.unionByName(more), "a", "b")
-    grouped = sketches.select("doc_id", "mark", "node").join(labels, "node", "left").groupBy(F.coalesce("label", "node"))
+    return sketches.select("doc_id", "mark", "node").join(labels, "node", "left").select("doc_id", "mark", F.coalesce("label", "node").alias("group"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """df's rows that stand for their group of near_groups: one row, with the group's smallest id.
+
+    Rows that share an id but not their group are chosen apart; a group whose ids are all null keeps one row; of equal rows one stays.
+    """
+    flat = positional(df)
+    id_, text_ = (f"c{df.columns.index(c)}" for c in (id_col, text))
+    plain = flat.select(F.col(id_).alias("doc_id"), F.col(text_).alias("text")).withColumn("mark", F.xxhash64("text"))
+    grouped = near_groups(plain, shingle, least).groupBy("group")
     best = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.mark").alias("mark"))
     chosen = flat.withColumn("m", F.xxhash64(text_)).join(best, F.col(id_).eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")), "left_semi")
     return chosen.dropDuplicates([id_, "m"]).drop("m").toDF(*df.columns)
