@@ -85,6 +85,15 @@ def fast_sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of values to the row of out that `at` names; rows of one name are summed first."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        names = at[order]
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        out[names[starts]] += np.add.reduceat(values[order], starts, axis=0)
+
+
 class ToxicityModel:
     """Parameters as float32 arrays; row 0 of the words' table stands for no known word."""
 
@@ -181,7 +190,7 @@ class ToxicityModel:
         dinputs = {}
         for way, at in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             u, du, dx = self.p[f"U{way}"], np.zeros_like(self.p[f"U{way}"]), np.zeros_like(self._inputs[way])
-            ds = np.zeros((len(ids), h), np.float32)
+            ds, each = np.zeros((len(ids), h), np.float32), np.empty((ids.shape[1], len(ids), 3 * h), np.float32)
             for t, s, su, z, r, c in reversed(tape[way]):
                 on = there[:, t, None]
                 full = ds + dstates[t, :, at]
@@ -189,9 +198,10 @@ class ToxicityModel:
                 dz, dc = dn * (s - c) * z * (1 - z), dn * (1 - z) * (1 - c * c)
                 dr = dc * su[:, 2 * h :] * r * (1 - r)
                 dgates = np.concatenate([dz, dr, dc * r], axis=1)
-                np.add.at(dx, ids[:, t], np.concatenate([dz, dr, dc], axis=1))
+                each[t] = np.concatenate([dz, dr, dc], axis=1)
                 du += s.T @ dgates
                 ds = np.where(on, dn * z + dgates @ u.T, full)
+            add_rows(dx, ids.T.ravel(), each.reshape(-1, 3 * h))
             g[f"U{way}"], dinputs[way] = du, dx
         return g, dinputs
 
@@ -216,33 +226,32 @@ class ToxicityModel:
 def document_odds(split: list[list[str]], y: np.ndarray, of: dict[int, float], least: int = 4) -> tuple[dict[str, float], dict[str, int]]:
     """Shrunken log odds, and numbers of documents, of the words and prefixes that `least` documents have.
 
-    They are counted by hash in arrays; only those that stay get back their strings, so that a large vocabulary costs 8 bytes an occurrence.
+    A word's terms are hashed once; only those that stay get back their strings, so that a large vocabulary costs 8 bytes a term.
     """
 
-    def terms(words: list[str]) -> set[str]:
-        bare = {w.strip(EDGE) or w for w in words}
-        return bare | {p for w in bare for p in prefixes(w)}
-
-    hashed = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-    counts = {}
-    for k in (0, 1):
-        mine = [np.fromiter(map(hashed, terms(words)), np.uint64) for words, label in zip(split, y, strict=True) if label == k]
-        counts[k] = np.unique(np.concatenate(mine), return_counts=True)
-    every = np.union1d(counts[0][0], counts[1][0])
-    n = {k: np.zeros(len(every), np.int64) for k in (0, 1)}
-    for k, (h, m) in counts.items():
-        n[k][np.searchsorted(every, h)] = m
-    total = n[0] + n[1]
-    stay = total >= least
+    def terms(word: str) -> list[str]:
+        bare = word.strip(EDGE) or word
+        return [bare, *prefixes(bare)]
+
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+    names = list(number)
+    sizes = np.fromiter((len(terms(w)) for w in names), np.int64, len(names))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for w in names for t in terms(w)), np.uint64, int(sizes.sum()))
+    every, where, term = np.unique(hashes, return_index=True, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    n = np.zeros((2, len(every)), np.int64)
+    for words, label in zip(split, y, strict=True):
+        own = np.fromiter({number[w] for w in words}, np.int64)
+        many = sizes[own]
+        at = np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        n[int(label), np.unique(term[at])] += 1
+    total = n.sum(axis=0)
     values = (np.log((n[1] + 0.5) / (of[1] + 1)) - np.log((n[0] + 0.5) / (of[0] + 1))) * total / (total + 4)
-    wanted = {h: k for k, h in zip(np.flatnonzero(stay).tolist(), every[stay].tolist(), strict=True)}
     odds, both = {}, {}
-    for words in split:
-        for t in terms(words):
-            if (k := wanted.pop(hashed(t), None)) is not None:
-                odds[t], both[t] = float(values[k]), int(total[k])
-        if not wanted:
-            break
+    for k in np.flatnonzero(total >= least).tolist():
+        word = int(np.searchsorted(starts, where[k], side="right")) - 1
+        t = terms(names[word])[where[k] - starts[word]]
+        odds[t], both[t] = float(values[k]), int(total[k])
     return odds, both
 
 
@@ -285,11 +294,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
                 g[f"W{way}"], g[f"c{way}"] = x.T @ got, got.sum(axis=0)
                 dx += got @ model.p[f"W{way}"].T
             g["words"], g["chars"] = np.zeros_like(model.p["words"]), np.zeros_like(model.p["chars"])
-            np.add.at(g["words"], rows[used], dx[:, 2 : 2 + WORD_DIM])
+            add_rows(g["words"], rows[used], dx[:, 2 : 2 + WORD_DIM])
             g["words"][0] = 0
             spread = np.repeat(dx[:, 2 + WORD_DIM :] / (many - 1)[:, None], many, axis=0)
             hit = np.flatnonzero((own >= 0) & spread.any(axis=1))
-            np.add.at(g["chars"], own[hit], spread[hit])
+            add_rows(g["chars"], own[hit], spread[hit])
             step += 1
             for k, v in model.p.items():
                 m1, m2 = moments[k]
