@@ -31,10 +31,14 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return unit(np.array(column.to_pylist(), np.float64).reshape(len(column), -1))
 
 
-def fit(vectors: DataFrame, vector: str, cells: int, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
-    """Centres of `cells` cells: spherical k-means on the first `sample` vectors by hash."""
+def sample_rows(vectors: DataFrame, vector: str, sample: int = SAMPLE) -> np.ndarray:
+    """The first `sample` vectors by hash, at length one."""
     few = vectors.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample).collect()  # bounded
-    x = unit(np.array([r[0] for r in few], np.float64))
+    return unit(np.array([r[0] for r in few], np.float64))
+
+
+def centres_of(x: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means."""
     centres = x[np.random.default_rng(1).permutation(len(x))[:cells]]
     for _ in range(rounds):
         own = (x @ centres.T).argmax(axis=1)
@@ -44,6 +48,24 @@ def fit(vectors: DataFrame, vector: str, cells: int, sample: int = SAMPLE, round
     return centres
 
 
+def fit(vectors: DataFrame, vector: str, cells: int, sample: int = SAMPLE) -> np.ndarray:
+    """Centres of `cells` cells, fitted on a sample."""
+    return centres_of(sample_rows(vectors, vector, sample), cells)
+
+
+def probes_for(x: np.ndarray, centres: np.ndarray, k: int, recall: float = 0.95, queries: int = 512) -> int:
+    """How many cells a search has to look into to find `recall` of the k nearest, measured within the sample x against brute force.
+
+    A sample's neighbours are farther apart than those of all vectors, so that the whole needs no more cells.
+    """
+    asked = x[:queries]
+    if not len(asked):
+        return 1
+    rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    near = np.argsort(-np.round(asked @ x.T, 6), axis=1, kind="stable")[:, :k]
+    return int(np.quantile(np.take_along_axis(rank, (x @ centres.T).argmax(axis=1)[near], axis=1), recall, method="higher")) + 1
+
+
 def build(vectors: DataFrame, id_col: str, vector: str, centres: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(key, vector, cell, angle, block), one row for vectors that are equal, and (key, id): all ids. key: the smallest of them."""
     known = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))

@@ -517,10 +517,11 @@ def near_vectors(t, exact, k=10):
     """The k nearest of all vectors to every fiftieth, through the index of cells."""
     rows = t("embeddings")
     cells = max(1, round(rows.count() ** 0.5))
-    centres = ann.fit(rows, "embedding", cells)
+    sample = ann.sample_rows(rows, "embedding")
+    centres = ann.centres_of(sample, cells)
     index, ids = ann.build(rows, "vec_id", "embedding", centres)
     asked = rows.where("vec_id % 50 = 0").select(c("vec_id").alias("q"), c("embedding").alias("vector"))
-    found = ann.search(index, centres, asked, k, max(1, -(-cells // 3)), exact)
+    found = ann.search(index, centres, asked, k, ann.probes_for(sample, centres, k), exact)
     firsts = ids.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(c("r") <= k)  # no more of equal vectors are asked for
     return ann.best(found.join(firsts, "key").select("q", c("id").alias("key"), "similarity"), k).select("q", c("key").alias("vec_id"), "similarity")
 

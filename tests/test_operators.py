@@ -169,6 +169,18 @@ def test_index_of_cells(spark):
     assert np.mean([len(set(near[q]) & set(want[q])) / 10 for q in want]) >= 0.9
 
 
+def test_probes_reach_the_recall_asked_for():
+    """Vectors without clusters: cells chosen within a sample hold as many of the whole's nearest, by brute force."""
+    x = ann.unit(np.random.default_rng(6).standard_normal((3000, 24)))
+    centres = ann.centres_of(x[:1000], 40)
+    probes = ann.probes_for(x[:1000], centres, 10)
+    asked, own = x[::50], (x @ centres.T).argmax(axis=1)
+    near = np.argsort(-(asked @ x.T), axis=1)[:, :10]
+    looked = np.argsort(-(asked @ centres.T), axis=1)[:, :probes]
+    assert np.mean([np.isin(own[n], cells).mean() for n, cells in zip(near, looked, strict=True)]) >= 0.93
+    assert 1 < probes < 40 and ann.probes_for(x[:0], centres, 10) == 1
+
+
 def test_betweenness_equals_brute_force(spark):
     rng = random.Random(4)
     rows = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)})
