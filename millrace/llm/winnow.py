@@ -11,7 +11,8 @@ document's, WINDOW - 1 at most, as no more can lie between a passage's end and i
 MIN_WORDS words or more in a row are deleted; of shorter ones the lines of MIN_LINE words or more that they cover from end to end.
 Words are what ASCII white space parts, so that indents and line ends of either kind make no difference.
 
-The places of a run pass by in order, and each meets the first one, not its peers; rows that repeat id and text pass by once. Places that overlap the
+The places of a run pass by in order, and each meets the first one, not its peers; very frequent runs pass by in many tasks. Rows that repeat id and text
+are made one before. Places that overlap the
 first one in its own document don't count, nor do words that are part of it. A match is known by the 64 bits of its run's hash; that two texts share it
 by chance would show as a chain of RUN_WORDS words that doesn't go on, too short to be deleted.
 
@@ -35,6 +36,8 @@ from millrace.llm.base import positional, slices, table, written
 from millrace.llm.urlfilter import build_filter, maybe_listed
 
 RUN_WORDS, WINDOW, MIN_WORDS, MIN_LINE = 12, 12, 23, 5
+#: Runs of such a share of the runs of about so many sampled documents are dealt over so many tasks.
+HOT_SHARE, HOT_SAMPLE, SALTS = 0.001, 2000, 64
 #: Bytes of texts that are cut into words at once, but for longer texts.
 AT_ONCE = 1 << 18
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -174,30 +177,63 @@ def run_rows(df: DataFrame, run_words: int, window: int, min_line: int) -> DataF
     return df.select("doc_id", "text", "mark").mapInArrow(run, schema)
 
 
-def first_places(runs: DataFrame) -> DataFrame:
-    """doc_id, mark and place of each run's places but the first, beside f_id, f_mark and f_place, the first one."""
+def documents(df: DataFrame) -> DataFrame:
+    """df (doc_id, text, mark) with one row of those that repeat id and text; only such rows, and few others, are moved."""
+    key = F.struct("doc_id", "mark")
+    more = written(df.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key.alias("key")), "runs-rows")
+    passes = maybe_listed(build_filter(more))
+    df = df.withColumn("_more", passes(F.xxhash64(key)))
+    return df.where("not _more").unionByName(df.where("_more").dropDuplicates(["doc_id", "mark"])).drop("_more")
+
+
+def frequent_runs(df: DataFrame, run_words: int, window: int, min_line: int) -> list[int]:
+    """The runs that make up HOT_SHARE or more of those of a sample of HOT_SAMPLE documents or so: 1 / HOT_SHARE at most.
+
+    They tell which runs are dealt over several tasks; what is found doesn't depend on them.
+    """
+    share = min(1.0, HOT_SAMPLE / max(df.count(), 1))
+    runs = written(run_rows(df.sample(share, seed=1), run_words, window, min_line).select("run"), "runs-sample")
+    least = max(2, runs.count() * HOT_SHARE)
+    return [r["run"] for r in runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "run").limit(round(1 / HOT_SHARE)).toLocalIterator()]
+
+
+def first_places(runs: DataFrame, hot: list[int]) -> DataFrame:
+    """doc_id, mark and place of each run's places but the first, beside f_id, f_mark and f_place, the first one.
+
+    The places of a run pass by in order. Those of the runs in hot are dealt over SALTS tasks; the first one of each task's goes on, and the first
+    of these, a row for each run in hot, is joined to all of them.
+    """
     from pyspark.sql.types import LongType, StructField, StructType
 
     kind = runs.schema["doc_id"].dataType
-    schema = StructType([StructField(p + k, kind if k == "id" else LongType()) for p, ks in (("doc_", ("id",)), ("", ("mark", "place")), ("f_", ("id", "mark", "place"))) for k in ks])
+    schema = StructType([StructField(p + k, kind if k == "id" else LongType()) for p, ks in (("doc_", ("id",)), ("", ("mark", "place", "run", "salt")), ("f_", ("id", "mark", "place"))) for k in ks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the first place of the last run, which may go on in the next batch, and the last row
+        held: list[pa.RecordBatch] = []  # the first place of the last run, which may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
             joined, n = pa.Table.from_batches([*held, batch]).combine_chunks(), len(held)
-            keys, marks, places = (joined.column(k).to_numpy() for k in (2, 1, 3))
-            ids = joined.column(0).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            begins = np.r_[True, keys[1:] != keys[:-1]]
-            again = np.r_[False, (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1]) & (marks[1:] == marks[:-1]) & (places[1:] == places[:-1])]
+            keys, salts = (joined.column(k).to_numpy() for k in (2, 4))
+            begins = np.r_[True, (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])]
             lead = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
-            mine = ~begins & ~again & (np.arange(len(keys)) >= n)
-            columns = [t.column(k).combine_chunks() for t in (joined.take(pa.array(np.flatnonzero(mine))), joined.take(pa.array(lead[mine]))) for k in (0, 1, 3)]
-            held = [part for at in (int(lead[-1]), len(keys) - 1) for part in joined.slice(at, 1).to_batches()]
+            mine = np.flatnonzero((~begins | (salts > 0)) & (np.arange(len(keys)) >= n))
+            one, other = joined.take(pa.array(mine)), joined.take(pa.array(lead[mine]))
+            columns = [t.column(k).combine_chunks() for t, ks in ((one, (0, 1, 3, 2, 4)), (other, (0, 1, 3))) for k in ks]
+            held = joined.slice(int(lead[-1]), 1).to_batches()
             yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=schema.names)
 
-    return runs.repartition(F.col("run")).sortWithinPartitions("run", "doc_id", "mark", "place").mapInArrow(run, schema)
+    salt = F.when(F.col("run").isin(hot), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)) + 1).otherwise(F.lit(0)) if hot else F.lit(0)
+    dealt = runs.select("doc_id", "mark", "run", "place", salt.cast("long").alias("salt")).repartition(F.col("run"), F.col("salt"))
+    found = dealt.sortWithinPartitions("run", "salt", "doc_id", "mark", "place").mapInArrow(run, schema)
+    names = ("f_id", "f_mark", "f_place")
+    if not hot:
+        return found.drop("run", "salt")
+    found = written(found, "runs-found")
+    least = found.where("salt > 0").groupBy("run").agg(F.min(F.struct(*names)).alias("g"))
+    known = found.join(F.broadcast(least), "run", "left")  # a row for each run in hot
+    known = known.select("doc_id", "mark", "place", *[F.when(F.col("salt") > 0, F.col(f"g.{k}")).otherwise(F.col(k)).alias(k) for k in names])
+    return known.where(~F.struct("doc_id", "mark", "place").eqNullSafe(F.struct(*names)))
 
 
 def word_of(place: str):
@@ -242,7 +278,8 @@ def short_hashes(hashes: np.ndarray) -> np.ndarray:
 def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
     """doc_id, mark, spans: chains of matches (first word, and the one after the last), each twice, with what stands beside the first place of
     its first and of its last run, and how many of those words may count. A document's spans are no more than its words."""
-    found = first_places(run_rows(df, run_words, window, min_line))
+    docs = documents(df)
+    found = first_places(run_rows(docs, run_words, window, min_line), frequent_runs(docs, run_words, window, min_line))
     own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
     apart = F.when(own, word_of("place") - word_of("f_place") - words_in("f_place")).otherwise(F.lit(window - 1))
     first = F.struct("f_id", "f_mark", "f_place", F.least(apart, F.lit(window - 1)).alias("reach"))

@@ -180,3 +180,14 @@ def test_a_chain_of_copies_past_the_ends_of_lines(spark):
     lines = [sentence(rng, 3) for _ in range(13)]
     got = run(spark, [(1, "\n".join(lines), None), (2, "\n".join([sentence(rng, 5), *lines, sentence(rng, 5)]), None)])
     assert got[2]._words_removed == 39
+
+
+def test_runs_dealt_over_tasks_meet_the_same_first_place(spark):
+    rows = [(None if i % 7 == 0 else i % 50, i, i % 3, 256 * i + 12) for i in range(600)] + [(5, 1, 99, 12)]
+    runs = spark.createDataFrame(rows, "doc_id long, mark long, run long, place long")
+
+    def found(hot):
+        return sorted(map(str, winnow.first_places(runs, hot).select("doc_id", "mark", "place", "f_id", "f_mark", "f_place").collect()))
+
+    plain = found([])
+    assert len(plain) == 597 and found([1]) == plain and found([0, 1, 2, 99, 12345]) == plain
