@@ -62,6 +62,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+#: Places that each_place() makes of one row at a time.
+PLACES = 10_000
+
+
+def each_place(df: DataFrame, many: str, place: str, most: int = PLACES) -> DataFrame:
+    """df with a row for each place from 1 to the column many, which may be any long. Rows of many places are dealt out by pieces of `most`, so that no array or task has them all."""
+    n, upto = F.col(many), lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    pieces = F.floor((n - 1) / F.lit(most)).cast("long")  # the last piece of each row
+    few = df.where(n <= most).withColumn(place, upto(n - 1))
+    tops = df.where(n > most).withColumn("_top", upto(F.floor(pieces / F.lit(most)).cast("long"))).withColumn("_in", upto(F.least(F.lit(most - 1).cast("long"), pieces - F.col("_top") * most)))
+    dealt = tops.withColumn("_piece", F.col("_top") * most + F.col("_in")).drop("_top", "_in").repartition(*[c for c, kind in df.dtypes if not kind.startswith("map<")], "_piece")
+    each = dealt.withColumn(place, upto(F.least(F.lit(most).cast("long"), n - F.col("_piece") * most) - 1)).withColumn(place, F.col(place) + F.col("_piece") * most)
+    return few.unionByName(each.drop("_piece")).withColumn(place, F.col(place) + 1)
+
+
 def named(c: str) -> Column:
     """The column of that very name, dots and all."""
     return F.col("`" + c.replace("`", "``") + "`")
