@@ -16,6 +16,22 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
 
 
+def _listed(spark: SparkSession, path: str) -> list:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(fs.listStatus(where)) if fs.exists(where) else []
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly under a path."""
+    return sorted(x.getPath().toString() for x in _listed(spark, path) if x.isDirectory())
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another stamp means that it was written anew."""
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in _listed(spark, path)))
+
+
 def versions(spark: SparkSession, path: str) -> list[str]:
     """The whole versions of a view, oldest first; one that a writer has not finished has no _SUCCESS."""
     jvm = spark.sparkContext._jvm

@@ -11,15 +11,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """The tables of a folder by name: t("orders")."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.folder = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return load(self.spark, self.folder, name)
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracle: dict[str, str] = {}
 
     def __call__(self, name: str, sql: str | None = None):
-        def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        def add(f: Callable[[Tables], DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(lambda t: load(spark, sf_dir, t))
+                return f(Tables(spark, sf_dir))
 
             self.queries[name] = run
             if sql is not None:

@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import search
 from millrace.functions import text as T
 from millrace.functions.scores import evidence_strength, length_match
 from millrace.functions.vector import cosine_to
 from millrace.operators import ann, cascade, graph, ledger, paging, resolve, views
 from millrace.plans.base import Registry
 from millrace.plans.graphs import EDGES, START, edges, start
-from millrace.plans.retrieval import COS, TERMS, vector_of
+from millrace.plans.retrieval import COS, vector_of
 
 query = Registry()
 c = F.col
@@ -140,12 +139,6 @@ def annotation_votes(t):
     return ledger.tally(t("events").where("event_type IN ('click', 'view')"), "user_id", "event_type", {"up": "click", "down": "view"})
 
 
-@query("w18_text_index", f"WITH x AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS documents FROM x GROUP BY 1")
-def text_index(t):
-    rows = t("documents").select("doc_id", F.explode(search.terms("text")).alias("term"))
-    return rows.groupBy("term").agg(one().alias("n"), F.count_distinct("doc_id").alias("documents"))
-
-
 @query("w22_transition", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'done' ELSE o_orderstatus END AS status FROM orders")
 def transition(t):
     return t("orders").select("o_orderkey", cascade.transition(c("o_orderstatus"), ("O", "P"), "done").alias("status"))
@@ -176,11 +169,6 @@ def both_ends(t):
     return edges(t).join(inside, c("a") == c("k"), "left_semi").join(inside, c("b") == c("k"), "left_semi").select("a", "b")
 
 
-@query("p14_plain_search", f"SELECT doc_id FROM documents WHERE list_contains({TERMS}, 'trash')")
-def plain_search(t):
-    return t("documents").where(search.matches_all(search.terms("text"), "Trash, the")).select("doc_id")
-
-
 @query("p17_vector_threshold", f"WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 2) SELECT vec_id FROM embeddings, q WHERE {COS.format(a='embedding', b='v')} >= 0.1")
 def vector_threshold(t):
     return t("embeddings").where(F.round(cosine_to(c("embedding"), vector_of(t, 2)), 6) >= 0.1).select("vec_id")
@@ -350,18 +338,6 @@ def trailing_week(t):
     return t("events").where((c("ts").cast("timestamp_ntz") > as_of - F.expr("INTERVAL 7 DAYS")) & (c("ts").cast("timestamp_ntz") <= as_of)).agg(one().alias("n"))
 
 
-@query("r9_terms", f"SELECT doc_id, {TERMS} AS terms FROM documents")
-def terms(t):
-    return t("documents").select("doc_id", search.terms("text").alias("terms"))
-
-
-@query("r10_keyword_rank", f"""
-WITH x AS (SELECT doc_id, {TERMS} AS terms FROM documents) SELECT doc_id, round(len(list_filter(terms, lambda w: w = 'trash'))::DOUBLE / (1.0 + ln(1.0 + len(terms))), 6) AS rank FROM x WHERE list_contains(terms, 'trash')""")
-def keyword_rank(t):
-    rows = t("documents").select("doc_id", search.terms("text").alias("terms"))
-    return rows.where(search.matches_all(c("terms"), "trash")).select("doc_id", F.round(search.rank(c("terms"), "trash"), 6).alias("rank"))
-
-
 @query("g3_path_evidence", f"WITH {EDGES}, k AS (SELECT a, b FROM e ORDER BY a, b LIMIT 5), mm AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS x FROM lineitem) SELECT a, b, list_sort(list(p.d))[1:5] AS documents FROM k JOIN mm p ON p.x = a JOIN mm q ON q.x = b AND q.d = p.d GROUP BY 1, 2")
 def path_evidence(t):
     few = edges(t).orderBy("a", "b").limit(5).select("a", "b")

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules of this package that have QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("retrieval", "listing", "aggregates", "texts", "graphs", "ingest", "more")
+MODULES: tuple[str, ...] = ("search", "retrieval", "listing", "aggregates", "texts", "graphs", "ingest", "more")
 
 
 def _all(name: str) -> dict:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import search
 from millrace.functions.text import similarity_of, trigrams
 from millrace.functions.vector import cosine
 from millrace.operators import retrieval
@@ -12,45 +11,19 @@ from millrace.operators.paging import first_by
 from millrace.plans.base import Registry
 
 query = Registry()
-STOP = ", ".join(f"'{w}'" for w in search.STOP)
-TERMS = rf"list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({STOP})), lambda x: regexp_replace(x, '{search.SUFFIX}', '\1'))"
 COS = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 6)"
 
 
 def chunks(t):
     """documents as chunks: half of them have a vector."""
     docs, vectors = t("documents").select("doc_id", "text", "lang", "source"), t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return docs.join(vectors, "doc_id", "left").withColumn("terms", search.terms("text"))
+    return docs.join(vectors, "doc_id", "left")
 
 
 def vector_of(t, vec_id: int) -> list[float]:
     return list(t("embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-HYBRID = f"""
-WITH c AS (SELECT doc_id, {TERMS} AS terms, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE_HERE),
-q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7),
-sem AS (SELECT doc_id, {COS.format(a="embedding", b="v")} AS s FROM c, q WHERE embedding IS NOT NULL ORDER BY s DESC, doc_id LIMIT 40),
-sr AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS semantic_rank FROM sem),
-kw AS (SELECT doc_id, round((len(list_filter(terms, lambda x: x = 'idiot')) + len(list_filter(terms, lambda x: x = 'clown')))::DOUBLE / (1.0 + ln(1.0 + len(terms))), 6) AS s
-  FROM c WHERE list_contains(terms, 'idiot') AND list_contains(terms, 'clown') ORDER BY s DESC, doc_id LIMIT 40),
-kr AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS keyword_rank FROM kw)
-SELECT doc_id, round(coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS score, semantic_rank, keyword_rank
-FROM sr FULL JOIN kr USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20
-"""
-
-
-@query("r1_hybrid_rrf", HYBRID.replace("WHERE_HERE", ""))
-def hybrid(t):
-    return retrieval.hybrid_rrf(chunks(t), "doc_id", "embedding", "terms", vector_of(t, 7), "idiots clown")
-
-
-@query("r1_hybrid_rrf_filtered", HYBRID.replace("WHERE_HERE", "WHERE lang = 'en' AND source <= 'src5'"))
-def hybrid_filtered(t):
-    kept = chunks(t).where((F.col("lang") == "en") & (F.col("source") <= "src5"))
-    return retrieval.hybrid_rrf(kept, "doc_id", "embedding", "terms", vector_of(t, 7), "idiots clown")
-
-
 @query("r2_multimodal_rrf", f"""
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 3),
 e AS (SELECT vec_id AS id, label, {COS.format(a="embedding", b="v")} AS s FROM embeddings, q),
@@ -107,15 +80,6 @@ def similar_documents(t):
     return retrieval.best_per_group(rows, "source", "similarity", "doc_id", 5)
 
 
-@query("r7_web_search", f"""
-WITH c AS (SELECT doc_id, {TERMS} AS terms FROM documents)
-SELECT doc_id FROM c WHERE (list_contains(terms, 'trash') AND NOT list_contains(terms, 'clown'))
-  OR contains(' ' || array_to_string(terms, ' ') || ' ', ' all right reserv ') ORDER BY doc_id""")
-def web(t):
-    rows = t("documents").select("doc_id", search.terms("text").alias("terms"))
-    return rows.where(search.web_search(F.col("terms"), 'trash -clown or "all rights reserved"')).select("doc_id")
-
-
 @query("r8_keyword_modalities", """
 SELECT 'page' AS kind, page_id AS id FROM pages WHERE contains(lower(html), 'trash')
 UNION ALL SELECT 'turn', conv_id * 1000 + turn FROM conversations WHERE contains(lower(text), 'trash')
@@ -139,15 +103,6 @@ def cosine_pairs(t):
     return scored.where("similarity >= 0.2")
 
 
-@query("r14_tool_results", f"""
-SELECT doc_id, '[' || source || '/' || doc_id || ', Page ' || (1 + doc_id % 3) || ']' AS citation, left(text, 500) AS content
-FROM (SELECT *, {TERMS} AS terms FROM documents) WHERE list_contains(terms, 'trash') ORDER BY doc_id LIMIT 10""")
-def tool_results(t):
-    rows = t("documents").where(search.matches_all(search.terms("text"), "trash")).orderBy("doc_id").limit(10)
-    where = F.concat(F.lit("["), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(", Page "), 1 + F.col("doc_id") % 3, F.lit("]"))
-    return rows.select("doc_id", where.alias("citation"), F.substring("text", 1, 500).alias("content"))
-
-
 @query("x6_trigram_similarity", f"""
 WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS a, b.name AS b, {TRIGRAMS.format(c="a.name")} AS x, {TRIGRAMS.format(c="b.name")} AS y FROM n a JOIN n b ON a.name < b.name AND left(a.name, 1) = left(b.name, 1))
 SELECT a, b, {SIMILARITY.format(a="x", b="y")} AS similarity FROM p""")

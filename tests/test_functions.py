@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, search
+from millrace.functions import dates
 from millrace.functions import text as T
 from millrace.operators import paging, stages
 
@@ -52,14 +52,6 @@ def test_parameters():
         paging.Bounds(depth=5)
 
 
-def test_web_search(spark):
-    texts = ["red apple pie", "red pear", "green apple", "blue sky", None]
-    hit = lambda q: each(spark, texts, lambda c: search.web_search(search.terms(c), q))
-    assert hit("red -pear") == [True, False, False, False, False]
-    assert hit('"red apple" or sky') == [True, False, False, True, False]
-    assert hit("the of") == [False] * 5
-
-
 def test_stage_order():
     order = stages.ordered()
     assert len(order) == 19 and all(order.index(d) < order.index(s) for s, (needs, _) in stages.STAGES.items() for d in needs)
