@@ -1,6 +1,7 @@
 """Graphs as edge tables. Undirected edges are made symmetric once; then every step is an equi-join.
 
-Loops end by data, not by a guess, and cut their lineage with checkpoint(), which writes to the folder that all executors share.
+Edges that are walked again and again are stored once, bucketed by their start: a round moves what the nodes say, never the edges. Loops end by data, not by a guess, and
+cut their lineage with checkpoint(), which writes to the folder that all executors share.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.paging import numbered, seeded
-from millrace.shared import shared_dir
+from millrace.shared import bucketed, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,21 +76,26 @@ def degrees(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return symmetric(edges, a, b).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
+def pagerank_round(links: DataFrame, known: DataFrame, ranks: DataFrame, damping: float, total: int, idle: float) -> DataFrame:
+    """Every node's rank after it was dealt along the links once. links and known are bucketed by src and node."""
+    sent = ranks.where("n > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("n")).alias("share"))
+    got = links.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
+    return known.join(got, "node", "left").withColumn("rank", F.lit((1 - damping) / total) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(idle / total))).drop("got")
+
+
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, a: str = "a", b: str = "b", nodes: DataFrame | None = None) -> DataFrame:
     """(node, rank): undirected and unweighted; parallel edges count once, and nodes without edges deal their rank to all."""
-    links = cut(symmetric(edges, a, b).distinct().repartition("src"))
+    links = bucketed(symmetric(edges, a, b).distinct(), "src")
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     all_nodes = (nodes.select("node") if nodes is not None else links.select(F.col("src").alias("node"))).distinct()
-    known = cut(all_nodes.join(out, all_nodes["node"] == out["src"], "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+    known = bucketed(all_nodes.join(out, all_nodes["node"] == out["src"], "left").select("node", F.coalesce("n", F.lit(0)).alias("n")), "node")
     total = known.count()
     if total == 0:
         return known.select("node", F.lit(0.0).alias("rank"))
     ranks, has_idle = known.withColumn("rank", F.lit(1.0 / total)), not known.where("n = 0").isEmpty()
     for k in range(rounds):
-        sent = ranks.where("n > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("n")).alias("share"))
-        got = links.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
         idle = ranks.where("n = 0").agg(F.sum("rank")).first()[0] if has_idle else 0.0
-        ranks = known.join(got, "node", "left").withColumn("rank", F.lit((1 - damping) / total) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(idle / total))).drop("got")
+        ranks = pagerank_round(links, known, ranks, damping, total, idle)
         if has_idle or k % 5 == 4:
             ranks = cut(ranks)
     return ranks.select("node", "rank")
@@ -97,10 +103,10 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, a: str =
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that can be reached. Labels spread and pointers jump, so rounds grow with the logarithm of the diameter."""
-    links = cut(symmetric(edges, a, b).distinct())
+    links = bucketed(symmetric(edges, a, b).distinct(), "src")
     labels = cut(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
     while True:
-        told = links.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("told"))
+        told = links.join(labels.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("told"))
         near = labels.join(told, "node").select("node", F.least("component", "told").alias("c"), F.col("component").alias("was"))
         near = cut(near)
         jump = near.select(F.col("node").alias("c"), F.col("c").alias("next"))
@@ -114,7 +120,7 @@ def communities(edges: DataFrame, rounds: int = 5, over: int = 20, a: str = "a",
     """(node, community): components, and within those of more than `over` nodes synchronous label propagation by weight; ties take the smallest label."""
     strength = F.col(weight).cast("double") if weight else F.lit(1.0)
     links = symmetric(edges.select(a, b, strength.alias("w")), a, b, ("w",)).groupBy("src", "dst").agg(F.max("w").alias("w"))
-    links = cut(links)
+    links = bucketed(links, "src")
     whole = connected_components(edges, a, b)
     sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     sized = cut(whole.join(sizes, "component"))
@@ -135,7 +141,7 @@ def betweenness(edges: DataFrame, sources: int = 200, seed: int = 1, a: str = "a
 
     All sources walk together: a level is a join of the frontier with the edges, and the way back passes each node's share to the level before.
     """
-    links = cut(symmetric(edges, a, b).distinct())
+    links = bucketed(symmetric(edges, a, b).distinct(), "src")
     nodes = links.select(F.col("src").alias("node")).distinct()
     picked = nodes.orderBy(*seeded(seed, "node")).limit(sources)
     levels = [cut(picked.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.shared import shared_dir
+from millrace.shared import new_folder as shared_folder
 
 
 def new_folder(spark: SparkSession) -> str:
     """A folder for views that nothing else uses."""
-    return f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
+    return shared_folder(spark, "views")
+
+
+_ONCE: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, name: str, sources: list[str], live: Callable[[], DataFrame]) -> DataFrame:
+    """A result that many queries of a session read: the first one saves it. It is made anew where a source's files changed."""
+    key = (spark.sparkContext.applicationId, name, *((p, stamp(spark, p)) for p in sources))
+    if key not in _ONCE:
+        path = shared_folder(spark, name)
+        live().write.parquet(path)
+        _ONCE[key] = path
+    return spark.read.parquet(_ONCE[key])
 
 
 def _listed(spark: SparkSession, path: str) -> list:

@@ -5,7 +5,6 @@ Queries run to the end of what is there (availableNow) and give what the sink th
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.shared import shared_dir
+from millrace.shared import new_folder
 
 
 def shared(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
