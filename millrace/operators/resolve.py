@@ -27,13 +27,35 @@ def cooccurrence(mentions: DataFrame, document: str, entity: str, keep: int = 0)
     return few.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.sort_array(F.collect_list("d")).alias("evidence"))
 
 
+def _trigram_sets(names: DataFrame, id_col: str, name: str, kind: str | None) -> DataFrame:
+    return names.select(F.col(id_col).alias("id"), (F.col(kind) if kind else F.lit("")).alias("kind"), F.array_sort(trigrams(name)).alias("g")).where(F.size("g") > 0)
+
+
+def name_classes(names: DataFrame, id_col: str, name: str, kind: str | None = None) -> DataFrame:
+    """(id, first): the smallest id of its kind with the same trigrams. However many share a name, none of their pairs is made."""
+    sets = _trigram_sets(names, id_col, name, kind)
+    firsts = sets.groupBy("kind", "g").agg(F.min("id").alias("first"))
+    same = (F.col("s.g") == F.col("f.g")) & F.col("s.kind").eqNullSafe(F.col("f.kind"))
+    return sets.alias("s").join(firsts.alias("f"), same).select("id", "first")
+
+
+def merge_groups(names: DataFrame, id_col: str, name: str, kind: str | None = None, least: float = 0.95) -> DataFrame:
+    """(node, keep): of each group of names that are linked at `least` or more, or have equal trigrams, the smallest id; names alone are left out."""
+    pairs = similar_names(names, id_col, name, kind, least - 1e-6, None).where(F.col("similarity") >= least)
+    classes = name_classes(names, id_col, name, kind)
+    linked = representatives(pairs)
+    kept = classes.join(linked.withColumnRenamed("node", "first"), "first", "left").select(F.col("id").alias("node"), F.coalesce("keep", "first").alias("keep"))
+    sizes = kept.groupBy("keep").agg(F.count(F.lit(1)).alias("n"))
+    return kept.join(sizes.where("n > 1"), "keep").select("node", "keep")
+
+
 def similar_names(names: DataFrame, id_col: str, name: str, kind: str | None = None, least: float = 0.85, limit: int | None = 500) -> DataFrame:
-    """(a, b, similarity): pairs of one kind over the threshold, a < b, by trigrams.
+    """(a, b, similarity): pairs of one kind over the threshold, a < b, by trigrams, between the first ids of names with equal trigrams; name_classes() tells who these stand for.
 
     Prefix filter: with trigrams ordered from rare to frequent, two sets of Jaccard coefficient >= t share one of the first n - ceil(t n) + 1 of each; only
     names that share such a trigram, whose sizes fit, and which after it have enough trigrams left are compared. The result equals comparing all pairs.
     """
-    base = names.select(F.col(id_col).alias("id"), (F.col(kind) if kind else F.lit("")).alias("kind"), trigrams(name).alias("g")).where(F.size("g") > 0)
+    base = _trigram_sets(names, id_col, name, kind).groupBy("kind", "g").agg(F.min("id").alias("id"))
     grams = base.select("id", "kind", F.explode("g").alias("x"))
     counted = grams.join(grams.groupBy("kind", "x").agg(F.count(F.lit(1)).alias("met")), ["kind", "x"])
     ordered = counted.groupBy("id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("met", "x"))), lambda y: y["x"]).alias("g"))  # a name's trigrams

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scores import proposal_confidence
 from millrace.functions.text import similarity_of, trigrams
-from millrace.operators import cascade, graph, resolve, risk, temporal
+from millrace.operators import cascade, graph, resolve, risk, temporal, views
 from millrace.plans.base import Registry
 from millrace.plans.retrieval import COS, SIMILARITY, TRIGRAMS
 
@@ -18,8 +18,9 @@ e AS MATERIALIZED (SELECT x.e AS a, y.e AS b, count(*) AS n FROM m x JOIN m y ON
 
 
 def edges(t):
-    """All co-occurrences of parts in orders."""
-    return graph.cut(resolve.cooccurrence(t("lineitem").select(c("l_orderkey").alias("d"), c("l_partkey").alias("e")), "d", "e").select("a", "b", "n"))
+    """All co-occurrences of parts in orders, saved by the session's first query of them."""
+    pairs = lambda: resolve.cooccurrence(t("lineitem").select(c("l_orderkey").alias("d"), c("l_partkey").alias("e")), "d", "e").select("a", "b", "n")
+    return views.once(t.spark, "cooccurrence", [t.path("lineitem")], pairs)
 
 
 START = "(SELECT min(a) FROM e)"
@@ -146,21 +147,39 @@ def pair(t):
 VARIANT = "CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN upper(p_name) || ' ' || p_brand || 's' ELSE p_name || ' the ' || p_brand END"
 
 
+NAMED = f"n AS (SELECT p_partkey AS id, p_type AS kind, list_sort({TRIGRAMS.format(c=VARIANT)}) AS g FROM part), f AS (SELECT kind, g, min(id) AS id FROM n GROUP BY 1, 2)"
+
+
+def variants(t):
+    return t("part").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
+
+
 @query("e1_similar_names", f"""
-WITH n AS (SELECT p_partkey AS id, p_type AS kind, {TRIGRAMS.format(c=VARIANT)} AS g FROM part)
-SELECT a.id AS a, b.id AS b, {SIMILARITY.format(a="a.g", b="b.g")} AS similarity FROM n a JOIN n b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} > 0.85""")
+WITH {NAMED} SELECT a.id AS a, b.id AS b, {SIMILARITY.format(a="a.g", b="b.g")} AS similarity FROM f a JOIN f b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} > 0.85""")
 def similar_names(t):
-    names = t("part").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
-    return resolve.similar_names(names, "id", "name", "kind", 0.85, None)
+    """Pairs between the first ids of equal names; e1_name_classes has the others."""
+    return resolve.similar_names(variants(t), "id", "name", "kind", 0.85, None)
+
+
+@query("e1_name_classes", f"WITH {NAMED} SELECT n.id, f.id AS first FROM n JOIN f ON f.kind = n.kind AND f.g = n.g")
+def name_classes(t):
+    return resolve.name_classes(variants(t), "id", "name", "kind")
 
 
 @query("e2_merge_groups", f"""
-WITH RECURSIVE n AS (SELECT p_partkey AS id, p_type AS kind, {TRIGRAMS.format(c=VARIANT)} AS g FROM part),
-p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} > 0.85),
+WITH RECURSIVE {NAMED}, p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} >= 0.95),
 s AS MATERIALIZED (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p), r(node, x) AS (SELECT src, src FROM s UNION SELECT r.node, dst FROM r JOIN s ON src = x) SELECT node, min(x) AS keep FROM r GROUP BY 1""")
 def merge_groups(t):
-    names = t("part").select(c("p_partkey").alias("id"), c("p_type").alias("kind"), F.expr(VARIANT).alias("name"))
-    return resolve.representatives(resolve.similar_names(names, "id", "name", "kind", 0.85, None))
+    """The rule of automatic merging: 0.95 or more, and the smallest id stays."""
+    return resolve.merge_groups(variants(t), "id", "name", "kind")
+
+
+@query("e2_linked_groups", f"""
+WITH RECURSIVE {NAMED}, p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.kind = b.kind AND a.id < b.id WHERE {SIMILARITY.format(a="a.g", b="b.g")} >= 0.85),
+s AS MATERIALIZED (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p), r(node, x) AS (SELECT src, src FROM s UNION SELECT r.node, dst FROM r JOIN s ON src = x) SELECT node, min(x) AS keep FROM r GROUP BY 1""")
+def linked_groups(t):
+    """What a reviewer's lower threshold would put together."""
+    return resolve.merge_groups(variants(t), "id", "name", "kind", 0.85)
 
 
 def merged(t):
@@ -340,24 +359,14 @@ DONE = "SELECT id, 'name ' || id AS text FROM i WHERE status = 'confirmed'"
 def propagate(t):
     i = items(t)
     done = i.where("status = 'confirmed'").select("id", F.concat(F.lit("name "), "id").alias("text"))
-    return cascade.propagate(i, done, 0.2).drop("vector")
-
-
-@query("w24_revert", f"""WITH {propagate_sql(DONE, 0.2)}, x AS (SELECT *, coalesce(status = 'proposed' AND source % 2 = 0, false) AS hit FROM out)
-SELECT id, kind, length, CASE WHEN hit THEN 'unsolved' ELSE status END AS status, CASE WHEN NOT hit THEN source END AS source, CASE WHEN hit THEN 0 ELSE depth END AS depth, CASE WHEN NOT hit THEN text END AS text FROM x""")
-def revert(t):
-    """What the sources with even ids proposed is taken back."""
-    i = items(t)
-    done = i.where("status = 'confirmed'").select("id", F.concat(F.lit("name "), "id").alias("text"))
-    after = graph.cut(cascade.propagate(i, done, 0.2))
-    return cascade.revert(after, after.where("status = 'proposed' AND source % 2 = 0")).drop("vector")
+    return cascade.propagate(i, done, cascade.reached(i, done, 0.2)).drop("vector")
 
 
 #: Two proposals a voter for the item of the same number, with the votes of the events of either parity.
-PROPOSALS = """SELECT user_id * 2 + event_id % 2 AS proposal, user_id AS id, 'answer ' || (user_id * 2 + event_id % 2) AS text, CASE WHEN user_id % 13 = 0 THEN 'rejected' ELSE 'pending' END AS status,
+PROPOSALS = """SELECT 'p' || (user_id * 2 + event_id % 2) AS proposal, user_id AS id, 'answer ' || (user_id * 2 + event_id % 2) AS text, CASE WHEN user_id % 13 = 0 THEN 'rejected' ELSE 'pending' END AS status,
 0.7::DOUBLE + (user_id % 4 + event_id % 2) * 0.05::DOUBLE AS confidence, count(*) FILTER (event_type = 'click') AS up, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type = 'purchase') AS backing FROM events GROUP BY user_id, event_id % 2"""
-JUDGED = """j AS (SELECT *, CASE WHEN status <> 'pending' THEN 'proposal_already_resolved' WHEN confidence < 0.78 THEN 'confidence_too_low' WHEN backing < 3 THEN 'insufficient_corroborations' WHEN up + down + backing < 7 THEN 'insufficient_votes'
-WHEN down::DOUBLE / (up + down + backing) > 0.25 THEN 'too_many_downvotes' ELSE 'confirmed' END AS outcome FROM pr), won AS (SELECT id, arg_min(proposal, struct_pack(c := -confidence, p := proposal)) AS won FROM j WHERE outcome = 'confirmed' GROUP BY 1)"""
+JUDGED = """j AS (SELECT *, CASE WHEN v = 'confirmed' AND id IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) THEN 'item_already_resolved' ELSE v END AS outcome FROM (SELECT *, CASE WHEN status <> 'pending' THEN 'proposal_already_resolved' WHEN confidence < 0.78 THEN 'confidence_too_low' WHEN backing < 3 THEN 'insufficient_corroborations' WHEN up + down + backing < 7 THEN 'insufficient_votes'
+WHEN down::DOUBLE / (up + down + backing) > 0.25 THEN 'too_many_downvotes' ELSE 'confirmed' END AS v FROM pr)), won AS (SELECT id, arg_min(proposal, struct_pack(c := -confidence, p := proposal)) AS won FROM j WHERE outcome = 'confirmed' GROUP BY 1)"""
 
 
 def proposals_of(t):
@@ -365,17 +374,48 @@ def proposals_of(t):
     n = lambda k: F.count_if(c("event_type") == k)
     counted = t("events").groupBy("user_id", odd.alias("odd")).agg(n("click").alias("up"), n("error").alias("down"), n("purchase").alias("backing"))
     number = u * 2 + c("odd")
-    return counted.select(number.alias("proposal"), u.alias("id"), F.concat(F.lit("answer "), number).alias("text"), F.when(u % 13 == 0, "rejected").otherwise("pending").alias("status"), F.lit("manual").alias("kind"), (0.7 + (u % 4 + c("odd")) * 0.05).alias("confidence"), "up", "down", "backing")
+    none = [F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("double").alias("match")]
+    return counted.select(F.concat(F.lit("p"), number).alias("proposal"), u.alias("id"), F.concat(F.lit("answer "), number).alias("text"), F.when(u % 13 == 0, "rejected").otherwise("pending").alias("status"), F.lit("manual").alias("kind"), (0.7 + (u % 4 + c("odd")) * 0.05).alias("confidence"), "up", "down", "backing", *none)
+
+
+CONFIRMED = f"WITH pr AS ({PROPOSALS}), {JUDGED}, {propagate_sql('SELECT won.id, text FROM won JOIN j ON proposal = won', 0.2)}"
+ALL_PROPOSALS = """ap AS (SELECT proposal, j.id, j.text, CASE WHEN proposal = won THEN 'accepted' WHEN won IS NOT NULL AND status = 'pending' THEN 'superseded' ELSE status END AS status, NULL::BIGINT AS source, NULL::DOUBLE AS match, outcome FROM j LEFT JOIN won ON won.id = j.id
+UNION ALL SELECT 'cascade:' || o.id || ':' || md5(o.text), o.id, o.text, 'pending', o.source, k.sim, NULL FROM out o JOIN i ON i.id = o.id AND i.status = 'unsolved' AND o.status = 'proposed' JOIN k ON k.source = o.source AND k.target = o.id)"""
 
 
-@query("w23_confirm_and_cascade", f"WITH pr AS ({PROPOSALS}), {JUDGED}, {propagate_sql('SELECT won.id, text FROM won JOIN j ON proposal = won', 0.2)} SELECT * FROM out")
+@query("w23_confirm_and_cascade", f"{CONFIRMED} SELECT * FROM out")
 def confirm_and_cascade(t):
     return cascade.confirm_and_propagate(items(t), proposals_of(t), 0.2)[0].drop("vector")
 
 
-@query("w23_judged_proposals", f"WITH pr AS ({PROPOSALS}), {JUDGED} SELECT proposal, outcome, CASE WHEN proposal = won THEN 'accepted' WHEN won IS NOT NULL AND status = 'pending' THEN 'superseded' ELSE status END AS status FROM j LEFT JOIN won USING (id)")
+@query("w23_judged_proposals", f"{CONFIRMED}, {ALL_PROPOSALS} SELECT proposal, id, text, status, source, match, outcome FROM ap")
 def judged_proposals(t):
-    return cascade.confirm_and_propagate(items(t), proposals_of(t), 0.2)[1].select("proposal", "outcome", "status")
+    """The proposals there were, judged, and those that similar items got."""
+    found = cascade.confirm_and_propagate(items(t), proposals_of(t), 0.2)[1]
+    return found.select("proposal", "id", "text", "status", F.get("sources", F.lit(0)).cast("long").alias("source"), "match", "outcome")
+
+
+#: The trees of the confirmed items with even ids are taken back.
+REVERTED = f"{CONFIRMED}, {ALL_PROPOSALS}, roots AS (SELECT id FROM done WHERE id % 2 = 0), nodes AS (SELECT id, true AS root FROM roots UNION ALL SELECT id, false FROM out WHERE source IN (SELECT id FROM roots) AND id NOT IN (SELECT id FROM roots))"
+
+
+def reverted(t):
+    after, proposals = cascade.confirm_and_propagate(items(t), proposals_of(t), 0.2)
+    after, proposals = graph.cut(after), graph.cut(proposals)
+    roots = proposals.where("status = 'accepted' AND id % 2 = 0").select("id")
+    return cascade.revert(after, proposals, cascade.trees(after, roots))
+
+
+@query("w24_revert", f"""{REVERTED} SELECT o.id, kind, length, CASE WHEN root IS NULL THEN status ELSE 'unsolved' END AS status, CASE WHEN coalesce(root, true) THEN source END AS source, CASE WHEN coalesce(root, true) THEN depth ELSE 0 END AS depth,
+CASE WHEN root IS NULL THEN text END AS text FROM out o LEFT JOIN nodes n ON n.id = o.id""")
+def revert(t):
+    return reverted(t)[0].drop("vector")
+
+
+@query("w24_reverted_proposals", f"""{REVERTED} SELECT proposal, a.id, text, source, CASE WHEN r.id IS NULL THEN status WHEN status = 'accepted' THEN 'rejected' WHEN status = 'superseded' THEN 'pending' ELSE status END AS status
+FROM ap a LEFT JOIN roots r ON r.id = a.id WHERE source IS NULL OR source NOT IN (SELECT id FROM nodes)""")
+def reverted_proposals(t):
+    return reverted(t)[1].select("proposal", "id", "text", F.get("sources", F.lit(0)).cast("long").alias("source"), "status")
 
 
 @query("c1_cascade_tree", """

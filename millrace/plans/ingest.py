@@ -130,10 +130,12 @@ def main_text(t):
 
 
 @query("s29_line_audit", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p(pattern, re) AS (VALUES ('licence', '(?i)licen[cs]e'), ('mail', '\S+@\S+'), ('rights', 'rights reserved'))
-SELECT pattern, count(*) AS n FROM l, p WHERE regexp_matches(line, re) GROUP BY 1""")
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, lines, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+p(pattern, re) AS (VALUES ('licence', '(?i)licen[cs]e'), ('mail', '\S+@\S+'), ('rights', 'rights reserved')),
+h AS (SELECT pattern, doc_id, i, array_to_string(list_slice(lines, greatest(i - 2, 1), i + 2), chr(10)) AS context, row_number() OVER (PARTITION BY pattern ORDER BY doc_id, i) AS r FROM l, p WHERE regexp_matches(line, re))
+SELECT pattern, count(*) AS n, list(context ORDER BY r) FILTER (r <= 3) AS examples FROM h GROUP BY 1""")
 def line_audit(t):
-    return html.pattern_audit(t("documents"), "doc_id", "text", {"licence": r"(?i)licen[cs]e", "mail": r"\S+@\S+", "rights": "rights reserved"}).select("pattern", "n")
+    return html.pattern_audit(t("documents"), "doc_id", "text", {"licence": r"(?i)licen[cs]e", "mail": r"\S+@\S+", "rights": "rights reserved"})
 
 
 @query("w3_merge_on_key", "SELECT lower(p_name) AS k, list_sort(list_distinct(list(p_brand))) AS brands, count(*) AS met FROM part GROUP BY 1")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import col
@@ -72,18 +72,20 @@ def cards(payload: Column | str, start: str) -> Column:
 
 
 def pattern_audit(df: DataFrame, id_col: str, text: str, patterns: dict[str, str], examples: int = 3, around: int = 2) -> DataFrame:
-    """(pattern, n, examples): lines that match each pattern, and the first examples with the lines around them."""
+    """(pattern, n, examples): lines that match each pattern, and the first examples with the lines around them.
+
+    Each text is searched where it is, and leaves a count and its own first examples for each pattern that it matches; no line travels with its text.
+    """
     lines = F.split(text, "\n")
-    hits = None
-    for name, p in patterns.items():
-        at = F.posexplode(lines).alias("i", "line")
-        rows = df.select(F.col(id_col).alias("id"), lines.alias("all"), at).where(F.col("line").rlike(p))
-        first = F.greatest(F.col("i") - around, F.lit(0))
-        context = F.array_join(F.slice("all", first + 1, F.col("i") + around + 1 - first), "\n")
-        part = rows.select(F.lit(name).alias("pattern"), "id", "i", context.alias("context"))
-        hits = part if hits is None else hits.unionByName(part)
-    from pyspark.sql import Window
-
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("id", "i")))
-    return ranked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "context")))), lambda x: x["context"]).alias("examples"))
 
+    def audited(name: str, pattern: str) -> Column:
+        hits = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(pattern), i)), lambda i: i.isNotNull())
+        context = lambda i: F.struct(i.alias("at"), F.array_join(F.slice(lines, F.greatest(i - around, F.lit(0)) + 1, i + around + 1 - F.greatest(i - around, F.lit(0))), "\n").alias("context"))
+        return F.struct(F.lit(name).alias("pattern"), F.size(hits).cast("long").alias("n"), F.transform(F.slice(hits, 1, examples), context).alias("first"))
+
+    each = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(*[audited(k, p) for k, p in patterns.items()])).alias("h")).select("id", "h.*").where("n > 0")
+    counts = each.groupBy("pattern").agg(F.sum("n").alias("n"))
+    shown = each.select("pattern", "id", F.explode("first").alias("x")).select("pattern", "id", "x.*")
+    top = shown.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("id", "at"))).where(F.col("r") <= examples)  # few rows leave each task
+    listed = top.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "context"))), lambda x: x["context"]).alias("examples"))
+    return counts.join(listed, "pattern")

@@ -49,8 +49,20 @@ def test_similar_names_equal_all_pairs(spark):
     names += [(100 + i, n + rng.choice(["", "a", " b"])) for i, n in names[:20]]
     grams = lambda s: {p[k : k + 3] for w in s.split() for p in [f"  {w} "] for k in range(len(p) - 2)}
     want = {(a, b) for a, x in names for b, y in names if a < b and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) > 0.6}
-    got = resolve.similar_names(spark.createDataFrame(names, "id long, name string"), "id", "name", None, 0.6, None).collect()
-    assert {(r.a, r.b) for r in got} == want and want
+    df = spark.createDataFrame(names, "id long, name string")
+    first = {r.id: r.first for r in resolve.name_classes(df, "id", "name").collect()}
+    members = {f: {i for i, x in first.items() if x == f} for f in first.values()}
+    linked = [(members[r.a], members[r.b]) for r in resolve.similar_names(df, "id", "name", None, 0.6, None).collect()]
+    got = {tuple(sorted((a, b))) for xs, ys in [*linked, *((m, m) for m in members.values())] for a in xs for b in ys if a != b}
+    assert got == want and any(len(m) > 1 for m in members.values())
+    groups = {r.node: r.keep for r in resolve.merge_groups(df, "id", "name", None, 0.6001).collect()}
+    assert all(groups[a] == groups[b] for a, b in want) and set(groups) == {x for pair in want for x in pair}
+
+
+def test_ten_thousand_equal_names(spark):
+    df = spark.range(10_000).selectExpr("id", "'the very same name' AS name").unionByName(spark.createDataFrame([(-1, "the very same nam"), (-2, "other")], "id long, name string"))
+    assert [(r.a, r.b) for r in resolve.similar_names(df, "id", "name", None, 0.7, None).collect()] == [(-1, 0)]
+    assert {r.keep for r in resolve.merge_groups(df, "id", "name", None, 0.7).collect()} == {-1}
 
 
 def test_mentions(spark):
@@ -82,11 +94,46 @@ def test_cascade_and_back(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and fits(a, b) and not (a[1] is None and a[2] is None) and cos(a[3], b[3]) >= 0.9}
     assert got == want and want
     done = spark.createDataFrame([(1, "found")], "id long, text string")
-    after = graph.cut(cascade.propagate(items, done, 0.9))
+    after = graph.cut(cascade.propagate(items, done, cascade.reached(items, done, 0.9)))
     proposed = after.where("status = 'proposed'")
     assert {r.id for r in proposed.collect()} == {b for a, b in want if a == 1} and {r.text for r in proposed.collect()} == {"found"}
-    back = {r.id: (r.status, r.source, r.depth, r.text) for r in cascade.revert(after, after.where("status <> 'unsolved'").select("id")).collect()}
-    assert set(back.values()) == {("unsolved", None, 0, None)}
+    none = spark.createDataFrame([], "proposal string, id long, text string, status string, kind string, sources array<string>")
+    back, _ = cascade.revert(after, none, cascade.trees(after, done.select("id")))
+    assert {(r.status, r.source, r.depth, r.text) for r in back.collect()} == {("unsolved", None, 0, None)}
+
+
+def test_confirmed_then_reverted_is_the_start(spark):
+    """Both tables: the winner goes on, similar items get one proposal that cites it; taken back, only the winner's own mark differs."""
+    rows = [(i, "name", 5, [1.0, 0.1 * i], "disputed" if i == 9 else "unsolved", None, 0, None) for i in range(10)]
+    items = spark.createDataFrame(rows, "id long, kind string, length int, vector array<double>, status string, source long, depth int, text string")
+    votes = lambda p, i, text, c, b, kind="manual", status="pending", sources=None: (p, i, text, status, kind, c, 5, 0, b, sources, None)
+    given = [votes("a", 0, "Ann", 0.9, 4), votes("b", 0, "Bob", 0.8, 4), votes("c", 0, "Cy", 0.2, 4), votes("d", 9, "Dee", 0.9, 4), votes("e", 1, "Ann", None, 0, "cascade", sources=["77"])]
+    proposals = spark.createDataFrame(given, "proposal string, id long, text string, status string, kind string, confidence double, up long, down long, backing long, sources array<string>, match double")
+    after, judged = (graph.cut(x) for x in cascade.confirm_and_propagate(items, proposals, 0.95))
+    status = {r.proposal: (r.status, r.outcome) for r in judged.collect()}
+    assert status["a"] == ("accepted", "confirmed") and status["b"] == ("superseded", "confirmed") and status["c"] == ("superseded", "confidence_too_low")
+    assert status["d"] == ("pending", "item_already_resolved")
+    new = {r.id: r.sources for r in judged.where("kind = 'cascade' AND proposal <> 'e'").collect()}
+    proposed = {r.id for r in after.where("status = 'proposed'").collect()}
+    assert proposed == {1, 2, 3} and set(new) == proposed - {1} and set(map(tuple, new.values())) == {("0",)}  # item 1 has that proposal already
+    back, left = cascade.revert(after, judged, cascade.trees(after, spark.createDataFrame([(0,)], "id long")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, items.collect()))
+    assert {r.proposal: r.status for r in left.collect()} == {"a": "rejected", "b": "pending", "c": "pending", "d": "pending", "e": "pending"}
+
+
+def test_edges_stay_where_they_are(spark):
+    """In a round of PageRank, components or labels only what nodes say is shuffled."""
+    from millrace.shared import bucketed
+
+    edges = spark.range(200).selectExpr("id % 20 AS a", "id * 7 % 31 AS b")
+    links = bucketed(graph.symmetric(edges).distinct(), "src")
+    known = bucketed(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.pagerank_round(links, known, known.withColumn("rank", F.lit(0.1)), 0.85, 31, 0.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
 @settings(max_examples=60, deadline=None)
