@@ -39,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by the key into as many buckets as a shuffle has partitions; rows stay in the tasks that wrote them until it is read.
+
+    What is then grouped by the key meets the other side without moving.
+    """
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

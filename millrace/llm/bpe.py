@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding, every distinct word merged once.
 
-Texts are cut into words (pre-tokens) by the vocabulary's pattern. Words leave a block of documents as one row each, with the places in the block where they stand, so
-that frequent words are summed up before anything moves. These rows are dealt out and sorted by word: a word's rows are neighbours, and it is merged once for all of them. The ids then go
-back to the block, are put where the places say, and cut into documents again. Decoding joins the ids of a batch with the table of token bytes, which has a row a token and is in every task.
+Texts are cut into words (pre-tokens) by the vocabulary's pattern. A block of documents sends each of its distinct words once, with the places in the block where it stands, so
+that frequent words are summed up before anything moves. Words are dealt out by their hash, those of a block and a bucket packed into one row: of all blocks they meet in
+their bucket, where each is merged once. The ids then go back to the block, are put where the places say, and cut into documents again. Places don't move: they lie in a table that
+is bucketed by block, and only words and ids are shuffled. Decoding joins the ids of a batch with the table of token bytes, which has a row a token and is in every task.
 
 Ids equal tiktoken's encode_ordinary: a word that is a token is that token; otherwise the adjacent pair of least rank, leftmost first, is merged again and again.
 
-A block holds whole documents, BLOCK words or one document at least; a text whose ids fit into a row is never cut. No word has more rows than there are blocks.
+A block holds whole documents, BLOCK words or one document at least; a text whose ids fit into a row is never cut. No word is sent more often than there are blocks.
 
 Defined cases: a null text has null ids, and they decode to null; '' has no ids. Long words are merged through a heap. Rows repeated keep a row each; an empty table gives an
 empty result. Other columns are ignored, or kept by name if asked for. Ids that the vocabulary lacks are an error.
@@ -17,7 +18,10 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from millrace.llm.base import named, slices, table
+from millrace.llm.base import bucketed, named, slices, table
 
 #: Words of a block, at which it is closed; bytes from which a word is merged through a heap; characters from which a text's words are not listed at once.
 BLOCK, LONG, LISTED = 2_000_000, 256, 1 << 20
@@ -156,57 +160,77 @@ def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column's bytes, and the offsets of its rows in them."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
+#: What rows of blocks have: a bundle's words of one hash bucket, spelled one after the other, and their lengths; of all words of the block, in the order of buckets, the gaps between
+#: their places, and the bytes of gaps that each has.
+PARTS = ("spelled", "lengths", "places", "spans")
 
 
-def word_rows(df: DataFrame, vocabulary: Vocabulary, text: str, keep: list[str], block_words: int) -> DataFrame:
-    """By block a row for each distinct word (word, places) and for each document (nth, n_words, and the columns to keep as c0, c1, ...)."""
+def cut_by(data: np.ndarray, ends: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """One binary for each stretch of items that ends before upto; ends: where the bytes of each item end."""
+    return binaries(data, np.r_[0, ends][upto])
+
+
+def word_bundles(df: DataFrame, vocabulary: Vocabulary, text: str, keep: list[str], block_words: int, buckets: int) -> DataFrame:
+    """By block a row for each bucket of its distinct words (spelled, lengths), one of their places, and one for each document (nth, n_words, and the columns to keep as c0, c1, ...)."""
     chosen = df.select(*[named(c).alias(f"c{k}") for k, c in enumerate(keep)], named(text).alias("text"))
-    kept = [StructField(f.name, f.dataType) for f in chosen.schema.fields[:-1]]
-    schema = StructType(kept + StructType.fromDDL("block string, nth int, n_words bigint, word string, places binary").fields)
+    schema = StructType(chosen.schema.fields[:-1] + StructType.fromDDL("block string, bucket int, nth int, n_words bigint, " + ", ".join(f"{x} binary" for x in PARTS)).fields)
     arrow = to_arrow_schema(schema, prefers_large_types=False)
+    width = len(keep)
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        numbers, places, documents, sizes = {}, array("i"), [], []
+
+        def fresh() -> tuple:
+            return defaultdict(count().__next__), array("i"), [], []
+
+        numbers, places, documents, sizes = fresh()
 
         def closed() -> Iterator[pa.RecordBatch]:
             nonlocal made
             block, made = f"{part}-{made}", made + 1
-            words = np.frombuffer(places, np.int32)
-            order = np.argsort(words, kind="stable")
-            first = np.searchsorted(words[order], np.arange(len(numbers)))
+            n = len(sizes)
+            kept = {f"c{k}": pa.concat_arrays([d.column(k) for d in documents]) for k in range(width)}
+            yield rows(n, **kept, block=pa.repeat(block, n), nth=pa.array(np.arange(n, dtype=np.int32)), n_words=pa.array(sizes, pa.int64()))
+            if not numbers:
+                return
+            words = [w.encode() for w in numbers]
+            bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+            by_bucket = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[by_bucket] = np.arange(len(words), dtype=np.int32)
+            at = rank[np.frombuffer(places, np.int32)]
+            order = np.argsort(at, kind="stable")
+            upto = np.cumsum(np.bincount(at, minlength=len(words)))
+            first = np.r_[0, upto[:-1]]
             gaps = np.diff(order, prepend=0)
             gaps[first] = order[first]
-            data, ends = packed(gaps)
-            last = np.r_[first[1:], len(order)] - 1
-            empty = lambda n, f: pa.nulls(n, f.type)
-            n = sum(d.num_rows for d in documents)
-            rows = pa.Table.from_batches(documents).combine_chunks().to_batches() if n else []
-            for batch in rows:
-                columns = [batch.column(k).cast(arrow.field(k).type) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.repeat(block, n), pa.array(np.arange(n, dtype=np.int32)), pa.array(sizes, pa.int64()), empty(n, arrow.field("word")), empty(n, arrow.field("places"))], schema=arrow)
-            if numbers:
-                m = len(numbers)
-                yield pa.RecordBatch.from_arrays([*[empty(m, arrow.field(k)) for k in range(len(keep))], pa.repeat(block, m), empty(m, arrow.field("nth")), empty(m, arrow.field("n_words")), pa.array(numbers, pa.string()), binaries(data, ends[last])], schema=arrow)
+            gap_bytes, gap_ends = packed(gaps)
+            word_ends = gap_ends[upto - 1]  # of each word's gaps
+            sizes_ = np.fromiter(map(len, words), np.int64, len(words))[by_bucket]
+            spelled = np.frombuffer(b"".join(map(words.__getitem__, by_bucket.tolist())), np.uint8)
+            length_bytes, length_ends = packed(sizes_)
+            span_bytes, span_ends = packed(np.diff(word_ends, prepend=0))
+            used, starts = np.unique(bucket[by_bucket], return_index=True)
+            last = np.r_[starts[1:], len(words)]
+            yield rows(len(used), block=pa.repeat(block, len(used)), bucket=pa.array(used.astype(np.int32)), spelled=cut_by(spelled, np.cumsum(sizes_), last), lengths=cut_by(length_bytes, length_ends, last))
+            yield rows(1, block=pa.array([block]), places=binaries(gap_bytes, gap_ends[-1:]), spans=binaries(span_bytes, span_ends[-1:]))
 
         for batch in slices(batches, 64):
             at = 0
-            for k, text_ in enumerate(batch.column(len(keep)).to_pylist()):
+            for k, text_ in enumerate(batch.column(width).to_pylist()):
                 before = len(places)
                 if text_ is not None:
-                    places.extend(numbers.setdefault(w, len(numbers)) for w in vocabulary.words(text_))
+                    places.extend(map(numbers.__getitem__, vocabulary.words(text_)))
                 sizes.append(-1 if text_ is None else len(places) - before)
                 if len(places) >= block_words:
                     documents.append(batch.slice(at, k + 1 - at))
                     yield from closed()
-                    at, numbers, places, documents, sizes = k + 1, {}, array("i"), [], []
+                    at, (numbers, places, documents, sizes) = k + 1, fresh()
             if at < batch.num_rows:
                 documents.append(batch.slice(at))
         if sizes:
@@ -217,55 +241,64 @@ def word_rows(df: DataFrame, vocabulary: Vocabulary, text: str, keep: list[str],
 
 def encode(df: DataFrame, vocabulary: Vocabulary | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK) -> DataFrame:
     """keep, and ids: array<int>."""
-    vocabulary = vocabulary or read_vocabulary()
-    rows = word_rows(df, vocabulary, text, list(keep), block_words)
-    width = len(keep)
-    sorted_ = rows.repartition(F.coalesce("word", F.concat_ws("/", "block", "nth"))).sortWithinPartitions("word")
-    arrow = to_arrow_schema(StructType([*[f for f in rows.schema.fields if f.name != "word"], StructField("ids", StructType.fromDDL("x binary")[0].dataType)]), prefers_large_types=False)
+    vocabulary, width = vocabulary or read_vocabulary(), len(keep)
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(word_bundles(df, vocabulary, text, list(keep), block_words, buckets), "block")
+    bundles = blocks.where("spelled IS NOT NULL").select("block", "bucket", "spelled", "lengths")
+    dealt = bundles.repartition("bucket").sortWithinPartitions("bucket")
+    schema = StructType.fromDDL("block string, bucket int, ids binary, many binary")
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+    kind = vocabulary.type
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
-        for batch in batches:
-            found = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, None if word is None else np.array(vocabulary.merged(word.encode()), vocabulary.type).tobytes()
-                found.append(None if word is None else ids)
-            yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in arrow if f.name != "ids"] + [pa.array(found, pa.binary())], schema=arrow)
-
-    merged = sorted_.mapInArrow(merge, StructType([*[f for f in rows.schema.fields if f.name != "word"], StructField("ids", rows.schema["places"].dataType)]))
-    out = StructType([*rows.schema.fields[:width], *StructType.fromDDL("ids array<int>").fields])
+        now, known = None, {}
+        for batch in slices(batches, 64):
+            ids, many = [], []
+            for bucket, spelled, lengths in zip(*(batch.column(x).to_pylist() for x in ("bucket", "spelled", "lengths")), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}  # all of a word's bundles lie in one bucket
+                ends = np.cumsum(unpacked(np.frombuffer(lengths, np.uint8))[0]).tolist()
+                found, start = [], 0
+                for end in ends:
+                    word = spelled[start:end]
+                    if (x := known.get(word)) is None:
+                        x = known[word] = np.array(vocabulary.merged(word), kind).tobytes()
+                    found.append(x)
+                    start = end
+                ids.append(b"".join(found))
+                many.append(packed(np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block").cast(arrow.field(0).type), batch.column("bucket"), pa.array(ids, pa.binary()), pa.array(many, pa.binary())], schema=arrow)
+
+    out = StructType([*blocks.schema.fields[:width], *StructType.fromDDL("ids array<int>").fields])
     result = to_arrow_schema(out, prefers_large_types=False)
 
-    def reassemble(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        documents = group.filter(pc.is_valid(group["nth"])).sort_by("nth")
-        words = group.filter(pc.is_valid(group["places"])).combine_chunks()
+    def reassemble(words: pa.Table, block: pa.Table) -> pa.Table:
+        documents = block.filter(pc.is_valid(block["nth"])).sort_by("nth").combine_chunks()
+        words = words.sort_by("bucket")
+        joined = lambda x: np.frombuffer(b"".join(v for v in (words if x in words.column_names else block)[x].to_pylist() if v), np.uint8)
         sizes = documents["n_words"].to_numpy()
-        many = np.maximum(sizes, 0)
-        if words.num_rows:
-            data, offsets = bytes_of(words["places"].chunk(0))
-            gaps, last = unpacked(data)
-            first = np.searchsorted(last, offsets[:-1])
-            counts = np.diff(np.r_[first, len(gaps)])
-            sums = np.cumsum(gaps)
-            places = sums - np.repeat(sums[first] - gaps[first], counts)
-            ids, ends = bytes_of(words["ids"].chunk(0))
-            pool, ends = ids.view(vocabulary.type), ends // vocabulary.type.itemsize
-        else:
-            places, counts, pool, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, vocabulary.type), np.zeros(1, np.int64)
-        if len(places) != many.sum():
+        listed = np.maximum(sizes, 0)
+        gaps, last = unpacked(joined("places"))
+        upto = np.cumsum(unpacked(joined("spans"))[0])  # bytes of gaps up to each word's end
+        first = np.searchsorted(last, np.r_[0, upto[:-1]]) if len(upto) else upto
+        times = np.diff(np.r_[first, len(gaps)])
+        sums = np.cumsum(gaps)
+        places = sums - np.repeat(sums[first] - gaps[first], times)
+        lengths = unpacked(joined("many"))[0]
+        pool = joined("ids").view(kind)
+        if len(places) != listed.sum() or len(lengths) != len(times):
             raise RuntimeError("a block's words are not those of its documents: the input changed between attempts")
         at = np.zeros(len(places), np.int32)
-        at[places] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        lengths = np.diff(ends)
-        flat = spread(pool, ends[:-1], lengths, at).astype(np.int32)
-        upto = np.r_[0, np.cumsum(lengths[at])][np.r_[0, np.cumsum(many)]]
-        lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat), mask=pa.array(sizes < 0))
-        columns = [documents.column(k).combine_chunks().cast(result.field(k).type) for k in range(width)]
+        at[places] = np.repeat(np.arange(len(times), dtype=np.int32), times)
+        flat = spread(pool, np.cumsum(lengths) - lengths, lengths, at).astype(np.int32)
+        ends = np.r_[0, np.cumsum(lengths[at])][np.r_[0, np.cumsum(listed)]]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(sizes < 0))
+        columns = [documents[f"c{k}"].combine_chunks().cast(result.field(k).type) for k in range(width)]
         return pa.Table.from_arrays([*columns, lists.cast(result.field(width).type)], schema=result)
 
-    return merged.groupBy("block").applyInArrow(reassemble, out).toDF(*keep, "ids")
+    merged = dealt.mapInArrow(merge, schema)
+    rest = blocks.where("spelled IS NULL").select(*[f"c{k}" for k in range(width)], "block", "nth", "n_words", "places", "spans")
+    return merged.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(reassemble, out).toDF(*keep, "ids")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
