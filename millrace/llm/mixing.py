@@ -9,7 +9,8 @@ The cut is found likewise, in a histogram of finish times and then in the one bi
 the square root of the rows, so that neither a range nor the list of ranges is long.
 
 The shuffle hash is of the id and the text. Rows that are equal in both (a third of all rows may be) are one row with a count in all sums; the
-queue takes them one after the other, which their place in the block gives without a window.
+queue takes them one after the other, which their place in the block gives without a window. How many of them are taken is arithmetic; where rows
+are asked for, a block's are dealt over tasks in pieces.
 
 Defined cases: a null or blank text has size 0 and is taken 0 words. A null source is a source of its own. Rows repeated, or sharing
 a null or other doc_id, keep a row each, with its own fate. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import named, positional, table, written
+from millrace.llm.base import each_place, named, positional, table, written
 
 
 def n_words(text: str | Column) -> Column:
@@ -98,7 +99,7 @@ def cut_time(timed: DataFrame, rounds: int, total: float, bins: int) -> float:
     if not found:
         return float("inf")
     inside = rows.where((F.col("bin") == found[0]["bin"]) & (F.col("last") > F.col("first")))
-    each = inside.withColumn("place", F.explode(F.sequence(F.col("first") + 1, F.col("last"))))
+    each = each_place(inside.select("s", "size", "target", "first", (F.col("last") - F.col("first")).alias("n")), "n", "nth").withColumn("place", F.col("first") + F.col("nth"))
     ties = each.groupBy(((F.col("s") + F.col("size") * F.col("place")).cast("double") / F.col("target")).alias("f")).agg(F.sum("size").alias("n"))
     run = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
     last = ties.select("f", (F.sum("n").over(run) + F.lit(found[0]["sent"])).alias("upto")).where(F.col("upto") <= F.lit(total)).agg(F.max("f")).first()[0]
@@ -124,6 +125,17 @@ def taken_blocks(df: DataFrame, weights: tuple[float, ...] | DataFrame, budget:
     return timed, cut_time(timed, rounds, (facts["words"] or 0) * budget, bins)
 
 
+def taken_places(cut: float, k: int) -> Column:
+    """How many of the block's rows the mix takes in round k; finish times grow with the place, so they are its first ones.
+
+    The quotient tells it but for rounding; the comparison that times_taken() makes has the last word.
+    """
+    about = F.floor((F.lit(cut) * F.col("target") - F.col(f"s{k}")) / F.col("size"))
+    about = F.when(about >= F.col("many"), F.col("many")).otherwise(F.greatest(about.cast("long"), F.lit(0)))
+    near = [F.greatest(F.lit(0).cast("long"), F.least(F.col("many"), about + d)) for d in range(-2, 3)]
+    return F.coalesce(F.greatest(F.lit(0).cast("long"), *[F.when((n > 0) & F.coalesce(finish(k, n) <= F.lit(cut), F.lit(False)), n) for n in near]), F.lit(0))
+
+
 def times_taken(cut: float, rounds: int, place: Column | str) -> Column:
     """How often the mix takes the block's row at this place."""
     times = sum((F.coalesce(finish(k, place) <= F.lit(cut), F.lit(False)).cast("int") for k in range(rounds)), F.lit(0))
@@ -136,7 +148,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] | DataFrame = (1.0,), budget:
     budget: the mix's words over all words. No document is taken more than rounds times.
     """
     timed, cut = taken_blocks(df, weights, budget, rounds, id_col, text, source, F.lit(0).cast("long"))
-    rows = timed.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).withColumn("times", times_taken(cut, rounds, F.col("_place")))
+    rows = each_place(timed, "many", "_place").withColumn("times", times_taken(cut, rounds, F.col("_place")))
     return rows.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
@@ -146,11 +158,10 @@ def mixed_rows(df: DataFrame, weights: tuple[float, ...] | DataFrame = (1.0,), b
     at = {c: f"c{df.columns.index(c)}" for c in (id_col, text, source)}
     mark = row_mark(flat)
     timed, cut = taken_blocks(flat, weights, budget, rounds, at[id_col], at[text], at[source], mark)
-    rows = timed.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).withColumn("times", times_taken(cut, rounds, F.col("place")))
-    times = rows.where("times > 0").groupBy(F.col("h0").alias("h"), F.col("mark").alias("m")).agg(F.sum("times").alias("times"))
+    taken = sum((taken_places(cut, k) for k in range(1, rounds)), taken_places(cut, 0))
+    times = timed.where("size > 0").withColumn("times", taken).where("times > 0").groupBy(F.col("h0").alias("h"), F.col("mark").alias("m")).agg(F.sum("times").alias("times"))
     one = flat.withColumns({"h": shuffle_key(0, at[id_col], at[text]), "m": mark}).dropDuplicates(["h", "m"])
-    copied = one.join(times, ["h", "m"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return copied.select(*flat.columns).toDF(*df.columns)
+    return each_place(one.join(times, ["h", "m"]), "times", "copy").select(*flat.columns).toDF(*df.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,8 +318,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """The sample: of each class the labelled ids that come first by hash, held-out ids left out."""
+    """The sample: of each class the labelled ids that come first by hash, of those that have a text; held-out ids left out."""
     known = labels.where(F.col(label).isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.join(documents.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
     picked = None
     for value in (0, 1):
         part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)

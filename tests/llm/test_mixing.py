@@ -67,5 +67,23 @@ def test_defined_cases(spark, data):
 
 
 def test_native_plan(spark, capsys):
-    mixing.mix(spark.createDataFrame(rows(50), "doc_id long, text string, source string, x string")).explain()
-    assert not {"Python", "Arrow", "Pandas"} & set(capsys.readouterr().out.replace("(", " ").split())
+    df = spark.createDataFrame(rows(50), "doc_id long, text string, source string, x string")
+    for mixed in (mixing.mix(df), mixing.mixed_rows(df)):
+        mixed.explain()
+        assert not {"Python", "Arrow", "Pandas"} & set(capsys.readouterr().out.replace("(", " ").split())
+
+
+def test_blocks_are_taken_by_arithmetic(spark):
+    """How many rows of a block are taken is what their places say one by one, and takes no longer for 400 million of them."""
+    small = [(size, 30, s, s + 1000, target) for size in (1, 3, 7) for s in (0, 5, 333) for target in (0.0, 17.3, 100.0, 1e4)]
+    df = spark.createDataFrame(small, "size long, many long, s0 long, s1 long, target double")
+    for cut in (0.0, 0.1, 0.77, 1.0, 3.3, float("inf")):
+        for r in df.select("*", *[mixing.taken_places(cut, k).alias(f"t{k}") for k in (0, 1)]).collect():
+            for start, taken in ((r.s0, r.t0), (r.s1, r.t1)):
+                assert taken == sum(1 for n in range(1, 31) if r.target > 0 and (start + r.size * n) / r.target <= cut)
+    hot = spark.createDataFrame([(7, 400_000_000, 10**14, 2 * 10**14, 3.1e14)], "size long, many long, s0 long, s1 long, target double")
+    for cut in (0.3225806, 0.3251, 0.6499):
+        r = hot.select("*", mixing.taken_places(cut, 0).alias("t0"), mixing.taken_places(cut, 1).alias("t1")).first()
+        for start, taken in ((r.s0, r.t0), (r.s1, r.t1)):
+            fits = lambda n, start=start: (start + 7 * n) / 3.1e14 <= cut  # noqa: E731, B023
+            assert (taken == 0 or fits(taken)) and (taken == r.many or not fits(taken + 1))

@@ -271,6 +271,16 @@ def test_toxicity_learns_words_and_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(g[name][at], abs=2e-2)
 
 
+def test_labels_of_absent_documents_take_no_place(spark):
+    """Only labelled documents that exist compete for the sample's places: 60,000 other labels change nothing."""
+    docs = spark.createDataFrame([(k, None if k == 7 else f"text {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    texts, y = toxicity.training_rows(docs, labels, max_per_class=1500)
+    kept = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 and k != 7]
+    assert sorted(zip(texts, y, strict=True)) == sorted((f"text {k}", k % 2) for k in kept)
+    assert len(toxicity.training_rows(docs, labels, max_per_class=10)[0]) == 20
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         at = toxicity.window_starts(n)
