@@ -8,7 +8,7 @@ from millrace.functions.text import chunk_flags
 from millrace.operators import chunker, extract, ledger, stages
 from millrace.plans.base import Registry
 from millrace.sources import html, loadfiles
-from millrace.streaming import windows
+from millrace.streaming import votes, windows
 
 query = Registry()
 c = F.col
@@ -384,3 +384,22 @@ CASE WHEN count(*) FILTER (event_type = 'purchase') >= 3 AND count(*) FILTER (ev
 def vote_states(events):
     decide = lambda up, down, backing: F.when((backing >= 3) & (up > down), "corroborated").otherwise("pending")
     return windows.latest(windows.finished(windows.vote_states(events, decide), "update"), ["user_id"])
+
+
+@stream("st6_vote_process", """
+WITH a AS (SELECT event_id AS vote_id, event_id % 30 AS item, event_id % 30 * 2 + event_id // 30 % 2 AS proposal, user_id AS voter, CASE event_type WHEN 'click' THEN 'up' WHEN 'error' THEN 'down' ELSE 'backing' END AS kind, ts FROM events WHERE event_type IN ('click', 'error', 'purchase')),
+v AS (SELECT *, row_number() OVER (ORDER BY ts, vote_id) AS o, voter = proposal % 13 AS own FROM a WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM a)),
+c AS (SELECT *, lag(kind) OVER (PARTITION BY proposal, voter ORDER BY o) AS was FROM v WHERE NOT own),
+d AS (SELECT *, sum((kind = 'up')::INT - coalesce((was = 'up')::INT, 0)) OVER w AS up, sum((kind = 'down')::INT - coalesce((was = 'down')::INT, 0)) OVER w AS down, sum((kind = 'backing')::INT - coalesce((was = 'backing')::INT, 0)) OVER w AS backing
+  FROM c WINDOW w AS (PARTITION BY proposal ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT item, min(o) AS o FROM d WHERE backing >= 3 GROUP BY 1), e AS (SELECT item, min(o) AS o FROM d WHERE backing >= 3 AND up + down + backing >= 7 AND down <= 0.25 * (up + down + backing) GROUP BY 1),
+n AS (SELECT v.item, count(*) FILTER (NOT own AND v.o <= coalesce(e.o, v.o)) AS counted, count(*) FILTER (own AND v.o <= coalesce(e.o, v.o)) AS own, count(*) FILTER (v.o > e.o) AS late FROM v LEFT JOIN e USING (item) GROUP BY 1)
+SELECT n.item, CASE WHEN e.o IS NOT NULL THEN 'confirmed' WHEN k.o IS NOT NULL THEN 'corroborated' ELSE 'unsolved' END AS status, s.proposal AS winner, b.vote_id AS corroborated_by, s.vote_id AS settled_by, counted, n.own, late
+FROM n LEFT JOIN k USING (item) LEFT JOIN e USING (item) LEFT JOIN v b ON b.o = k.o LEFT JOIN v s ON s.o = e.o""")
+def vote_process(events):
+    """The events as votes: out of order as they come from files, with changed votes, own ones, and ones for settled items."""
+    item, kind = c("event_id") % 30, F.when(c("event_type") == "click", "up").when(c("event_type") == "error", "down").otherwise("backing")
+    proposal = item * 2 + F.floor(c("event_id") / 30) % 2
+    cast = events.where(c("event_type").isin("click", "error", "purchase")).select(item.alias("item"), c("event_id").alias("vote_id"), proposal.alias("proposal"), (proposal % 13).alias("author"), c("user_id").alias("voter"), kind.alias("vote"), c("ts").alias("at"))
+    with votes.rocksdb(events.sparkSession):
+        return windows.latest(windows.finished(votes.outcomes(cast, "1 hour"), "update"), ["item"])
