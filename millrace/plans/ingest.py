@@ -28,6 +28,18 @@ def opt_rows(t):
     return loadfiles.opt_rows(opt_lines(t))
 
 
+@query("s6_numbered_lines", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, 'B' || o_orderkey AS bates FROM orders")
+def numbered_lines(t):
+    """Lines in the order of their keys, written as files in that order and read back by splits: numbered over all files."""
+    from millrace.shared import new_folder
+
+    where = new_folder(t.spark, "lines")
+    line = F.concat(F.lit("B"), "o_orderkey", F.lit(",VOL1,IMG\\A.tif,Y"))
+    t("orders").orderBy("o_orderkey").select(line.alias("value")).write.text(where)
+    rows = loadfiles.opt_rows(loadfiles.numbered_lines(t.spark, where, across=True))
+    return rows.select("line_no", "bates")
+
+
 @query("s8_opt_documents", f"""
 WITH {OPT}, g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY file ORDER BY line_no) AS doc_no FROM x)
 SELECT file, doc_no::BIGINT AS doc_no, min(bates) AS first, max(bates) AS last, count(*) AS pages FROM g GROUP BY 1, 2""")
@@ -121,6 +133,43 @@ def page_links(t):
     return t("pages").select("page_id", html.links("html").alias("links"), html.title("html").alias("title"))
 
 
+def with_cards(t):
+    """The pages with payload calls behind their HTML: of orders, photos, names and mails, two cards of the last three in one call."""
+    uuid = F.concat(F.lpad(F.hex("page_id"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
+    quoted = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p.replace("'", '\\"')) for p in parts])
+    n = F.col("page_id").cast("string")
+    low = F.lower(uuid)
+    order = quoted("['$','tr','", low, "',{'font-mono text-sm','children':'Mar 3, 2004'},{'font-medium line-clamp-2','children':'Item ", n, "'},AMZ-0001-0002-003,{'secondary/90 text-xs','children':'Books'},{'text-center','children':", n, "},{'text-right font-mono text-sm','children':'$$9.50'},{'href':'/orders/", n, "'}]")
+    photo = lambda k: quoted(f"$L{k}','", low, "',{'src':'https://x.supabase.co/storage/v1/object/public/photos/", n, f"-{k}.jpg','alt':'Photo ", n, "'},{'href':'/photos/", n, "'},{'children':'The Ranch ", n, "'},{'outline','children':'Estate'}")
+    name = lambda k: quoted(f"['$','$L{k}',null,", "{'href':'/names/n", n, f"-{k}'", "},{'semibold','children':'Name ", n, "'},{'text-muted-foreground','children':'Known as a witness'},{'children':", n, "},{'children':7}]")
+    mail = lambda k: quoted(f"$L{k}','", low, "',{'href':'/emails/", n, f"-{k}'", "},{'children':'Jan 5, 2001'},From: {'children':'Ann'},To: {'children':'Bob'},{'font-medium','children':'Subject ", n, "'},{'children':'A long preview of the message of page ", n, "'}")
+    call = lambda *parts: F.concat(F.lit('<script>self.__next_f.push([1,"'), *parts, F.lit('"])</script>'))
+    text = F.concat(F.coalesce("html", F.lit("")), call(order), call(F.lit("0:"), photo(1), photo(2)), call(name(1), name(2)), call(F.lit("email "), mail(1), mail(2)))
+    return html.payload_chunks(t("pages").select("page_id", text.alias("h")), "page_id", "h")
+
+
+@query("s21_orders", """SELECT page_id, lower(lpad(printf('%X', page_id), 8, '0')) || '-0000-4000-8000-000000000000' AS id, 'Mar 3, 2004' AS date, 'Item ' || page_id AS item, 'AMZ-0001-0002-003' AS order_number, 'Books' AS category,
+page_id::INT AS quantity, '$9.50' AS price, '/orders/' || page_id AS detail_url FROM pages""")
+def scraped_orders(t):
+    return html.records(with_cards(t), "page_id", "order")
+
+
+@query("s21_photos", """SELECT page_id, 'https://x.supabase.co/storage/v1/object/public/photos/' || page_id || '-' || k || '.jpg' AS image_url, 'Photo ' || page_id AS title, '/photos/' || page_id AS detail_url, 'The Ranch ' || page_id AS location, 'Estate' AS source
+FROM pages, (VALUES (1), (2)) x(k)""")
+def scraped_photos(t):
+    return html.records(with_cards(t), "page_id", "photo")
+
+
+@query("s21_names", """SELECT page_id, '/names/n' || page_id || '-' || k AS profile_url, 'Name ' || page_id AS name, 'Known as a witness' AS role, page_id::INT AS document_count, 7 AS flight_count, NULL::INT AS email_count FROM pages, (VALUES (1), (2)) x(k)""")
+def scraped_names(t):
+    return html.records(with_cards(t), "page_id", "name")
+
+
+@query("s21_mails", """SELECT page_id, '/emails/' || page_id || '-' || k AS detail_url, 'Jan 5, 2001' AS date, 'Ann' AS "from", 'Bob' AS "to", 'Subject ' || page_id AS subject, 'A long preview of the message of page ' || page_id AS preview FROM pages, (VALUES (1), (2)) x(k)""")
+def scraped_mails(t):
+    return html.records(with_cards(t), "page_id", "email")
+
+
 @query("s22_main_text", r"""
 WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(p, '<[^>]+>', '', 'g'))), lambda p: p <> '') AS p FROM pages),
 f AS (SELECT page_id, list_filter(p, lambda x: length(x) >= 40 AND NOT regexp_matches(x, '\{[^}]*:[^}]*\}')) AS f FROM p)

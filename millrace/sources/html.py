@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,9 +68,90 @@ def main_text(html: Column | str, least: int = 40) -> Column:
     return F.nullif(best, F.lit(""))
 
 
+@dataclass(frozen=True)
+class Format:
+    """How records of one kind stand in payloads: marks that a payload has, where a card starts (None: a payload is one card), the fields by pattern, those of which one must be there."""
+
+    marks: tuple[str, ...]
+    card: str | None
+    fields: dict[str, str]
+    needs: tuple[str, ...]
+    numbers: tuple[str, ...] = ()
+    least: int = 0
+
+
+# The marks of a page's components.
+DAY = r'((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s*\d{4})"'
+CARD = r'\$L\w+","[0-9a-f]{8}-'
+PLACES = "Residence|Property|Office|Room|Island|Mansion|Apartment|Ranch|Palm Beach|New York|Manhattan|Virgin|Little St"
+FORMATS = {
+    "order": Format(
+        ("AMZ-",), None,
+        {
+            "id": r'"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"', "date": r'font-mono text-sm","children":"' + DAY, "item": r'font-medium line-clamp-2","children":"([^"]+)"',
+            "order_number": r"(AMZ-\d{4}-\d{4}-\d{3})", "category": r'secondary/90 text-xs","children":"([^"]+)"', "quantity": r'text-center","children":(\d+)',
+            "price": r'text-right font-mono text-sm","children":"\$(\$[^"]+)"', "detail_url": r'"href":"(/orders/[^"]+)"',
+        },
+        ("id", "item"), ("quantity",),
+    ),
+    "photo": Format(
+        ("supabase.co/storage", "/photos/"), CARD,
+        {
+            "image_url": r'"src":"(https://[^"]*supabase\.co/storage/v1/object/public/photos/[^"]+)"', "title": r'"alt":"([^"]+)"', "detail_url": r'"href":"(/photos/[^"]+)"',
+            "location": rf'(?i)"children":"([^"]*(?:{PLACES})[^"]*)"', "source": r'outline","children":"([^"]+)"',
+        },
+        ("image_url",),
+    ),
+    "name": Format(
+        ("/names/",), r'\["\\?\$","\\?\$L',
+        {"profile_url": r'"href":"(/names/[^"]+)"', "name": r'(?:semibold|font-medium)[^"]*","children":"([^"]+)"', "role": r'text-muted-foreground[^"]*","children":"([^"]{10,})"'},
+        ("profile_url", "name"),
+    ),
+    "email": Format(
+        ("/emails/", "email"), CARD,
+        {
+            "detail_url": r'"href":"(/emails/[^"]+)"', "date": r'"children":"' + DAY, "from": r'(?:From|Sender)[^"]*"children":"([^"]+)"', "to": r'(?:To|Recipient)[^"]*"children":"([^"]+)"',
+            "subject": r'"font-medium[^"]*","children":"([^"]{5,})"',
+        },
+        (), (), 100,
+    ),
+}
+#: A name's counts, in the order in which its card has them.
+COUNTS = ("document_count", "flight_count", "email_count")
+
+
+def payload_chunks(df: DataFrame, id_col: str, html: str) -> DataFrame:
+    """(id_col, chunk): a row for each payload call of a page, its escapes resolved."""
+    return df.select(id_col, F.explode(payloads(html)).alias("_raw")).select(id_col, unescape(F.col("_raw")).alias("chunk"))
+
+
 def cards(payload: Column | str, start: str) -> Column:
-    """A payload cut before each place where a card starts."""
-    return F.filter(F.split(col(payload), f"(?={start})"), lambda x: x.rlike(f"^(?:{start})"))
+    """A payload cut before each place where a card starts; what comes before the first is a piece of its own."""
+    return F.filter(F.split(col(payload), f"(?={start})"), lambda x: x != "")
+
+
+def records(chunks: DataFrame, id_col: str, kind: str) -> DataFrame:
+    """(id_col, the kind's fields): a row for each card that has what its kind needs. Cards are cut and read where the chunk is."""
+    f = FORMATS[kind]
+    marked = F.lit(False)
+    for mark in f.marks:
+        marked = marked | F.contains(F.lower("chunk") if kind == "email" else F.col("chunk"), F.lit(mark))
+    whole = chunks.where(marked)
+    each = whole.select(id_col, F.explode(cards("chunk", f.card)).alias("card")) if f.card else whole.select(id_col, F.col("chunk").alias("card"))
+    field = lambda p: F.nullif(F.regexp_extract("card", p, 1), F.lit(""))
+    out = {k: field(p).cast("int") if k in f.numbers else field(p) for k, p in f.fields.items()}
+    if kind == "name":
+        found = F.regexp_extract_all("card", F.lit(r'"children":(\d+)'), F.lit(1))
+        out |= {c: F.get(found, F.lit(k)).cast("int") for k, c in enumerate(COUNTS)}
+    if kind == "email":
+        texts = F.regexp_extract_all("card", F.lit(r'"children":"([^"]{30,})"'), F.lit(1))
+        out["preview"] = F.nullif(F.aggregate(texts, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)), F.lit(""))
+    kept = each.where(F.length("card") >= f.least).select(id_col, *[v.alias(k) for k, v in out.items()])
+    if kind == "email":
+        return kept.where("detail_url IS NOT NULL OR subject IS NOT NULL")
+    for need in f.needs:
+        kept = kept.where(F.col(need).isNotNull())
+    return kept
 
 
 def pattern_audit(df: DataFrame, id_col: str, text: str, patterns: dict[str, str], examples: int = 3, around: int = 2) -> DataFrame:

@@ -14,15 +14,24 @@ from pyspark.sql import functions as F
 
 from millrace.functions.dates import parse_date
 from millrace.functions.text import col
+from millrace.operators.graph import cut
 
 # The delimiters of DAT files.
 QUOTE, FIELD = "þ", "þ\u0014þ"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files: each is read whole, so that its lines keep their numbers."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where("line <> ''")
+def numbered_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """(file, line_no, line) of text files of any size, lines without text left out; numbers count all lines of a file from 0, or those of all files in the order of their paths.
+
+    A large file is read in splits at line ends. A line's number is its place in its split, and the lines of the splits before it: one row a split (128 MB, say) is
+    summed up and sent to all tasks; the lines themselves stay where they are read.
+    """
+    where = F.col("_metadata")
+    lines = spark.read.text(path).select(where["file_path"].alias("file"), where["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    order = (Window.orderBy("file", "start") if across else Window.partitionBy("file").orderBy("start")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(splits.select("file", "start", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first")).alias("_shift")))
+    return lines.join(F.broadcast(starts), ["file", "start"]).select("file", (F.col("at") + F.col("_shift")).alias("line_no"), "line").where("line <> ''")
 
 
 def csv_fields(line: Column | str) -> Column:
@@ -38,9 +47,16 @@ def opt_rows(lines: DataFrame) -> DataFrame:
 
 
 def opt_documents(rows: DataFrame) -> DataFrame:
-    """(file, doc_no, first, last, pages): a row with the flag starts a document; rows before the first flag are one too."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = rows.withColumn("doc_no", F.sum(F.col("starts").cast("int")).over(w))
+    """(file, doc_no, first, last, pages): a row with the flag starts a document; rows before the first flag are one too.
+
+    The flags so far are summed within ranges of lines, and over the ranges: a file may be of any length.
+    """
+    ranged = cut(rows.select("file", "line_no", "bates", F.col("starts").cast("int").alias("starts")).repartitionByRange("file", "line_no").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("file", "_range").agg(F.sum("starts").alias("_n"))
+    ranges = totals.select("file", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("file", "_range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = ranged.withColumn("_own", F.sum("starts").over(within)).join(ranges, ["file", "_range"]).withColumn("doc_no", F.col("_before") + F.col("_own"))
     return grouped.groupBy("file", "doc_no").agg(F.min_by("bates", "line_no").alias("first"), F.max_by("bates", "line_no").alias("last"), F.count(F.lit(1)).alias("pages"))
 
 

@@ -181,6 +181,35 @@ def test_files(spark, tmp_path):
     page = 'x self.__next_f.push([1,"a\\n\\"b"]) self.__next_f.push([1,"\\x"])'
     assert html.payload_text(spark.createDataFrame([(1, page)], "id long, h string"), "id", "h").first().payload == 'a\\n\\"b\\x'
     assert [len(r.c) for r in spark.createDataFrame([("<i>1<i>2",)], "p string").select(html.cards("p", "<i>").alias("c")).collect()] == [2]
+    bad = spark.createDataFrame([(1, "AMZ- without an id"), (2, None), (3, ""), (4, "email " + "x" * 200)], "k long, chunk string")
+    assert all(html.records(bad, "k", kind).collect() == [] for kind in html.FORMATS)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Files of many splits have the numbers of one task's read, blank lines and both line ends counted; documents go on over splits."""
+    rng, want = random.Random(8), {}
+    for name in ("b.opt", "a.opt"):
+        lines = ["" if rng.random() < 0.05 else f"B{k:05d},VOL1,IMG\\{'x' * rng.randrange(60)}.tif,{'Y' if rng.random() < 0.1 else ''},,,{k % 3}" for k in range(4000)]
+        (tmp_path / name).write_text("".join(x + rng.choice(["\n", "\r\n"]) for x in lines), newline="")
+        want[name] = lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = loadfiles.numbered_lines(spark, str(tmp_path / "*.opt"))
+        assert read.rdd.getNumPartitions() > 10
+        got = {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in read.collect()}
+        both = {r.line_no: r.line for r in loadfiles.numbered_lines(spark, str(tmp_path / "*.opt"), across=True).collect()}
+        documents = {(r.file.rsplit("/", 1)[1], r.doc_no): (r.first, r.last, r.pages) for r in loadfiles.opt_documents(loadfiles.opt_rows(read)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(name, k): line for name, lines in want.items() for k, line in enumerate(lines) if line}
+    assert both == {k: line for k, line in enumerate(want["a.opt"] + want["b.opt"]) if line}
+    plain = {}
+    for name, lines in want.items():
+        n = 0
+        for line in filter(None, lines):
+            n += line.split(",")[3] == "Y"
+            plain.setdefault((name, n), []).append(line.split(",")[0])
+    assert documents == {k: (v[0], v[-1], len(v)) for k, v in plain.items()}
 
 
 def test_overwrite_is_idempotent(spark, tmp_path):
