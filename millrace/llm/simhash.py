@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import map_texts, positional, slices, table, written
+from millrace.llm.mixing import row_mark
 from millrace.llm.urlfilter import build_filter, maybe_listed
 
 BLOCKS, BLOCK_BITS = 8, 8
@@ -203,23 +204,36 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of names of sets that share a band: each set meets the band's first, and the one before it."""
-    order = Window.partitionBy("band").orderBy("node")
-    met = banded(sketches).select(F.col("node").alias("b"), F.first("node").over(order).alias("x"), F.lag("node").over(order).alias("y"))
-    return met.select("b", F.explode(F.array("x", "y")).alias("a")).where("a <> b").select("a", "b").distinct()
+def with_before(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """df and before: the node and label of the `most` rows before each one in its group by this order, and, for node's sake, first: the node of the first row seen.
+
+    Groups may be of any size: rows are ranged by group and order, and a window runs within a range, to which the last rows of the range before it are lent.
+    """
+    ranged = written(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "near-ranged")
+    last = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(c).desc() for c in (group, *order)]))).where(F.col("_n") <= most).drop("_n")
+    nexts = ranged.select("_range").distinct().withColumn("_next", F.lead("_range").over(Window.orderBy("_range")))  # a row a range
+    lent = last.join(F.broadcast(nexts.where("_next IS NOT NULL")), "_range").withColumn("_range", F.col("_next")).drop("_next").withColumn("_lent", F.lit(True))
+    w = Window.partitionBy(group, "_range").orderBy(*order)
+    seen = ranged.withColumn("_lent", F.lit(False)).unionByName(lent)
+    before = [F.lag(F.struct("node", "label"), k).over(w) for k in range(1, most + 1)]
+    return seen.select("*", F.array_compact(F.array(*before)).alias("before"), F.first("node").over(w).alias("first")).where("NOT _lent")
 
 
 def banded(sketches: DataFrame) -> DataFrame:
     return sketches.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
 
 
+def candidates(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of sets that share a band: each set meets the first of its range of the band, and the one before it."""
+    met = with_before(banded(sketches).withColumn("label", F.col("node")), "band", ["node"], 1)
+    pairs = met.select(F.col("node").alias("b"), F.explode(F.concat(F.array("first"), F.transform("before", lambda x: x["node"]))).alias("a"))
+    return pairs.where("a <> b").select("a", "b").distinct()
+
+
 def candidates_between(sketches: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a band but not a label (node, label): each set meets those of the BEFORE sets before it, in an order of the band's own, that have another label."""
-    known = banded(sketches).join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
-    order = Window.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
-    both = known.select("node", "label", F.array(*[F.lag(F.struct("node", "label"), k).over(order) for k in range(1, BEFORE + 1)]).alias("before"))
-    met = both.select("node", "label", F.explode(F.array_compact("before")).alias("o")).where("label <> o.label")
+    known = banded(sketches).join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"), F.xxhash64("node", "band").alias("at"))
+    met = with_before(known, "band", ["at", "node"], BEFORE).select("node", "label", F.explode("before").alias("o")).where("label <> o.label")
     return met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
@@ -277,12 +291,12 @@ def near_groups(plain: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """df's rows that stand for their group of near_groups: one row, with the group's smallest id.
 
-    Rows that share an id but not their group are chosen apart; a group whose ids are all null keeps one row; of equal rows one stays.
+    Of rows that share the id the one with the least hash of all its columns stays, whatever their order; a group whose ids are all null keeps one row likewise.
     """
     flat = positional(df)
     id_, text_ = (f"c{df.columns.index(c)}" for c in (id_col, text))
-    plain = flat.select(F.col(id_).alias("doc_id"), F.col(text_).alias("text")).withColumn("mark", F.xxhash64("text"))
+    plain = flat.select(F.col(id_).alias("doc_id"), F.col(text_).alias("text"), row_mark(flat).alias("mark"))
     grouped = near_groups(plain, shingle, least).groupBy("group")
     best = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.mark").alias("mark"))
-    chosen = flat.withColumn("m", F.xxhash64(text_)).join(best, F.col(id_).eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")), "left_semi")
+    chosen = flat.withColumn("m", row_mark(flat)).join(best, F.col(id_).eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")), "left_semi")
     return chosen.dropDuplicates([id_, "m"]).drop("m").toDF(*df.columns)

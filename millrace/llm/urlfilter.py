@@ -3,8 +3,8 @@
 Rules are (host, path) prefixes that allow or block a host and all its subdomains; the longest that fits wins. The rest is judged by
 a list of canonical URLs. Every URL offers a few keys: each suffix of its host that has as many labels as rules have, with each path prefix of a
 length that rules have, and its canonical form. Keys that the filter rules out are dropped in the scan; only the possible hits are shuffled, and the join on
-the whole key takes the filter's false positives out. The filter has BITS bits a key, up to MAX_BLOCKS blocks of 256 bits: a list too long for that
-only lets more keys through to the join.
+the whole key takes the filter's false positives out. The filter has BITS bits a key in blocks of 256 bits, MAX_BLOCKS at most. A list of so many keys that fewer than
+LEAST_BITS were left for each gets no filter, which then would spare nothing: all keys go to the join, and the answers are the same.
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule, and is allowed. A host ends at /, ?, # or
 the end; its labels, and a path's characters, may be many. Repeated rows keep a row each. With rules of equal length on one key, block wins.
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.base import named, table, written
 
-#: A filter has BITS bits a key, and at most MAX_BLOCKS blocks, which are 16 MB.
-WORDS, BITS, MAX_BLOCKS = 8, 16, 1 << 19
+#: A filter has BITS bits a key, and at most MAX_BLOCKS blocks, which are 16 MB; beyond 33 million keys there are fewer than LEAST_BITS.
+WORDS, BITS, MAX_BLOCKS, LEAST_BITS = 8, 16, 1 << 19, 4
 #: Odd multipliers that choose one bit in each of a block's eight words.
 SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint64)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: The query's list, which stands in for one that is published: the canonical URLs of hosts with one of these labels, and of every LISTED_SHARE-th page by the URL's hash.
-LISTED_LABELS, LISTED_SHARE = ("spam-farm", "cheap-pills", "casino", "adult"), 16
+#: The query's list, which stands in for one that is published: the canonical URL of every LISTED_SHARE-th page by the URL's hash.
+LISTED_SHARE = 16
 
 
 def ascii_lower(c: Column) -> Column:
@@ -44,10 +44,15 @@ def path_of(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without www., path without a last slash or an index page; query and fragment are gone already."""
+def query_of(url: str | Column) -> Column:
+    """The query string with its question mark; '' where there is none."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]+)", 1), F.lit(""))
+
+
+def canonical(host: Column, path: Column, query: Column) -> Column:
+    """Host without www. and the usual ports, path without a last slash or an index page, the query string as it is; fragments are gone already."""
     bare = F.regexp_replace(host, r"\A(?:www\.)|:(?:80|443)\z", "")
-    return F.concat(bare, F.regexp_replace(path, r"(?:/index\.html?|/)\z", ""))
+    return F.concat(bare, F.regexp_replace(path, r"(?:/index\.html?|/)\z", ""), query)
 
 
 def _spots(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +104,13 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: int | N
     shapes = sorted((r["labels"], r["n"]) for r in named_.select("labels", "n").distinct().toLocalIterator())  # the rules' shapes: bounded by the longest rule
     every = named_.select("key", "v").unionByName(listed.select("key", F.lit(None).cast("string").alias("v"))).distinct()
     every = written(every.groupBy("key").agg(F.max("v").alias("v"), F.max(F.col("v").isNull()).alias("on_list")), "url-keys")
-    passes = maybe_listed(build_filter(every, blocks))
+    fits = blocks or every.count() * LEAST_BITS <= MAX_BLOCKS * 32 * WORDS
+    passes = maybe_listed(build_filter(every, blocks)) if fits else lambda _: F.lit(True)
 
-    rows = pages.select(named(id_col).alias("id"), host_of(named(url)).alias("host"), path_of(named(url)).alias("path"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select(named(id_col).alias("id"), host_of(named(url)).alias("host"), path_of(named(url)).alias("path"), query_of(named(url)).alias("query"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "url-rows")  # so that row stays what it is
     offered = [F.struct(F.when(dots("host") >= k, F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))).alias("key"), F.lit(False).alias("whole")) for k, n in shapes]
-    offered.append(F.struct(canonical(F.col("host"), F.col("path")).alias("key"), F.lit(True).alias("whole")))
+    offered.append(F.struct(canonical(F.col("host"), F.col("path"), F.col("query")).alias("key"), F.lit(True).alias("whole")))
     asked = rows.where("host <> ''").select("row", F.explode(F.array_distinct(F.array(*offered))).alias("k")).select("row", "k.key", "k.whole")
     possible = asked.where(F.col("key").isNotNull() & passes(F.xxhash64("key")))
     met = possible.join(every, "key").groupBy("row").agg(
@@ -122,11 +128,15 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The query's list: key, a canonical URL; of the hosts of LISTED_LABELS, and of every LISTED_SHARE-th URL."""
-    host = host_of("url")
-    bad = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    drawn = F.conv(F.substring(F.md5(canonical(host, path_of("url"))), 1, 8), 16, 10).cast("long") % LISTED_SHARE == 0
-    return pages.where(bad | (drawn & (host != ""))).select(canonical(host, path_of("url")).alias("key")).distinct()
+    """The query's list: key, the canonical URL of every LISTED_SHARE-th page by the hash of it."""
+    keys = pages.where(host_of("url") != "").select(canonical(host_of("url"), path_of("url"), query_of("url")).alias("key"))
+    return keys.where(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long") % LISTED_SHARE == 0).distinct()
+
+
+def url_list(spark: SparkSession, path: str) -> DataFrame:
+    """A published list, one URL a line, as keys for judge(); blank lines, lines that start with # and those without :// are left out."""
+    lines = spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''").where(~F.col("url").startswith("#"))
+    return lines.where(host_of("url") != "").select(canonical(host_of("url"), path_of("url"), query_of("url")).alias("key")).distinct()
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,16 +147,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS r FROM pages),
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^?#]*(\?[^#]+)', 1), '') AS query, row_number() OVER () AS r FROM pages),
 rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 best AS (
   SELECT r, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM parts, rules
   WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
 bare AS (
-  SELECT r, host, CASE WHEN host = '' THEN '' ELSE regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '(/index\.html?|/)$', '') END AS key FROM parts),
-listed AS (
-  SELECT DISTINCT key FROM bare WHERE key <> '' AND (
-    len(list_intersect(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'casino', 'adult'])) > 0 OR ('0x' || md5(key)[1:8])::BIGINT % 16 = 0))
+  SELECT r, page_id, host, path, CASE WHEN host = '' THEN '' ELSE regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '(/index\.html?|/)$', '') || query END AS key FROM parts),
+listed AS (SELECT DISTINCT key FROM bare WHERE key <> '' AND ('0x' || md5(key)[1:8])::BIGINT % 16 = 0)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts JOIN bare USING (r, host) LEFT JOIN best USING (r)
+FROM bare LEFT JOIN best USING (r)
 """

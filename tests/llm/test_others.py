@@ -14,7 +14,17 @@ from millrace.llm.base import new_path
 RULES = urlfilter.RULES
 
 
-def brute_verdict(url, listed):
+def drawn(host, path, query):
+    """Whether the query's list has this URL: every 16th by the hash of its canonical form."""
+    bare = host.removeprefix("www.").removesuffix(":80").removesuffix(":443")
+    for end in ("/index.html", "/index.htm", "/"):
+        if path.endswith(end):
+            path = path[: -len(end)]
+            break
+    return bool(host) and int(hashlib.md5((bare + path + query).encode()).hexdigest()[:8], 16) % 16 == 0
+
+
+def brute_verdict(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
     rest = url.split("://", 1)[1]
@@ -25,16 +35,19 @@ def brute_verdict(url, listed):
     fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    return host, path, None, "block" if any(x in host.split(".") for x in listed) else "allow"
+    query = tail[len(path) :].split("#")[0]
+    return host, path, None, "block" if drawn(host, path, query if len(query) > 1 else "") else "allow"
 
 
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "http://Example.ORG/es/x?y#z", "http://a.example.org/en/12", "http://a.example.org/en/2", "http://notexample.org/es/", "http://x.com/fr", "http://x.com/fr/1", "http://com/de/", "http://spam-farm.example.net/a", "http://www.b.net:80/q/", "ftp://x.org?a/", "http://x.org#/", "a://b://c.org/"]
+    urls += [f"https://www.h{k}.net/p{k % 5}/{'?id=' + str(k) if k % 3 else ''}" for k in range(200)]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string")
     got = urlfilter.judge(df, urlfilter.rule_table(spark), urlfilter.listed_urls(df)).collect()
     assert len(got) == 2 * len(urls)
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
     for r in got:
-        assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(urls[r.page_id], urlfilter.LISTED_LABELS), urls[r.page_id]
+        assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(urls[r.page_id]), urls[r.page_id]
 
 
 def test_filter_has_no_false_negatives(spark):
@@ -64,6 +77,17 @@ def test_listed_urls_and_false_positives(spark):
         assert {r.page_id for r in got if r.verdict == "block"} == set(range(0, 600, 5)) == {r.page_id for r in got if r.listed}
 
 
+def test_queries_are_part_of_a_url(spark, tmp_path, monkeypatch):
+    (tmp_path / "list.txt").write_text("# bad pages\n\nhttp://www.a.net/x/?id=1#top\nhttps://a.net/y/index.html\nno url\n")
+    listed = urlfilter.url_list(spark, str(tmp_path / "list.txt"))
+    urls = ["http://a.net/x?id=1", "http://a.net/x?id=2", "http://a.net/x", "https://www.a.net:443/y/", "http://a.net/y#z", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    blocked = lambda: {r.page_id for r in urlfilter.judge(df, urlfilter.rule_table(spark), listed).collect() if r.verdict == "block"}
+    assert blocked() == {0, 3, 4}
+    monkeypatch.setattr(urlfilter, "MAX_BLOCKS", 0)  # a list too long for any filter
+    assert blocked() == {0, 3, 4}
+
+
 def planted(spark, folder, rows):
     """documents of (doc_id, text, lang) and labels of toxic."""
     spark.createDataFrame([(i, t, lang, "s") for i, t, lang, _ in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from millrace.llm import simhash
 
 
@@ -112,3 +114,49 @@ def test_a_group_whose_members_are_not_all_alike(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS `_id`", "text AS `a.b`", "1 AS node", "2 AS _m")
     got = simhash.keep_first(df, "_id", "a.b")
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(0, rows[0][1], 1, 2)]
+
+
+def test_which_row_stays_does_not_depend_on_order(spark):
+    rows = [(1, "the same text again", s) for s in "xyz"] + [(1, "the same text again", "x"), (2, "alone", "q")]
+    schema = "doc_id long, text string, source string"
+    kept = {tuple(sorted(tuple(r) for r in simhash.keep_first(spark.createDataFrame(part, schema).repartition(n)).collect())) for part, n in ((rows, 1), (rows[::-1], 3), (rows[2:] + rows[:2], 2))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_rows_before_across_ranges(spark):
+    """A group in many ranges: every row meets those before it, as in one window."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(7, k, k % 3) for k in range(500)] + [(k, k, 0) for k in range(1000, 1040)], "band long, node long, label long")
+        got = {(r.band, r.node): [tuple(x) for x in r.before] for r in simhash.with_before(df.repartition(5), "band", ["node"], 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(7, k): [(j, j % 3) for j in range(k - 1, max(-1, k - 5), -1)] for k in range(500)} | {(k, k): [] for k in range(1000, 1040)}
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs at 0.8 to 0.9, among them a hot group: hundreds of near copies of one page."""
+    rng = random.Random(77)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, pairs = [], []
+
+    def edited(base, times):
+        out = list(base)
+        for at in rng.sample(range(5, len(base) - 5), times):
+            out[at] = "edit"
+        return out
+
+    for i in range(300):
+        base = words(160)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(base, rng.choice([1, 2, 3]))))]
+        x, y = (simhash.shingle_set(t, 5) for _, t in rows[-2:])
+        shared = len(np.intersect1d(x, y))
+        if shared >= 0.8 * (len(x) + len(y) - shared):
+            pairs.append((2 * i, 2 * i + 1))
+    page = words(160)
+    rows += [(10_000 + k, " ".join(edited(page, 1))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    group = {r.doc_id: r.group for r in simhash.near_groups(df.withColumn("mark", F.lit(0).cast("long"))).collect()}
+    found = sum(group[a] == group[b] for a, b in pairs)
+    assert len(pairs) > 200 and found >= len(pairs) - 1
+    assert len({group[10_000 + k] for k in range(300)}) == 1
