@@ -494,10 +494,10 @@ def near_vectors(t, exact, k=10):
     rows = t("embeddings")
     cells = max(1, round(rows.count() ** 0.5))
     sample = ann.sample_rows(rows, "embedding")
-    centres = ann.centres_of(sample, cells)
-    index, ids = ann.build(rows, "vec_id", "embedding", centres)
+    cells, codes = ann.Cells.fit(sample, cells), ann.Codes.fit(sample)
+    index, ids = ann.build(rows, "vec_id", "embedding", cells, codes)
     asked = rows.where("vec_id % 50 = 0").select(c("vec_id").alias("q"), c("embedding").alias("vector"))
-    found = ann.search(index, centres, asked, k, ann.probes_for(sample, centres, k), exact)
+    found = ann.search(index, cells, asked, k, ann.probes_for(sample, cells, k), exact, codes)
     firsts = ids.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(c("r") <= k)  # no more of equal vectors are asked for
     return ann.best(found.join(firsts, "key").select("q", c("id").alias("key"), "similarity"), k).select("q", c("key").alias("vec_id"), "similarity")
 

@@ -241,20 +241,37 @@ def test_index_of_cells(spark):
         return out
 
     assert found(True) == want
-    near = found(False)
-    assert np.mean([len(set(near[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+    codes = ann.Codes.fit(u[:800])
+    index = ann.build(df, "id", "v", centres, codes)[0]
+    for by in (None, codes):
+        near = {}
+        for r in ann.search(index, centres, asked, 10, 8, False, by).collect():
+            near.setdefault(r.q, set()).add(r.key)
+        assert np.mean([len(near[q] & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def test_matrices_of_the_index_are_bounded(monkeypatch):
+    """Cells, codes and comparisons go by pieces, with the same outcome whatever their size."""
+    x = ann.unit(np.random.default_rng(9).standard_normal((700, 10)))
+    whole = ann.Cells.fit(x, 30)
+    want, code = whole.assign(x), ann.Codes.fit(x).encode(x)
+    monkeypatch.setattr(ann, "MATRIX", 500)
+    assert max(p.stop - p.start for p in ann.pieces(700, 30)) == 16
+    got = ann.Cells.fit(x, 30)
+    assert np.allclose(got.centres, whole.centres) and (got.assign(x)[0] == want[0]).all() and (ann.Codes.fit(x).encode(x) == code).all()
+    assert ann.Codes.fit(x).scores(x[:5], code).shape == (5, 700)
 
 
 def test_probes_reach_the_recall_asked_for():
     """Vectors without clusters: cells chosen within a sample hold as many of the whole's nearest, by brute force."""
     x = ann.unit(np.random.default_rng(6).standard_normal((3000, 24)))
-    centres = ann.centres_of(x[:1000], 40)
-    probes = ann.probes_for(x[:1000], centres, 10)
-    asked, own = x[::50], (x @ centres.T).argmax(axis=1)
+    cells = ann.Cells.fit(x[:1000], 40)
+    probes = ann.probes_for(x[:1000], cells, 10)
+    asked, own = x[::50], cells.assign(x)[0]
     near = np.argsort(-(asked @ x.T), axis=1)[:, :10]
-    looked = np.argsort(-(asked @ centres.T), axis=1)[:, :probes]
-    assert np.mean([np.isin(own[n], cells).mean() for n, cells in zip(near, looked, strict=True)]) >= 0.93
-    assert 1 < probes < 40 and ann.probes_for(x[:0], centres, 10) == 1
+    looked = np.argsort(-(asked @ cells.centres.T), axis=1)[:, :probes]
+    assert np.mean([np.isin(own[n], c).mean() for n, c in zip(near, looked, strict=True)]) >= 0.93
+    assert 1 < probes < len(cells.centres) and ann.probes_for(x[:0], cells, 10) == 1
 
 
 def test_betweenness_equals_brute_force(spark):
