@@ -6,7 +6,7 @@ cut their lineage with checkpoint(), which writes to the folder that all executo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.paging import numbered, seeded
@@ -166,6 +166,16 @@ def betweenness(edges: DataFrame, sources: int = 200, seed: int = 1, a: str = "a
     return sums.join(F.broadcast(most)).select("node", (F.col("b") / F.col("most")).alias("betweenness"))  # one row
 
 
+def compute_all(nodes: DataFrame, edges: DataFrame, weight: str, rounds: int = 20, sources: int = 200, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, degree, weight, rank, betweenness, community) of all nodes (node); nodes without edges have degree 0, and the rest null."""
+    own = symmetric(edges, a, b, (weight,)).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum(weight).alias("weight"))
+    ranked = pagerank(edges, rounds, a=a, b=b)
+    out = nodes.select("node").distinct().join(own, "node", "left").fillna(0, ["degree", "weight"])
+    for part in (ranked, betweenness(edges, sources, a=a, b=b), communities(edges, a=a, b=b, weight=weight)):
+        out = out.join(part, "node", "left")
+    return out
+
+
 def top_subgraph(nodes: DataFrame, edges: DataFrame, size: int, least: float, by: str = "mentions", a: str = "a", b: str = "b", strength: str = "strength", most: int = 500) -> DataFrame:
     """The strongest edges among the `size` nodes with the most mentions; both ends must be inside before edges are counted."""
     chosen = nodes.orderBy(F.col(by).desc_nulls_last(), "node").limit(size).select("node")
@@ -194,6 +204,13 @@ def tree(rows: DataFrame, root, id_col: str, parent: str, depth: int = 20, condi
     return found
 
 
+def strongest_of_all(edges: DataFrame, k: int, a: str = "a", b: str = "b", strength: str = "strength") -> DataFrame:
+    """(node, rank, other, strength): of every node its k strongest edges."""
+    w = Window.partitionBy("src").orderBy(F.desc(strength), "dst")
+    ranked = symmetric(edges, a, b, (strength,)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("src").alias("node"), "rank", F.col("dst").alias("other"), strength)
+
+
 def sorted_communities(found: DataFrame) -> DataFrame:
     """Communities numbered from 0 by their smallest node."""
     number = numbered(found.select("community").distinct(), ["community"], "_n").select("community", (F.col("_n") - 1).alias("number"))

@@ -123,10 +123,15 @@ def top_subgraph(t):
 
 
 @query("g10_profile", f"""
-WITH {EDGES} SELECT dst, p_name AS name, n FROM s JOIN part ON p_partkey = dst WHERE src = {START} ORDER BY n DESC, dst LIMIT 10""")
+WITH {EDGES}, ms AS (SELECT l_partkey, count(*) AS mentions, count(DISTINCT l_orderkey) AS documents, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1)
+SELECT dst, p_name AS name, n, mentions, documents, first, last FROM s JOIN part ON p_partkey = dst JOIN ms ON l_partkey = dst WHERE src = {START} ORDER BY n DESC, dst LIMIT 10""")
 def profile(t):
+    """An entity's strongest relations, with the mention statistics of each."""
     e = edges(t)
-    return graph.strongest(e, start(e), 10, strength="n").join(t("part"), c("dst") == c("p_partkey")).select("dst", c("p_name").alias("name"), "n")
+    near = graph.strongest(e, start(e), 10, strength="n")
+    lines = t("lineitem").join(F.broadcast(near.select(c("dst").alias("l_partkey"))), "l_partkey", "left_semi")  # ten rows
+    stats = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("l_orderkey").alias("documents"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    return near.join(t("part"), c("dst") == c("p_partkey")).join(stats, c("dst") == c("l_partkey")).select("dst", c("p_name").alias("name"), "n", "mentions", "documents", "first", "last")
 
 
 @query("g11_dossier", """
@@ -138,12 +143,44 @@ def dossier(t):
     return rows.select(c("s_suppkey").alias("entity"), c("s_name").alias("name"), "mentions", "documents", "first", "last", c("n_name").alias("nation"))
 
 
+@query("g11_relations", f"""
+WITH {EDGES}, r AS (SELECT src AS node, dst AS other, n AS strength, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst)::INT AS rank FROM s)
+SELECT node, rank, other, strength, p_name AS name, p_type AS kind FROM r JOIN part ON p_partkey = other WHERE rank <= 10""")
+def dossier_relations(t):
+    """The relations in every entity's dossier: its ten strongest, with who they are."""
+    found = graph.strongest_of_all(edges(t).withColumnRenamed("n", "strength"), 10)
+    return found.join(t("part").select(c("p_partkey").alias("other"), c("p_name").alias("name"), c("p_type").alias("kind")), "other")
+
+
+@query("g11_timeline", """
+WITH x AS (SELECT l_partkey AS node, l_shipdate AS day, l_orderkey AS document, l_linenumber AS line, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber)::INT AS rank FROM lineitem)
+SELECT node, rank, day, document, o_orderstatus AS kind FROM x JOIN orders ON o_orderkey = document WHERE rank <= 100""")
+def dossier_timeline(t):
+    """The events in every entity's dossier: its first hundred in time."""
+    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    x = t("lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber").withColumn("rank", F.row_number().over(w)).where("rank <= 100")
+    return x.join(t("orders"), c("o_orderkey") == c("l_orderkey")).select(c("l_partkey").alias("node"), "rank", c("l_shipdate").alias("day"), c("l_orderkey").alias("document"), c("o_orderstatus").alias("kind"))
+
+
 @query("g12_pair", "SELECT count(*) AS shared FROM (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_suppkey = 2)")
 def pair(t):
     a, b = (t("lineitem").where(c("l_suppkey") == k).select("l_orderkey") for k in (1, 2))
     return a.distinct().join(b, "l_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("shared"))
 
 
+@query("g12_direct", f"""
+WITH {EDGES}, o AS (SELECT dst AS y FROM s WHERE src = {START} ORDER BY n DESC, dst LIMIT 1), z AS ((SELECT l_orderkey FROM lineitem WHERE l_partkey = {START}) INTERSECT (SELECT l_orderkey FROM lineitem WHERE l_partkey = (SELECT y FROM o)))
+SELECT a, b, n, (SELECT list_sort(list(l_orderkey))[1:10] FROM z) AS documents FROM e WHERE (a = {START} AND b = (SELECT y FROM o)) OR (b = {START} AND a = (SELECT y FROM o))""")
+def direct(t):
+    """The direct edges of a pair (an entity and the one it is most linked to), with the first documents that both stand in."""
+    e = edges(t)
+    x = start(e)
+    y = graph.strongest(e, x, 1, strength="n").first()["dst"]
+    lines = lambda k: t("lineitem").where(c("l_partkey") == k).select("l_orderkey")
+    first = lines(x).distinct().join(lines(y), "l_orderkey", "left_semi").orderBy("l_orderkey").limit(10).agg(F.sort_array(F.collect_list("l_orderkey")).alias("documents"))
+    return e.where(((c("a") == x) & (c("b") == y)) | ((c("a") == y) & (c("b") == x))).select("a", "b", "n").join(F.broadcast(first))  # one row
+
+
 VARIANT = "CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN upper(p_name) || ' ' || p_brand || 's' ELSE p_name || ' the ' || p_brand END"
 
 
@@ -265,9 +302,16 @@ def mentions(t):
     return resolve.find_mentions(t("documents"), "doc_id", "text", names, "entity", "name").drop("snippet")
 
 
-@query("w5_edge_evidence", "SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, max(l_discount) AS strength, list_sort(list_distinct(list(l_orderkey))) AS evidence FROM lineitem GROUP BY 1, 2")
+@query("w5_edge_evidence", """
+WITH p AS (SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, l_orderkey AS d, max(l_discount) AS s FROM lineitem GROUP BY 1, 2, 3)
+SELECT a, b, max(s) AS strength, count(*) AS documents, list_sort(list(d))[1:50] AS evidence FROM p GROUP BY 1, 2""")
 def edge_evidence(t):
-    return t("lineitem").groupBy(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).agg(F.max("l_discount").alias("strength"), F.sort_array(F.collect_set("l_orderkey")).alias("evidence"))
+    """The evidence of an edge is counted, and the first fifty pieces are kept."""
+    pair = [F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")]
+    pieces = t("lineitem").groupBy(*pair, c("l_orderkey").alias("d")).agg(F.max("l_discount").alias("s"))
+    whole = pieces.groupBy("a", "b").agg(F.max("s").alias("strength"), F.count(F.lit(1)).alias("documents"))
+    first = pieces.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("d"))).where("r <= 50").groupBy("a", "b").agg(F.sort_array(F.collect_list("d")).alias("evidence"))
+    return whole.join(first, ["a", "b"])
 
 
 RISK_KIND = "list_extract(['victim_of', 'co_defendant', 'witness_testimony', 'traveled_with', 'none'], (l_linenumber % 5 + 1)::INT)"
@@ -276,20 +320,38 @@ RISK_KIND = "list_extract(['victim_of', 'co_defendant', 'witness_testimony', 'tr
 @query("k1_review_scores", f"""
 WITH m AS (SELECT l_suppkey AS entity, l_orderkey AS document, l_discount AS weight FROM lineitem), b AS (SELECT entity, document, max(weight) AS w FROM m GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, document) AS r FROM b), ev AS (SELECT entity, least(sum(w) / 10.0::DOUBLE, 2.0::DOUBLE) AS e FROM r WHERE r <= 20 GROUP BY 1),
-ed AS (SELECT l_suppkey AS a, (l_suppkey + l_linenumber) % 100 AS b, {RISK_KIND} AS kind FROM lineitem WHERE l_orderkey % 500 = 0), sy AS (SELECT a AS entity, kind FROM ed WHERE a <> b UNION ALL SELECT b, kind FROM ed WHERE a <> b),
+ed AS (SELECT l_suppkey AS a, (l_suppkey + l_linenumber) % 100 AS b, {RISK_KIND} AS kind FROM lineitem), sy AS (SELECT a AS entity, kind FROM ed WHERE a <> b UNION ALL SELECT b, kind FROM ed WHERE a <> b),
 re AS (SELECT entity, least(sum(CASE kind WHEN 'victim_of' THEN 1.0 WHEN 'co_defendant' THEN 0.8 WHEN 'witness_testimony' THEN 0.5 ELSE 0.3 END::DOUBLE), 1.5::DOUBLE) AS e FROM sy WHERE kind <> 'none' GROUP BY 1),
-i AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 2 = 0 THEN 'conspiracy' ELSE 'obstruction' END AS category, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 7 ELSE 0 END AS v FROM orders WHERE o_orderkey % 100 = 0 OR o_orderkey % 101 = 0),
+i AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 2 = 0 THEN 'conspiracy' ELSE 'obstruction' END AS category, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 7 ELSE 0 END AS v FROM orders),
 pc AS (SELECT entity, category, max(v * weight) AS x FROM m JOIN i USING (document) GROUP BY 1, 2), si AS (SELECT entity, least(sum(x), 1.5::DOUBLE) AS e FROM pc GROUP BY 1)
 SELECT s_suppkey AS entity, round(coalesce(ev.e, 0), 3) AS evidence, round(coalesce(re.e, 0), 3) AS relations, round(coalesce(si.e, 0), 3) AS indicators, round(least(5.0::DOUBLE, coalesce(ev.e, 0) + coalesce(re.e, 0) + coalesce(si.e, 0)), 2) AS score
 FROM supplier LEFT JOIN ev ON ev.entity = s_suppkey LEFT JOIN re ON re.entity = s_suppkey LEFT JOIN si ON si.entity = s_suppkey""")
 def review_scores(t):
+    return risk.risk_scores(t("supplier").select(c("s_suppkey").alias("entity")), *risk_inputs(t))
+
+
+@query("k1_explanations", f"""
+WITH m AS (SELECT l_suppkey AS entity, l_orderkey AS document, l_discount AS weight FROM lineitem), b AS (SELECT entity, document, max(weight) AS w FROM m GROUP BY 1, 2),
+d AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, document) AS r FROM b), dd AS (SELECT entity, list(document ORDER BY r) AS documents, list(w ORDER BY r) AS weights FROM d WHERE r <= 5 GROUP BY 1),
+ed AS (SELECT l_suppkey AS a, (l_suppkey + l_linenumber) % 100 AS b, {RISK_KIND} AS kind FROM lineitem), sy AS (SELECT a AS entity, b AS other, kind FROM ed WHERE a <> b UNION ALL SELECT b, a, kind FROM ed WHERE a <> b),
+re AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY CASE kind WHEN 'victim_of' THEN 1.0 WHEN 'co_defendant' THEN 0.8 WHEN 'witness_testimony' THEN 0.5 ELSE 0.3 END DESC, other, kind) AS r FROM sy WHERE kind <> 'none'),
+rr AS (SELECT entity, list(other ORDER BY r) AS others, list(kind ORDER BY r) AS kinds FROM re WHERE r <= 50 GROUP BY 1),
+i AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 2 = 0 THEN 'conspiracy' ELSE 'obstruction' END AS category, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 7 ELSE 0 END AS v FROM orders),
+pc AS (SELECT entity, category, round(max(v * weight), 6) AS x FROM m JOIN i USING (document) GROUP BY 1, 2), cc AS (SELECT entity, list(category ORDER BY category) AS categories, list(x ORDER BY category) AS values FROM pc GROUP BY 1)
+SELECT entity, coalesce(documents, []) AS documents, coalesce(weights, []) AS weights, coalesce(others, []) AS others, coalesce(kinds, []) AS kinds, coalesce(categories, []) AS categories, coalesce(cc.values, []) AS values
+FROM dd FULL JOIN rr USING (entity) FULL JOIN cc USING (entity)""")
+def explanations(t):
+    return risk.explanations(*risk_inputs(t))
+
+
+def risk_inputs(t):
     lines = t("lineitem")
     m = lines.select(c("l_suppkey").alias("entity"), c("l_orderkey").alias("document"), c("l_discount").alias("weight"))
     kind = F.get(F.array(*map(F.lit, ("victim_of", "co_defendant", "witness_testimony", "traveled_with", "none"))), c("l_linenumber") % 5)
-    e = lines.where("l_orderkey % 500 = 0").select(c("l_suppkey").alias("a"), ((c("l_suppkey") + c("l_linenumber")) % 100).alias("b"), kind.alias("kind"))
+    e = lines.select(c("l_suppkey").alias("a"), ((c("l_suppkey") + c("l_linenumber")) % 100).alias("b"), kind.alias("kind"))
     value = F.when(c("o_orderkey") % 3 > 0, (c("o_orderkey") % 7).cast("string")).otherwise("unclear")
-    i = t("orders").where("o_orderkey % 100 = 0 OR o_orderkey % 101 = 0").select(c("o_orderkey").alias("document"), F.when(c("o_orderkey") % 2 == 0, "conspiracy").otherwise("obstruction").alias("category"), value.alias("value"))
-    return risk.risk_scores(t("supplier").select(c("s_suppkey").alias("entity")), m, e, i)
+    i = t("orders").select(c("o_orderkey").alias("document"), F.when(c("o_orderkey") % 2 == 0, "conspiracy").otherwise("obstruction").alias("category"), value.alias("value"))
+    return m, e, i
 
 
 VOTES = "SELECT user_id, count(*) FILTER (event_type = 'click') AS up, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type = 'purchase') AS backing FROM events GROUP BY 1"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions.scores import evidence_strength, length_match
 from millrace.functions.vector import cosine_to
-from millrace.operators import ann, cascade, graph, ledger, paging, resolve, views
+from millrace.operators import ann, cascade, graph, ledger, paging, resolve, rollup, views
+from millrace.plans import graphs
 from millrace.plans.base import Registry
 from millrace.plans.graphs import EDGES, START, edges, start
 from millrace.plans.retrieval import COS, vector_of
@@ -240,9 +241,11 @@ def max_then_sum(t):
     return t("events").groupBy("user_id", "event_type").agg(F.max("value").alias("m")).groupBy("user_id").agg(F.round(F.least(F.sum("m") / 40, F.lit(1.5)), 6).alias("score"))
 
 
-@query("a16_row_count", "SELECT count(*) AS n FROM lineitem")
+@query("a16_row_count", "SELECT count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last FROM lineitem")
 def row_count(t):
-    return t("lineitem").agg(one().alias("n"))
+    from millrace.sources.loadfiles import from_footers
+
+    return from_footers(t.spark, t.path("lineitem")).agg(one().alias("n"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
 
 
 @query("a21_network_view", f"WITH {EDGES}, d AS (SELECT src, count(*) AS degree FROM s GROUP BY 1), mm AS (SELECT l_partkey, count(*) AS mentions FROM lineitem GROUP BY 1) SELECT p_partkey AS entity, coalesce(degree, 0) AS degree, coalesce(mentions, 0) AS mentions FROM part LEFT JOIN d ON src = p_partkey LEFT JOIN mm ON l_partkey = p_partkey WHERE mentions > 0 OR degree > 0")
@@ -281,9 +284,12 @@ def activity_groups(t):
     return t("events").where("user_id = 7").groupBy("event_type", c("ts").cast("date").alias("day")).agg(one().alias("n"))
 
 
-@query("a35_degree_inside", f"WITH {EDGES} SELECT src AS node, count(*) AS n FROM s WHERE src < 50 AND dst < 50 GROUP BY 1")
+@query("a35_degree_inside", f"WITH {EDGES}, k AS (SELECT p_partkey AS x FROM part WHERE p_type = 'ECONOMY') SELECT src AS node, count(*) AS n FROM s WHERE src IN (SELECT x FROM k) AND dst IN (SELECT x FROM k) GROUP BY 1")
 def degree_inside(t):
-    return graph.symmetric(edges(t)).where("src < 50 AND dst < 50").groupBy(c("src").alias("node")).agg(one().alias("n"))
+    """Connections within a set of nodes: the parts of one type."""
+    inside = t("part").where("p_type = 'ECONOMY'").select(c("p_partkey").alias("x"))
+    both = graph.symmetric(edges(t)).join(inside, c("src") == c("x"), "left_semi").join(inside, c("dst") == c("x"), "left_semi")
+    return both.groupBy(c("src").alias("node")).agg(one().alias("n"))
 
 
 @query("n1_rank_after_top", f"""
@@ -338,12 +344,16 @@ def trailing_week(t):
     return t("events").where((c("ts").cast("timestamp_ntz") > as_of - F.expr("INTERVAL 7 DAYS")) & (c("ts").cast("timestamp_ntz") <= as_of)).agg(one().alias("n"))
 
 
-@query("g3_path_evidence", f"WITH {EDGES}, k AS (SELECT a, b FROM e ORDER BY a, b LIMIT 5), mm AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS x FROM lineitem) SELECT a, b, list_sort(list(p.d))[1:5] AS documents FROM k JOIN mm p ON p.x = a JOIN mm q ON q.x = b AND q.d = p.d GROUP BY 1, 2")
+@query("g3_path_evidence", f"""{graphs.ORACLE["g2_shortest_path"].rsplit("SELECT step", 1)[0]}
+, mm AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS x FROM lineitem) SELECT step::INT AS step, w.src, w.dst, count(*) AS n, list_sort(list(f.d))[1:5] AS documents FROM w JOIN mm f ON f.x = w.src JOIN mm q ON q.x = w.dst AND q.d = f.d GROUP BY 1, 2, 3""")
 def path_evidence(t):
-    few = edges(t).orderBy("a", "b").limit(5).select("a", "b")
+    """The documents behind each step of a shortest path: how many, and the first five."""
+    steps = graphs.path(t).select("step", "src", "dst")
     m = t("lineitem").select(c("l_orderkey").alias("d"), c("l_partkey").alias("x")).distinct()
-    both = few.join(m.alias("p"), c("p.x") == c("a")).join(m.alias("q"), (c("q.x") == c("b")) & (c("q.d") == c("p.d")))
-    return both.groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_list("p.d")), 1, 5).alias("documents"))
+    both = F.broadcast(steps).join(m.alias("p"), c("p.x") == c("src")).join(m.alias("q"), (c("q.x") == c("dst")) & (c("q.d") == c("p.d"))).select("step", "src", "dst", c("p.d").alias("d"))  # six steps at most
+    counts = both.groupBy("step", "src", "dst").agg(one().alias("n"))
+    first = both.withColumn("r", F.row_number().over(Window.partitionBy("step").orderBy("d"))).where("r <= 5").groupBy("step").agg(F.sort_array(F.collect_list("d")).alias("documents"))
+    return counts.join(first, "step")
 
 
 @query("g13_centrality_page", f"WITH {EDGES} SELECT src AS node, count(*) AS degree FROM s GROUP BY 1 HAVING count(*) > 1 ORDER BY degree DESC, node LIMIT 20")
@@ -434,6 +444,19 @@ def refresh_views(t):
     return reduce(DataFrame.unionByName, [views.saved(spark, f"{folder}/{v}", lambda: counts["by_user"]).select(F.lit(v).alias("view"), "k", "n") for v in counts])
 
 
+@query("w20_kept_view", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1")
+def kept_view(t):
+    """A view kept up to date by three batches, of which the second first had other rows, and the first two are folded before the last."""
+    view = rollup.Rollup.create(t.spark, ("o_custkey",), {"n": ("count", "1"), "total": ("sum", "o_totalprice"), "first": ("min", "o_orderdate"), "last": ("max", "o_orderdate")})
+    part = lambda k: t("orders").where(c("o_orderkey") % 3 == k)
+    view.add(part(0), 0)
+    view.add(part(2), 1)
+    view.add(part(1), 1)
+    view.fold(1)
+    view.add(part(2), 2)
+    return view.read().withColumn("total", F.round("total", 2))
+
+
 @query("e3_match_key", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '|' || upper(trim(o_orderpriority)) AS key FROM orders")
 def match_key(t):
     return t("orders").select("o_orderkey", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM-dd"), F.upper(F.trim("o_orderpriority"))).alias("key"))
@@ -446,10 +469,12 @@ def timeline_tool(t):
 
 
 @query("g8_all_metrics", f"""
-WITH {EDGES}, d AS (SELECT src AS node, count(*) AS degree, sum(n)::BIGINT AS weight FROM s GROUP BY 1) SELECT p_partkey AS node, coalesce(degree, 0) AS degree, coalesce(weight, 0) AS weight FROM part LEFT JOIN d ON node = p_partkey""")
+WITH {EDGES}, d AS (SELECT src AS node, count(*) AS degree, sum(n)::BIGINT AS weight FROM s GROUP BY 1)
+SELECT p_partkey AS node, coalesce(degree, 0) AS degree, coalesce(weight, 0) AS weight, rank, betweenness, community FROM part LEFT JOIN d ON d.node = p_partkey
+LEFT JOIN ({graphs.pagerank_sql()}) pr ON pr.node = p_partkey LEFT JOIN ({graphs.betweenness_sql()}) be ON be.node = p_partkey LEFT JOIN ({graphs.communities_sql()}) co ON co.node = p_partkey""")
 def all_metrics(t):
-    d = graph.symmetric(edges(t), keep=("n",)).groupBy(c("src").alias("node")).agg(one().alias("degree"), F.sum("n").alias("weight"))
-    return t("part").select(c("p_partkey").alias("node")).join(d, "node", "left").fillna(0, ["degree", "weight"])
+    found = graph.compute_all(t("part").select(c("p_partkey").alias("node")), edges(t), "n", sources=40)
+    return found.withColumns({"rank": F.round("rank", 9), "betweenness": F.round("betweenness", 6)})
 
 
 @query("g15_other_side", f"WITH {EDGES} SELECT CASE WHEN a % 7 = 0 THEN b ELSE a END AS other, n FROM e WHERE (a % 7 = 0) <> (b % 7 = 0)")

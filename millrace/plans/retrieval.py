@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.text import similarity_of, trigrams
 from millrace.functions.vector import cosine
-from millrace.operators import retrieval
+from millrace.operators import resolve, retrieval
 from millrace.operators.paging import first_by
+from millrace.operators.postings import NameIndex, built
 from millrace.plans.base import Registry
 
 query = Registry()
@@ -66,7 +66,18 @@ g AS (SELECT name, id, {TRIGRAMS.format(c="name")} AS x, {TRIGRAMS.format(c="'re
 SELECT id, name, {SIMILARITY.format(a="x", b="y")} AS similarity FROM g WHERE {SIMILARITY.format(a="x", b="y")} > 0.3 ORDER BY similarity DESC, id LIMIT 20""")
 def names_by_trigram(t):
     names = t("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    return retrieval.by_name(names, "id", "name", "red bolts", 20).select("id", "name", "similarity")
+    found = built(t.spark, "names of parts", t.path("part"), lambda: NameIndex.create(names, "id", "name")).nearest("red bolts", 20)
+    return names.join(F.broadcast(found), "id").select("id", "name", "similarity")  # twenty rows
+
+
+@query("r5_names_and_aliases", f"""
+WITH n AS (SELECT p_partkey AS id, p_name AS name, 'code ' || p_brand AS alias FROM part), g AS (SELECT id, name, {TRIGRAMS.format(c="name")} AS x, {TRIGRAMS.format(c="alias")} AS z, {TRIGRAMS.format(c="'code brand#12'")} AS y FROM n)
+SELECT id, name, {SIMILARITY.format(a="x", b="y")} AS similarity FROM g WHERE {SIMILARITY.format(a="x", b="y")} > 0.8 OR {SIMILARITY.format(a="z", b="y")} > 0.8 ORDER BY similarity DESC, id LIMIT 20""")
+def names_and_aliases(t):
+    """Found by an alias, ordered by the name."""
+    names = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("code "), "p_brand")).alias("aliases"))
+    found = built(t.spark, "names and codes of parts", t.path("part"), lambda: NameIndex.create(names, "id", "name", "aliases")).nearest("code Brand#12", 20, 0.8)
+    return names.join(F.broadcast(found), "id").select("id", "name", "similarity")
 
 
 @query("r6_similar_documents", f"""
@@ -104,13 +115,12 @@ def cosine_pairs(t):
 
 
 @query("x6_trigram_similarity", f"""
-WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS a, b.name AS b, {TRIGRAMS.format(c="a.name")} AS x, {TRIGRAMS.format(c="b.name")} AS y FROM n a JOIN n b ON a.name < b.name AND left(a.name, 1) = left(b.name, 1))
-SELECT a, b, {SIMILARITY.format(a="x", b="y")} AS similarity FROM p""")
+WITH n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, {TRIGRAMS.format(c="a.name")} AS x, {TRIGRAMS.format(c="b.name")} AS y FROM n a JOIN n b ON a.id < b.id)
+SELECT a, b, {SIMILARITY.format(a="x", b="y")} AS similarity FROM p WHERE {SIMILARITY.format(a="x", b="y")} > 0.3""")
 def trigram_similarity(t):
-    n = t("part").select(F.col("p_name").alias("name")).distinct().withColumn("g", trigrams("name")).withColumn("k", F.substring("name", 1, 1))
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.name") < F.col("b.name")))
-    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(similarity_of(F.col("a.g"), F.col("b.g")), 6).alias("similarity"))
+    """All pairs of distinct names over the threshold of the similarity operator; they meet on rare trigrams."""
+    names = t("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return resolve.similar_names(names, "id", "name", None, 0.3, None)
 
 
 @query("n4_distinct_on", "SELECT DISTINCT ON (source) source, doc_id, n_chars FROM documents ORDER BY source, n_chars DESC, doc_id")

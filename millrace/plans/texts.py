@@ -147,7 +147,7 @@ def target(t):
     return t("customer").select("c_custkey", T.target_kind(raw).alias("kind"))
 
 
-@query("x20_shell_flag", rf"SELECT o_orderkey, regexp_matches(CASE o_custkey % 3 WHEN 0 THEN 'Blue Trust' WHEN 1 THEN 'Trusted man' ELSE 'Red LLC' END, '{T.SHELL}') AS shell FROM orders")
+@query("x20_shell_flag", rf"SELECT o_orderkey, regexp_matches(CASE o_custkey % 3 WHEN 0 THEN 'Blue Trust' WHEN 1 THEN 'Trusted man' ELSE 'Red LLC' END, '\b(LLC|Ltd|Inc|Corp|Limited|Holdings|Trust)\b') AS shell FROM orders")
 def shell(t):
     party = F.get(F.array(*map(F.lit, ("Blue Trust", "Trusted man", "Red LLC"))), (c("o_custkey") % 3).cast("int"))
     return t("orders").select("o_orderkey", T.is_shell(party).alias("shell"))
@@ -207,7 +207,9 @@ FLAG_TEXT = """CASE o_orderkey % 6 WHEN 0 THEN 'note' || chr(10) || 'From: ' ||
 
 @query("t5_chunk_flags", rf"""
 WITH x AS (SELECT o_orderkey, {FLAG_TEXT.replace("format_number_", "o_custkey")} AS s FROM orders)
-SELECT o_orderkey, regexp_matches(s, '{T.EMAIL_HEADERS}') AS has_email_headers, regexp_matches(s, '{T.AMOUNTS}') AS has_financial_amounts, regexp_matches(s, '{T.REDACTIONS}') AS has_redaction_markers, regexp_matches(s, '{T.DATES}') AS has_date_references FROM x""")
+SELECT o_orderkey, regexp_matches(s, '(?im)^\s*(From|To|Subject|Sent|CC|BCC)\s*:') AS has_email_headers,
+regexp_matches(s, '[$€£]\s?\(?[0-9]{{1,3}}(,[0-9]{{3}})*(\.[0-9]{{2}})?\)?|\b[0-9]{{1,3}}(,[0-9]{{3}})+\.[0-9]{{2}}\b') AS has_financial_amounts, regexp_matches(s, '(?i)\[(REDACTED|SEALED|REDACTION|[*]{{3,}})\]|█{{3,}}|X{{5,}}') AS has_redaction_markers,
+regexp_matches(s, '\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b') AS has_date_references FROM x""")
 def flags(t):
     rows = t("orders").select("o_orderkey", F.expr(FLAG_TEXT.replace("format_number_", "o_custkey")).alias("s"))
     return rows.select("o_orderkey", *[f.alias(k) for k, f in T.chunk_flags("s").items()])

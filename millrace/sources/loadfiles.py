@@ -150,6 +150,24 @@ def media_kind(path: Column | str) -> Column:
     return out
 
 
+def walk(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, modified, extension) of all files under a folder; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    extension = F.nullif(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), extension.alias("extension"))
+
+
+def from_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of which count(*), and min and max of plain columns without a filter, are taken from the files' footers: no row is read."""
+    listed, key = spark.conf.get("spark.sql.sources.useV1SourceList"), "spark.sql.sources.useV1SourceList"
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set(key, ",".join(x for x in listed.split(",") if x != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, listed)
+
+
 def manifest(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """(path, size, sha256) of files; those in known (path) are left out before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -369,3 +369,54 @@ def test_chunks_equal_brute_force(spark):
         got.setdefault(r.doc_id, []).append(r.content)
     for i, t in enumerate(texts):
         assert got.get(i, []) == (brute_chunks(t, chunker.Sizes()) if t else [])
+
+
+def test_rollup_by_batches(spark, tmp_path):
+    """A stream's batches, one of them run twice, late and folded, equal a full recompute; distinct counts lie within the sketch's error."""
+    from millrace.operators.rollup import Rollup
+
+    measures = {"n": ("count", "1"), "total": ("sum", "v"), "last": ("max", "v"), "users": ("distinct", "u")}
+    parts = [spark.range(k * 5000, (k + 1) * 5000).selectExpr("id % 3 AS k", "id AS v", "id * 7 % 4000 AS u") for k in range(3)]
+    view = Rollup.create(spark, ("k",), measures)
+    with pytest.raises(ValueError):
+        view.read()
+    view.add(parts[2], 2)
+    view.add(parts[1], 0)
+    view.add(parts[0], 0)
+    view.add(parts[1], 1)
+    full = {r.k: r for r in parts[0].union(parts[1]).union(parts[2]).groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("last"), F.count_distinct("u").alias("users")).collect()}
+    for fold in (None, 1, 2):
+        if fold is not None:
+            view.fold(fold)
+        for r in view.read().collect():
+            want = full[r.k]
+            assert (r.n, r.total, r.last) == (want.n, want.total, want.last) and abs(r.users - want.users) <= 0.04 * want.users
+
+
+def test_names_by_stored_trigrams(spark):
+    from millrace.functions.text import similarity
+    from millrace.operators.postings import NameIndex
+
+    rng = random.Random(12)
+    words = ["anna", "annabel", "bell", "anne", "smith", "smyth", "jones", "joan"]
+    rows = [(i, " ".join(rng.sample(words, 2)), [rng.choice(words)] if i % 3 else None) for i in range(80)] + [(100, "", []), (101, None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, aliases array<string>")
+    index = NameIndex.create(df, "id", "name", "aliases", buckets=8)
+    for q in ("anna smith", "joan", "zzz", ""):
+        alike = df.select("id", F.round(F.coalesce(similarity("name", F.lit(q)), F.lit(0.0)), 6).alias("s"))
+        by_alias = df.select("id", F.explode("aliases").alias("a")).select("id", F.round(similarity("a", F.lit(q)), 6).alias("x")).groupBy("id").agg(F.max("x").alias("x"))
+        want = alike.join(by_alias, "id", "left").where((F.col("s") > 0.3) | (F.coalesce("x", F.lit(0.0)) > 0.3)).orderBy(F.desc("s"), "id").limit(20)
+        assert [(r.id, r.similarity) for r in index.nearest(q).collect()] == [(r.id, r.s) for r in want.collect()]
+
+
+def test_folders_and_footers(spark, tmp_path):
+    for name in ("a.pdf", "sub/b.PNG", "sub/deep/c.mov", "sub/none"):
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_bytes(b"x" * 7)
+    found = {(r.path.rsplit("/", 1)[1], r.size, r.extension) for r in loadfiles.walk(spark, str(tmp_path / "f")).collect()}
+    assert found == {("a.pdf", 7, "pdf"), ("b.PNG", 7, "png"), ("c.mov", 7, "mov"), ("none", 7, None)}
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    counted = loadfiles.from_footers(spark, str(tmp_path / "t")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    assert "PushedAggregation: [COUNT(*), MAX(id)]" in counted._jdf.queryExecution().toString()
+    assert tuple(counted.first()) == (1000, 999) and spark.conf.get("spark.sql.sources.useV1SourceList") == before
