@@ -11,8 +11,8 @@ document's, WINDOW - 1 at most, as no more can lie between a passage's end and i
 MIN_WORDS words or more in a row are deleted; of shorter ones the lines of MIN_LINE words or more that they cover from end to end.
 Words are what ASCII white space parts, so that indents and line ends of either kind make no difference.
 
-The places of a run pass by in order, and each meets the first one, not its peers; very frequent runs pass by in many tasks. Rows that repeat id and text
-are made one before. Places that overlap the
+The places of a run pass by in order, and each meets the first one, not its peers; very frequent runs pass by in many tasks. Of rows that repeat a text only the first
+one (smallest id) is searched: all words of the others stand in it. Places that overlap the
 first one in its own document don't count, nor do words that are part of it. A match is known by the 64 bits of its run's hash; that two texts share it
 by chance would show as a chain of RUN_WORDS words that doesn't go on, too short to be deleted.
 
@@ -147,19 +147,9 @@ def run_rows(df: DataFrame, run_words: int, window: int, min_line: int) -> DataF
 
     schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *(StructField(k, LongType()) for k in ("mark", "run", "place"))])
 
-    def together(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-        start, size, raws = 0, 0, []
-        for k, t in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
-            if raws and size + len(t or b"") > AT_ONCE:
-                yield start, raws
-                start, size, raws = k, 0, []
-            raws.append(t or b"")
-            size += len(raws[-1])
-        yield start, raws
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            for start, raws in together(part):
+            for start, raws in together([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]):
                 raw = b"\n".join(raws) + b"\n"
                 starts, ends, hashes = words_of(raw)
                 if not len(starts):
@@ -177,13 +167,22 @@ def run_rows(df: DataFrame, run_words: int, window: int, min_line: int) -> DataF
     return df.select("doc_id", "text", "mark").mapInArrow(run, schema)
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """df (doc_id, text, mark) with one row of those that repeat id and text; only such rows, and few others, are moved."""
-    key = F.struct("doc_id", "mark")
-    more = written(df.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key.alias("key")), "runs-rows")
-    passes = maybe_listed(build_filter(more))
-    df = df.withColumn("_more", passes(F.xxhash64(key)))
-    return df.where("not _more").unionByName(df.where("_more").dropDuplicates(["doc_id", "mark"])).drop("_more")
+def documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of df (doc_id, text, mark) one row for each distinct text, that with the smallest id, and (doc_id, mark) of the other ids' rows with the same text.
+
+    A text is known by two 64-bit hashes. All of a copy's words stand earlier, in the first row, so that copies need not be searched; only rows of repeated texts, and few others, are moved.
+    """
+    known = df.withColumn("other", F.xxhash64(F.lit(1), "text"))
+    smallest = F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("s")
+    more = known.groupBy("mark", "other").agg(F.count(F.lit(1)).alias("n"), smallest).where("n > 1").select("mark", "other", F.col("s.doc_id").alias("first"))
+    more = written(more, "runs-rows")
+    passes = maybe_listed(build_filter(more.select(F.struct("mark", "other").alias("key"))))
+    known = known.withColumn("_more", passes(F.xxhash64(F.struct("mark", "other"))))
+    moved = known.where("_more").join(more, ["mark", "other"], "left").withColumn("_first", F.col("first").isNull() & F.col("doc_id").isNull() | (F.col("doc_id") == F.col("first")))
+    once = known.where("not _more").select("doc_id", "text", "mark")
+    first = F.coalesce("_first", F.col("first").isNull())
+    firsts = moved.where(first).select("doc_id", "text", "mark").dropDuplicates(["doc_id", "mark"])
+    return once.unionByName(firsts), moved.where(~first).select("doc_id", "mark").distinct()
 
 
 def frequent_runs(df: DataFrame, run_words: int, window: int, min_line: int) -> list[int]:
@@ -276,9 +275,9 @@ def short_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
-    """doc_id, mark, spans: chains of matches (first word, and the one after the last), each twice, with what stands beside the first place of
-    its first and of its last run, and how many of those words may count. A document's spans are no more than its words."""
-    docs = documents(df)
+    """doc_id, mark, found: whether all of the text stands in another row (whole), else the chains of matches (first word, and the one after the last), each twice, with what
+    stands beside the first place of its first and of its last run, and how many of those words may count. A document's chains are no more than its words."""
+    docs, copies = documents(df)
     found = first_places(run_rows(docs, run_words, window, min_line), frequent_runs(docs, run_words, window, min_line))
     own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
     apart = F.when(own, word_of("place") - word_of("f_place") - words_in("f_place")).otherwise(F.lit(window - 1))
@@ -294,47 +293,88 @@ def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFr
     rows = written(rows.select("doc_id", "mark", "a", "b", "e.side", "e.f.f_id", "e.f.f_mark", "e.f.f_place", "e.f.reach"), "runs-met")
     near = neighbours(df, rows.select("f_id", "f_mark", "f_place").distinct(), window - 1).withColumnsRenamed({"f_id": "_id", "f_mark": "_mark", "f_place": "_place"})
     known = rows.join(near, F.col("f_id").eqNullSafe(F.col("_id")) & (F.col("f_mark") == F.col("_mark")) & (F.col("f_place") == F.col("_place")))
-    return known.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b", "side", "reach", "near")).alias("spans"))
+    chains = known.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b", "side", "reach", "near")).alias("chains"))
+    whole = copies.withColumn("chains", F.lit(None).cast(chains.schema["chains"].dataType))
+    both = chains.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
+    return both.select("doc_id", "mark", F.struct("whole", "chains").alias("found"))
+
 
+def together(raws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in groups of about AT_ONCE bytes, with the number of each group's first one."""
+    start, size = 0, 0
+    for k, raw in enumerate(raws):
+        if k > start and size + len(raw) > AT_ONCE:
+            yield start, raws[start:k]
+            start, size = k, 0
+        size += len(raw)
+    if raws:
+        yield start, raws[start:]
 
-def without(text: str, spans: list, min_words: int, min_line: int) -> tuple[str, int, int]:
-    """The text without the merged chains that have min_words words and the whole lines in shorter ones, and the whole units and the words that went."""
-    raw = text.encode("utf-8", "surrogatepass")
+
+def widened(spans: list[list], short: np.ndarray, base: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all chains, and the words after their last ones, each chain grown by the words at its end that are like those beside its first place.
+
+    short: of the words of several documents one after the other; base and upto: where each document's words start and end among them.
+    """
+    each = [(k, x["a"], x["b"], x["side"], x["reach"]) for k, s in enumerate(spans) for x in s]
+    if not each:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc, a, b, side, reach = np.array(each, np.int64).T
+    near = np.frombuffer(b"".join(x["near"] for s in spans for x in s), np.uint32).reshape(len(each), 2, -1)
+    theirs, beside = near[np.arange(len(each)), side], np.arange(near.shape[2])
+    a, b = a + base[doc], b + base[doc]
+    at = np.where(side[:, None] == 1, b[:, None] + beside, a[:, None] - 1 - beside)
+    inside = (at >= base[doc][:, None]) & (at < upto[doc][:, None]) & (beside < reach[:, None])
+    same = inside & (short[np.where(inside, at, 0)] == theirs)
+    more = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    return a - np.where(side == 0, more, 0), b + np.where(side == 1, more, 0)
+
+
+def cut_texts(raws: list[bytes], spans: list[list | None], min_words: int, min_line: int) -> list[tuple[bytes, int, int]]:
+    """Each text without the merged chains that have min_words words and the whole lines in shorter ones, and the whole units and the words that went.
+
+    Of a text whose spans are None every word is covered. The texts are looked at together, so that small ones don't cost an array each.
+    """
+    raw = b"\n".join(raws) + b"\n"
     starts, ends, hashes = words_of(raw)
-    short, n = short_hashes(hashes), len(starts)
-    step = np.zeros(n + 1, np.int64)
-    for s in spans:
-        a, b, reach = s["a"], s["b"], s["reach"]
-        theirs = np.frombuffer(s["near"], np.uint32).reshape(2, -1)[s["side"], :reach]
-        mine = short[b : b + reach] if s["side"] else short[max(0, a - reach) : a][::-1]
-        same = np.r_[mine[: len(theirs)] == theirs[: len(mine)], False]
-        more = int(np.argmin(same))
-        a, b = (a, b + more) if s["side"] else (a - more, b)
-        step[a] += 1
-        step[b] -= 1
-    covered = np.cumsum(step[:-1]) > 0
-    gone = np.zeros(n, bool)
-    for a, b in bounds(covered):
-        gone[a:b] = b - a >= min_words
-    lines = line_starts(raw, starts)
-    sizes = np.diff(lines)
-    gone |= np.repeat((np.add.reduceat(covered.astype(np.int64), lines[:-1]) == sizes) & (sizes >= min_line), sizes)
-    out, at = [], 0
-    for a, b in bounds(gone):
-        before, after = int(ends[a - 1]) if a else 0, int(starts[b]) if b < n else len(raw)
-        left, right = raw[before : starts[a]], raw[ends[b - 1] : after]
-        out += [raw[at:before], right if b"\n" in right and b"\n" not in left else left]  # what parts lines stays
-        at = after
-    left = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-    sizes = units(raw)[3] if gone.any() else np.zeros(0, np.int64)
-    upto, removed = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(gone)]
-    return left if left.strip() else "", int((removed[upto[1:]] - removed[upto[:-1]] == sizes).sum()), int(gone.sum())
-
-
-def bounds(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Starts and ends of the rows of true flags."""
-    edge = np.diff(np.r_[False, flags, False].astype(np.int8))
-    return zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
+    begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    doc = np.searchsorted(begin[1:], starts, side="right")
+    base = np.searchsorted(doc, np.arange(len(raws)))
+    upto = np.r_[base[1:], len(doc)]
+    a, b = widened([s or [] for s in spans], short_hashes(hashes), base, upto)
+    full = np.flatnonzero([s is None for s in spans])
+    step = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(step, np.r_[a, base[full]], 1)
+    np.add.at(step, np.r_[b, upto[full]], -1)
+    covered, opens = np.cumsum(step[:-1]) > 0, np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
+    run = np.flatnonzero(opens | np.r_[True, covered[1:] != covered[:-1]][: len(doc)])
+    sizes = np.diff(np.r_[run, len(doc)])
+    gone = covered & np.repeat(sizes >= min_words, sizes)
+    if len(doc):
+        lines = line_starts(raw, starts)
+        sizes = np.diff(lines)
+        gone |= np.repeat((np.add.reduceat(covered.astype(np.int64), lines[:-1]) == sizes) & (sizes >= min_line), sizes)
+        first = np.flatnonzero(unit_marks(raw, starts, ends, 1)[0])
+        whole = np.add.reduceat(gone.astype(np.int64), first) == np.diff(np.r_[first, len(doc)])
+        units_gone, words_gone = np.bincount(doc[first[whole]], minlength=len(raws)), np.bincount(doc[gone], minlength=len(raws))
+    else:
+        units_gone = words_gone = np.zeros(len(raws), np.int64)
+    edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)) | np.r_[opens, True] & np.r_[False, gone] & np.r_[gone, False])
+    out, cuts = list(raws), {}
+    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if gone[x]:
+            cuts.setdefault(int(doc[x]), []).append((x, y))
+    for k, mine in cuts.items():
+        kept, at, low, high = [], int(begin[k]), int(base[k]), int(upto[k])
+        stop = int(begin[k + 1]) - 1
+        for x, y in mine:
+            before, after = int(ends[x - 1]) if x > low else int(begin[k]), int(starts[y]) if y < high else stop
+            left, right = raw[before : starts[x]], raw[ends[y - 1] : after]
+            kept += [raw[at:before], right if b"\n" in right and b"\n" not in left else left]  # what parts lines stays
+            at = after
+        left = b"".join([*kept, raw[at:stop]])
+        out[k] = left if left.strip() else b""
+    return list(zip(out, units_gone.tolist(), words_gone.tolist(), strict=True))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -350,7 +390,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_w
     own = flat.withColumn("m", F.xxhash64(f"c{at}"))
     plain = own.select(F.col(f"c{df.columns.index(id_col)}").alias("doc_id"), F.col(f"c{at}").alias("text"), F.col("m").alias("mark"))
     found = repeats(plain, run_words, window, min_line)
-    joined = own.join(found, F.col(f"c{df.columns.index(id_col)}").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left").select(*flat.columns, "spans")
+    joined = own.join(found, F.col(f"c{df.columns.index(id_col)}").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left").select(*flat.columns, "found")
     schema = StructType([*flat.schema.fields, StructField("units", LongType()), StructField("words", LongType())])
     arrow, many = to_arrow_schema(schema), len(flat.columns)
 
@@ -358,10 +398,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_w
         for part in slices(batches):
             has = part.column(many).is_valid()
             columns = [part.column(i).cast(arrow.field(i).type) for i in range(many)]
-            cut = [without(t, s, min_words, min_line) if t else (t, 0, 0) for t, s in zip(part.column(at).filter(has).to_pylist(), part.column(many).filter(has).to_pylist(), strict=True)]
+            found = [None if s["whole"] else s["chains"] for s in part.column(many).filter(has).to_pylist()]
+            raws = [t or b"" for t in part.column(at).filter(has).cast(pa.binary()).to_pylist()]
+            cut = [c for start, some in together(raws) for c in cut_texts(some, found[start : start + len(some)], min_words, min_line)]
             removed = np.zeros((2, part.num_rows), np.int64)
-            if cut:  # the other texts never become Python strings
-                columns[at] = pc.replace_with_mask(columns[at], has, pa.array([c[0] for c in cut], arrow.field(at).type))
+            if cut:  # the other texts never leave their column
+                new = pa.array([c[0] for c in cut], pa.binary()).cast(arrow.field(at).type)
+                columns[at] = pc.replace_with_mask(columns[at], has, pc.if_else(part.column(at).filter(has).is_null(), pa.scalar(None, arrow.field(at).type), new))
                 removed[:, has.to_numpy(zero_copy_only=False)] = [[c[k] for c in cut] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed[0]), pa.array(removed[1])], schema=arrow)
 
