@@ -35,16 +35,21 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def priority_score(text: Column | str, keywords: dict[str, float], redactions: Column, persons: Column, near: Column, officials: Column) -> Column:
-    """Keywords 0.3, density of redactions and persons 0.4, proximity 0.3, officials up to 0.2; lists are parameters."""
+def priority_score(text: Column | str, keywords: dict[str, float], near: tuple[str, ...], redactions: Column, persons: Column, officials: Column) -> Column:
+    """Keywords 0.3, density of redactions (those of persons twice) 0.4, phrases that tell of a redacted person 0.3, officials up to 0.2; in all up to 1.
+
+    keywords: weights by pattern; near: patterns of phrases; both are parameters, and looked for in any case.
+    """
     c = F.lower(F.coalesce(col(text), F.lit("")))
     hits = reduce(lambda a, b: a + b, [count_of(c, rf"\b{k}\b") * F.lit(float(w)) for k, w in keywords.items()])
-    return (
+    phrases = reduce(lambda a, b: a + b, [count_of(c, p) for p in near])
+    whole = (
         0.3 * F.least(F.lit(1.0), hits / 50.0)
-        + 0.4 * F.least(F.lit(1.0), (redactions + persons) / 20.0)
-        + 0.3 * F.least(F.lit(1.0), near / 5.0)
-        + F.least(F.lit(0.2), 0.05 * officials)
+        + 0.4 * F.least(F.lit(1.0), (F.coalesce(redactions, F.lit(0)) + F.coalesce(persons, F.lit(0))) / 20.0)
+        + 0.3 * F.least(F.lit(1.0), phrases / 5.0)
+        + F.least(F.lit(0.2), 0.05 * F.coalesce(officials, F.lit(0)))
     )
+    return F.least(F.lit(1.0), whole)
 
 
 def evidence_strength(n: Column) -> Column:

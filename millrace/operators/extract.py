@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -144,3 +144,14 @@ def dark_bars(df: DataFrame, id_col: str, image: str, width: str, height: str) -
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, image, width, height).mapInPandas(run, f"{id_col} {kind}, found boolean, ratio double, rows int, confidence double")
+
+
+def header_inputs(chunks: DataFrame, document: str, order: str, text: str, summaries: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """chunks with input: what a model is asked a chunk's header from: the document's summary (document, summary) where it has one, the chunk's number of how many, and its first `most` characters."""
+    n = chunks.groupBy(document).agg(F.count(F.lit(1)).alias("_n"))
+    numbered_ = chunks.withColumn("_i", F.row_number().over(Window.partitionBy(document).orderBy(order)))  # the chunks of one document
+    joined = numbered_.join(n, document)
+    joined = joined.join(summaries.select(document, F.col("summary").alias("_summary")), document, "left") if summaries is not None else joined.withColumn("_summary", F.lit(None).cast("string"))
+    about = F.when(F.col("_summary").isNotNull(), F.concat(F.lit("Document summary: "), "_summary", F.lit("\n\n"))).otherwise("")
+    whole = F.concat(about, F.lit("Chunk "), "_i", F.lit(" of "), "_n", F.lit(":\n"), F.substring(text, 1, most))
+    return joined.withColumn("input", whole).drop("_i", "_n", "_summary")

@@ -278,11 +278,14 @@ def ocr_pages(t):
 
 
 @query("t23_header_input", """
-SELECT conv_id, turn, 'turn ' || (turn + 1) || ' of ' || count(*) OVER (PARTITION BY conv_id) || ' — ' || left(text, 200) AS header FROM conversations""")
+WITH x AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN conv_id % 2 = 0 THEN first_value(left(text, 80)) OVER (PARTITION BY conv_id ORDER BY turn) END AS summary FROM conversations WINDOW w AS (PARTITION BY conv_id))
+SELECT conv_id, turn, CASE WHEN summary IS NOT NULL THEN 'Document summary: ' || summary || chr(10) || chr(10) ELSE '' END || 'Chunk ' || i || ' of ' || n || ':' || chr(10) || left(text, 1000) AS header FROM x""")
 def header_input(t):
-    n = t("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = t("conversations").join(n, "conv_id")
-    return rows.select("conv_id", "turn", F.concat(F.lit("turn "), c("turn") + 1, F.lit(" of "), "n", F.lit(" — "), F.substring("text", 1, 200)).alias("header"))
+    """Conversations as documents and turns as their chunks; those with even numbers have a summary."""
+    from millrace.operators.extract import header_inputs
+
+    first = t("conversations").where("conv_id % 2 = 0").groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 80), "turn").alias("summary"))
+    return header_inputs(t("conversations"), "conv_id", "turn", "text", first).select("conv_id", "turn", c("input").alias("header"))
 
 
 @query("t20_embed_once", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS computed_for FROM documents")
@@ -291,12 +294,23 @@ def embed_once(t):
     return rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("computed_for")), "key").select("doc_id", "computed_for")
 
 
-@query("k3_priority_score", """
-WITH x AS (SELECT doc_id, (len(regexp_extract_all(lower(text), '\\btrash\\b')) * 2.0 + len(regexp_extract_all(lower(text), '\\bidiot\\b')) * 3.0)::DOUBLE AS hits FROM documents)
-SELECT doc_id, round(0.3::DOUBLE * least(1.0, hits / 50) + 0.4::DOUBLE * least(1.0, (doc_id % 5 + doc_id % 7) / 20.0::DOUBLE) + 0.3::DOUBLE * least(1.0, (doc_id % 6) / 5.0::DOUBLE) + least(0.2, 0.05::DOUBLE * (doc_id % 8)), 6) AS score FROM x""".replace("\\\\", "\\"))
+@query("k3_priority_score", r"""
+WITH r AS (SELECT user_id AS doc_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS persons FROM events GROUP BY 1),
+x AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents),
+f AS (SELECT doc_id, (len(regexp_extract_all(s, '\btrash\b')) * 2 + len(regexp_extract_all(s, '\bidiots?\b')) * 3)::DOUBLE AS hits, len(regexp_extract_all(s, '(?:idiot|clown)s?\s+\w+')) + len(regexp_extract_all(s, 'such\s+trash')) AS near,
+  regexp_matches(s, '\bidiot\b')::INT + regexp_matches(s, '\bclown\b')::INT + regexp_matches(s, '\ball rights reserved\b')::INT AS officials FROM x)
+SELECT doc_id, round(least(1.0, 0.3::DOUBLE * least(1.0, hits / 50) + 0.4::DOUBLE * least(1.0, (coalesce(n, 0) + coalesce(persons, 0)) / 20.0::DOUBLE) + 0.3::DOUBLE * least(1.0, near / 5.0::DOUBLE) + least(0.2, 0.05::DOUBLE * officials)), 6) AS score
+FROM f LEFT JOIN r USING (doc_id)""")
 def priority(t):
-    d = c("doc_id")
-    return t("documents").select("doc_id", F.round(scores.priority_score("text", {"trash": 2, "idiot": 3}, d % 5, d % 7, d % 6, d % 8), 6).alias("score"))
+    """Keywords, phrases and listed names as they stand in the texts; an event of the document's number is a redaction, an error one of a person."""
+    from millrace.operators.resolve import find_mentions
+
+    marks = t("events").groupBy(c("user_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "error").alias("persons"))
+    names = t.spark.createDataFrame([(1, "idiot", 1.0), (2, "clown", 1.0), (3, "all rights reserved", 1.0)], "entity int, name string, confidence double")
+    officials = find_mentions(t("documents"), "doc_id", "text", names, "entity", "name").groupBy("doc_id").agg(F.count(F.lit(1)).alias("officials"))
+    rows = t("documents").select("doc_id", "text").join(marks, "doc_id", "left").join(officials, "doc_id", "left")
+    score = scores.priority_score("text", {"trash": 2, "idiots?": 3}, (r"(?:idiot|clown)s?\s+\w+", r"such\s+trash"), c("n"), c("persons"), c("officials"))
+    return rows.select("doc_id", F.round(score, 6).alias("score"))
 
 
 QUERIES, ORACLE = query.queries, query.oracle
