@@ -196,6 +196,16 @@ def search(index: DataFrame, cells: Cells, queries: DataFrame, k: int, probes: i
     return best(found.unionByName(compared(index, visits(again, centres, blocks, far, True), k)), k)
 
 
+def within(index: DataFrame, cells: Cells, queries: DataFrame, least: float) -> DataFrame:
+    """(q, key, similarity): all vectors whose cosine to a query (q, vector) is at least `least`, to six digits. Cells that can't hold one aren't looked into."""
+    wide = index.groupBy("cell").agg(F.max("angle").alias("wide"), F.max("block").alias("last")).collect()  # one row a cell
+    blocks, width = np.zeros(len(cells.centres), np.int64), np.full(len(cells.centres), -1.0)
+    for r in wide:
+        blocks[r["cell"]], width[r["cell"]] = r["last"] + 1, r["wide"]
+    reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 1e-9
+    return compared(index, visits(queries, cells.centres, blocks, lambda angles: angles - width[None, :] <= reach), 0, least=least)
+
+
 def visits(queries: DataFrame, centres: np.ndarray, blocks: np.ndarray, choose, bounded: bool = False) -> DataFrame:
     """(q, vector, cell, block): the blocks that each query looks into."""
 
@@ -217,8 +227,8 @@ def visits(queries: DataFrame, centres: np.ndarray, blocks: np.ndarray, choose,
     return queries.select(*columns).mapInArrow(run, f"q {kind}, vector array<double>, cell int, block int")
 
 
-def compared(index: DataFrame, asked: DataFrame, k: int, codes: Codes | None = None) -> DataFrame:
-    """(q, key, similarity): of each block the k nearest vectors to each of its queries. A block's vectors, or their codes, are held; its queries pass by."""
+def compared(index: DataFrame, asked: DataFrame, k: int, codes: Codes | None = None, least: float | None = None) -> DataFrame:
+    """(q, key, similarity): of each block the k nearest vectors to each of its queries, or with `least` those that are so similar. A block's vectors, or their codes, are held; its queries pass by."""
     kind, key_kind = dict(asked.dtypes)["q"], dict(index.dtypes)["key"]
     own = [F.lit(None).cast("array<double>").alias("vector"), "code"] if codes else ["vector", F.lit(None).cast("binary").alias("code")]
     items = index.select("cell", "block", F.lit(0).alias("side"), F.lit(None).cast(kind).alias("q"), "key", *own)
@@ -243,8 +253,8 @@ def compared(index: DataFrame, asked: DataFrame, k: int, codes: Codes | None = N
                     queries, most = as_matrix(part.column(5)), min(k, len(keys[0]))
                     for p in pieces(len(queries), len(keys[0])):
                         near = np.round(codes.scores(queries[p], held[0]) if codes else queries[p] @ held[0].T, 6)
-                        least = np.partition(near, -most, axis=1)[:, -most]
-                        row, at = np.nonzero(near >= least[:, None])  # ties are sorted out by key
+                        bound = np.full(len(near), least) if least is not None else np.partition(near, -most, axis=1)[:, -most]
+                        row, at = np.nonzero(near >= bound[:, None])  # ties are sorted out by key
                         yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(row + p.start)), keys[0].take(pa.array(at)), pa.array(near[row, at])], names=["q", "key", "similarity"])
 
     dealt = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
