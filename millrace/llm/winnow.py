@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.base import positional, slices, table, written
@@ -274,6 +274,47 @@ def short_hashes(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def chains_of(found: DataFrame) -> DataFrame:
+    """doc_id, mark, a, b, side, and the place beside its first (side 0) and its last run (side 1), of each chain of runs that touch.
+
+    A document's matches pass by in their order; those of one document at a time are held, which are no more than its words.
+    """
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+    fields = {f.name: f.dataType for f in found.schema}
+    names = ["doc_id", "mark", "a", "b", "side", "f_id", "f_mark", "f_place", "reach"]
+    schema = StructType([StructField(k, IntegerType() if k == "side" else fields.get(k, LongType())) for k in names])
+
+    def made(t: pa.Table, opens: np.ndarray) -> pa.RecordBatch:
+        at, end = t["at"].to_numpy(), t["end"].to_numpy()
+        shift = (np.cumsum(opens) - 1) * (int(end.max()) + 1)  # so that a document's places lie beyond those of the one before
+        upto = np.maximum.accumulate(end + shift)
+        heads = np.flatnonzero(np.r_[True, at[1:] + shift[1:] > upto[:-1]])
+        farthest = np.maximum.accumulate(np.where(np.r_[True, upto[1:] > upto[:-1]], np.arange(len(end)), 0))[np.r_[heads[1:], len(end)] - 1]
+        n, both = len(heads), pa.array(np.r_[heads, farthest])
+        own = {"a": np.tile(at[heads], 2), "b": np.tile(end[farthest], 2), "side": np.repeat(np.arange(2, dtype=np.int32), n)}
+        return pa.RecordBatch.from_arrays([pa.array(own[k]) if k in own else t[k].take(both).combine_chunks() for k in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            ids, marks = t["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), t["mark"].to_numpy()
+            opens = np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]
+            last = int(np.flatnonzero(opens)[-1])
+            if last:
+                yield made(t.slice(0, last), opens[:last])
+            held = t.slice(last).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield made(t, np.r_[True, np.zeros(t.num_rows - 1, bool)])
+
+    sorted_ = found.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "at", "end")
+    return sorted_.mapInArrow(run, schema)
+
+
 def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
     """doc_id, mark, found: whether all of the text stands in another row (whole), else the chains of matches (first word, and the one after the last), each twice, with what
     stands beside the first place of its first and of its last run, and how many of those words may count. A document's chains are no more than its words."""
@@ -283,14 +324,7 @@ def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFr
     apart = F.when(own, word_of("place") - word_of("f_place") - words_in("f_place")).otherwise(F.lit(window - 1))
     first = F.struct("f_id", "f_mark", "f_place", F.least(apart, F.lit(window - 1)).alias("reach"))
     found = found.select("doc_id", "mark", word_of("place").alias("at"), (word_of("place") + words_in("place")).alias("end"), first.alias("f")).where("f.reach >= 0")
-    order = Window.partitionBy("doc_id", "mark").orderBy("at", "end")
-    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = found.withColumn("_new", F.when(F.col("at") <= upto, 0).otherwise(1))
-    one = F.struct("at", "end", "f")
-    chains = starts.withColumn("_chain", F.sum("_new").over(order)).groupBy("doc_id", "mark", "_chain").agg(F.min_by(one, "at").alias("a"), F.max_by(one, "end").alias("b"))
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("a.f").alias("f")), F.struct(F.lit(1).alias("side"), F.col("b.f").alias("f")))
-    rows = chains.select("doc_id", "mark", F.col("a.at").alias("a"), F.col("b.end").alias("b"), F.explode(ends).alias("e"))
-    rows = written(rows.select("doc_id", "mark", "a", "b", "e.side", "e.f.f_id", "e.f.f_mark", "e.f.f_place", "e.f.reach"), "runs-met")
+    rows = written(chains_of(found.select("doc_id", "mark", "at", "end", "f.*")), "runs-met")
     near = neighbours(df, rows.select("f_id", "f_mark", "f_place").distinct(), window - 1).withColumnsRenamed({"f_id": "_id", "f_mark": "_mark", "f_place": "_place"})
     known = rows.join(near, F.col("f_id").eqNullSafe(F.col("_id")) & (F.col("f_mark") == F.col("_mark")) & (F.col("f_place") == F.col("_place")))
     chains = known.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b", "side", "reach", "near")).alias("chains"))
