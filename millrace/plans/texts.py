@@ -222,16 +222,18 @@ SAMPLES = (
 FILES = ("flight_7.pdf", "depo.pdf", "letter.pdf", "bank.pdf", "email.txt")
 
 
-def classify_sql() -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    sample = "list_extract([" + ", ".join(map(q, SAMPLES)) + "], (doc_id % 6 + 1)::INT) || ' ' || source"
-    votes = ", ".join(f"{{'n': {' + '.join(f'CAST(regexp_matches(s, {q(p)}) AS INT)' for p in ps)}, 'o': {-i}, 'k': '{k}'}}" for i, (k, ps) in enumerate(T.KIND_PATTERNS.items()))
-    agrees = " OR ".join(f"(b.k = '{k}' AND regexp_matches(f, '{p}'))" for k, p in T.KIND_FILES.items())
-    files = "list_extract([" + ", ".join(map(q, FILES)) + "], (doc_id % 5 + 1)::INT)"
-    return f"WITH x AS (SELECT doc_id, {sample} AS s, {files} AS f FROM documents), v AS (SELECT doc_id, f, list_reverse_sort(list_filter([{votes}], lambda x: x.n >= 3))[1] AS b FROM x) SELECT doc_id, CASE WHEN {agrees} THEN b.k END AS kind, CASE WHEN {agrees} THEN b.n END AS matches FROM v"
-
-
-@query("t6_classify_by_rules", classify_sql())
+@query("t6_classify_by_rules", r"""
+WITH x AS (SELECT doc_id, list_extract(['Tail # N123AB, pilot, passenger manifest, flight log', 'Q. Yes? A. No. DEPOSITION with sworn testimony', 'SUBPOENA: you are hereby commanded, duces tecum', 'WIRE TRANSFER, bank statement, invoice #4', 'From: a@b.c To: d@e.f Subject: x Sent: now', 'nothing of the kind'], (doc_id % 6 + 1)::INT) || ' ' || source AS s, list_extract(['flight_7.pdf', 'depo.pdf', 'letter.pdf', 'bank.pdf', 'email.txt'], (doc_id % 5 + 1)::INT) AS f FROM documents),
+v AS (SELECT doc_id, f, list_reverse_sort(list_filter([{'n': CAST(regexp_matches(s, '(?i)\b(tail\s*#|N\d{3,5}[A-Z]{0,2})\b') AS INT) + CAST(regexp_matches(s, '(?i)\bpassenger\s+manifest\b') AS INT) + CAST(regexp_matches(s, '(?i)\bflight\s+log\b') AS INT) + CAST(regexp_matches(s, '(?i)\b(departure|arrival)\s+(time|date|airport)\b') AS INT) + CAST(regexp_matches(s, '(?i)\b(pilot|co-?pilot|captain)\b') AS INT), 'o': 0, 'k': 'flight_log'},
+  {'n': CAST(regexp_matches(s, '\bQ\.\s+') AS INT) + CAST(regexp_matches(s, '\bA\.\s+') AS INT) + CAST(regexp_matches(s, '(?i)\bDEPOSITION\b') AS INT) + CAST(regexp_matches(s, '(?i)\bsworn\s+testimony\b') AS INT) + CAST(regexp_matches(s, '(?i)\b(direct|cross)\s+examination\b') AS INT), 'o': -1, 'k': 'deposition'},
+  {'n': CAST(regexp_matches(s, '(?i)\bGRAND\s+JURY\b') AS INT) + CAST(regexp_matches(s, '\bQ\.\s+') AS INT) + CAST(regexp_matches(s, '\bA\.\s+') AS INT) + CAST(regexp_matches(s, '(?i)\bsworn\b') AS INT) + CAST(regexp_matches(s, '(?i)\bforeperson\b') AS INT), 'o': -2, 'k': 'grand_jury_testimony'},
+  {'n': CAST(regexp_matches(s, '(?i)\bSUBPOENA\b') AS INT) + CAST(regexp_matches(s, '(?i)\bRIDER\s*\(Grand\s+Jury\b') AS INT) + CAST(regexp_matches(s, '(?i)\byou\s+are\s+(hereby\s+)?commanded\b') AS INT) + CAST(regexp_matches(s, '(?i)\bduces\s+tecum\b') AS INT), 'o': -3, 'k': 'subpoena'},
+  {'n': CAST(regexp_matches(s, '(?i)\bWIRE\s+TRANSFER\b') AS INT) + CAST(regexp_matches(s, '(?i)\bACCOUNT\s+STATEMENT\b') AS INT) + CAST(regexp_matches(s, '(?i)\binvoice\s+#') AS INT) + CAST(regexp_matches(s, '(?i)\bbank\s+statement\b') AS INT) + CAST(regexp_matches(s, '(?i)\b(debit|credit)\s+balance\b') AS INT), 'o': -4, 'k': 'financial_record'},
+  {'n': CAST(regexp_matches(s, '(?i)\bCALL\s+LOG\b') AS INT) + CAST(regexp_matches(s, '\bCDR\b') AS INT) + CAST(regexp_matches(s, '(?i)\bphone\s+record\b') AS INT) + CAST(regexp_matches(s, '(?i)\b(incoming|outgoing)\s+(call|number)\b') AS INT) + CAST(regexp_matches(s, '(?i)\bcall\s+detail\s+record\b') AS INT), 'o': -5, 'k': 'phone_record'},
+  {'n': CAST(regexp_matches(s, '(?i)\baddress\s+book\b') AS INT) + CAST(regexp_matches(s, '(?i)\bcontact\s+list\b') AS INT) + CAST(regexp_matches(s, '(?i)\bphone\s+directory\b') AS INT) + CAST(regexp_matches(s, '(?i)\brolodex\b') AS INT), 'o': -6, 'k': 'address_book'},
+  {'n': CAST(regexp_matches(s, '(?i)\bFrom:\s+\S+@\S+') AS INT) + CAST(regexp_matches(s, '(?i)\bTo:\s+\S+@\S+') AS INT) + CAST(regexp_matches(s, '(?i)\bSubject:\s+') AS INT) + CAST(regexp_matches(s, '(?i)\bSent:\s+') AS INT) + CAST(regexp_matches(s, '(?i)\bDate:\s+.*\d{4}') AS INT), 'o': -7, 'k': 'email'},
+  {'n': CAST(regexp_matches(s, '\bFBI\b') AS INT) + CAST(regexp_matches(s, '(?i)\bFD-?302\b') AS INT) + CAST(regexp_matches(s, '(?i)\bFederal\s+Bureau\s+of\s+Investigation\b') AS INT) + CAST(regexp_matches(s, '(?i)\bspecial\s+agent\b') AS INT), 'o': -8, 'k': 'fbi_report'},
+  {'n': CAST(regexp_matches(s, '(?i)\bINDICTMENT\b') AS INT) + CAST(regexp_matches(s, '(?i)\bCOUNT\s+(ONE|TWO|THREE|[IVX]+|\d+)\b') AS INT) + CAST(regexp_matches(s, '(?i)\bthe\s+grand\s+jury\s+charges\b') AS INT) + CAST(regexp_matches(s, '(?i)\bin\s+violation\s+of\b') AS INT), 'o': -9, 'k': 'indictment'}], lambda x: x.n >= 3))[1] AS b FROM x) SELECT doc_id, CASE WHEN (b.k = 'flight_log' AND regexp_matches(f, 'flight|manifest')) OR (b.k = 'deposition' AND regexp_matches(f, 'depo|deposition')) OR (b.k = 'subpoena' AND regexp_matches(f, 'subpoena|rider')) OR (b.k = 'financial_record' AND regexp_matches(f, 'bank|wire|financial|invoice')) OR (b.k = 'phone_record' AND regexp_matches(f, 'phone|call|cdr')) OR (b.k = 'address_book' AND regexp_matches(f, 'address|contact|black.?book')) OR (b.k = 'email' AND regexp_matches(f, 'email')) OR (b.k = 'fbi_report' AND regexp_matches(f, 'fbi|302')) OR (b.k = 'indictment' AND regexp_matches(f, 'indictment')) OR (b.k = 'grand_jury_testimony' AND regexp_matches(f, 'grand.?jury')) THEN b.k END AS kind, CASE WHEN (b.k = 'flight_log' AND regexp_matches(f, 'flight|manifest')) OR (b.k = 'deposition' AND regexp_matches(f, 'depo|deposition')) OR (b.k = 'subpoena' AND regexp_matches(f, 'subpoena|rider')) OR (b.k = 'financial_record' AND regexp_matches(f, 'bank|wire|financial|invoice')) OR (b.k = 'phone_record' AND regexp_matches(f, 'phone|call|cdr')) OR (b.k = 'address_book' AND regexp_matches(f, 'address|contact|black.?book')) OR (b.k = 'email' AND regexp_matches(f, 'email')) OR (b.k = 'fbi_report' AND regexp_matches(f, 'fbi|302')) OR (b.k = 'indictment' AND regexp_matches(f, 'indictment')) OR (b.k = 'grand_jury_testimony' AND regexp_matches(f, 'grand.?jury')) THEN b.n END AS matches FROM v""")
 def classify(t):
     pick = lambda options, n: F.get(F.array(*map(F.lit, options)), (c("doc_id") % n).cast("int"))
     rows = t("documents").select("doc_id", F.concat(pick(SAMPLES, 6), F.lit(" "), "source").alias("s"), pick(FILES, 5).alias("f"))
