@@ -319,7 +319,7 @@ def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFr
     """doc_id, mark, found: whether all of the text stands in another row (whole), else the chains of matches (first word, and the one after the last), each twice, with what
     stands beside the first place of its first and of its last run, and how many of those words may count. A document's chains are no more than its words."""
     docs, copies = documents(df)
-    found = first_places(run_rows(docs, run_words, window, min_line), frequent_runs(docs, run_words, window, min_line))
+    found = first_places(run_rows(docs, run_words, window, min_line), frequent_runs(df, run_words, window, min_line))
     own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
     apart = F.when(own, word_of("place") - word_of("f_place") - words_in("f_place")).otherwise(F.lit(window - 1))
     first = F.struct("f_id", "f_mark", "f_place", F.least(apart, F.lit(window - 1)).alias("reach"))
