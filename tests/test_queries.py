@@ -58,3 +58,25 @@ def test_module(spark, duck, module):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def same_as_sql(spark, folder, name, table, rows_):
+    """The query's rows over one small table; its SQL gives the same ones."""
+    import duckdb
+
+    rows_.write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    df = entry.queries()[name](spark, str(folder))
+    found = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns) and rows(columns, found.fetchall()) == rows(df.columns, df.collect())
+    return df.collect()
+
+
+def test_all_evidence_of_an_edge(spark, tmp_path):
+    """An edge of 130 documents keeps every one of them, in two blocks."""
+    documents = [*range(1, 121), *range(2_000_000, 2_000_010)]
+    lines = spark.createDataFrame([(d, 7, 3, d % 10 / 100) for d in documents * 2] + [(5, 3, 7, 0.5), (5, 1, 1, 0.0)], "l_orderkey long, l_suppkey long, l_partkey long, l_discount double")
+    got = [r for r in same_as_sql(spark, tmp_path, "w5_edge_evidence", "lineitem", lines) if (r.a, r.b) == (3, 7)]
+    assert sorted(d for r in got for d in r.evidence) == documents and {(r.documents, r.strength) for r in got} == {(130, 0.5)} and len(got) == 2
