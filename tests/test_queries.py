@@ -80,3 +80,11 @@ def test_all_evidence_of_an_edge(spark, tmp_path):
     lines = spark.createDataFrame([(d, 7, 3, d % 10 / 100) for d in documents * 2] + [(5, 3, 7, 0.5), (5, 1, 1, 0.0)], "l_orderkey long, l_suppkey long, l_partkey long, l_discount double")
     got = [r for r in same_as_sql(spark, tmp_path, "w5_edge_evidence", "lineitem", lines) if (r.a, r.b) == (3, 7)]
     assert sorted(d for r in got for d in r.evidence) == documents and {(r.documents, r.strength) for r in got} == {(130, 0.5)} and len(got) == 2
+
+
+def test_copies_and_reordered_names_are_linked(spark, tmp_path):
+    """Every part's links can be told from the rows: copies stand beside their first id, names of other words or order are pairs."""
+    names = ["red blue bolt", "blue red bolt", "red blue bolts", "red blue bolt", "green nut", "red, blue bolt", "red blue bolt", "green nut"]
+    parts = spark.createDataFrame([(3 * k, n, "STEEL" if k < 7 else "TIN", "Brand") for k, n in enumerate(names)], "p_partkey long, p_name string, p_type string, p_brand string")
+    got = {(r.a, r.b, r.copy): r.similarity for r in same_as_sql(spark, tmp_path, "e1_similar_names", "part", parts)}
+    assert {k for k in got if k[2]} == {(0, 9, True), (0, 18, True)} and {k for k, s in got.items() if not k[2] and s == 1} == {(0, 3, False), (0, 15, False), (3, 15, False)}
