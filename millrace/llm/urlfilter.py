@@ -85,14 +85,19 @@ def build_filter(keys: DataFrame, blocks: int | None = None) -> np.ndarray:
     return out
 
 
+def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the keys with these hashes (Spark's xxhash64) the filter may hold. For use within a task that has a Python worker anyway: maybe_listed() takes one more."""
+    block, bits = _spots(hashes, len(filter_))
+    return ((filter_[block] & bits) == bits).all(axis=1)
+
+
 def maybe_listed(filter_: np.ndarray):
     """A column function of an array of keys: those that the filter may hold."""
-    shared, blocks = filter_, len(filter_)
+    shared = filter_
 
     def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for hashes in batches:
-            block, bits = _spots(hashes.to_numpy(zero_copy_only=False), blocks)
-            yield pa.array(((shared[block] & bits) == bits).all(axis=1))
+            yield pa.array(may_hold(shared, hashes.to_numpy(zero_copy_only=False)))
 
     return F.arrow_udf(probe, "boolean")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.base import positional, slices, table, written
-from millrace.llm.urlfilter import build_filter, maybe_listed
+from millrace.llm.urlfilter import build_filter, may_hold, maybe_listed
 
 RUN_WORDS, WINDOW, MIN_WORDS, MIN_LINE = 12, 12, 23, 5
 #: Runs of such a share of the runs of about so many sampled documents are dealt over so many tasks.
@@ -141,14 +141,19 @@ def short_lines(raw: bytes, starts: np.ndarray, sums: np.ndarray, least: int, ru
     return first, mixed((sums[first + n] - sums[first]) * powers(len(sums))[0][first] ^ n.astype(np.uint64) * np.uint64(BASE)), n
 
 
-def run_rows(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
-    """Kept runs: doc_id, mark (the text's hash), run, and place: 256 times the first word, plus the number of words."""
+def run_rows(df: DataFrame, run_words: int, window: int, min_line: int, apart: np.ndarray | None = None) -> DataFrame:
+    """Kept runs: doc_id, mark (the text's hash), run, and place: 256 times the first word, plus the number of words.
+
+    apart: a filter; rows whose key (mark, other) it may hold are left out. It is asked here, so that a task needs one Python worker, not two.
+    """
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *(StructField(k, LongType()) for k in ("mark", "run", "place"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            if apart is not None:
+                part = part.filter(pa.array(~may_hold(apart, part.column(3).to_numpy(zero_copy_only=False))))
             for start, raws in together([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]):
                 raw = b"\n".join(raws) + b"\n"
                 starts, ends, hashes = words_of(raw)
@@ -164,11 +169,13 @@ def run_rows(df: DataFrame, run_words: int, window: int, min_line: int) -> DataF
                 at = pa.array(start + own)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(h.view(np.int64)), pa.array(place)], names=schema.names)
 
-    return df.select("doc_id", "text", "mark").mapInArrow(run, schema)
+    asked = [] if apart is None else [F.xxhash64(F.struct("mark", F.xxhash64(F.lit(1), "text").alias("other")))]
+    return df.select("doc_id", "text", "mark", *asked).mapInArrow(run, schema)
 
 
-def documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of df (doc_id, text, mark) one row for each distinct text, that with the smallest id, and (doc_id, mark) of the other ids' rows with the same text.
+def documents(df: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Of df (doc_id, text, mark) a filter of the texts that repeat; of the rows that it may hold one for each distinct text, that with the smallest id; and (doc_id, mark) of the other
+    ids' rows with the same text. The rows that the filter doesn't hold are texts of their own.
 
     A text is known by two 64-bit hashes. All of a copy's words stand earlier, in the first row, so that copies need not be searched; only rows of repeated texts, and few others, are moved.
     """
@@ -176,13 +183,11 @@ def documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     smallest = F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("s")
     more = known.groupBy("mark", "other").agg(F.count(F.lit(1)).alias("n"), smallest).where("n > 1").select("mark", "other", F.col("s.doc_id").alias("first"))
     more = written(more, "runs-rows")
-    passes = maybe_listed(build_filter(more.select(F.struct("mark", "other").alias("key"))))
-    known = known.withColumn("_more", passes(F.xxhash64(F.struct("mark", "other"))))
-    moved = known.where("_more").join(more, ["mark", "other"], "left").withColumn("_first", F.col("first").isNull() & F.col("doc_id").isNull() | (F.col("doc_id") == F.col("first")))
-    once = known.where("not _more").select("doc_id", "text", "mark")
+    repeated = build_filter(more.select(F.struct("mark", "other").alias("key")))
+    moved = known.where(maybe_listed(repeated)(F.xxhash64(F.struct("mark", "other")))).join(more, ["mark", "other"], "left").withColumn("_first", F.col("first").isNull() & F.col("doc_id").isNull() | (F.col("doc_id") == F.col("first")))
     first = F.coalesce("_first", F.col("first").isNull())
     firsts = moved.where(first).select("doc_id", "text", "mark").dropDuplicates(["doc_id", "mark"])
-    return once.unionByName(firsts), moved.where(~first).select("doc_id", "mark").distinct()
+    return repeated, firsts, moved.where(~first).select("doc_id", "mark").distinct()
 
 
 def frequent_runs(df: DataFrame, run_words: int, window: int, min_line: int) -> list[int]:
@@ -318,8 +323,9 @@ def chains_of(found: DataFrame) -> DataFrame:
 def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
     """doc_id, mark, found: whether all of the text stands in another row (whole), else the chains of matches (first word, and the one after the last), each twice, with what
     stands beside the first place of its first and of its last run, and how many of those words may count. A document's chains are no more than its words."""
-    docs, copies = documents(df)
-    found = first_places(run_rows(docs, run_words, window, min_line), frequent_runs(df, run_words, window, min_line))
+    repeated, firsts, copies = documents(df)
+    runs = run_rows(df, run_words, window, min_line, repeated).unionByName(run_rows(firsts, run_words, window, min_line))
+    found = first_places(runs, frequent_runs(df, run_words, window, min_line))
     own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
     apart = F.when(own, word_of("place") - word_of("f_place") - words_in("f_place")).otherwise(F.lit(window - 1))
     first = F.struct("f_id", "f_mark", "f_place", F.least(apart, F.lit(window - 1)).alias("reach"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import winnow
 
@@ -191,3 +192,16 @@ def test_runs_dealt_over_tasks_meet_the_same_first_place(spark):
 
     plain = found([])
     assert len(plain) == 597 and found([1]) == plain and found([0, 1, 2, 99, 12345]) == plain
+
+
+def test_one_python_worker_a_task(spark, capsys):
+    """The scan for runs asks the filter of repeated texts itself: a second Python step in the same task would hold a worker of its own."""
+    rows = [(k, f"{k} " + "word " * 40) for k in range(30)] + [(100 + k, "copy " * 40) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    repeated, firsts, copies = winnow.documents(df)
+    alone = winnow.run_rows(df, 12, 12, 5, repeated)
+    alone.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    ids = {r.doc_id for r in alone.select("doc_id").distinct().collect()} | {r.doc_id for r in firsts.collect()}
+    assert ids == {*range(30), 100} and {r.doc_id for r in copies.collect()} == {101, 102}
