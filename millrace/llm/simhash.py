@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.base import map_texts, positional, slices, table, written
 from millrace.llm.mixing import row_mark
-from millrace.llm.urlfilter import build_filter, maybe_listed
+from millrace.llm.urlfilter import build_filter, may_hold
 
 BLOCKS, BLOCK_BITS = 8, 8
 #: Queries that search a tree together.
 AT_ONCE = 2048
-#: The pipeline's candidates: at a Jaccard coefficient of 0.8, one pair of 1,600 shares no band.
+#: Bits in which fingerprints of the pipeline's candidates differ at most.
+NEAR_BITS = 3
+#: The pipeline's candidates beyond these: at a Jaccard coefficient of 0.8, one pair of 1,600 shares no band.
 BANDS, BAND_ROWS = 14, 4
 #: Sets before it, in a band's own order, that a set of another group meets in the second round.
 BEFORE = 4
@@ -44,8 +46,12 @@ def fingerprint(text: str | None, shingle: int) -> int:
     if not words:
         return 0
     parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.array(list(map(partial(xxhash.xxh64_intdigest, seed=42), parts)), dtype="<u8")
-    counts, bits = np.zeros(64, dtype=np.int64), hashes.view(np.uint8).reshape(-1, 8)
+    return majority(np.array(list(map(partial(xxhash.xxh64_intdigest, seed=42), parts)), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts, bits = np.zeros(64, dtype=np.int64), hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(bits), 255):  # 255 ones at most fit a byte
         counts += np.add.reduce(np.unpackbits(bits[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
@@ -92,15 +98,35 @@ class BKTree:
             q, node = q[near], self.kids[at[near]]
 
 
-def forest(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the distinct values the index of the first one of its group of links."""
-    tree, label = BKTree(values), np.arange(len(values))
-    links = []
+def tree_links(values: np.ndarray, radius: int) -> np.ndarray:
+    """All pairs of indices of the distinct values that are at most radius apart, the larger index first."""
+    tree, links = BKTree(values), []
     for at in range(0, len(values), AT_ONCE):
         for q, node in tree.within(values[at : at + AT_ONCE], radius):
             q = q + at
             links.append(np.stack([q, node])[:, q > node].astype(np.int32))
-    a, b = np.concatenate(links, axis=1)
+    return np.concatenate(links, axis=1)
+
+
+def spanning(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices at most radius apart, fewer than there are values, that hang together what all such pairs do."""
+    (a, b), label, chosen = tree_links(values, radius), np.arange(len(values)), [np.zeros((2, 0), np.int32)]
+    while len(a):
+        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+        group, first = np.unique(high, return_index=True)  # each group hangs itself under one with a smaller label
+        chosen.append(np.stack([a[first], b[first]]))
+        label[group] = low[first]
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    a, b = np.concatenate(chosen, axis=1)
+    return a, b
+
+
+def forest(values: np.ndarray, radius: int) -> np.ndarray:
+    """For each of the distinct values the index of the first one of its group of links."""
+    (a, b), label = tree_links(values, radius), np.arange(len(values))
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
@@ -112,8 +138,8 @@ def forest(values: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def shard_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Edges (fp, root) that connect what the shards' trees link; distinct has one row per fp."""
+def shard_links(distinct: DataFrame, radius: int, direct: bool = False) -> DataFrame:
+    """Edges (fp, root) that connect what the shards' trees link; distinct has one row per fp. direct: each edge is itself within the radius."""
     keys = []
     for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - radius)):
         mask = sum(0xFF << (BLOCK_BITS * b) for b in chosen)
@@ -129,6 +155,11 @@ def shard_links(distinct: DataFrame, radius: int) -> DataFrame:
             out_fp, out_root = [fp[pairs + 1]], [fp[pairs]]
             for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
                 values = fp[a:b]
+                if direct:
+                    one, other = spanning(values.view(np.uint64), radius)
+                    out_fp.append(values[one])
+                    out_root.append(values[other])
+                    continue
                 label = forest(values.view(np.uint64), radius)
                 linked = label != np.arange(len(values))
                 out_fp.append(values[linked])
@@ -223,6 +254,18 @@ def banded(sketches: DataFrame) -> DataFrame:
     return sketches.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
 
 
+def candidates_by_fingerprint(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of sets whose SimHash fingerprints fp differ in NEAR_BITS bits at most, found by BK-trees over shards of them: each set meets the first one of its
+    fingerprint, and these meet along the links of each shard that hang it together."""
+    sets = sketches.dropDuplicates(["node"]).select("node", "fp")
+    firsts = written(sets.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    same = sets.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = shard_links(firsts, NEAR_BITS, direct=True)
+    for side, k in (("fp", "a"), ("root", "b")):
+        links = links.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(k)), side)
+    return same.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a <> b").distinct()
+
+
 def candidates(sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of names of sets that share a band: each set meets the first of its range of the band, and the one before it."""
     met = with_before(banded(sketches).withColumn("label", F.col("node")), "band", ["node"], 1)
@@ -240,13 +283,16 @@ def candidates_between(sketches: DataFrame, labels: DataFrame) -> DataFrame:
 def held_sets(df: DataFrame, pairs: DataFrame, text: str, shingle: int) -> DataFrame:
     """node and hashes: the sets of these pairs."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-wanted")
-    passes = maybe_listed(build_filter(wanted))
+    filter_ = build_filter(wanted)
 
     def sets(texts: list) -> dict:
         found = [shingle_set(t, shingle) for t in texts]
-        return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "hashes": [f.tobytes() for f in found]}
+        nodes = np.array([set_name(f) for f in found], np.uint64)
+        keys = np.array([xxhash.xxh64_intdigest(n.tobytes(), seed=42) for n in nodes], np.uint64)  # Spark's xxhash64 of the node
+        some = may_hold(filter_, keys)  # asked here, so that a task needs one Python worker, not two
+        return {"node": pa.array(nodes.view(np.int64)), "hashes": [f.tobytes() if s else None for f, s in zip(found, some, strict=True)]}
 
-    held = map_texts(df, text, "node bigint, hashes binary", sets, []).where(passes(F.xxhash64("node"))).dropDuplicates(["node"])
+    held = map_texts(df, text, "node bigint, hashes binary", sets, []).where("hashes IS NOT NULL").dropDuplicates(["node"])
     return written(held.join(wanted, F.col("node") == F.col("key"), "left_semi"), "near-sets")
 
 
@@ -271,16 +317,16 @@ def near_groups(plain: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
     """doc_id, mark and group of the rows (doc_id, text, mark): a group is linked by pairs whose sets of `shingle`-word shingles have a Jaccard coefficient of
     at least `least`, checked exactly.
 
-    Candidates share a band of least hashes: at 64 bits of a SimHash, pairs at 0.8 differ in about 10, and no sharding at that radius stays selective. In a
-    second round sets of one band that are in different groups so far meet once more, so that a group hangs together whose members aren't all like its first.
+    Candidates are pairs whose SimHash fingerprints of these shingles lie within NEAR_BITS bits, by the BK-trees. Pairs at 0.8 differ in about 10 of the 64 bits, and no sharding at
+    that radius stays selective: those beyond the trees' reach are found by a band of least hashes that they share. In a second round sets of one band that are in different groups so far meet once more, so that a group hangs together whose members aren't all like its first.
     """
 
     def compute(texts: list) -> dict:
         found = [shingle_set(t, shingle) for t in texts]
-        return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "bands": [band_keys(f).view(np.int64) for f in found]}
+        return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "fp": pa.array(np.array([majority(f) for f in found], np.uint64).view(np.int64)), "bands": [band_keys(f).view(np.int64) for f in found]}
 
-    sketches = written(map_texts(plain, "text", "node bigint, bands array<bigint>", compute, ["doc_id", "mark"]), "near-sketches")
-    pairs = written(candidates(sketches), "near-candidates")
+    sketches = written(map_texts(plain, "text", "node bigint, fp bigint, bands array<bigint>", compute, ["doc_id", "mark"]), "near-sketches")
+    pairs = written(candidates_by_fingerprint(sketches).unionByName(candidates(sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "near-candidates")
     held = held_sets(plain, pairs, "text", shingle)
     links = written(similar_pairs(pairs, held, least), "near-links")
     more = similar_pairs(written(candidates_between(sketches, components(links, "a", "b")), "near-candidates"), held, least)

@@ -160,3 +160,35 @@ def test_recall_of_planted_pairs(spark):
     found = sum(group[a] == group[b] for a, b in pairs)
     assert len(pairs) > 200 and found >= len(pairs) - 1
     assert len({group[10_000 + k] for k in range(300)}) == 1
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_spanning_links_are_within_the_radius(radius):
+    rng = np.random.default_rng(10 + radius)
+    values = np.unique(rng.integers(0, 1 << 12, 150).astype(np.uint64))
+    a, b = simhash.spanning(values, radius)
+    assert len(a) < len(values) and all(bin(int(values[i]) ^ int(values[j])).count("1") <= radius for i, j in zip(a, b, strict=True))
+    label = list(range(len(values)))
+    for _ in label:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            label[i] = label[j] = min(label[i], label[j])
+    assert label == brute_components(values.tolist(), radius)
+
+
+def test_near_copies_meet_by_their_fingerprints(spark, monkeypatch):
+    """Without any bands, the fingerprints' trees alone bring together the near copies that lie within their reach."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(30):
+        base = words(600)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:300], "edited", *base[301:]]))]
+    fps = [simhash.majority(simhash.shingle_set(t, 5)) for _, t in rows]
+    assert all(f == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in simhash.shingle_set(t, 5)) > len(simhash.shingle_set(t, 5))) for f, (_, t) in zip(fps[:4], rows[:4], strict=True))
+    near = {i for i in range(30) if bin(fps[2 * i] ^ fps[2 * i + 1]).count("1") <= simhash.NEAR_BITS}
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "candidates", lambda sketches: none)
+    monkeypatch.setattr(simhash, "candidates_between", lambda sketches, labels: none)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(0).cast("long"))
+    group = {r.doc_id: r.group for r in simhash.near_groups(df).collect()}
+    assert len(near) > 20 and {i for i in range(30) if group[2 * i] == group[2 * i + 1]} == near
