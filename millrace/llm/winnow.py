@@ -320,10 +320,11 @@ def chains_of(found: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, schema)
 
 
-def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFrame:
-    """doc_id, mark, found: whether all of the text stands in another row (whole), else the chains of matches (first word, and the one after the last), each twice, with what
+def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> tuple[np.ndarray, DataFrame]:
+    """A filter of the texts (doc_id, mark) that have any match, and of these doc_id, mark, found: whether all of the text stands in another row (whole), else the chains of matches (first word, and the one after the last), each twice, with what
     stands beside the first place of its first and of its last run, and how many of those words may count. A document's chains are no more than its words."""
     repeated, firsts, copies = documents(df)
+    copies = written(copies, "runs-copies")
     runs = run_rows(df, run_words, window, min_line, repeated).unionByName(run_rows(firsts, run_words, window, min_line))
     found = first_places(runs, frequent_runs(df, run_words, window, min_line))
     own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
@@ -336,7 +337,8 @@ def repeats(df: DataFrame, run_words: int, window: int, min_line: int) -> DataFr
     chains = known.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b", "side", "reach", "near")).alias("chains"))
     whole = copies.withColumn("chains", F.lit(None).cast(chains.schema["chains"].dataType))
     both = chains.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
-    return both.select("doc_id", "mark", F.struct("whole", "chains").alias("found"))
+    key = F.struct("doc_id", "mark").alias("key")
+    return build_filter(rows.select(key).distinct().unionByName(copies.select(key))), both.select("doc_id", "mark", F.struct("whole", "chains").alias("found"))
 
 
 def together(raws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -429,8 +431,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_w
     flat, at = positional(df), df.columns.index(text)
     own = flat.withColumn("m", F.xxhash64(f"c{at}"))
     plain = own.select(F.col(f"c{df.columns.index(id_col)}").alias("doc_id"), F.col(f"c{at}").alias("text"), F.col("m").alias("mark"))
-    found = repeats(plain, run_words, window, min_line)
-    joined = own.join(found, F.col(f"c{df.columns.index(id_col)}").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left").select(*flat.columns, "found")
+    filter_, found = repeats(plain, run_words, window, min_line)
+    passes = maybe_listed(filter_)(F.xxhash64(F.struct(F.col(f"c{df.columns.index(id_col)}").alias("doc_id"), F.col("m").alias("mark"))))
+    joined = own.where(passes).join(found, F.col(f"c{df.columns.index(id_col)}").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left").select(*flat.columns, "found")
     schema = StructType([*flat.schema.fields, StructField("units", LongType()), StructField("words", LongType())])
     arrow, many = to_arrow_schema(schema), len(flat.columns)
 
@@ -449,7 +452,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_w
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed[0]), pa.array(removed[1])], schema=arrow)
 
     names = [*df.columns, *(fresh(k, df.columns) for k in ("_units_removed", "_words_removed"))]
-    return joined.mapInArrow(run, schema).toDF(*names)
+    stay = own.where(~passes).select(*flat.columns, F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("words"))  # texts without a match are not moved
+    return joined.mapInArrow(run, schema).unionByName(stay).toDF(*names)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
