@@ -13,6 +13,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -34,8 +35,14 @@ AT_ONCE = 2048
 NEAR_BITS = 3
 #: The pipeline's candidates beyond these: at a Jaccard coefficient of 0.8, one pair of 1,600 shares no band.
 BANDS, BAND_ROWS = 14, 4
-#: Sets before it, in a band's own order, that a set of another group meets in the second round.
-BEFORE = 4
+#: Texts, about so many, that tell which shingles are common, and so many of these at most: they stand last in the order of a set's shingles.
+COMMON_SAMPLE, COMMON_MOST = 4096, 65_536
+#: Sets with one shingle, about so many, that are compared in one place; those of a shingle with more are dealt over pairs of parts.
+TOGETHER = 512
+#: Bits that tell of how many shingles with a hash in each of so many bins a set has, an odd or an even number.
+ODD_BITS = 1024
+#: Documents whose sets are made anew by a broadcast of their marks at most; of more, all texts are walked again.
+FEW = 100_000
 SALTS, FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 FACTORS = FACTORS << np.uint64(1) | np.uint64(1)
 
@@ -273,11 +280,85 @@ def candidates(sketches: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select("a", "b").distinct()
 
 
+def common_shingles(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, COMMON_MOST at most, sorted, and in how many. They make an order of shingles; any order gives the same groups."""
+    n = plain.count()
+    some = map_texts(plain.sample(min(1.0, COMMON_SAMPLE / max(n, 1)), seed=1), "text", "shingles array<bigint>", lambda texts: {"shingles": [shingle_set(t, shingle).view(np.int64) for t in texts]}, [])
+    counted = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON_MOST)
+    found = counted.toArrow()
+    keys, many = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], many[order]
+
+
+def rare_first(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones: of two sets whose Jaccard coefficient is at least `least`, each one's first n - ceil(least n) + 1 have one in common."""
+    if not len(found):
+        return found
+    keys, many = common
+    rank = np.zeros(len(found), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        rank = np.where(keys[at] == found, many[at], 0)
+    return found[np.lexsort((found, rank))][: len(found) - math.ceil(least * len(found) - 1e-9) + 1]
+
+
+def odd_bins(found: np.ndarray) -> bytes:
+    """A bit a bin of hashes: whether the set has an odd number there. Two sets differ in at least as many shingles as bits."""
+    bins = np.bincount((found >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS)
+    return np.packbits((bins & 1).astype(bool)).tobytes()
+
+
 def candidates_between(sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a band but not a label (node, label): each set meets those of the BEFORE sets before it, in an order of the band's own, that have another label."""
-    known = banded(sketches).join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"), F.xxhash64("node", "band").alias("at"))
-    met = with_before(known, "band", ["at", "node"], BEFORE).select("node", "label", F.explode("before").alias("o")).where("label <> o.label")
-    return met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+    """All pairs (a, b) without a common label (node, label) that may be alike: they share one of their first shingles, and neither their sizes nor their odd bins say that they differ in more than they may.
+
+    No pair over the coefficient is left out. Sets of one label aren't compared, so a group of copies that hangs together makes no pairs; the sets of a very common shingle are dealt over pairs of their parts.
+    """
+    sets = written(sketches.dropDuplicates(["node"]).select("node", "size", "slack", "odd", "rare"), "near-sets-rare")
+    w = Window.partitionBy("shingle")
+    met = sets.select("node", F.explode("rare").alias("shingle")).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1")
+    known = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).where("low <> high").drop("low", "high")
+    parts = F.ceil(F.col("n") / F.lit(TOGETHER)).cast("long")
+    dealt = mixed.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.join(sets.select("node", "size", "slack", "odd"), "node").select("shingle", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "size", "slack", "odd")
+
+    def pairs_of(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        low, high, part, node, label, size, slack = (rows.column(k).to_numpy() for k in range(1, 8))
+        odd = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint64).reshape(len(rows), -1)
+        i, step, out = np.arange(len(rows)), 0, []
+        while len(i):  # each row with the one `step` after it in its group
+            step += 1
+            i = i[i + step < len(rows)]
+            i = i[group[i] == group[i + step]]
+            j = i + step
+            fits = (label[i] != label[j]) & ((low[i] == high[i]) | (part[i] != part[j])) & (np.abs(size[i] - size[j]) <= slack[i] + slack[j])
+            x, y = i[fits], j[fits]
+            fits = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= slack[x] + slack[y]
+            out.append(np.stack([node[x[fits]], node[y[fits]]]))
+        found = np.unique(np.sort(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:  # sorted by group; the last one may go on in the next batch
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            if not len(rows):
+                continue
+            new = np.zeros(len(rows), np.int64)
+            for k in range(3):
+                c = rows.column(k).to_numpy()
+                new[1:] |= c[1:] != c[:-1]
+            group = np.cumsum(new)
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield pairs_of(rows.slice(0, cut), group[:cut])
+            rest = rows.slice(cut)
+        if rest is not None and len(rest):
+            yield pairs_of(rest, np.zeros(len(rest), np.int64))
+
+    keys = ["shingle", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def held_sets(df: DataFrame, pairs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -317,20 +398,30 @@ def near_groups(plain: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
     """doc_id, mark and group of the rows (doc_id, text, mark): a group is linked by pairs whose sets of `shingle`-word shingles have a Jaccard coefficient of
     at least `least`, checked exactly.
 
-    Candidates are pairs whose SimHash fingerprints of these shingles lie within NEAR_BITS bits, by the BK-trees. Pairs at 0.8 differ in about 10 of the 64 bits, and no sharding at
-    that radius stays selective: those beyond the trees' reach are found by a band of least hashes that they share. In a second round sets of one band that are in different groups so far meet once more, so that a group hangs together whose members aren't all like its first.
+    First pairs whose SimHash fingerprints of these shingles lie within NEAR_BITS bits, by the BK-trees, and pairs that share a band of least hashes are checked: they hang most groups together.
+    Pairs at 0.8 differ in about 10 of the 64 bits, and some share no band: so in a second round all pairs of sets in different groups are found that share one of their first shingles, without which no
+    two sets reach the coefficient. The groups are those of comparing all pairs.
     """
+    common = common_shingles(plain, shingle)
 
     def compute(texts: list) -> dict:
         found = [shingle_set(t, shingle) for t in texts]
-        return {"node": pa.array(np.array([set_name(f) for f in found], np.uint64).view(np.int64)), "fp": pa.array(np.array([majority(f) for f in found], np.uint64).view(np.int64)), "bands": [band_keys(f).view(np.int64) for f in found]}
+        longs = lambda hashes: pa.array(np.array(hashes, np.uint64).view(np.int64))
+        return {
+            "node": longs([set_name(f) for f in found]), "fp": longs([majority(f) for f in found]), "bands": [band_keys(f).view(np.int64) for f in found],
+            "size": [len(f) for f in found], "slack": [len(f) * (1 - least) / (1 + least) + 1e-6 for f in found], "odd": [odd_bins(f) for f in found], "rare": [rare_first(f, common, least).view(np.int64) for f in found],
+        }
 
-    sketches = written(map_texts(plain, "text", "node bigint, fp bigint, bands array<bigint>", compute, ["doc_id", "mark"]), "near-sketches")
+    sketches = written(map_texts(plain, "text", "node bigint, fp bigint, bands array<bigint>, size bigint, slack double, odd binary, rare array<bigint>", compute, ["doc_id", "mark"]), "near-sketches")
     pairs = written(candidates_by_fingerprint(sketches).unionByName(candidates(sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "near-candidates")
-    held = held_sets(plain, pairs, "text", shingle)
-    links = written(similar_pairs(pairs, held, least), "near-links")
-    more = similar_pairs(written(candidates_between(sketches, components(links, "a", "b")), "near-candidates"), held, least)
-    labels = components(links.unionByName(more), "a", "b")
+    links = written(similar_pairs(pairs, held_sets(plain, pairs, "text", shingle), least), "near-links")
+    labels = components(links, "a", "b")
+    more = written(candidates_between(sketches, labels), "near-candidates")
+    if not more.isEmpty():
+        wanted = written(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sketches.groupBy("node").agg(F.min("mark").alias("mark")), "node").select("mark").distinct(), "near-marks")
+        texts = plain.join(F.broadcast(wanted), "mark", "left_semi") if wanted.count() <= FEW else plain
+        links = links.unionByName(similar_pairs(more, held_sets(texts, more, "text", shingle), least))
+        labels = components(links, "a", "b")
     return sketches.select("doc_id", "mark", "node").join(labels, "node", "left").select("doc_id", "mark", F.coalesce("label", "node").alias("group"))
 
 

@@ -192,3 +192,59 @@ def test_near_copies_meet_by_their_fingerprints(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(0).cast("long"))
     group = {r.doc_id: r.group for r in simhash.near_groups(df).collect()}
     assert len(near) > 20 and {i for i in range(30) if group[2 * i] == group[2 * i + 1]} == near
+
+
+def joined_by_brute_force(rows, least=0.8):
+    """The groups of ids whose sets are linked, by comparing all pairs."""
+    sets, label = [simhash.shingle_set(t, 5) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= least * (len(sets[i]) + len(sets[j]) - shared) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    groups = {}
+    for (k, _), x in zip(rows, label, strict=True):
+        groups.setdefault(x, set()).add(k)
+    return sorted(map(sorted, groups.values()))
+
+
+def groups_of(spark, rows):
+    groups = {}
+    for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.col("doc_id"))).collect():
+        groups.setdefault(r.group, set()).add(r.doc_id)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_near_copies_that_share_no_band(spark):
+    """Pairs over the threshold whose fingerprints lie apart, and that share none of the bands, are joined all the same."""
+    rng = random.Random(19)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    while len(rows) < 6:
+        base = words(60)
+        edited = [*base[:20], "edited", *base[21:45], "edited", *base[46:]] if rng.random() < 0.5 else [*base[:-6], *words(6)]
+        x, y = (simhash.shingle_set(" ".join(t), 5) for t in (base, edited))
+        shared = len(np.intersect1d(x, y))
+        apart = bin(simhash.majority(x) ^ simhash.majority(y)).count("1") > simhash.NEAR_BITS
+        if shared >= 0.8 * (len(x) + len(y) - shared) and apart and not (simhash.band_keys(x) == simhash.band_keys(y)).any():
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited))]
+    assert groups_of(spark, rows) == [[0, 1], [2, 3], [4, 5]]
+
+
+@pytest.mark.parametrize("together", [512, 3])
+def test_groups_equal_those_of_all_pairs(spark, monkeypatch, together):
+    """Texts that share much and little, with a passage that all have; without bands, so that the second round has all to do."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "candidates", lambda sketches: none)
+    rng = random.Random(23)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, bases, rows = words(30), [words(n) for n in (4, 5, 6, 9, 30, 80, 150)], []
+    for k in range(90):
+        text = list(passage) + list(rng.choice(bases)) if k % 3 else list(rng.choice(bases))
+        for at in rng.sample(range(len(text)), rng.randrange(min(4, len(text)))):
+            text[at] = words(1)[0]
+        rows.append((k, " ".join(text[rng.randrange(3) :])))
+    rows += [(100, ""), (101, " "), (102, "one"), (103, "one two three four five six seven eight nine"), (104, "one two three four five six seven eight nine ten")]
+    assert groups_of(spark, rows) == joined_by_brute_force(rows)
