@@ -38,6 +38,20 @@ def test_ranks_and_groups(spark):
     assert len(set(found.values())) >= 1 and set(found) == {n for p in two for n in p}
 
 
+def test_a_cut_keeps_no_constraints(spark):
+    """What a loop filters by doesn't add up from round to round."""
+    df = spark.range(10).where("id > 3 AND NOT array_contains(array(1, 2), id)")
+    plan = graph.cut(df)._jdf.queryExecution().optimizedPlan()
+    assert plan.constraints().isEmpty() and graph.cut(df).count() == 6
+
+
+def test_tree_of_many_levels(spark):
+    """A full binary tree of fifteen levels: each of them in the time of the one before."""
+    rows = spark.range(1, 1 << 15).selectExpr("id", "nullif(id div 2, 0) AS parent", "id % 7 >= 0 AS ok")
+    got = graph.tree(rows, 1, "id", "parent", 20, F.col("ok")).groupBy("depth").count().collect()
+    assert {(r.depth, r["count"]) for r in got} == {(k, 1 << k) for k in range(15)}
+
+
 def test_tree_stops_at_cycles(spark):
     rows = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, parent long")
     assert {(r.id, r.depth) for r in graph.tree(rows, 1, "id", "parent").collect()} == {(1, 0), (2, 1), (4, 1), (3, 2)}
