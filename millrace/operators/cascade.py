@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.vector import cosine
 from millrace.operators import ann
 from millrace.operators.graph import cut
 
@@ -40,32 +39,18 @@ def close_pairs(items: DataFrame, least: float = SIMILARITY, slack: int = LENGTH
 
     sources: (id) of the items that are sources; all, if it isn't given.
 
-    Unknown kinds and lengths of the source fit all; an unknown length of the target fits none that is known; sources that know neither go nowhere. Pairs that know both meet
-    on (kind, block of lengths), with each source in the blocks its slack reaches. The others have no key that is narrow enough: they find their targets through the index of
-    cells, which only opens cells that can hold one, and compares a block's vectors by matrix products.
+    Unknown kinds and lengths of the source fit all; an unknown length of the target fits none that is known; sources that know neither go nowhere. Every source meets its targets in one sort of groups, by
+    what it knows: kind and each length in reach, kind alone, or each length in reach alone. So a pair is met once, and a group's vectors are compared by products of matrices.
     """
-    width = 2 * slack + 1
+    group = lambda name, *by: F.xxhash64(F.lit(name), F.size("vector"), *by)
+    length, kind, size = F.col("length").cast("long"), F.col("kind").isNotNull(), F.col("length").isNotNull()
+    reach = F.sequence(length - slack, length + slack)
     chosen = items if sources is None else items.join(sources.select("id").distinct(), "id", "left_semi")
-    a = chosen.where("vector IS NOT NULL").select(F.col("id").alias("source"), F.col("kind").alias("ak"), F.col("length").alias("al"), F.col("vector").alias("av"))
-    b = items.where("vector IS NOT NULL AND status = 'unsolved'").select(F.col("id").alias("target"), F.col("kind").alias("bk"), F.col("length").alias("bl"), F.col("vector").alias("bv"))
-    block = lambda c: F.floor(c / F.lit(width)).cast("int")
-    known = a.where("al IS NOT NULL AND ak IS NOT NULL").withColumn("g", F.explode(F.array_distinct(F.array(block(F.col("al") - slack), block(F.col("al") + slack)))))
-    exact = known.join(b.where("bl IS NOT NULL").withColumn("h", block(F.col("bl"))), (F.col("g") == F.col("h")) & (F.col("ak") == F.col("bk")) & (F.abs(F.col("al") - F.col("bl")) <= slack)).where("source <> target")
-    near = exact.select("source", "target", F.round(cosine(F.col("av"), F.col("bv")), 6).alias("similarity")).where(F.col("similarity") >= least)
-
-    loose = cut(a.where("(al IS NULL) <> (ak IS NULL)"))
-    if loose.isEmpty():
-        return near
-    sample = ann.sample_rows(b, "bv")
-    if not len(sample):
-        return near
-    cells = ann.Cells.fit(sample, max(1, round(b.count() ** 0.5)))
-    index, ids = ann.build(b, "target", "bv", cells)
-    found = ann.within(index, cells, loose.select(F.col("source").alias("q"), F.col("av").alias("vector")), least)
-    met = found.join(ids, "key").select(F.col("q").alias("source"), F.col("id").alias("target"), "similarity").where("source <> target")
-    kinds = met.join(loose.select("source", "ak", "al"), "source").join(b.select("target", "bk", "bl"), "target")
-    fits = (F.col("al").isNull() | (F.abs(F.col("al") - F.col("bl")) <= slack)) & (F.col("ak").isNull() | (F.col("ak") == F.col("bk")))
-    return near.unionByName(kinds.where(fits).select("source", "target", "similarity"))
+    asks = F.when(kind & size, F.transform(reach, lambda x: group("both", "kind", x))).when(kind, F.array(group("kind", "kind"))).when(size, F.transform(reach, lambda x: group("length", x)))
+    holds = F.array_compact(F.array(F.when(kind & size, group("both", "kind", length)), F.when(kind, group("kind", "kind")), F.when(size, group("length", length))))
+    a = chosen.where("vector IS NOT NULL").select(F.col("id").alias("q"), "vector", F.explode(asks).alias("group"))
+    b = items.where("vector IS NOT NULL AND status = 'unsolved'").select(F.col("id").alias("key"), "vector", F.explode(holds).alias("group"))
+    return ann.alike(b, a, least).where("q <> key").select(F.col("q").alias("source"), F.col("key").alias("target"), "similarity")
 
 
 def cascade_counts(items: DataFrame, least: float = SIMILARITY) -> DataFrame:

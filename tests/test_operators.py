@@ -97,6 +97,23 @@ def test_merge(spark):
     assert [tuple(r) for r in l.collect()] == [(1, 3, "k", 0.7)] and [(r.kept, r.merged) for r in log.collect()] == [(1, 2)]
 
 
+def test_pairs_of_a_group_by_matrices(spark, monkeypatch):
+    """Blocks of three, groups of any size, a vector of zeros, none, and one with a gap: all pairs, and none is scored by a function of arrays."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 3 if i % 4 else None, None if i % 5 == 0 else i % 12, rng.standard_normal(4).tolist(), "unsolved" if i % 2 else "confirmed") for i in range(60)]
+    rows[7], rows[8], rows[9] = (7, *rows[7][1:3], [0.0] * 4, "unsolved"), (8, *rows[8][1:3], None, "confirmed"), (9, *rows[9][1:3], [1.0, None, 2.0, 3.0], "unsolved")
+    items = spark.createDataFrame(rows, "id long, kind int, length int, vector array<double>, status string")
+    found = cascade.close_pairs(items, 0.3)
+    cos = lambda x, y: round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6)
+    fits = lambda a, b: (a[2] is None or (b[2] is not None and abs(a[2] - b[2]) <= 3)) and (a[1] is None or a[1] == b[1]) and (a[1] is not None or a[2] is not None)
+    whole = [r for r in rows if r[0] not in (7, 8, 9)]
+    want = {(a[0], b[0]): cos(a[3], b[3]) for a in whole for b in whole if a[0] != b[0] and b[4] == "unsolved" and fits(a, b)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len({r[:2] for r in got}) and {(a, b): s for a, b, s in got} == {k: s for k, s in want.items() if s >= 0.3}
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cascade_and_back(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(8)
