@@ -38,6 +38,15 @@ def test_ranks_and_groups(spark):
     assert len(set(found.values())) >= 1 and set(found) == {n for p in two for n in p}
 
 
+def test_walks_store_their_edges_once(spark, monkeypatch):
+    """The levels of a neighbourhood and of a path read edges that lie by their start: they are stored once a walk."""
+    stored, store = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, key: stored.append(key) or store(df, key))
+    edges = spark.createDataFrame([(k, k + 1, k) for k in range(6)], "a long, b long, n long")
+    assert {(r.node, r.depth) for r in graph.neighbourhood(edges, 0, 4).collect()} == {(k, k) for k in range(5)} and stored == ["src"]
+    assert [tuple(r) for r in graph.shortest_path(edges, 0, 4, keep=("n",)).collect()] == [(k + 1, k, k + 1, k) for k in range(4)] and stored == ["src", "src"]
+
+
 def test_a_cut_keeps_no_constraints(spark):
     """What a loop filters by doesn't add up from round to round."""
     df = spark.range(10).where("id > 3 AND NOT array_contains(array(1, 2), id)")
