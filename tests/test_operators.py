@@ -314,6 +314,18 @@ def test_probes_reach_the_recall_asked_for():
     assert 1 < probes < len(cells.centres) and ann.probes_for(x[:0], cells, 10) == 1
 
 
+def test_betweenness_over_cells_of_edges(spark, monkeypatch):
+    """Nodes in many small blocks and two components: the same as in one block, and what moves a level is a row a node and block, not one an edge and source."""
+    rng = random.Random(6)
+    e = spark.createDataFrame([(x, y) for x in range(60) for y in rng.sample(range(60), 3) if x // 40 == y // 40], "a long, b long")
+    whole = {r.node: round(r.betweenness, 9) for r in graph.betweenness(e, sources=7).collect()}
+    moved, spread = [], graph.spread
+    monkeypatch.setattr(graph, "BLOCK_NODES", 16)
+    monkeypatch.setattr(graph, "spread", lambda cells, sent, blocks, width: moved.append((sent.count(), blocks)) or spread(cells, sent, blocks, width))
+    assert {r.node: round(r.betweenness, 9) for r in graph.betweenness(e, sources=7).collect()} == whole and max(whole.values()) > 0
+    assert all(n <= 60 and blocks == 4 for n, blocks in moved)
+
+
 def test_betweenness_equals_brute_force(spark):
     rng = random.Random(4)
     rows = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)})
